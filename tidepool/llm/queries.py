@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import packing
+from tidepool.llm import line_dedup, packing, pii
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +19,20 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), "text", keep=["doc_id"])
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more of them share."""
+    deduped = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.digest(deduped, "doc_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack}
+    return {"op1_pack": op1_pack, "op5_line_dedup": op5_line_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.oracle_sql()}
