@@ -274,7 +274,7 @@ class WordEncoder:
     another.  The memory holds ``most`` words and is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
