@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import line_dedup, packing, pii
+from tidepool.llm import line_dedup, packing, pii, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), "text", keep=["doc_id"])
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents held against the robust estimates of their language and source."""
+    judged = quality_rules.reject_outliers(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten or more of them share."""
     deduped = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -31,7 +37,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op5_line_dedup": op5_line_dedup, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
