@@ -115,11 +115,11 @@ def _hash_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np
             base = starts[i]
             out[i:j] = _hash_slice(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, codes)
         else:
-            folded = U(0)
+            folded = np.zeros(1, U)
             for at in range(int(starts[i]), int(ends[i]), SLICE):
                 part = data[at : min(at + SLICE, int(ends[i]))]
-                folded = mix((folded + _hash_slice(part, np.array([0]), np.array([len(part)]), codes)) * U(_BASE))[0]
-            out[i] = folded
+                folded = mix((folded + _hash_slice(part, np.array([0]), np.array([len(part)]), codes)) * U(_BASE))
+            out[i] = folded[0]
         i = j
     return out
 
@@ -147,10 +147,10 @@ def ngrams(words: Words, n: int, *, whole_if_short: bool = False) -> Words:
     if len(short):
         extra = []
         for row in short:
-            folded = U(sizes[row])
+            folded = np.array([sizes[row]], U)
             for h in hashes[offsets[row] : offsets[row + 1]]:
-                folded = mix(np.array([folded * U(_INVERSE) + h]))[0]
-            extra.append(folded)
+                folded = mix(folded * U(_INVERSE) + h)
+            extra.append(folded[0])
         own = np.insert(own, ends[short], np.array(extra, U))
         counts[short] = 1
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -166,11 +166,12 @@ def _within(counts: np.ndarray) -> np.ndarray:
 def distinct(words: Words) -> Words:
     """Each row's distinct hashes, ascending."""
     hashes, offsets = words
-    if not len(hashes):
-        return words
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((hashes, rows))
-    h, r = hashes[order], rows[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return Words(h[first], np.searchsorted(r[first], np.arange(len(offsets))))
+    out, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        if b > a:
+            own = np.sort(hashes[a:b])
+            if b - a > 1:
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            out.append(own)
+            counts[row] = len(own)
+    return Words(np.concatenate(out) if out else np.zeros(0, U), np.concatenate([[0], np.cumsum(counts)]))
