@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import line_dedup, near_dedup, packing, pii, quality_rules
+from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,14 +36,20 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of largest inner product for every vector whose id is divisible by 50."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op8_top_k": op8_top_k, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql()}
+    return {"op5_line_dedup": line_dedup.oracle_sql(), "op8_top_k": knn.oracle_sql()}
