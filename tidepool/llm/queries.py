@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_rules
+from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled as good."""
+    return _read(spark, sf_dir, "labels").filter("quality = 1 AND NOT toxic <=> 1").select("doc_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perplexity of all documents under a model of the trusted ones."""
+    return quality_classifier.score_documents(_read(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows of largest inner product for every vector whose id is divisible by 50."""
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -48,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op8_top_k": op8_top_k, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
