@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
+from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,13 +52,19 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by a forest trained on their labelled findings."""
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secrets.digest(secrets.scan(documents, secrets.fit(documents)), "doc_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
