@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import knn, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, suffix_tree
+from tidepool.llm import knn, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, secrets, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), "text", keep=["doc_id"])
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and whether decoding gives their texts again."""
+    return pieces.encode(_read(spark, sf_dir, "documents"), keep=["doc_id"], with_ids=False, check=True)
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a suffix tree learnt from nine tenths of them."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
@@ -71,7 +76,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op2_sentencepiece": op2_sentencepiece, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
