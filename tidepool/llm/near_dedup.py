@@ -12,10 +12,11 @@ remains is verified on the full sets.
 Documents of equal sets form one class from the start, which costs a grouping
 whatever its size.  Class representatives meet in band buckets.  First each
 member is held against its bucket's centre only, so a bucket of n costs n pairs
-and big groups of near copies join up; then members of one bucket that are in
-different components are compared with each other, block by block, and every
-pair that the likelihood does not rule out is verified.  Pairs within a
-component cannot change it and are never made.
+and big groups of near copies join up; then members of one bucket that have
+different labels are compared with each other, block by block, and a pair that
+the likelihood does not rule out is verified there, on the full sets, unless
+verified links have joined its ends meanwhile.  Only links leave a block; no
+pair is ever made between documents known to be connected.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import _text
 from tidepool.llm._shared import cut
-from tidepool.llm.components import components, salted_join
+from tidepool.llm.components import components, large_star, salted_join, small_star, tidy
 
 U = np.uint64
 
@@ -135,13 +136,7 @@ def _sketch_batches(batches: Iterable[pa.RecordBatch], text: str, how: Sketching
 
 def _band_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        registers = _unpack(batch.column("registers"), how)
-        keys = np.empty((batch.num_rows, how.bands), U)
-        for band in range(how.bands):
-            key = np.full(batch.num_rows, band + 1, U)
-            for k in range(how.rows):
-                key = _text.mix(key * U(0x9E3779B97F4A7C15) + registers[:, band * how.rows + k])
-            keys[:, band] = key
+        keys = _band_keys(_unpack(batch.column("registers"), how), how)
         rep = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), how.bands)
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["bucket", "rep"])
 
@@ -160,58 +155,103 @@ def _likely_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterat
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _block_pairs(reps, comps, sizes, regs, blocks, pair, how: Sketching) -> list[tuple]:
-    """Likely pairs between components within one bucket's block (pair: its two block numbers)."""
-    out = []
-    order = np.argsort(sizes, kind="stable")
-    reps, comps, sizes, regs, blocks = reps[order], comps[order], sizes[order], regs[order], blocks[order]
-    ratio = how.percent / 100
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two ascending sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return 0
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+
+
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = _common(p, q)
+    return bool(common) and 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _band_keys(registers: np.ndarray, how: Sketching) -> np.ndarray:
+    """A 64-bit key of every band of every sketch; the lowest byte is the band's number."""
+    keys = np.broadcast_to(np.arange(1, how.bands + 1, dtype=U), (len(registers), how.bands))
+    for k in range(how.rows):
+        keys = _text.mix(keys * U(0x9E3779B97F4A7C15) + registers[:, k :: how.rows])
+    return (keys & ~U(255)) | np.arange(how.bands, dtype=U)
+
+
+def _solve_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> list[tuple[int, int]]:
+    """Links between the labels that meet in one bucket's block, as many as it takes to join them.
+
+    A pair is looked at in the bucket of the first band that it shares, and in
+    one block only; likelier pairs first, and none whose ends are joined by then.
+    """
+    sizes, labels, band = rows["n"], rows["comp"], int(rows["band"][0])
     # Sets of very different size cannot reach the threshold.
-    ends = np.searchsorted(sizes, sizes / ratio + 1e-9, "right")
-    for i in range(len(reps)):
-        js = np.arange(i + 1, ends[i])
-        ok = comps[js] != comps[i]
-        if pair[0] != pair[1]:
-            ok &= blocks[js] != blocks[i]
-        js = js[ok]
-        if len(js):
-            # A count of equal registers comes first; it is above the similarity, so it rules out safely.
-            js = js[(regs[js] == regs[i]).mean(1) >= how.cut]
-        if len(js):
-            est = likely_similarity(np.broadcast_to(regs[i], (len(js), regs.shape[1])), regs[js], np.full(len(js), sizes[i], float), sizes[js].astype(float), how.base)
-            out.extend((min(reps[i], r), max(reps[i], r)) for r in reps[js[est >= how.cut]])
-    return out
+    open_pairs = (labels[:, None] != labels[None, :]) & (how.percent * sizes[:, None] <= 100 * sizes[None, :]) & (how.percent * sizes[None, :] <= 100 * sizes[:, None])
+    open_pairs &= np.tri(len(sizes), k=-1, dtype=bool)
+    if rows["bi"][0] != rows["bj"][0]:
+        open_pairs &= rows["block"][:, None] != rows["block"][None, :]
+    if not open_pairs.any():
+        return []
+    regs = _unpack(part.column("registers").combine_chunks(), how)
+    keys = _band_keys(regs, how)
+    for k in range(band):
+        open_pairs &= keys[:, k][:, None] != keys[:, k][None, :]
+    i, j = np.nonzero(open_pairs)
+    # More registers agree than the similarity says, so their share rules out safely and cheaply.
+    likely = [np.flatnonzero((regs[i[at : at + 8192]] == regs[j[at : at + 8192]]).mean(1) >= how.cut) + at for at in range(0, len(i), 8192)]
+    likely = np.concatenate(likely) if likely else np.zeros(0, np.int64)
+    i, j = i[likely], j[likely]
+    if not len(i):
+        return []
+    est = likely_similarity(regs[i], regs[j], sizes[i].astype(float), sizes[j].astype(float), how.base)
+    keep = np.flatnonzero(est >= how.cut)
+    keep = keep[np.argsort(-est[keep], kind="stable")]
+    needed = np.unique(np.concatenate([i[keep], j[keep]]))
+    sets = _sets(part.column("text").combine_chunks().take(pa.array(needed)), how.words)
+    own = {k: sets.hashes[sets.offsets[at] : sets.offsets[at + 1]] for at, k in enumerate(needed.tolist())}
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links, reps = [], rows["rep"]
+    for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+        x, y = root(int(labels[a])), root(int(labels[b]))
+        if x != y and _alike(own[a], own[b], how.percent):
+            parent[max(x, y)] = min(x, y)
+            links.append((min(int(reps[a]), int(reps[b])), max(int(reps[a]), int(reps[b]))))
+    return links
+
+
+_GROUP = ("bucket", "bi", "bj")
 
 
 def _cross_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): the likely pairs of each group between its components."""
+    """Rows sorted by (bucket, i, j): the links of each group between its components."""
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        bucket, bi, bj, block = (table.column(c).to_numpy() for c in ("bucket", "bi", "bj", "block"))
-        reps, comps, sizes = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        regs = _unpack(table.column("registers").combine_chunks(), how)
-        change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(bi) != 0) | (np.diff(bj) != 0)) + 1
-        found = []
-        for a, b in zip(np.concatenate([[0], change]), np.concatenate([change, [len(bucket)]])):
+        columns = {c: table.column(c).to_numpy() for c in (*_GROUP, "block", "band", "rep", "comp", "n")}
+        change = np.flatnonzero(np.any([np.diff(columns[c]) != 0 for c in _GROUP], axis=0)) + 1
+        found: list[tuple[int, int]] = []
+        for a, b in zip(np.concatenate([[0], change]), np.concatenate([change, [table.num_rows]])):
             if b - a > 1:
-                s = slice(a, b)
-                found += _block_pairs(reps[s], comps[s], sizes[s], regs[s], block[s], (bi[a], bj[a]), how)
-        pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+                found += _solve_block({c: v[a:b] for c, v in columns.items()}, table.slice(a, b - a), how)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(c).to_numpy() for c in ("bucket", "bi", "bj")]
-        if held:
-            last = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("bucket", "bi", "bj")]
-            if last != [int(k[0]) for k in keys]:
-                yield solve(pa.Table.from_batches(held))
-                held = []
+        keys = [batch.column(c).to_numpy() for c in _GROUP]
+        if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in _GROUP] != [int(k[0]) for k in keys]:
+            yield solve(pa.Table.from_batches(held))
+            held = []
         # The last group may go on in the next batch.
-        same = (keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]) & (keys[2] == keys[2][-1])
-        start = int(np.argmax(same)) if same.all() or not same[0] else int(len(same) - np.argmin(same[::-1]))
+        same = np.all([k == k[-1] for k in keys], axis=0)
+        start = 0 if same.all() else int(len(same) - np.argmin(same[::-1]))
         if start:
             yield solve(pa.Table.from_batches([*held, batch.slice(0, start)]))
             held = []
@@ -226,14 +266,7 @@ def _verify_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterat
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             x, y = _sets(part.column("ta"), how.words), _sets(part.column("tb"), how.words)
-            keep = []
-            for i in range(part.num_rows):
-                p, q = x.hashes[x.offsets[i] : x.offsets[i + 1]], y.hashes[y.offsets[i] : y.offsets[i + 1]]
-                if len(p) > len(q):
-                    p, q = q, p
-                at_q = np.minimum(np.searchsorted(q, p), max(len(q) - 1, 0))
-                common = int((q[at_q] == p).sum()) if len(p) else 0
-                keep.append(bool(common) and 100 * common >= how.percent * (len(p) + len(q) - common))
+            keep = [_alike(x.hashes[x.offsets[i] : x.offsets[i + 1]], y.hashes[y.offsets[i] : y.offsets[i + 1]], how.percent) for i in range(part.num_rows)]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -267,12 +300,6 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("centre")).filter("size > 1")
     members = cut(salted_join(banded, buckets, ["bucket"], "rep"))
 
-    texts = rows.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
-
-    def needed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        return texts.join(ends, "doc", "left_semi")
-
     def sketched(pairs: DataFrame) -> DataFrame:
         for side in "ab":
             one = reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
@@ -281,26 +308,27 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
 
     star = members.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     likely = cut(sketched(star).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: _likely_batches(it, how), "a long, b long"))
-    links = cut(_verify(likely, needed(likely), how))
-    first = cut(components(links))
+    ends = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct()
+    links = cut(_verify(likely, rows.join(ends, "doc", "left_semi"), how))
+    # One step towards components: whatever shares a label is linked, which is all that the next stage needs.
+    labels = cut(small_star(large_star(tidy(links, "a", "b"))).groupBy("hi").agg(F.min("lo").alias("comp")))
 
-    labelled = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    # Only buckets with members of several components have pairs left.
+    labelled = members.join(labels.withColumnRenamed("hi", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+    # Only buckets with several labels have pairs left.
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
     open_rows = salted_join(labelled, mixed, ["bucket"], "rep")
     blocks = F.ceil(F.col("size") / how.block).cast("int")
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp")
-    dealt = salted_join(dealt, reps, ["rep"], "bucket", salts=1)
-    crossing = (
-        dealt.repartition("bucket", "bi", "bj")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("bucket").bitwiseAND(F.lit(255)).cast("int").alias("band"), "rep", "comp")
+    # Each representative's text and sketch go to its open buckets.
+    of_rep = reps.join(rows.withColumnRenamed("doc", "rep"), "rep").dropDuplicates(["rep"])
+    met = salted_join(dealt, of_rep, ["rep"], "bucket", salts=1)
+    more = (
+        met.repartition("bucket", "bi", "bj")
         .sortWithinPartitions("bucket", "bi", "bj")
-        .select("bucket", "bi", "bj", "block", "rep", "comp", "n", "registers")
+        .select("bucket", "bi", "bj", "block", "band", "rep", "comp", "n", "registers", "text")
         .mapInArrow(lambda it: _cross_batches(it, how), "a long, b long")
-        .distinct()
     )
-    rest = cut(crossing.join(likely, ["a", "b"], "left_anti"))
-    more = _verify(rest, needed(rest), how)
     final = components(links.union(more))
 
     of_class = classes.select("f", "g", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
