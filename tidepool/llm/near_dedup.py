@@ -21,7 +21,7 @@ pair is ever made between documents known to be connected.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,12 +177,12 @@ def _band_keys(registers: np.ndarray, how: Sketching) -> np.ndarray:
     return (keys & ~U(255)) | np.arange(how.bands, dtype=U)
 
 
-def _solve_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> list[tuple[int, int]]:
-    """Links between the labels that meet in one bucket's block, as many as it takes to join them.
+def _likely_in_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the likely pairs between the labels that meet in one bucket's block, likelier pairs first.
 
-    A pair is looked at in the bucket of the first band that it shares, and in
-    one block only; likelier pairs first, and none whose ends are joined by then.
+    A pair is looked at in the bucket of the first band that it shares, and in one block only.
     """
+    none = np.zeros(0, np.int64)
     sizes, labels, band = rows["n"], rows["comp"], int(rows["band"][0])
     # Sets of very different size cannot reach the threshold.
     open_pairs = (labels[:, None] != labels[None, :]) & (how.percent * sizes[:, None] <= 100 * sizes[None, :]) & (how.percent * sizes[None, :] <= 100 * sizes[:, None])
@@ -190,7 +190,7 @@ def _solve_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) ->
     if rows["bi"][0] != rows["bj"][0]:
         open_pairs &= rows["block"][:, None] != rows["block"][None, :]
     if not open_pairs.any():
-        return []
+        return none, none
     regs = _unpack(part.column("registers").combine_chunks(), how)
     keys = _band_keys(regs, how)
     for k in range(band):
@@ -198,16 +198,29 @@ def _solve_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) ->
     i, j = np.nonzero(open_pairs)
     # More registers agree than the similarity says, so their share rules out safely and cheaply.
     likely = [np.flatnonzero((regs[i[at : at + 8192]] == regs[j[at : at + 8192]]).mean(1) >= how.cut) + at for at in range(0, len(i), 8192)]
-    likely = np.concatenate(likely) if likely else np.zeros(0, np.int64)
+    likely = np.concatenate(likely) if likely else none
     i, j = i[likely], j[likely]
     if not len(i):
-        return []
+        return none, none
     est = likely_similarity(regs[i], regs[j], sizes[i].astype(float), sizes[j].astype(float), how.base)
     keep = np.flatnonzero(est >= how.cut)
     keep = keep[np.argsort(-est[keep], kind="stable")]
-    needed = np.unique(np.concatenate([i[keep], j[keep]]))
+    return i[keep], j[keep]
+
+
+def _involved(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> pa.Table:
+    """The rows of a block that are in a likely pair."""
+    i, j = _likely_in_block(rows, part, how)
+    return part.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def _links(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> pa.Table:
+    """Links between a block's labels, as many as it takes to join them; pairs whose ends are joined by then are left."""
+    i, j = _likely_in_block(rows, part, how)
+    needed = np.unique(np.concatenate([i, j]))
     sets = _sets(part.column("text").combine_chunks().take(pa.array(needed)), how.words)
     own = {k: sets.hashes[sets.offsets[at] : sets.offsets[at + 1]] for at, k in enumerate(needed.tolist())}
+    labels = rows["comp"]
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -217,47 +230,44 @@ def _solve_block(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) ->
         return x
 
     links, reps = [], rows["rep"]
-    for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+    for a, b in zip(i.tolist(), j.tolist()):
         x, y = root(int(labels[a])), root(int(labels[b]))
         if x != y and _alike(own[a], own[b], how.percent):
             parent[max(x, y)] = min(x, y)
             links.append((min(int(reps[a]), int(reps[b])), max(int(reps[a]), int(reps[b]))))
-    return links
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 _GROUP = ("bucket", "bi", "bj")
 
 
-def _cross_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): the links of each group between its components."""
+def _by_block(batches: Iterable[pa.RecordBatch], how: Sketching, solve_one: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, i, j): what ``solve_one`` makes of each such group of two rows or more."""
     held: list[pa.RecordBatch] = []
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
+    def solve(table: pa.Table) -> list[pa.RecordBatch]:
         columns = {c: table.column(c).to_numpy() for c in (*_GROUP, "block", "band", "rep", "comp", "n")}
         change = np.flatnonzero(np.any([np.diff(columns[c]) != 0 for c in _GROUP], axis=0)) + 1
-        found: list[tuple[int, int]] = []
-        for a, b in zip(np.concatenate([[0], change]), np.concatenate([change, [table.num_rows]])):
-            if b - a > 1:
-                found += _solve_block({c: v[a:b] for c, v in columns.items()}, table.slice(a, b - a), how)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        found = [solve_one({c: v[a:b] for c, v in columns.items()}, table.slice(a, b - a), how) for a, b in zip(np.concatenate([[0], change]), np.concatenate([change, [table.num_rows]])) if b - a > 1]
+        return pa.concat_tables(t.select(names) for t in found if t.num_rows).combine_chunks().to_batches() if any(t.num_rows for t in found) else []
 
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = [batch.column(c).to_numpy() for c in _GROUP]
         if held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in _GROUP] != [int(k[0]) for k in keys]:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
             held = []
         # The last group may go on in the next batch.
         same = np.all([k == k[-1] for k in keys], axis=0)
         start = 0 if same.all() else int(len(same) - np.argmin(same[::-1]))
         if start:
-            yield solve(pa.Table.from_batches([*held, batch.slice(0, start)]))
+            yield from solve(pa.Table.from_batches([*held, batch.slice(0, start)]))
             held = []
         held.append(batch.slice(start))
     if held:
-        yield solve(pa.Table.from_batches(held))
+        yield from solve(pa.Table.from_batches(held))
 
 
 def _verify_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
@@ -300,6 +310,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("centre")).filter("size > 1")
     members = cut(salted_join(banded, buckets, ["bucket"], "rep"))
 
+    # The texts of all representatives that share a bucket with another; from here on only these are read.
+    shared = members.select(F.col("rep").alias("doc")).distinct()
+    texts = cut(rows.join(shared, "doc", "left_semi").dropDuplicates(["doc"]))
+
     def sketched(pairs: DataFrame) -> DataFrame:
         for side in "ab":
             one = reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
@@ -308,8 +322,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
 
     star = members.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
     likely = cut(sketched(star).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda it: _likely_batches(it, how), "a long, b long"))
-    ends = likely.select(F.col("a").alias("doc")).union(likely.select("b")).distinct()
-    links = cut(_verify(likely, rows.join(ends, "doc", "left_semi"), how))
+    links = cut(_verify(likely, texts, how))
     # One step towards components: whatever shares a label is linked, which is all that the next stage needs.
     labels = cut(small_star(large_star(tidy(links, "a", "b"))).groupBy("hi").agg(F.min("lo").alias("comp")))
 
@@ -320,15 +333,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     blocks = F.ceil(F.col("size") / how.block).cast("int")
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("bucket").bitwiseAND(F.lit(255)).cast("int").alias("band"), "rep", "comp")
-    # Each representative's text and sketch go to its open buckets.
-    of_rep = reps.join(rows.withColumnRenamed("doc", "rep"), "rep").dropDuplicates(["rep"])
-    met = salted_join(dealt, of_rep, ["rep"], "bucket", salts=1)
-    more = (
-        met.repartition("bucket", "bi", "bj")
-        .sortWithinPartitions("bucket", "bi", "bj")
-        .select("bucket", "bi", "bj", "block", "band", "rep", "comp", "n", "registers", "text")
-        .mapInArrow(lambda it: _cross_batches(it, how), "a long, b long")
-    )
+    # First on the sketches alone: which rows are in a likely pair of their block. Only these get their texts.
+    group, fixed = ["bucket", "bi", "bj"], ["bucket", "bi", "bj", "block", "band", "rep", "comp", "n", "registers"]
+    met = salted_join(dealt, reps, ["rep"], "bucket", salts=1).select(*fixed).repartition(*group).sortWithinPartitions(*group)
+    involved = met.mapInArrow(lambda it: _by_block(it, how, _involved, fixed), "bucket long, bi int, bj int, block int, band int, rep long, comp long, n long, registers binary")
+    told = salted_join(involved, texts.withColumnRenamed("doc", "rep"), ["rep"], "bucket", salts=2)
+    more = told.select(*fixed, "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda it: _by_block(it, how, _links, ["a", "b"]), "a long, b long")
     final = components(links.union(more))
 
     of_class = classes.select("f", "g", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
