@@ -12,6 +12,9 @@ about 2**-60; operators that need certainty verify on the words themselves.
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +34,18 @@ _INVERSE = pow(_BASE, -1, 2**64)
 SLICE = 1 << 21
 
 
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """No garbage collection inside: it would walk long lists of words that hold no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every output bit depends on every input bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._text import paused_gc
+
 #: Sequence ids are partition * SPAN + position, so they never meet.
 SPAN = 1 << 36
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -309,17 +311,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in texts:
-            if not _LATE.search(text):
-                text = text.lower()
-            split.append(text.replace("\n", " ").replace("\t", " ").split(" "))
-        missing = set().union(*split) - self.known.keys() if split else set()
-        if missing:
-            before = len(self.known)
-            self._learn(missing)
-            if len(self.known) < before:  # it was emptied
-                self._learn(set().union(*split) - self.known.keys())
+        with paused_gc():
+            split = []
+            for text in texts:
+                if not _LATE.search(text):
+                    text = text.lower()
+                split.append(text.replace("\n", " ").replace("\t", " ").split(" "))
+            missing = set().union(*split) - self.known.keys() if split else set()
+            if missing:
+                before = len(self.known)
+                self._learn(missing)
+                if len(self.known) < before:  # it was emptied
+                    self._learn(set().union(*split) - self.known.keys())
         get = self.known.__getitem__
         for words in split:
             yield np.frombuffer(b"".join(map(get, words)), "<u4")
