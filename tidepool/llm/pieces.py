@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidepool.llm._text import paused_gc
+
 #: SentencePiece's mark for a space.
 SPACE = "▁"
 _MARKS = ",.;:!?%&*$#|()"
@@ -234,13 +236,14 @@ class TextCoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [self.stretches(t) for t in texts]
-        missing = set().union(*split) - self.known.keys() if split else set()
-        if len(self.known) + len(missing) > self.most:
-            self.known = {"": b""}
-            missing = set().union(*split) - {""}
-        for part in missing:
-            self._learn(part)
+        with paused_gc():
+            split = [self.stretches(t) for t in texts]
+            missing = set().union(*split) - self.known.keys() if split else set()
+            if len(self.known) + len(missing) > self.most:
+                self.known = {"": b""}
+                missing = set().union(*split) - {""}
+            for part in missing:
+                self._learn(part)
         get = self.known.__getitem__
         for parts in split:
             yield np.frombuffer(b"".join(map(get, parts)), "<u4")
