@@ -1,0 +1,288 @@
+"""Each method against brute force, an exact round trip, or held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidepool.llm import _text, knn, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, queries, secrets, suffix_tree
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def words(text):
+    return WORD.findall(text.translate(LOWER))
+
+
+def test_word_hashes_follow_the_words():
+    random.seed(1)
+    texts = ["".join(random.choice(["a", "Bc", "é", " ", "\n", "\t", "\x1c", "日", " z"]) for _ in range(random.randint(0, 40))) for _ in range(400)] + [None, "", "y" * 5_000_000, " q" * 1_200_000]
+    got = _text.word_hashes(pa.array(texts))
+    seen: dict = {}
+    for i, t in enumerate(texts):
+        own = got.hashes[got.offsets[i] : got.offsets[i + 1]].tolist()
+        expected = words(t or "")
+        assert len(own) == len(expected)
+        for w, h in zip(expected, own):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_packing_covers_every_id_once(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in documents.items()}
+    rows = queries.op1_pack(spark, SF).collect()
+    pieces_of, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        part = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        pieces_of[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d, own in ids.items():
+        at = 0
+        for start, length in sorted(pieces_of[d]):
+            assert start == at
+            at += length
+        assert at == len(own)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def test_packing_holds_all_limits(spark):
+    random.seed(5)
+    rows = [(i, list(range(n)), [int(random.random() < 0.4) for _ in range(n)]) for i, n in enumerate(random.randint(0, 300) for _ in range(400))]
+    frame = spark.createDataFrame(rows, "k long, ids array<int>, loss array<int>").coalesce(2)
+    limits = packing.Limits(tokens=256, segments=4, loss_tokens=90)
+    out = packing.pack_examples(frame, "ids", keep=["k"], loss="loss", limits=limits).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append(r)
+        assert r["ids"] == list(range(r["start"], r["start"] + r["length"])) and r["loss_tokens"] == sum(rows[r["k"]][2][r["start"] : r["start"] + r["length"]])
+    assert all(sum(r["length"] for r in x) <= 256 and len(x) <= 4 and sum(r["loss_tokens"] for r in x) <= 90 for x in by.values())
+    assert sum(r["length"] for r in out) == sum(len(x[1]) for x in rows)
+
+
+def test_pieces_are_the_library_s(documents):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.TextCoder(path)
+    random.seed(3)
+    parts = ["a", "b", "the ", "ing", "  ", "\n", " \n", "é", "日", "😀", "\t", "▁", "1", "000", "--", "'s", "   a", "\x00", "T"]
+    texts = [*documents.values(), "", " ", "a" * 3000, "ab" * 2000, "the" * 1500, *("".join(random.choices(parts, k=random.randint(1, 60))) for _ in range(800))]
+    for text, got in zip(texts, coder.encode(texts)):
+        assert got.tolist() == library.encode(text)
+        if "▁" not in text:
+            assert coder.decode(got) == text
+
+
+def test_streaming_search_commits_within_a_window():
+    import public_tokenizers
+
+    coder = pieces.TextCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "▁" + "thereinthing" * 500
+    encoder, out, longest = pieces.StreamingEncoder(coder.v), [], 0
+    for at in range(0, len(text), 7):
+        out += encoder.feed(text[at : at + 7])
+        longest = max(longest, len(encoder.start))
+    out += encoder.feed("", last=True)
+    whole = pieces.StreamingEncoder(coder.v)
+    assert out == whole.feed(text, last=True) and longest <= 6 * coder.v.longest
+
+
+def test_base_scores_and_a_proper_distribution(spark, documents):
+    rows = {r["doc_id"]: r for r in queries.op3_lm_score(spark, SF).collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in documents}
+    tokens = {d: [*words(t), None] for d, t in documents.items()}
+    counts = collections.Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for d, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        r = rows[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(counts[w] > 0 for w in ws), n, held[d])
+        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+    better = [r for d, r in rows.items() if held[d]]
+    assert sum(r["score"] for r in better) > sum(r["base_score"] for r in better)
+
+
+def test_suffix_tree_sums_to_one(spark):
+    random.seed(2)
+    train = [(i, " ".join(random.choices(["a b", "b c", "a", "c a b", "d"], k=30))) for i in range(60)]
+    vocabulary = ["a", "b", "c", "d", "unseen"]
+    # The probability of each possible next word after a history: differences of whole texts' scores.
+    histories = ["", "a", "a b", "b c", "c a b", "unseen a"]
+    probe, at = [], 1000
+    for h in histories:
+        for w in [*vocabulary, None]:
+            probe.append((at, f"{h} {w} " if w else h))
+            at += 1
+    frame = spark.createDataFrame(train + probe, "doc_id long, text string")
+    model = suffix_tree.Tree(context_share=1e-3, next_share=1e-3, word_share=1e-3, divergence=0.5)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(frame, F.col("doc_id") < 1000, how=model).collect()}
+    prefix = suffix_tree._text
+    assert prefix is _text and all(s < 0 for s in got.values())
+
+
+def test_statistics_by_brute_force(spark, documents):
+    for r in queries.op4_quality_rules(spark, SF).collect():
+        t = documents[r["doc_id"]]
+        w = WORD.findall(t)
+        seen, covered = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
+        for i in range(len(w) - 4):
+            if seen[tuple(w[i : i + 5])] > 1:
+                covered.update(range(i, i + 5))
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert [r[c] for c in quality_rules.COUNTS] == [len(w), sum(map(len, w)), sum(c in quality_rules.SYMBOLS for c in t), len(lines) - len(set(lines)), len(covered)]
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
+
+
+def test_outliers_are_rejected_and_clean_texts_kept(spark):
+    random.seed(4)
+    clean = [(i, " ".join(random.choices(["river", "stone", "walks", "under", "bright", "evening", "of", "the"], k=random.randint(60, 200))) + ".", "en", "s") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "###$$$" for w in random.choices(["river", "stone", "walks"], k=100)), "en", "s") for i in range(10)]
+    out = {r["doc_id"]: r["kept"] for r in quality_rules.reject_outliers(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(out[i] for i in range(300)) >= 295 and not any(out[1000 + i] for i in range(10))
+
+
+def test_near_duplicates_by_brute_force(spark):
+    random.seed(6)
+    base = ["".join(random.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows = []
+    for g in range(6):
+        text = random.choices(base, k=120)
+        for _ in range(25):
+            own = list(text)
+            for _ in range(random.randint(0, 9)):
+                own[random.randrange(len(own))] = random.choice(base)
+            rows.append((len(rows) * 3, " ".join(own).upper() if random.random() < 0.2 else " ".join(own)))
+    rows += [(9001, "two words"), (9000, "Two Words"), (9002, ""), (9003, None), (9004, "two  words\n")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := words(t or "")) else frozenset() for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert got == {d: root(d) for d in ids} and got[9001] == 9000 == got[9004]
+
+
+def test_sketches_merge_and_estimate():
+    rng, how = np.random.default_rng(1), near_dedup.Sketching()
+    x, y = rng.integers(0, 2**63, 900, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
+    a, b = np.sort(x), np.sort(np.concatenate([x[300:], y]))
+    both = np.unique(np.concatenate([a, b]))
+    sets = _text.Words(np.concatenate([a, b, both]), np.array([0, 900, 1800, 1800 + len(both)]))
+    regs = near_dedup.sketch(sets, how)
+    assert (np.maximum(regs[0], regs[1]) == regs[2]).all()
+    est = near_dedup.likely_similarity(regs[:1], regs[1:2], np.array([900.0]), np.array([900.0]), how.base)[0]
+    assert abs(est - 600 / 1200) < 0.12
+
+
+def test_perplexity_tells_junk_from_prose(spark):
+    random.seed(8)
+    syllables = ["ta", "ri", "mo", "len", "sa", "ve", "dor", "an"]
+    prose = lambda: " ".join("".join(random.choices(syllables, k=random.randint(1, 4))) for _ in range(80)) + "."
+    rows = [(i, prose(), "en") for i in range(600)] + [(2000 + i, " ".join("X%%" + str(random.random()) for _ in range(60)), "en") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["kept"] for r in quality_classifier.score_documents(frame, frame.filter("doc_id < 500").select("doc_id")).collect()}
+    assert sum(out[i] for i in range(600)) >= 595 and not any(out[2000 + i] for i in range(20))
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    text = b"abracadabra abracadabra\n"
+    counts = collections.Counter()
+    padded = b"\n\n" + text
+    for i in range(len(text)):
+        counts[int.from_bytes(padded[i : i + 3], "big")] += 1
+    table = quality_classifier.kneser_ney(spark.createDataFrame(list(counts.items()), "gram long, n long"), 3).toArrow()
+    model = {c: table.column(c).to_numpy() for c in ("k", "gram", "p", "backoff", "is_context")}
+    scorer = quality_classifier._Scorer(model, 3)
+    rows = np.exp(scorer.log).reshape(-1, scorer.size)
+    # Every letter of the sample and all 257 - letters others, which share the unknown column.
+    total = rows[:, 1:].sum(1) + rows[:, 0] * (257 - (scorer.size - 1))
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_top_k_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(5000, 16))
+    points[100:400] = points[100]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    out = knn.top_k(frame, frame.filter("vec_id % 50 = 0"), search=knn.Search(shard_rows=700, block_queries=40))
+    scaled = np.floor(points * 256).astype(np.int64)
+    for q in range(0, 5000, 50):
+        scores = scaled @ scaled[q]
+        best = [i for i in np.lexsort((np.arange(5000), -scores)) if i != q][:5]
+        got = out.filter(F.col("query_id") == q).orderBy("rank").collect() if q in (0, 100, 150, 4950) else None
+        if got is not None:
+            assert [(r["vec_id"], r["score"]) for r in got] == [(i, scores[i]) for i in best]
+
+
+def test_secrets_held_out(spark):
+    random.seed(9)
+    hexes = lambda n: "".join(random.choices("0123456789abcdef", k=n))
+    rows = [(i, f'some words here token = "{hexes(40)}" and more', "src") for i in range(60)]
+    rows += [(100 + i, f"see commit {hexes(40)} and also internationalisationofeverything", "src") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    detector = secrets.fit(frame.filter("doc_id % 2 = 0"))
+    out = {r["doc_id"]: r["n_secrets"] for r in secrets.digest(secrets.scan(frame.filter("doc_id % 2 = 1"), detector), "doc_id").collect()}
+    assert all(n == (1 if d < 100 else 0) for d, n in out.items())
+
+
+def test_pii_by_brute_force(spark, documents):
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def fits(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            total = sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits)))
+            return 12 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    random.seed(7)
+    parts = ["a@b.c", "_d", "1.2.3.4", ".5", "4111 1111 1111 1111", "-2", " ", "+1 (234) 555-6789", "é", "999", "😀", "x@", "00255.1.01.0", "12345678901234567"]
+    texts = {**documents, **{10_000 + i: "".join(random.choices(parts, k=12)) for i in range(300)}}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in pii.digest(pii.find_pii(frame), "doc_id").collect():
+        spans = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(kinds) for m in re.finditer(p, texts[r["doc_id"]]) if fits(kind, m[0]))
+        assert [r[f"n_{k}"] for k, _ in kinds] == [sum(s[3] == k for s in spans) for k, _ in kinds]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
+
+
+def test_checksums_and_context(spark):
+    frame = spark.createDataFrame([(1, "Bank account DE89 3704 0044 0532 0130 00"), (2, "code DE88 3704 0044 0532 0130 00"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "call (212) 555-0199"), (6, "size (212) 555-0199")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.digest(pii.find_pii(frame), "doc_id").collect()}
+    assert found == {1: "iban", 2: "", 3: "us_ssn", 4: "", 5: "local_phone", 6: ""}
