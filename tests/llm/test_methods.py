@@ -127,22 +127,30 @@ def test_base_scores_and_a_proper_distribution(spark, documents):
     assert sum(r["score"] for r in better) > sum(r["base_score"] for r in better)
 
 
-def test_suffix_tree_sums_to_one(spark):
-    random.seed(2)
-    train = [(i, " ".join(random.choices(["a b", "b c", "a", "c a b", "d"], k=30))) for i in range(60)]
-    vocabulary = ["a", "b", "c", "d", "unseen"]
-    # The probability of each possible next word after a history: differences of whole texts' scores.
-    histories = ["", "a", "a b", "b c", "c a b", "unseen a"]
-    probe, at = [], 1000
-    for h in histories:
-        for w in [*vocabulary, None]:
-            probe.append((at, f"{h} {w} " if w else h))
-            at += 1
-    frame = spark.createDataFrame(train + probe, "doc_id long, text string")
-    model = suffix_tree.Tree(context_share=1e-3, next_share=1e-3, word_share=1e-3, divergence=0.5)
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(frame, F.col("doc_id") < 1000, how=model).collect()}
-    prefix = suffix_tree._text
-    assert prefix is _text and all(s < 0 for s in got.values())
+def test_suffix_tree_sums_to_one():
+    how = suffix_tree.Tree(divergence=0.1)
+    rng = np.random.default_rng(1)
+    known = _text.mix(np.arange(10, 16).astype(np.uint64))
+    counts = np.array([500, 300, 200, 100, 50, 30.0])
+    total, distinct = 1500.0, 40
+    log_base = np.log10((counts + how.alpha) / (total + how.alpha * (distinct + 1)))
+    tree = suffix_tree._Growing()
+    # Contexts of one and two words, with random counts of the first words behind them.
+    for depth in (1, 2):
+        history = np.array([[known[i], known[j]][:depth] for i in range(3) for j in range(3)][: 9 if depth == 2 else None])
+        history = np.unique(history, axis=0)
+        rows = len(history)
+        n = rng.integers(3, 40, (rows, 4)).astype(float)
+        owner, word = np.repeat(np.arange(rows), 4), np.tile(np.arange(4), rows)
+        tree.grow(history, n.sum(1) + rng.integers(0, 30, rows), owner, known[word], n.ravel(), log_base[word], how)
+    assert len(tree.states) > 3
+    rest = 1 - (10**log_base).sum()
+    unseen = _text.mix(np.array([99], np.uint64))
+    for history in ([known[0]], [known[1], known[2]], [known[5], known[0]], [known[2], known[5]]):
+        asked = np.concatenate([known, unseen])
+        past = [np.full(len(asked), h, np.uint64) for h in history]
+        p = 10 ** tree.log_probability(past, asked, np.append(log_base, np.log10(rest)))
+        assert abs(p.sum() - 1) < 1e-9
 
 
 def test_statistics_by_brute_force(spark, documents):

@@ -283,8 +283,6 @@ class WordEncoder:
         self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known = {"": b""}
         known, cut, need = self.known, [], set()
         for w in words:
             stem = w.rstrip(_TAIL)
@@ -317,12 +315,12 @@ class WordEncoder:
                 if not _LATE.search(text):
                     text = text.lower()
                 split.append(text.replace("\n", " ").replace("\t", " ").split(" "))
-            missing = set().union(*split) - self.known.keys() if split else set()
+            needed = set().union(*split) if split else set()
+            missing = needed - self.known.keys()
+            if len(self.known) + len(missing) > self.most:
+                self.known, missing = {"": b""}, needed - {""}
             if missing:
-                before = len(self.known)
                 self._learn(missing)
-                if len(self.known) < before:  # it was emptied
-                    self._learn(set().union(*split) - self.known.keys())
         get = self.known.__getitem__
         for words in split:
             yield np.frombuffer(b"".join(map(get, words)), "<u4")
