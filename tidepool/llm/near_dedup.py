@@ -53,7 +53,7 @@ class Sketching:
     base: float = 1.2
     rate: float = 20.0
     slack: float = 5.0
-    block: int = 512
+    block: int = 1024
 
     @property
     def registers(self) -> int:
