@@ -24,9 +24,8 @@ def _columns(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose perplexity is above their language's threshold.
 
-    A text's verdict depends on language and text alone, so rows that agree in
-    id, language and text share it; rows without an id are judged by a hash of
-    their text.
+    Rows that share an id share the verdict; rows without an id are judged by a
+    hash of their text.
     """
     key = F.coalesce("doc_id", F.xxhash64("text"))
     keyed = docs.withColumn("__key", key)
