@@ -294,3 +294,12 @@ def test_checksums_and_context(spark):
     frame = spark.createDataFrame([(1, "Bank account DE89 3704 0044 0532 0130 00"), (2, "code DE88 3704 0044 0532 0130 00"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "call (212) 555-0199"), (6, "size (212) 555-0199")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.digest(pii.find_pii(frame), "doc_id").collect()}
     assert found == {1: "iban", 2: "", 3: "us_ssn", 4: "", 5: "local_phone", 6: ""}
+
+
+def test_suffix_tree_learns_the_same_whatever_is_broadcast(spark, documents):
+    frame = spark.createDataFrame([(d, t) for d, t in list(documents.items())[:120]] + [(-1, None), (-2, "")], "doc_id long, text string")
+    few = suffix_tree.Tree(word_share=0.01, context_share=0.01, next_share=0.01, filter_bits=12)
+    whole, joined = ({r["doc_id"]: r for r in suffix_tree.score_texts(frame, F.col("doc_id") % 10 != 0, how=how).collect()} for how in (suffix_tree.Tree(), few))
+    assert sum(abs(r["score"] - r["base_score"]) > 1 for r in whole.values()) > 100
+    for d, r in whole.items():
+        assert abs(r["score"] - joined[d]["score"]) < 1e-6 and abs(r["base_score"] - joined[d]["base_score"]) < 1e-6

@@ -7,12 +7,15 @@ word that this state does not list falls through, with the state's left-over
 mass, to the next shorter state and in the end to the smoothed word
 frequencies.  The probabilities of all words after any history add up to one.
 
-How the work is split: word counts of the whole training part are shuffled and
-grow with the corpus.  Words, contexts and next words above a share of all
-tokens are few by definition (at most one in ``share`` of them can be), so
-these, and only these, are broadcast: they take part in the map that scores
-documents.  The other words of a document, with how often each occurs, are
-joined to the counts.
+How the work is split: counts of words, contexts and next words of the whole
+training part are tables that grow with the corpus, and the divergence of each
+context is found by joins.  What a kept context and a listed next word add to
+the score of the shorter context is one number each, so that scoring sums what
+the keys of a document's tokens add.  Keys above a share of all tokens are few
+by definition (at most one in ``share`` of them can be); these are broadcast
+and take part in the map that scores documents.  The other keys of a document,
+with how often each occurs, are joined to the tables.  Bit filters of fixed
+size hold back keys that are in no table for certain; they change no result.
 """
 
 from __future__ import annotations
@@ -35,18 +38,23 @@ _MULTIPLIER = U(0xD6E8FEB86659FD93)
 #: The end of a text is a token like another; so is what stands before its first word.
 END = _text.mix(np.array([0x656E64], U))[0]
 START = _text.mix(np.array([0x7374617274], U))[0]
+#: Tells the key of a context from that of the words it is made of.
+_CONTEXT = U(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Bounds are shares of all training tokens; floors count for small corpora.
+    """Shares of all training tokens bound what is broadcast, not what is learnt.
 
     ``word_share``: words that are broadcast with their counts, at most 1 / word_share.
     ``context_share``, ``next_share``: contexts, and pairs of context and next word,
-    at most 1 / share of each length.  ``divergence``: the least divergence (in
-    nats, times the context's count) at which a context is kept.  ``discount`` is
-    taken off each listed count in favour of the shorter context, ``alpha`` is
-    added to each word's count at the root.
+    that are broadcast, at most 1 / share of each length.  ``word_floor``: the least
+    count of a broadcast word.  ``context_floor``, ``next_floor``: the least count of
+    a context and of a listed next word, at every size.  ``divergence``: the least
+    divergence (in nats, times the context's count) at which a context is kept.
+    ``discount`` is taken off each listed count in favour of the shorter context,
+    ``alpha`` is added to each word's count at the root.  ``filter_bits``: log2 of
+    the bits in a filter.
     """
 
     depth: int = 3
@@ -59,6 +67,7 @@ class Tree:
     divergence: float = 8.0
     discount: float = 0.75
     alpha: float = 0.1
+    filter_bits: int = 27
 
 
 def _tokens(column: pa.Array) -> _text.Words:
@@ -78,15 +87,20 @@ def _slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBat
 
 
 class _Counter:
-    """Sums counts by 64-bit key in sorted arrays, and hands them on when there are many."""
+    """Sums counts by 64-bit key in sorted arrays, and hands them on when there are many.
 
-    def __init__(self, most: int = 1_500_000) -> None:
+    With ``more``, columns that follow from the key and tell it, these go out in its place.
+    """
+
+    def __init__(self, *more: str, most: int = 1_500_000) -> None:
         self.most, self.parts, self.size = most, [], 0
+        self.names = ["n", *more] if more else ["h", "n"]
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
-            self.size += len(self.parts[-1][0])
+            unique, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            self.parts.append((unique, counts, *(m[first] for m in more)))
+            self.size += len(unique)
         if self.size > self.most:
             self._merge()
             if self.size > self.most // 2:
@@ -94,19 +108,19 @@ class _Counter:
 
     def _merge(self) -> None:
         if len(self.parts) > 1:
-            keys = np.concatenate([k for k, _ in self.parts])
-            counts = np.concatenate([n for _, n in self.parts])
+            keys, counts, *more = (np.concatenate(c) for c in zip(*self.parts, strict=True))
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.parts = [(keys[first], np.add.reduceat(counts, first))]
-        self.size = sum(len(k) for k, _ in self.parts)
+            self.parts = [(keys[first], np.add.reduceat(counts, first), *(m[order[first]] for m in more))]
+        self.size = sum(len(p[0]) for p in self.parts)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         self._merge()
-        for keys, counts in self.parts:
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["h", "n"])
+        for part in self.parts:
+            part = part[-len(self.names) :]
+            for at in range(0, len(part[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000].view(np.int64)) for c in part], names=self.names)
         self.parts, self.size = [], 0
 
 
@@ -151,39 +165,62 @@ def next_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _text.mix((context ^ U(0x5DEECE66D)) * _MULTIPLIER + word)
 
 
-def _pair_batches(batches: Iterable[pa.RecordBatch], contexts, words, depth: int) -> Iterator[pa.RecordBatch]:
-    """(context number * 2**32 + word number, n) of the frequent contexts of this depth and frequent next words; word number 2**32 - 1 is any other."""
-    counter = _Counter()
+def _grams(tokens: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each depth: places of tokens with so long a history (START counts once), and there the keys of context with token, of context, and of the shorter context with token."""
+    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], np.diff(offsets))
+    shorter = tokens
+    for d in range(1, depth + 1):
+        context = _shift(shorter, offsets, 1)
+        key = _text.mix(context * _MULTIPLIER + shorter)
+        at = np.flatnonzero(place >= d - 1)
+        yield at, key[at], context[at], shorter[at]
+        shorter = key
+
+
+def _filter(df: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the first ``bits`` bits of each key h: an array of fixed size, made by one grouping."""
+    place = F.expr(f"shiftrightunsigned(h, {64 - bits})")
+    words = df.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U)
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each key; False is certain."""
+    place = keys >> U(64 - (len(bits).bit_length() + 5))
+    return (bits[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+
+
+def _gram_batches(batches: Iterable[pa.RecordBatch], seen, depth: int) -> Iterator[pa.RecordBatch]:
+    """(n, context, shorter) of contexts of this depth with their next words, where context and shorter may be in the level below."""
+    counter = _Counter("context", "shorter")
     for batch in batches:
         for part in _slices(batch):
-            tokens = _tokens(part.column("text"))
-            history = [_shift(tokens.hashes, tokens.offsets, k + 1) for k in range(depth)]
-            context = _lookup(contexts.value, context_key(history))
-            known = context >= 0
-            word = _lookup(words.value, tokens.hashes[known])
-            word = np.where(word < 0, 2**32 - 1, word)
-            yield from counter.add((context[known].astype(U) << U(32)) | word.astype(U))
+            *_, (_, key, context, shorter) = _grams(*_tokens(part.column("text")), depth)
+            may = np.flatnonzero(_maybe(seen.value, context))
+            may = may[_maybe(seen.value, shorter[may])]
+            yield from counter.add(key[may], context[may], shorter[may])
     yield from counter.flush()
 
 
 @dataclass(frozen=True)
 class _Model:
-    """What scoring needs, all of bounded size: the tree, and the counts of frequent words."""
+    """What scoring needs, all of bounded size: what frequent keys add, a filter of all keys that add something, and the counts of frequent words."""
 
-    states: np.ndarray
-    weights: np.ndarray
-    nexts: np.ndarray
+    keys: np.ndarray
     values: np.ndarray
+    seen: np.ndarray
     words: np.ndarray
     log_base: np.ndarray
 
 
 def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Iterator[pa.RecordBatch]:
-    """A row per document, and one per document and word whose count is not broadcast."""
+    """A row per document, and one per document and key (of a word, or of the tree) that is not broadcast."""
     context = TaskContext.get()
     row_id = (context.partitionId() if context else 0) << 40
     m: _Model = model.value
-    names = ["row", "h", "times", "doc", "n_tokens", "n_known", "base", "score"]
+    names = ["row", "h", "times", "in_tree", "doc", "n_tokens", "n_known", "base", "score"]
     for batch in batches:
         for part in _slices(batch):
             tokens, offsets = _tokens(part.column("text"))
@@ -192,39 +229,36 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Itera
             word = _lookup(m.words, tokens)
             common = word >= 0
             base = np.where(common, m.log_base[np.maximum(word, 0)] if len(m.words) else 0.0, 0.0)
-            score = np.zeros(len(tokens))
-            # Longest states first: a token is settled by the first state that lists it, else it pays the state's left-over.
-            settled = np.zeros(len(tokens), bool)
-            history = [_shift(tokens, offsets, k + 1) for k in range(how.depth)]
-            for depth in range(how.depth, 0, -1):
-                at = np.flatnonzero(~settled)
-                keys = context_key([h[at] for h in history[:depth]])
-                state = _lookup(m.states, keys)
-                at, keys, state = at[state >= 0], keys[state >= 0], state[state >= 0]
-                listed = _lookup(m.nexts, next_key(keys, tokens[at]))
-                hit = listed >= 0
-                score[at[hit]] += m.values[listed[hit]]
-                settled[at[hit]] = True
-                score[at[~hit]] += m.weights[state[~hit]]
-            score = np.where(settled, score, score + base)
+            score = base.copy()
+            rare = np.flatnonzero(~common)
+            asked = [(tokens[rare], owner[rare], False)]
+            for at, key, before, _ in _grams(tokens, offsets, how.depth):
+                for keys in (before ^ _CONTEXT, key):
+                    may = np.flatnonzero(_maybe(m.seen, keys))
+                    found = _lookup(m.keys, keys[may])
+                    score[at[may[found >= 0]]] += m.values[found[found >= 0]]
+                    may = may[found < 0]
+                    asked.append((keys[may], owner[at[may]], True))
             sums = [np.bincount(owner, weights=x, minlength=rows) for x in (base, score)]
             known = np.bincount(owner, weights=common, minlength=rows).astype(np.int64)
             ids = row_id + np.arange(rows)
             row_id += rows
             # A document's own row meets nothing in the join; its key only spreads it.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(_text.mix(ids.astype(U)).view(np.int64)), pa.array(np.zeros(rows, np.int64)), part.column("doc"), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1])], names=names
+                [pa.array(ids), pa.array(_text.mix(ids.astype(U)).view(np.int64)), pa.array(np.zeros(rows, np.int64)), pa.array(np.zeros(rows, bool)), part.column("doc"), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1])], names=names
             )
-            rare = np.flatnonzero(~common)
-            if len(rare):
-                order = np.lexsort((tokens[rare], owner[rare]))
-                h, o = tokens[rare][order], owner[rare][order]
+            for in_tree in (False, True):
+                h, o = (np.concatenate([x[k] for x in asked if x[2] == in_tree]) for k in (0, 1))
+                if not len(h):
+                    continue
+                order = np.lexsort((h, o))
+                h, o = h[order], o[order]
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
                 times = np.diff(np.concatenate([first, [len(h)]]))
                 n, none = len(first), np.zeros(len(first), np.int64)
                 zero = np.zeros(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[o[first]]), pa.array(h[first].view(np.int64)), pa.array(times), pa.nulls(n, pa.int64()), pa.array(none), pa.array(none), pa.array(zero), pa.array(zero)], names=names
+                    [pa.array(ids[o[first]]), pa.array(h[first].view(np.int64)), pa.array(times), pa.array(np.full(n, in_tree)), pa.nulls(n, pa.int64()), pa.array(none), pa.array(none), pa.array(zero), pa.array(zero)], names=names
                 )
 
 
@@ -238,7 +272,7 @@ def _array(df: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 class _Growing:
-    """The tree while it grows: kept states with their left-over, and their listed next words."""
+    """The tree in memory, as it is defined: kept states with their left-over, and their listed next words."""
 
     def __init__(self) -> None:
         self.states, self.weights = np.zeros(0, U), np.zeros(0)
@@ -284,6 +318,42 @@ class _Growing:
         self.add(keys[keep], np.log10(left / left_parent)[keep], next_key(keys[owner[chosen]], word[chosen]), np.log10(p[chosen]))
 
 
+def _met(many: DataFrame, one: DataFrame, key: str, often: int) -> DataFrame:
+    """Inner join of many rows to one per key; the few keys counted ``often`` (column ``times``) or more are broadcast, the others are dealt by key."""
+    hot = F.broadcast(one.filter(F.col("times") >= often).drop("times"))
+    rest = many.join(F.broadcast(one.filter(F.col("times") >= often).select(key)), key, "left_anti")
+    return many.join(hot, key).unionByName(rest.join(one.filter(F.col("times") < often).drop("times"), key))
+
+
+def _key_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add h, the key of a context with its next word."""
+    for batch in batches:
+        context, shorter = (batch.column(c).to_numpy().view(U) for c in ("context", "shorter"))
+        key = _text.mix(context * _MULTIPLIER + shorter)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("n", "context", "shorter"))], names=["h", "n", "context", "shorter"])
+
+
+def _level(raw: DataFrame, below: DataFrame, how: Tree, often: int) -> tuple[DataFrame, DataFrame]:
+    """The next level (h, n, q), and what it adds to the scores of the level below: (h, times, in_pair, gain).
+
+    ``raw``: (h, n, context, shorter) of listed next words; ``below``: (h, n, q)
+    of the level below, q the log10 probability of a key's last word after the others.
+    """
+    totals = below.filter(F.col("n") >= how.context_floor).select(F.col("h").alias("context"), F.col("n").alias("total"), F.col("n").alias("times"))
+    parents = below.select(F.col("h").alias("shorter"), "q", F.col("n").alias("times"))
+    listed = cut(_met(_met(raw, totals, "context", often), parents, "shorter", often).select("h", "n", "context", "total", ((F.col("n") - how.discount) / F.col("total")).alias("p"), "q"))
+    q = F.pow(F.lit(10.0), "q")
+    sums = listed.groupBy("context").agg(F.max("total").alias("times"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(q).alias("q"), F.sum(F.col("n") * F.log(F.col("p") / q)).alias("own"))
+    ratio = F.greatest(1 - F.col("p"), F.lit(1e-12)) / F.greatest(1 - F.col("q"), F.lit(1e-12))
+    divergence = F.col("own") + F.greatest(F.col("times") - F.col("n"), F.lit(0)) * F.log(ratio)
+    contexts = cut(sums.select("context", "times", F.when(divergence >= how.divergence, F.log10(ratio)).alias("weight")))
+    judged = cut(_met(listed, contexts, "context", often).select("h", "n", F.when(F.col("weight").isNull(), F.col("q")).otherwise(F.log10("p")).alias("q"), (F.log10("p") - F.col("q") - F.col("weight")).alias("gain")))
+    tag = F.lit(int(_CONTEXT.astype(np.int64)))
+    of_contexts = contexts.filter("weight IS NOT NULL").select(F.col("context").bitwiseXOR(tag).alias("h"), "times", F.lit(False).alias("in_pair"), F.col("weight").alias("gain"))
+    of_words = judged.filter("gain IS NOT NULL").select("h", F.col("n").alias("times"), F.lit(True).alias("in_pair"), "gain")
+    return judged.select("h", "n", "q"), of_contexts.unionByName(of_words)
+
+
 def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str = "doc_id", *, how: Tree = Tree()) -> DataFrame:  # noqa: B008
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``.
 
@@ -307,48 +377,44 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
 
     # At most 1 / word_share words can be this frequent.
     words, word_counts = _array(counts.filter(F.col("n") >= floor(how.word_share, how.word_floor)), "h", "n")
-    next_floor, context_floor = floor(how.next_share, how.next_floor), floor(how.context_share, how.context_floor)
     log_norm = float(np.log10(total + how.alpha * (distinct + 1)))
     log_base = np.log10(word_counts + how.alpha) - log_norm
-    often = word_counts >= next_floor
-    listed_words, listed_base = words[often], log_base[often]
-    words_of = spark.sparkContext.broadcast(listed_words)
 
-    # Level by level: contexts of one word more are the frequent pairs of a context and its next word.
-    tree = _Growing()
-    history = np.concatenate([words[(word_counts >= context_floor) & (words != END)], [START]]).reshape(-1, 1)
+    # Level by level: a context is a listed word of the level below with its own context.  START stands before every text, as often as END behind it.
+    context = spark.sparkContext
+    end, start = (F.lit(int(x.astype(np.int64))) for x in (END, START))
+    own = counts.filter(F.col("n") >= how.next_floor)
+    level = own.select("h", "n", (F.log10(F.col("n") + how.alpha) - log_norm).alias("q")).unionByName(own.filter(F.col("h") == end).select(start.alias("h"), "n", F.lit(None).cast("double").alias("q")))
+    gains = []
     for depth in range(1, how.depth + 1):
-        keys = context_key([history[:, k] for k in range(depth)])
-        history, keys = history[np.argsort(keys)], np.sort(keys)
-        contexts = spark.sparkContext.broadcast(keys)
-        pairs = learnt.mapInArrow(lambda it, c=contexts, d=depth: _pair_batches(it, c, words_of, d), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        pairs = cut(pairs.select(F.shiftright("h", 32).alias("context"), F.col("h").bitwiseAND(F.lit(2**32 - 1)).alias("word"), "n"))
-        # Both are bounded by their shares of all tokens, as the words are.
-        c_row, c_total = _array(pairs.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= context_floor), "context", "total")
-        l_row, l_word, l_n = _array(pairs.filter((F.col("n") >= next_floor) & (F.col("word") != 2**32 - 1)), "context", "word", "n")
-        c_row, l_row = c_row.astype(np.int64), l_row.astype(np.int64)
-        at = np.searchsorted(c_row, l_row)
-        known = (at < len(c_row)) & (c_row[np.minimum(at, len(c_row) - 1)] == l_row) if len(c_row) else np.zeros(len(l_row), bool)
-        at, l_row, l_word, l_n = at[known], l_row[known], l_word[known].astype(np.int64), l_n[known]
-        if not len(l_row):
+        seen = context.broadcast(_filter(level, how.filter_bits))
+        raw = learnt.mapInArrow(lambda it, s=seen, d=depth: _gram_batches(it, s, d), "n long, context long, shorter long")
+        raw = raw.groupBy("context", "shorter").agg(F.sum("n").alias("n")).filter(F.col("n") >= how.next_floor)
+        raw = cut(raw.select("n", "context", "shorter").mapInArrow(_key_batches, "h long, n long, context long, shorter long"))
+        if raw.isEmpty():
             break
-        tree.grow(history[c_row], c_total.astype(float), at, listed_words[l_word], l_n.astype(float), listed_base[l_word], how)
-        longer = (l_n >= context_floor) & (listed_words[l_word] != END)
-        if not longer.any():
-            break
-        history = np.concatenate([listed_words[l_word[longer]].reshape(-1, 1), history[l_row[longer]]], axis=1)
-    model = spark.sparkContext.broadcast(_Model(tree.states, tree.weights, tree.nexts, tree.values, words, log_base))
-
-    schema = "row long, h long, times long, doc long, n_tokens long, n_known long, base double, score double"
+        level, added = _level(raw, level, how, floor(how.context_share, how.context_floor))
+        gains.append(added)
+    adds = gains[0] if gains else spark.createDataFrame([], "h long, times long, in_pair boolean, gain double")
+    for more in gains[1:]:
+        adds = adds.unionByName(more)
+    # Both are bounded by their shares of all tokens, as the words are.
+    often = F.col("times") >= F.when(F.col("in_pair"), floor(how.next_share, how.next_floor)).otherwise(floor(how.context_share, how.context_floor))
+    keys, values = _array(adds.filter(often), "h", "gain")
+    model = context.broadcast(_Model(keys, values, _filter(adds, how.filter_bits), words, log_base))
+
+    schema = "row long, h long, times long, in_tree boolean, doc long, n_tokens long, n_known long, base double, score double"
     parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how), schema)
-    joined = parts.join(counts, "h", "left")
-    is_word = F.col("times") > 0
+    tables = counts.select("h", "n", F.lit(None).cast("double").alias("gain")).unionByName(adds.filter(~often).select("h", F.lit(None).cast("long").alias("n"), "gain"))
+    joined = parts.join(tables, "h", "left")
+    is_word = (F.col("times") > 0) & ~F.col("in_tree")
     own = F.when(is_word, F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + how.alpha) - log_norm)).otherwise(0.0)
+    of_tree = F.when(F.col("in_tree"), F.col("times") * F.coalesce(F.col("gain"), F.lit(0.0))).otherwise(0.0)
     summed = joined.groupBy("row").agg(
         F.max("doc").alias("doc_id"),
         (F.sum("n_tokens")).alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(is_word & (F.col("n") > 0), F.col("times")).otherwise(F.lit(0))).alias("n_known"),
         F.sum(F.col("base") + own).alias("base_score"),
-        F.sum(F.col("score") + own).alias("score"),
+        F.sum(F.col("score") + own + of_tree).alias("score"),
     )
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
