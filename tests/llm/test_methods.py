@@ -174,6 +174,20 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert sum(out[i] for i in range(300)) >= 295 and not any(out[1000 + i] for i in range(10))
 
 
+def test_junk_in_a_single_feature_is_rejected_where_texts_vary(spark):
+    random.seed(12)
+    vocabulary = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(800)]
+
+    def text(symbols=0.0, capitals=0.03):
+        drawn = ["".join(c.upper() if random.random() < capitals else c for c in w) + "#" * (random.random() < symbols) for w in random.choices(vocabulary, k=random.randint(60, 300))]
+        return " ".join(drawn)
+
+    clean = [(i, text(symbols=random.choice([0, 0, 0.005, 0.02]), capitals=random.uniform(0.01, 0.06)), "en", "s") for i in range(300)]
+    junk = [(1000 + i, text().upper(), "en", "s") for i in range(8)] + [(1010 + i, text(symbols=0.97), "en", "s") for i in range(8)]
+    out = {r["doc_id"]: r["kept"] for r in quality_rules.reject_outliers(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(out[i] for i in range(300)) >= 290 and not any(kept for i, kept in out.items() if i >= 1000)
+
+
 def test_near_duplicates_by_brute_force(spark):
     random.seed(6)
     base = ["".join(random.choices("abcdefghij", k=5)) for _ in range(3000)]

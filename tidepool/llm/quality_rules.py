@@ -28,7 +28,8 @@ _SPACES = "\t\n\x0b\x0c\r"
 SCALE = 256
 #: Transformed statistics; for each the least standard deviation an estimate may have, so that
 #: a statistic which hardly varies within a group does not reject on its own for a trifle.
-FEATURES = {"f_length": 0.5, "f_word_length": 0.08, "f_symbols": 0.35, "f_dup_lines": 0.35, "f_repeats": 0.35, "f_capitals": 0.35}
+#: That of repeats leaves them to the base rule where a group has none: 0.64 * sqrt(22.5) is log1p(20).
+FEATURES = {"f_length": 0.5, "f_word_length": 0.08, "f_symbols": 0.25, "f_dup_lines": 0.35, "f_repeats": 0.64, "f_capitals": 0.25}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -46,7 +47,7 @@ class Rules:
     window: int = 5
     share: float = 0.75
     steps: int = 3
-    tail: float = 1e-12
+    tail: float = 1e-3
     least_rows: int = 60
     salts: int = 32
 
