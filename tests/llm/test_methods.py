@@ -304,6 +304,13 @@ def test_pii_by_brute_force(spark, documents):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
 
 
+def test_dictionary_counts_all_distinct_texts(spark):
+    unique = ["".join(chr(97 + int(c)) for c in f"{i:05d}") for i in range(60)]
+    rows = [(f"common {w}" + (" rivers" if i % 3 == 0 else ""),) for i, w in enumerate(unique)] + [("aardvark zebra",)] * 200
+    frame = spark.createDataFrame(rows, "text string").repartition(3)
+    assert secrets.dictionary(frame, "text", secrets.Forest(sample=2, words=2)) == ["common", "rivers"]
+
+
 def test_checksums_and_context(spark):
     frame = spark.createDataFrame([(1, "Bank account DE89 3704 0044 0532 0130 00"), (2, "code DE88 3704 0044 0532 0130 00"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "call (212) 555-0199"), (6, "size (212) 555-0199")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.digest(pii.find_pii(frame), "doc_id").collect()}

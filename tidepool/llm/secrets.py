@@ -46,7 +46,7 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Forest:
-    """``sample`` bounds the labelled findings of either kind used in training; ``words`` the dictionary."""
+    """``sample`` bounds the labelled findings of either kind used in training; ``words`` the dictionary that is counted over all texts."""
 
     trees: int = 16
     depth: int = 5
@@ -88,12 +88,11 @@ def annotate(c: str = "c") -> str:
 
 
 def dictionary(df: DataFrame, text: str, how: Forest) -> list[str]:
-    """The words of 4 to 12 letters in most of the distinct texts of a bounded sample: a hash order's first ``sample`` rows."""
+    """The words of 4 to 12 letters in most of the distinct texts."""
     rows = df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    # Only hashes are ordered; the texts follow by their hash.
-    last = rows.select("h").orderBy("h").limit(how.sample).agg(F.max("h")).first()[0]
-    chosen = rows.filter(F.col("h") <= (last if last is not None else 0)).select("t").distinct()
-    words = chosen.select(F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(t), '(?<![a-z])[a-z]{4,12}(?![a-z])', 0)"))).alias("w"))
+    found = rows.select("h", F.array_distinct(F.expr("regexp_extract_all(lower(t), '(?<![a-z])[a-z]{4,12}(?![a-z])', 0)")).alias("ws"))
+    # Copies of a text meet by its hash, a row of each task at most.
+    words = found.groupBy("h").agg(F.first("ws").alias("ws")).select(F.explode("ws").alias("w"))
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(how.words).collect()]
 
 
