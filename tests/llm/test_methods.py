@@ -311,6 +311,14 @@ def test_dictionary_counts_all_distinct_texts(spark):
     assert secrets.dictionary(frame, "text", secrets.Forest(sample=2, words=2)) == ["common", "rivers"]
 
 
+def test_account_and_phone_numbers_among_other_words(spark):
+    number, whole = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [f"account {number} Please pay", f"{whole} BIC COBADEFF", f"IBAN AB12 {number} 2 TIMES", f"{number} GB29 NWBK 6016 1331 9268 19 A", f"{whole}X", "call 212-555-0199 2 times", "call 212-555-0199 - 212.555.0100", "call 1212-555-01990"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [s["text"] for s in r["pii"]] for r in pii.find_pii(frame).collect()}
+    assert [found[i] for i in range(8)] == [[number], [whole], [number], [number, "GB29 NWBK 6016 1331 9268 19"], [], ["212-555-0199"], ["212-555-0199", "212.555.0100"], []]
+
+
 def test_checksums_and_context(spark):
     frame = spark.createDataFrame([(1, "Bank account DE89 3704 0044 0532 0130 00"), (2, "code DE88 3704 0044 0532 0130 00"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, "call (212) 555-0199"), (6, "size (212) 555-0199")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.digest(pii.find_pii(frame), "doc_id").collect()}

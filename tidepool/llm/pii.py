@@ -3,7 +3,8 @@
 Everything is one projection of built-in SQL functions over each row: no
 shuffle, no Python.  A kind's candidates are the leftmost non-overlapping
 matches of its pattern; a candidate that fails the kind's test is dropped
-without another try.  The patterns below are equivalent to plain greedy ones,
+without another try.  An account number's match is a run that may hold other
+words too, so each start and end within it is tried.  The patterns below are equivalent to plain greedy ones,
 but written with possessive quantifiers and anchored starts, so that a long run
 of digits or letters neither recurses nor takes quadratic time.
 """
@@ -25,6 +26,8 @@ class Kind:
     ``test`` and ``score`` are SQL over ``m.text`` and the texts around it,
     ``before`` and ``after`` (lower case); a span counts from ``least`` on.
     ``hint`` is a regular expression that a text must hold to have a match.
+    ``parts`` is SQL for the candidates within a match m, array<struct<start, text>>;
+    without it the match is the only one.
     """
 
     name: str
@@ -35,6 +38,7 @@ class Kind:
     near: str
     against: str = r"\b\B"
     least: float = 0.0
+    parts: str = ""
 
 
 def _digits(text: str) -> str:
@@ -53,6 +57,30 @@ def mod97(text: str) -> str:
     return f"aggregate(split({moved}, ''), 0, (s, c) -> if(c = '', s, if(c >= 'A', (s * 100 + ascii(c) - 55) % 97, (s * 10 + ascii(c) - 48) % 97))) = 1"
 
 
+#: Characters of a country's account numbers.
+_IBAN = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 "
+    "LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 BI27 DJ27 FK18 HN28 MN20 NI28 OM23 RU33 SO23 YE30"
+)
+
+
+def _ibans() -> str:
+    """SQL: the account numbers in a run m of capitals, digits and single blanks.
+
+    Those that start and end with a word of the run and have their country's
+    length; where there is none, the whole run if it passes.
+    """
+    text = "substr(m.text, i, n)"
+    size = f"length(replace({text}, ' ', ''))"
+    fits = f"'{_IBAN}' like concat('%', substr(m.text, i, 2), {size}, '%')"
+    ends = f"filter(sequence(15, 67), n -> i + n - 1 <= length(m.text) and substr(m.text, i + n - 1, 1) <> ' ' and substr(m.text, i + n, 1) in ('', ' ') and {fits} and {mod97(text)})"
+    starts = "filter(sequence(1, length(m.text)), i -> substr(m.text, i, 4) rlike '^[A-Z][A-Z][0-9][0-9]$' and (i = 1 or substr(m.text, i - 1, 1) = ' '))"
+    taken = "exists(a, s -> s.start + length(s.text) >= m.start + i)"
+    own = f"transform({ends}, n -> struct(m.start + i - 1 as start, {text} as text))"
+    whole = f"if(size(a) = 0 and length(replace(m.text, ' ', '')) between 15 and 34 and {mod97('m.text')}, array(struct(m.start as start, m.text as text)), a)"
+    return f"aggregate({starts}, cast(array() as array<struct<start:int,text:string>>), (a, i) -> if({taken}, a, concat(a, {own})), a -> {whole})"
+
+
 _PHONE_WORDS = "phone|tel|call|mobile|fax|contact"
 #: The kinds that count whatever their score.
 BASE = (
@@ -63,9 +91,9 @@ BASE = (
 )
 #: What the method adds: an account number by its checksum, the others by their context.
 ADDED = (
-    Kind("iban", r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9])++", "[A-Z][A-Z][0-9][0-9]", f"length(replace(m.text, ' ', '')) between 15 and 34 and {mod97('m.text')}", 0.8, "iban|account|bank|transfer", least=0.5),
+    Kind("iban", r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9])++", "[A-Z][A-Z][0-9][0-9]", "true", 0.8, "iban|account|bank|transfer", least=0.5, parts=_ibans()),
     Kind("us_ssn", r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++", "[0-9]-[0-9]", "m.text rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' and substr(m.text, 1, 3) not in ('000', '666') and m.text < '9'", 0.3, "ssn|social security|taxpayer", least=0.5),
-    Kind("local_phone", r"[(0-9][-. ()0-9]*[0-9]", "[0-9][-. ()]+[0-9]", r"m.text rlike '^(?:[(][0-9]{3}[)] ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}$' and not before like '%+%'", 0.3, _PHONE_WORDS, least=0.5),
+    Kind("local_phone", r"(?<![0-9])(?:[(][0-9]{3}[)] ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])", "[0-9][-. ()]+[0-9]", "not before like '%+%'", 0.3, _PHONE_WORDS, least=0.5),
 )
 #: Characters of context before and after a candidate, and what context words add or take.
 BEFORE, AFTER, BONUS, MALUS = 40, 20, 0.3, 0.3
@@ -85,6 +113,8 @@ def _spans(kind: Kind, text: str, rank: int) -> Column:
             a.at + length(x['0']) + coalesce(length(x['1']), 0) as at,
             if(x['1'] is null, a.spans, array_append(a.spans, struct(a.at + length(x['0']) as start, x['1'] as text))) as spans)
     ).spans"""
+    if kind.parts:
+        found = f"flatten(transform({found}, m -> {kind.parts}))"
     with_context = f"""transform({found}, m -> struct(m.start as start, m.text as text,
         lower(substr({text}, greatest(m.start - {BEFORE - 1}, 1), least(m.start, {BEFORE}))) as before,
         lower(substr({text}, m.start + length(m.text) + 1, {AFTER})) as after))"""
