@@ -29,6 +29,7 @@ def docs(spark):
 
 OPERATORS = {
     "packing": lambda d: packing.pack_texts(d, "text", keep=["doc_id"]),
+    "packing_clash": lambda d: packing.pack_texts(d, "text", keep=["doc_id", "start", "length"], with_ids=True),
     "pieces": lambda d: pieces.encode(d, keep=["doc_id"], check=True),
     "suffix_tree": lambda d: suffix_tree.score_texts(d, F.col("doc_id") > 2),
     "quality_rules": lambda d: quality_rules.reject_outliers(d),

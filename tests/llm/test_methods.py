@@ -69,6 +69,23 @@ def test_packing_covers_every_id_once(spark, documents):
         assert at == 4096 or at & (at - 1) == 0
 
 
+def test_word_ids_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    random.seed(13)
+    parts = ["a", "B", "the ", "İ", "Σ", "É", "í", "à", "Ý", "÷", "'s", "'S", "'re", " ", "\n", "\x85", "\xa0", "\x1c", "\x0b", "H", "\u0331", "\u0301", "\u0344", "µ", "ß", "²", "9", "12"]
+    parts += ["<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "endoftext", "’", "é", "日本", "…", '"', "--", "\x00", "\u200d", "\u212a", "ÿ", "Ÿ", "\xad", "K"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 14))) for _ in range(20_000)] + [None, "", "see <|ENDOFTEXT|> here", "see <|endoftext|> here"]
+    for text, got in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert got.tolist() == library.encode(text or "", add_special_tokens=False).ids
+    sliced = pa.array(texts).slice(7, 500)
+    for text, got in zip(texts[7:507], encoder.encode(sliced), strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_holds_all_limits(spark):
     random.seed(5)
     rows = [(i, list(range(n)), [int(random.random() < 0.4) for _ in range(n)]) for i, n in enumerate(random.randint(0, 300) for _ in range(400))]

@@ -16,6 +16,7 @@ repeats the same placement, because it depends on its partition's rows alone.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._text import paused_gc
+from tidepool.llm import _text
 
 #: Sequence ids are partition * SPAN + position, so they never meet.
 SPAN = 1 << 36
@@ -221,6 +223,12 @@ def _pack(batches: Iterable[pa.RecordBatch], read: Callable, limits: Limits, poo
     yield from flush()
 
 
+def _kept(keep: list[str], with_ids: bool) -> list[str]:
+    """The columns to carry: one named like an added column gives way to it."""
+    added = {x.split()[0] for x in PIECES.split(", ")} | ({"ids"} if with_ids else set())
+    return [c for c in dict.fromkeys(keep) if c not in added]
+
+
 def _result_schema(df: DataFrame, columns: list[str], with_ids: bool) -> str:
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
     return ", ".join([*fields, PIECES, *(["ids array<int>"] if with_ids else [])])
@@ -237,8 +245,9 @@ def pack_examples(df: DataFrame, ids: str, *, keep: list[str], loss: str | None
     the example, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``
     in the sequence, ``loss_tokens``, and ``ids`` if asked for.  Null or empty
     ids give no piece; repeated rows are packed each for itself; null loss
-    entries bear no loss.
+    entries bear no loss; a kept column named like an added one is replaced by it.
     """
+    carried = _kept(keep, with_ids)
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
         lists, marks = batch.column(ids), batch.column(loss) if loss else None
@@ -254,18 +263,19 @@ def pack_examples(df: DataFrame, ids: str, *, keep: list[str], loss: str | None
                 sums = np.concatenate([[0], np.cumsum(bears)])
             yield own, sums
 
-    slim = df.select(*dict.fromkeys([*keep, ids, *([loss] if loss else [])]))
-    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, keep, with_ids), _result_schema(df, keep, with_ids))
+    slim = df.select(*(f"`{c}`" for c in dict.fromkeys([*carried, ids, *([loss] if loss else [])])))
+    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, carried, with_ids), _result_schema(df, carried, with_ids))
 
 
 # --- texts -------------------------------------------------------------------
 
-#: Letters below U+0300.  Texts with any later character go to the tokenizer word by word, uncased by us.
+#: The pre-tokenizer's pattern (a fixed value), over printable ASCII and the small letters of Latin-1.
 _LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff"
-_LATE = re.compile("[\u0300-\U0010ffff]")
-#: A run of these behind letters is a token of its own to the pre-tokenizer.
-_TAIL = ",.;:!?%&*$#|()-+=@"
-_PLAIN = re.compile(f"[{_LETTERS}]+")
+_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: The byte-level model's character for each byte (a fixed value): the byte's own if that can be seen, or else the next free one from U+0100 on.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_BYTES = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN and b != 32 else chr(b) for b in range(256))
 
 
 class WordEncoder:
@@ -273,57 +283,82 @@ class WordEncoder:
 
     For a vocabulary whose pre-tokenizer drops white space and never joins
     characters across it, the ids of a text are those of its words, one after
-    another.  The memory holds ``most`` words and is emptied when full.
+    another.  Words of plain characters are cut by the pre-tokenizer's pattern
+    and go to the tokenizer's model in bulk; all others go through the whole
+    tokenizer one by one, and so do the words of a text that may hold a special
+    token or a combining mark, whose letters are not touched before.  The memory
+    holds ``most`` words and is emptied when full.
     """
 
     def __init__(self, path: str, most: int = 1_500_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError(f"{path} marks no word ends")
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        #: The model alone, behind a cut at blanks.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[str]) -> None:
-        known, cut, need = self.known, [], set()
+    def _learn(self, words: list[str]) -> None:
+        known, cut, other, need = self.known, [], [], []
         for w in words:
-            stem = w.rstrip(_TAIL)
-            if len(stem) < len(w) and _PLAIN.fullmatch(stem):
-                cut.append((w, len(stem)))
-                need.add(stem)
-                need.add(w[len(stem) :])
+            if w.isascii() and w.isalpha() and w.islower():
+                need.append(w)
+            elif "<|" not in w and _PLAIN.fullmatch(lower := w.lower()):
+                pieces = _PIECE.findall(lower)
+                cut.append((w, pieces))
+                need += pieces
             else:
-                need.add(w)
-        plain, other = [], []
-        for w in need - known.keys():
-            (plain if _PLAIN.fullmatch(w) else other).append(w)
-        for at in range(0, len(plain), 4096):
-            chunk = plain[at : at + 4096]
-            got = self.tokenizer.encode(" ".join(chunk), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            edges = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(chunk) + 1))).tolist()
-            for w, i, j in zip(chunk, edges, edges[1:]):
-                known[w] = ids[i:j]
-        for w, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else (), strict=True):
-            known[w] = np.array(got.ids, "<u4").tobytes()
-        for w, n in cut:
-            known[w] = known[w[:n]] + known[w[n:]]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        with paused_gc():
-            split = []
-            for text in texts:
-                if not _LATE.search(text):
-                    text = text.lower()
-                split.append(text.replace("\n", " ").replace("\t", " ").split(" "))
-            needed = set().union(*split) if split else set()
-            missing = needed - self.known.keys()
+                other.append(w)
+        new = [p for p in dict.fromkeys(need) if p not in known]
+        for at in range(0, len(new), 8192):
+            chunk = new[at : at + 8192]
+            joined = " ".join(chunk)
+            if not joined.isascii():
+                joined = codecs.charmap_decode(joined.encode(), "strict", _BYTES)[0]
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            for p, i, j in zip(chunk, edges[:-1], edges[1:], strict=True):
+                known[p] = data[i:j]
+        for at in range(0, len(other), 8192):
+            chunk = other[at : at + 8192]
+            for w, got in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
+                known[w] = np.array(got.ids, "<u4").tobytes()
+        for w, pieces in cut:
+            known[w] = b"".join([known[p] for p in pieces])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column, as little-endian unsigned 32-bit integers; null counts as empty."""
+        data, offsets = _text.utf8(texts)
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+        # U+0300 to U+037F: marks that may merge with a letter before it is made small.
+        marks = np.concatenate([[0], np.cumsum((data == 0xCC) | (data == 0xCD))])
+        raw = pc.or_(pc.match_substring(texts, "<|"), pa.array(marks[offsets[1:]] > marks[offsets[:-1]]))
+        words = pc.ascii_split_whitespace(pc.if_else(raw, texts, pc.ascii_lower(texts)))
+        found = words.flatten().dictionary_encode()
+        index = found.indices.to_numpy()
+        with _text.paused_gc():
+            distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            missing = [w for w in distinct if w not in self.known]
             if len(self.known) + len(missing) > self.most:
-                self.known, missing = {"": b""}, needed - {""}
+                self.known, missing = {"": b""}, distinct
             if missing:
                 self._learn(missing)
-        get = self.known.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(get, words)), "<u4")
+            ids = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        sizes, starts = sizes[index], starts[index]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = table[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        edges = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        for a, b in zip(edges, edges[1:]):
+            yield flat[a:b]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -345,18 +380,18 @@ def pack_texts(df: DataFrame, text: str, *, keep: list[str], vocabulary: str | N
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path)
         column, end = batch.column(text), np.array([] if end_id is None else [end_id], "<u4")
+        sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)))])
         at = 0
         while at < batch.num_rows:
-            # A few MB of text at a time, a text at least.
-            texts, size = [], 0
-            while at < batch.num_rows and (not texts or size < 2_000_000 and len(texts) < 512):
-                texts.append(column[at].as_py() or "")
-                size, at = size + len(texts[-1]), at + 1
-            for ids in _ENCODERS[path].encode(texts):
+            # Some MB of text at a time, a text at least.
+            last = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 8_000_000, "right")) - 1)
+            for ids in _ENCODERS[path].encode(column.slice(at, last - at)):
                 yield np.concatenate([ids, end]), None
+            at = last
 
-    slim = df.select(*dict.fromkeys([*keep, text]))
-    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, keep, with_ids), _result_schema(df, keep, with_ids))
+    carried = _kept(keep, with_ids)
+    slim = df.select(*(f"`{c}`" for c in dict.fromkeys([*carried, text])))
+    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, carried, with_ids), _result_schema(df, carried, with_ids))
 
 
 def conversation_examples(conversations: DataFrame, encode: Callable[[Column], Column], *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bears: str = "assistant") -> DataFrame:
