@@ -236,6 +236,33 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {d: root(d) for d in ids} and got[9001] == 9000 == got[9004]
 
 
+def test_words_that_fool_polynomial_hashes_stay_apart(spark):
+    swap, word = str.maketrans("ab", "ba"), "a"
+    for _ in range(10):
+        word += word.translate(swap)
+    other = word.translate(swap)
+    for table in (0, 1):
+        got = _text.word_hashes(pa.array([word, other, word.upper(), f"x {other}\n"]), table=table)
+        assert got.hashes[0] == got.hashes[2] != got.hashes[1] == got.hashes[4]
+    rows = [(1, word), (2, other), (3, f"{word} b c d e f"), (4, f"{other} b c d e f")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in got)
+    scored = suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1).collect()
+    assert {r["doc_id"]: r["n_known"] for r in scored} == {1: 2, 2: 1, 3: 2, 4: 1}
+
+
+def test_shingle_ids_tell_shingles_apart():
+    random.seed(2)
+    texts = ["".join(random.choices(["ab", "Cd", "e", " ", "\n", "\x0b", "é", "日本"], k=random.randint(0, 30))) for _ in range(200)] + [None, ""]
+    for n in (1, 4, 5):
+        ids, offsets = _text.shingle_ids(pa.array(texts), n)
+        sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := words(t or "")) else set() for t in texts]
+        own = [ids[a:b] for a, b in zip(offsets, offsets[1:])]
+        for i in range(len(texts)):
+            j = random.randrange(len(texts))
+            assert len(own[i]) == len(sets[i]) and near_dedup._common(own[i], own[j]) == len(sets[i] & sets[j])
+
+
 def test_sketches_merge_and_estimate():
     rng, how = np.random.default_rng(1), near_dedup.Sketching()
     x, y = rng.integers(0, 2**63, 900, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -273,19 +300,22 @@ def test_kneser_ney_is_a_distribution(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
-def test_top_k_by_brute_force(spark):
+@pytest.mark.parametrize("search", [knn.Search(), knn.Search(shard_rows=300, block_queries=40, leaf=16), knn.Search(shard_rows=100, pivots=3)])
+def test_top_k_by_brute_force(spark, search):
     rng = np.random.default_rng(3)
-    points = rng.normal(size=(5000, 16))
+    points = rng.normal(size=(5000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 5000)]
     points[100:400] = points[100]
+    points[4000] *= 3e5
     frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
-    out = knn.top_k(frame, frame.filter("vec_id % 50 = 0"), search=knn.Search(shard_rows=700, block_queries=40))
+    out = collections.defaultdict(list)
+    for r in knn.top_k(frame, frame.filter("vec_id % 50 = 0"), search=search).orderBy("rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
     scaled = np.floor(points * 256).astype(np.int64)
+    assert len(out) == 100
     for q in range(0, 5000, 50):
         scores = scaled @ scaled[q]
         best = [i for i in np.lexsort((np.arange(5000), -scores)) if i != q][:5]
-        got = out.filter(F.col("query_id") == q).orderBy("rank").collect() if q in (0, 100, 150, 4950) else None
-        if got is not None:
-            assert [(r["vec_id"], r["score"]) for r in got] == [(i, scores[i]) for i in best]
+        assert out[q] == [(i, scores[i]) for i in best]
 
 
 def test_secrets_held_out(spark):

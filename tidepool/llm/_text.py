@@ -5,9 +5,12 @@ Words are maximal runs of characters other than ASCII white space
 is hashed with a handful of numpy passes over its UTF-8 buffer, so no Python
 string is built per word.
 
-A word's hash is a polynomial hash modulo 2**64 over random 64-bit byte codes
-followed by a bit mixer.  Two different words share a hash with probability
-about 2**-60; operators that need certainty verify on the words themselves.
+A word's hash is a multilinear one modulo 2**64 (each byte's random code times a
+random factor of its place in the word) followed by a bit mixer.  No algebra
+ties the factors together, and codes differ in their low nine bits, so two
+different words share a hash with probability of at most 2**-55; ``table``
+chooses one of two independent hashes.  Operators that need certainty compare
+the words themselves: :func:`shingle_ids` tells shingles apart without a hash.
 """
 
 from __future__ import annotations
@@ -19,21 +22,29 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
-_SEED = np.random.Generator(np.random.PCG64(20240917))
-_CODES = _SEED.integers(1, 2**64, 256, dtype=U)
-_LOWER = _CODES.copy()
-_LOWER[65:91] = _CODES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes hashed in one pass; longer columns go slice by slice, so that the
 #: scratch arrays stay small whatever the batch holds.
 SLICE = 1 << 21
 
 
+def _table(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, the same with A-Z as a-z, and factors of the places in a word."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    codes = (draw.integers(0, 2**64, 256, dtype=U) & ~U(511)) | np.arange(1, 257, dtype=U)
+    lower = codes.copy()
+    lower[65:91] = codes[97:123]
+    return codes, lower, draw.integers(0, 2**64, SLICE, dtype=U)
+
+
+_TABLES = (_table(20240917), _table(771))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 2**64)
+
 @contextmanager
 def paused_gc() -> Iterator[None]:
     """No garbage collection inside: it would walk long lists of words that hold no cycles."""
@@ -53,17 +64,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, U)
-    if n > 1:
-        out[1:] = U(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-_UP, _DOWN = _powers(_BASE, SLICE + 1), _powers(_INVERSE, SLICE + 1)
-
-
 class Words(NamedTuple):
     """Hashes of all words of a column; row i owns hashes[offsets[i]:offsets[i + 1]]."""
 
@@ -86,17 +86,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _hash_slice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts:ends] for a slice of at most SLICE bytes."""
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(codes[data] * _UP[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _DOWN[starts])
+def _hash_slice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Hashes of data[starts:ends], words of a slice of at most SLICE bytes."""
+    if not len(starts):
+        return np.zeros(0, U)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    parts = codes[data[np.repeat(starts, sizes) + place]] * factors[place]
+    return mix(np.add.reduceat(parts, first) + sizes.astype(U) * U(_BASE))
 
 
-def word_hashes(column: pa.Array | pa.ChunkedArray, *, lower: bool = True) -> Words:
+def word_hashes(column: pa.Array | pa.ChunkedArray, *, lower: bool = True, table: int = 0) -> Words:
     """Hash every word of every row of a string column."""
     data, offsets = utf8(column)
-    codes, found, counts = (_LOWER if lower else _CODES), [], np.zeros(len(offsets) - 1, np.int64)
+    plain, small, factors = _TABLES[table]
+    codes, found, counts = (small if lower else plain), [], np.zeros(len(offsets) - 1, np.int64)
     row = 0
     while row < len(offsets) - 1:
         # As many whole rows as fit in a slice, one at least.
@@ -113,27 +118,27 @@ def word_hashes(column: pa.Array | pa.ChunkedArray, *, lower: bool = True) -> Wo
         stop[inner - 1] = solid[inner - 1]
         starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
         if len(piece) <= SLICE:
-            found.append(_hash_slice(piece, starts, ends, codes))
+            found.append(_hash_slice(piece, starts, ends, codes, factors))
         else:
-            found.append(_hash_long(piece, starts, ends, codes))
+            found.append(_hash_long(piece, starts, ends, codes, factors))
         counts[row:last] = np.diff(np.searchsorted(starts, edges))
         row = last
     return Words(np.concatenate(found) if found else np.zeros(0, U), np.concatenate([[0], np.cumsum(counts)]))
 
 
-def _hash_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def _hash_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """One row of more than SLICE bytes: slices cut at word starts; a longer word is folded part by part."""
     out, i = np.zeros(len(starts), U), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
         if ends[j - 1] - starts[i] <= SLICE:
             base = starts[i]
-            out[i:j] = _hash_slice(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, codes)
+            out[i:j] = _hash_slice(data[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, codes, factors)
         else:
             folded = np.zeros(1, U)
             for at in range(int(starts[i]), int(ends[i]), SLICE):
                 part = data[at : min(at + SLICE, int(ends[i]))]
-                folded = mix((folded + _hash_slice(part, np.array([0]), np.array([len(part)]), codes)) * U(_BASE))
+                folded = mix((folded + _hash_slice(part, np.array([0]), np.array([len(part)]), codes, factors)) * U(_BASE))
             out[i] = folded[0]
         i = j
     return out
@@ -178,15 +183,57 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def distinct(words: Words) -> Words:
-    """Each row's distinct hashes, ascending."""
+def distinct(words: Words, *more: np.ndarray) -> tuple[Words, ...] | Words:
+    """Each row's distinct hashes, ascending; of ``more`` arrays the values that go with them."""
     hashes, offsets = words
-    out, counts = [], np.zeros(len(offsets) - 1, np.int64)
+    out, counts, rest = [], np.zeros(len(offsets) - 1, np.int64), [[] for _ in more]
     for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         if b > a:
-            own = np.sort(hashes[a:b])
+            if more:
+                order = np.argsort(hashes[a:b])
+                own = hashes[a:b][order]
+            else:
+                own = np.sort(hashes[a:b])
             if b - a > 1:
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+                keep = np.concatenate([[True], own[1:] != own[:-1]])
+                own = own[keep]
+                if more:
+                    order = order[keep]
+            for parts, values in zip(rest, more):
+                parts.append(values[a:b][order])
             out.append(own)
             counts[row] = len(own)
-    return Words(np.concatenate(out) if out else np.zeros(0, U), np.concatenate([[0], np.cumsum(counts)]))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    made = [Words(np.concatenate(parts) if parts else np.zeros(0, U), ends) for parts in (out, *rest)]
+    return tuple(made) if more else made[0]
+
+
+def shingle_ids(column: pa.Array | pa.ChunkedArray, n: int) -> Words:
+    """Ids of each row's distinct n-word shingles, ascending: equal within this call if and only if the words are.
+
+    Words are lower-cased in A-Z; a row with fewer than n words has its whole sequence as its only shingle.
+    """
+    data, offsets = utf8(column)
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    solid = np.asarray(pc.binary_length(words)) > 0
+    found = words.dictionary_encode()
+    ids = found.indices.to_numpy()[solid].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(solid)])[split.offsets.to_numpy()]
+    sizes = np.diff(ends)
+    counts = np.maximum(sizes - n + 1, 0)
+    starts = np.repeat(ends[:-1], counts) + _within(counts)
+    key, bound, base = ids[starts], len(found.dictionary) + 1, len(found.dictionary) + 1
+    for k in range(1, n):
+        if bound * base >= 2**62:
+            distinct_keys, key = np.unique(key, return_inverse=True)
+            bound = len(distinct_keys) + 1
+        key, bound = key * base + ids[starts + k], bound * base
+    short: dict[tuple, int] = {}
+    at = np.concatenate([[0], np.cumsum(counts)])
+    rows = np.flatnonzero((sizes > 0) & (sizes < n))
+    extra = [-1 - short.setdefault(tuple(ids[ends[r] : ends[r + 1]].tolist()), len(short)) for r in rows.tolist()]
+    counts[rows] = 1
+    key = np.insert(key, at[rows], np.array(extra, np.int64))
+    return distinct(Words(key, np.concatenate([[0], np.cumsum(counts)])))

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,19 +116,24 @@ def likely_similarity(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarr
     return (low + high) / 2
 
 
+def _shingles(column: pa.Array, words: int, table: int = 0) -> _text.Words:
+    return _text.ngrams(_text.word_hashes(column, table=table), words, whole_if_short=True)
+
+
 def _sets(column: pa.Array, words: int) -> _text.Words:
-    return _text.distinct(_text.ngrams(_text.word_hashes(column), words, whole_if_short=True))
+    return _text.distinct(_shingles(column, words))
 
 
 def _sketch_batches(batches: Iterable[pa.RecordBatch], text: str, how: Sketching) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sets = _sets(part.column(text), how.words)
+            # Equal sets are told by two independent hashes of every word.
+            sets, others = _text.distinct(_shingles(part.column(text), how.words, 0), _shingles(part.column(text), how.words, 1).hashes)
             sizes = np.diff(sets.offsets)
             prints = []
-            for salt in (U(0), U(0x5851F42D4C957F2D)):
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(_text.mix(sets.hashes ^ salt), dtype=U)])
+            for hashes in (sets.hashes, others.hashes):
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(_text.mix(hashes), dtype=U)])
                 prints.append(pa.array((sums[sets.offsets[1:]] - sums[sets.offsets[:-1]]).view(np.int64)))
             registers = sketch(sets, how)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(how.registers), part.num_rows, [None, pa.py_buffer(registers.tobytes())]).cast(pa.binary())
@@ -169,6 +175,12 @@ def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return bool(common) and 100 * common >= percent * (len(p) + len(q) - common)
 
 
+def _alike_in_words(pair: pa.Array, how: Sketching) -> bool:
+    """The same for two texts, on the words themselves."""
+    ids, offsets = _text.shingle_ids(pair, how.words)
+    return _alike(ids[: offsets[1]], ids[offsets[1] :], how.percent)
+
+
 def _band_keys(registers: np.ndarray, how: Sketching) -> np.ndarray:
     """A 64-bit key of every band of every sketch; the lowest byte is the band's number."""
     keys = np.broadcast_to(np.arange(1, how.bands + 1, dtype=U), (len(registers), how.bands))
@@ -218,7 +230,8 @@ def _links(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> pa.Ta
     """Links between a block's labels, as many as it takes to join them; pairs whose ends are joined by then are left."""
     i, j = _likely_in_block(rows, part, how)
     needed = np.unique(np.concatenate([i, j]))
-    sets = _sets(part.column("text").combine_chunks().take(pa.array(needed)), how.words)
+    texts = part.column("text").combine_chunks()
+    sets = _sets(texts.take(pa.array(needed)), how.words)
     own = {k: sets.hashes[sets.offsets[at] : sets.offsets[at + 1]] for at, k in enumerate(needed.tolist())}
     labels = rows["comp"]
     parent: dict[int, int] = {}
@@ -232,7 +245,7 @@ def _links(rows: dict[str, np.ndarray], part: pa.Table, how: Sketching) -> pa.Ta
     links, reps = [], rows["rep"]
     for a, b in zip(i.tolist(), j.tolist()):
         x, y = root(int(labels[a])), root(int(labels[b]))
-        if x != y and _alike(own[a], own[b], how.percent):
+        if x != y and _alike(own[a], own[b], how.percent) and _alike_in_words(texts.take(pa.array([a, b])), how):
             parent[max(x, y)] = min(x, y)
             links.append((min(int(reps[a]), int(reps[b])), max(int(reps[a]), int(reps[b]))))
     pairs = np.array(links, np.int64).reshape(-1, 2)
@@ -271,12 +284,17 @@ def _by_block(batches: Iterable[pa.RecordBatch], how: Sketching, solve_one: Call
 
 
 def _verify_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those whose full sets reach the threshold."""
+    """Of pairs with both texts, those whose full sets of words reach the threshold."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            x, y = _sets(part.column("ta"), how.words), _sets(part.column("tb"), how.words)
-            keep = [_alike(x.hashes[x.offsets[i] : x.offsets[i + 1]], y.hashes[y.offsets[i] : y.offsets[i + 1]], how.percent) for i in range(part.num_rows)]
+        ends = np.cumsum(np.asarray(pc.add(pc.binary_length(batch.column("ta")), pc.binary_length(batch.column("tb"))).fill_null(0)))
+        at = 0
+        while at < batch.num_rows:
+            # Some MB of text at a time, a pair at least.
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 23), "right")))
+            part = batch.slice(at, last - at)
+            n, at = part.num_rows, last
+            ids, offsets = _text.shingle_ids(pa.concat_arrays([part.column("ta"), part.column("tb")]), how.words)
+            keep = [_alike(ids[offsets[i] : offsets[i + 1]], ids[offsets[n + i] : offsets[n + i + 1]], how.percent) for i in range(n)]
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
