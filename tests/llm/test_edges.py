@@ -71,9 +71,14 @@ def test_values_of_the_edges(docs):
 
 def test_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [1e30, 0.0]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (9, [-0.001, 0.0])]
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [300000.0, 0.0]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (9, [-0.001, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     out = knn.top_k(frame, frame.filter("vec_id % 50 = 0"))
     got = [tuple(r) for r in out.orderBy("query_id", "rank").collect()]
-    assert got[:4] == [(0, 1, 1, 128 * 256), (0, 2, 2, 128 * 256), (0, 3, 50, 0), (0, 4, 9, -256)] and len(got) == 8
+    assert got[:5] == [(0, 1, 6, 300000 * 256 * 256), (0, 2, 1, 128 * 256), (0, 3, 2, 128 * 256), (0, 4, 50, 0), (0, 5, 9, -256)] and len(got) == 10
     assert knn.top_k(frame.limit(0), frame.limit(0)).collect() == []
+    # A query that is there twice is one query, and its copies are no candidates of it.
+    twice = frame.union(frame.filter("vec_id = 0"))
+    assert [tuple(r) for r in knn.top_k(twice, twice.filter("vec_id % 50 = 0")).filter("query_id = 0").orderBy("rank").collect()] == got[:5]
+    with pytest.raises(ValueError, match="fit a long"):
+        knn.top_k(frame, frame.select("vec_id", F.array(F.lit(1e30), F.lit(0.0)).alias("embedding")))

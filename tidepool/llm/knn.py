@@ -1,12 +1,15 @@
 """Exact top-k search by inner product: ball-tree branch and bound per shard.
 
-Vectors are dealt into shards of bounded size and each shard gets a ball tree.
-Queries come in blocks of bounded size; a shard and a block of queries meet in
-one task, which visits the tree's leaves in order of their inner-product upper
-bound (centre . query + radius * |query|) and skips those below what the query
-already has.  A first round over one shard per block gives each query a floor
-for its k-th score; all shards then share that floor, and in a shard it rises
-with each leaf.  Only the best k of each query and shard are shuffled on.
+Vectors are dealt to the nearest of a few hundred pivots and a pivot's cell is
+split into shards of bounded size.  Each shard's ball tree is built once, in
+the pass that also answers every query in its most promising shard.  That gives
+each query a floor, the k-th score it has already; it is then sent on only to
+the shards of cells whose ball can hold a greater inner product
+(centre . query + radius * |query|).  Within a shard it goes down the tree,
+the child of greater bound first, and leaves out nodes below its floor, which
+rises with every leaf.  Vectors are shuffled once into shards and the stored
+trees once more to their queries, however many queries there are; a task reads
+a shard, then streams the shard's queries past it.
 
 Every score is an exact integer: components are floor(scale * x), and products
 are summed in doubles only while that is exact, in 64-bit integers beyond.
@@ -14,116 +17,249 @@ are summed in doubles only while that is exact, in 64-bit integers beyond.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._shared import cut
 
+_LOWEST = np.iinfo(np.int64).min
+
 
 @dataclass(frozen=True)
 class Search:
-    """``shard_rows`` and ``block_queries`` bound what one task holds; ``leaf`` is the tree's leaf size."""
+    """``shard_rows`` and ``block_queries`` bound what a task holds; ``leaf`` is the tree's leaf size.
+
+    ``pivots`` bounds the cells, and ``most_lengths`` the different lengths of
+    vectors; the table of cells that goes to every task has no more rows than
+    these together.
+    """
 
     k: int = 5
     scale: int = 256
-    shard_rows: int = 2048
+    shard_rows: int = 4096
     block_queries: int = 2048
     leaf: int = 64
-    #: Components beyond this many units in the scaled vectors could overflow a long score.
-    largest: int = 1 << 26
-
-
-def build_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves of a ball tree: row order, leaf edges, centres and radii.
-
-    A node is split at the median of its direction of largest spread, down to ``leaf`` rows.
-    """
-    order, edges, stack = np.arange(len(points)), [0], [(0, len(points))]
-    while stack:
-        a, b = stack.pop()
-        if b - a <= leaf:
-            edges.append(b)
-            continue
-        own = points[order[a:b]]
-        centre = own.mean(0)
-        far = own[((own - centre) ** 2).sum(1).argmax()]
-        axis = own[((own - far) ** 2).sum(1).argmax()] - far
-        if not axis.any():
-            # Copies of one point need no more splitting.
-            edges.append(b)
-            continue
-        half = (b - a) // 2
-        order[a:b] = order[a:b][np.argsort(own @ axis, kind="stable")]
-        stack.append((a + half, b))
-        stack.append((a, a + half))
-    edges = np.array(edges)
-    centres = np.array([points[order[a:b]].mean(0) for a, b in zip(edges, edges[1:])]).reshape(-1, points.shape[1])
-    radii = np.array([np.sqrt(((points[order[a:b]] - c) ** 2).sum(1).max()) for a, b, c in zip(edges, edges[1:], centres)])
-    return order, edges, centres, radii
+    pivots: int = 512
+    most_lengths: int = 1024
 
 
-def branch_and_bound(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's best k among the points, by score and then id.
+@dataclass(frozen=True)
+class Tree:
+    """A ball tree: its points and their ids in the leaves' order, and nodes as start, end, left, right (-1: a leaf), centre and radius."""
+
+    points: np.ndarray
+    ids: np.ndarray
+    nodes: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+
+    @staticmethod
+    def build(points: np.ndarray, ids: np.ndarray, leaf: int) -> Tree:
+        """A node is split at the median of a direction in which it is wide, down to ``leaf`` points."""
+        order, nodes, centres, radii, stack = np.arange(len(points)), [], [], [], [(0, len(points), -1, 0)]
+        while stack:
+            a, b, parent, side = stack.pop()
+            own = points[order[a:b]]
+            centre = own.mean(0)
+            away = ((own - centre) ** 2).sum(1)
+            if parent >= 0:
+                nodes[parent][2 + side] = len(nodes)
+            nodes.append([a, b, -1, -1])
+            centres.append(centre)
+            radii.append(np.sqrt(away.max()))
+            if b - a > leaf:
+                far = own[away.argmax()]
+                axis = own[((own - far) ** 2).sum(1).argmax()] - far
+                # Copies of one point need no more splitting.
+                if axis.any():
+                    half = (a + b) // 2
+                    order[a:b] = order[a:b][np.argsort(own @ axis, kind="stable")]
+                    stack += [(half, b, len(nodes) - 1, 1), (a, half, len(nodes) - 1, 0)]
+        return Tree(points[order], ids[order], np.array(nodes, np.int64), np.array(centres), np.array(radii))
+
+
+def bound(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The greatest inner product of each query with a point of each ball, with some slack for rounding."""
+    out = queries @ centres.T + np.sqrt((queries**2).sum(1))[:, None] * radii[None, :] * (1 + 1e-9)
+    return out + 1 + 1e-9 * np.abs(out)
+
+
+def branch_and_bound(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of each query's best k among the tree's points, by score and then id.
 
     ``floors``: the k-th score each query has elsewhere; candidates below it are left out.
     """
-    k = search.k
-    order, edges, centres, radii = build_tree(points, search.leaf)
-    exact = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * points.shape[1] < 2.0**52
-    table = points[order] if exact else points[order].astype(np.int64)
-    asked = queries if exact else queries.astype(np.int64)
-    own = ids[order]
-    lowest = np.iinfo(np.int64).min
-    best = np.full((len(queries), k), lowest, np.int64)
+    largest = float(np.abs(tree.points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * tree.points.shape[1]
+    table, asked = (tree.points, queries) if largest < 2.0**52 else (tree.points.astype(np.int64), queries.astype(np.int64))
+    best = np.full((len(queries), k), _LOWEST, np.int64)
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
-    floors = floors.astype(np.int64).copy()
-    # One unit of slack covers the rounding of centres and radii.
-    norms = np.sqrt((queries**2).sum(1))
-    bounds = queries @ centres.T + norms[:, None] * radii[None, :] * (1 + 1e-9)
-    bounds += 1 + 1e-9 * np.abs(bounds)
-    for leaf in np.argsort(-bounds.max(0), kind="stable"):
-        open_rows = np.flatnonzero(bounds[:, leaf] >= floors)
-        if not len(open_rows):
-            continue
-        part = slice(edges[leaf], edges[leaf + 1])
-        scores = (asked[open_rows] @ table[part].T).astype(np.int64)
-        mine = own[part][None, :] == query_ids[open_rows][:, None]
+    floors, bounds = floors.astype(np.int64).copy(), bound(queries, tree.centres, tree.radii)
+
+    def visit(node: int, rows: np.ndarray) -> None:
+        rows = rows[bounds[rows, node] >= floors[rows]]
+        if not len(rows):
+            return
+        a, b, left, right = tree.nodes[node]
+        if left >= 0:
+            first = bounds[rows, left] >= bounds[rows, right]
+            for near, far, own in ((left, right, rows[first]), (right, left, rows[~first])):
+                visit(near, own)
+                visit(far, own)
+            return
+        scores = (asked[rows] @ table[a:b].T).astype(np.int64)
         # Several rows may share an id; a query's own row is never its candidate.
-        scores[mine] = lowest
-        all_scores = np.concatenate([best[open_rows], scores], axis=1)
-        all_ids = np.concatenate([best_ids[open_rows], np.broadcast_to(own[part], scores.shape)], axis=1)
-        rank = np.lexsort((all_ids, -np.maximum(all_scores, lowest + 1)), axis=1)[:, :k]
-        best[open_rows] = np.take_along_axis(all_scores, rank, 1)
-        best_ids[open_rows] = np.take_along_axis(all_ids, rank, 1)
-        floors[open_rows] = np.maximum(floors[open_rows], best[open_rows, k - 1])
-    rows, cols = np.nonzero((best > lowest) & (best >= floors[:, None]))
+        scores[tree.ids[None, a:b] == query_ids[rows][:, None]] = _LOWEST
+        all_scores = np.concatenate([best[rows], scores], axis=1)
+        all_ids = np.concatenate([best_ids[rows], np.broadcast_to(tree.ids[a:b], scores.shape)], axis=1)
+        rank = np.lexsort((all_ids, -np.maximum(all_scores, _LOWEST + 1)), axis=1)[:, :k]
+        best[rows] = np.take_along_axis(all_scores, rank, 1)
+        best_ids[rows] = np.take_along_axis(all_ids, rank, 1)
+        floors[rows] = np.maximum(floors[rows], best[rows, k - 1])
+
+    visit(0, np.arange(len(queries)))
+    rows, cols = np.nonzero((best > _LOWEST) & (best >= floors[:, None]))
     return rows, best_ids[rows, cols], best[rows, cols]
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, a row each."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
 
+def _assign(batches: Iterable[pa.RecordBatch], pivots: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Add the nearest pivot's cell and the distance to it; vectors of a length without pivots have a cell around nought."""
+    for batch in batches:
+        dims = batch.column("dims").to_numpy()
+        cell, away = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows)
+        for size in np.unique(dims):
+            at = np.flatnonzero(dims == size)
+            v = _matrix(batch.column("v").take(pa.array(at)))
+            if int(size) in pivots:
+                numbers, centres = pivots[int(size)]
+                near = ((centres**2).sum(1)[None, :] - 2 * v @ centres.T).argmin(1)
+                cell[at], away[at] = numbers[near], np.sqrt(((v - centres[near]) ** 2).sum(1))
+            else:
+                away[at] = np.sqrt((v**2).sum(1))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "h", "dims", "v")), pa.array(cell), pa.array(away)], names=["id", "h", "dims", "v", "cell", "away"])
 
-def _solve(search: Search):
-    def solve(key, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        queries, points = queries.sort_values("query_id"), points.sort_values("vec_id")
-        q_ids = queries["query_id"].to_numpy(np.int64)
-        rows, ids, scores = branch_and_bound(_matrix(points["v"]), points["vec_id"].to_numpy(np.int64), _matrix(queries["v"]), q_ids, queries["floor"].to_numpy(np.int64), search)
-        return pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids, "score": scores})
 
-    return solve
+def _route(batches: Iterable[pa.RecordBatch], cells, first: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each query and shard to meet.
+
+    ``first``: the shard that promises most, one per query.  Else all others of the cells whose ball reaches the floor.
+    """
+    for batch in batches:
+        dims = batch.column("dims").to_numpy()
+        for size in np.unique(dims):
+            if int(size) not in cells.value:
+                continue
+            numbers, centres, radii, shards = cells.value[int(size)]
+            every = np.flatnonzero(dims == size)
+            for at in (every[i : i + 1024] for i in range(0, len(every), 1024)):
+                part = batch.take(pa.array(at))
+                v, h = _matrix(part.column("v")), part.column("h").to_numpy()
+                best = (v @ centres.T).argmax(1)
+                pilot = numbers[best] * (1 << 32) + np.mod(h, shards[best])
+                if first:
+                    row, shard = np.arange(len(at)), pilot
+                else:
+                    row, cell = np.nonzero(bound(v, centres, radii) >= part.column("floor").to_numpy()[:, None])
+                    many = shards[cell]
+                    sub = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    row, shard = np.repeat(row, many), np.repeat(numbers[cell] * (1 << 32), many) + sub
+                    keep = shard != pilot[row]
+                    row, shard = row[keep], shard[keep]
+                for i in range(0, len(row), 4096):
+                    chosen = part.take(pa.array(row[i : i + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + 4096]), *(chosen.column(c) for c in ("id", "h", "floor", "v"))], names=["shard", "id", "h", "floor", "v"])
+
+
+_FOUND = "query_id long, h long, vec_id long, score long"
+_TREE = "shard long, ids binary, points binary, nodes binary, centres binary, radii binary, dims int"
+
+
+def _answers(tree: Tree, batch: pa.RecordBatch, search: Search) -> Iterator[list[pa.Array]]:
+    for at in range(0, batch.num_rows, search.block_queries):
+        part = batch.slice(at, search.block_queries)
+        ids, h = part.column("id").to_numpy(), part.column("h").to_numpy()
+        rows, found, scores = branch_and_bound(tree, _matrix(part.column("v")), ids, part.column("floor").to_numpy(), search.k)
+        yield [pa.array(c.astype(np.int64)) for c in (ids[rows], h[rows], found, scores)]
+
+
+def _runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of sorted batches with equal keys."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(k).to_numpy() for k in keys]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def _build(batches: Iterable[pa.RecordBatch], search: Search) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, points before queries: the shard's tree in one row, and the queries' answers."""
+    shard, tree, ids, points = None, None, [], []
+    names = [x.split()[0] for x in f"{_TREE}, {_FOUND}".split(", ")]
+
+    def grown() -> Tree:
+        return Tree.build(np.concatenate(points), np.concatenate(ids), search.leaf)
+
+    def stored() -> pa.RecordBatch:
+        parts = [tree.ids, tree.points, tree.nodes, tree.centres, tree.radii]
+        arrays = [pa.array([shard]), *(pa.array([p.tobytes()], pa.binary()) for p in parts), pa.array([tree.points.shape[1]], pa.int32())]
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(1, pa.int64()) for _ in range(4))], names=names)
+
+    for (own, is_query), part in _runs(batches, "shard", "is_query"):
+        if own != shard:
+            if points and tree is None:
+                tree = grown()
+                yield stored()
+            shard, tree, ids, points = own, None, [], []
+        if not is_query:
+            ids.append(part.column("id").to_numpy())
+            points.append(_matrix(part.column("v")))
+            continue
+        if tree is None:
+            if not points:
+                continue
+            tree = grown()
+            yield stored()
+        for found in _answers(tree, part, search):
+            n = len(found[0])
+            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, kind) for kind in kinds), *found], names=names)
+    if points and tree is None:
+        tree = grown()
+        yield stored()
+
+
+def _search(batches: Iterable[pa.RecordBatch], search: Search) -> Iterator[pa.RecordBatch]:
+    """Rows by shard, its stored tree before its queries: the queries' answers."""
+    shard, tree = None, None
+    for (own, is_query), part in _runs(batches, "shard", "is_query"):
+        if own != shard:
+            shard, tree = own, None
+        if not is_query:
+            dims = part.column("dims")[0].as_py()
+            raw = {c: part.column(c)[0].as_buffer() for c in ("ids", "points", "nodes", "centres", "radii")}
+            own_points, centres = (np.frombuffer(raw[c]).reshape(-1, dims) for c in ("points", "centres"))
+            tree = Tree(own_points, np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["nodes"], np.int64).reshape(-1, 4), centres, np.frombuffer(raw["radii"]))
+        elif tree is not None:
+            for found in _answers(tree, part, search):
+                yield pa.RecordBatch.from_arrays(found, names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
 def scaled(vector: Column, search: Search) -> Column:
-    """floor(scale * x) of every component, or null if the vector takes no part."""
-    v = F.transform(vector.cast("array<double>"), lambda x: F.floor(x * search.scale).cast("double"))
-    sound = F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * search.scale < float(search.largest)))
+    """floor(scale * x) of every component as a double, or null if the vector takes no part."""
+    v = F.transform(vector.cast("array<double>"), lambda x: x * search.scale)
+    # A double beyond 2**53 is whole already.
+    v = F.transform(v, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x))
+    sound = F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.when(sound & (F.size(vector) > 0), v)
 
 
@@ -132,44 +268,70 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vector: str = "embedding",
 
     Both frames have the columns ``id`` and ``vector``; a query never finds a
     row of its own id.  Rows whose vector is null, empty, or has a null or
-    non-finite component, or one of 2**26 scaled units or more, take no part, nor do rows without an
-    id; vectors of another length than a query's are no candidates of it.
-    Repeated rows count each.  A query with fewer candidates gets them all, one
-    with none no row.
+    non-finite component take no part, nor do rows without an id; vectors of
+    another length than a query's are no candidates of it.  Repeated candidates
+    count each; queries that agree in id and vector are one, and those that
+    share an id alone are ranked each for itself.  A query with fewer
+    candidates gets them all, one with none no row.  Where products of the
+    largest components might not fit a long, or vectors have more than
+    ``most_lengths`` lengths, a ValueError says so.
     """
-
-    def sound(df: DataFrame, name: str) -> DataFrame:
-        out = df.select(F.col(f"`{id}`").cast("long").alias(name), scaled(F.col(f"`{vector}`"), search).alias("v"))
-        return out.filter(f"{name} IS NOT NULL AND v IS NOT NULL").withColumn("dims", F.size("v"))
-
-    points, asked = sound(vectors, "vec_id"), sound(queries, "query_id")
-
-    def counts(df: DataFrame, of: int, name: str) -> DataFrame:
-        return df.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
-
-    # How many shards and blocks there are follows the tables; a row per vector length.
-    sizes = cut(counts(points, search.shard_rows, "shards").join(counts(asked, search.block_queries, "blocks"), "dims"))
-    points = points.join(sizes, "dims").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int"))
-    asked = asked.join(sizes, "dims").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-
-    def meet(q: DataFrame, p: DataFrame) -> DataFrame:
-        keys = ["dims", "shard", "block"]
-        return q.select(*keys, "query_id", "v", "floor").groupBy(*keys).cogroup(p.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(_solve(search), "query_id long, vec_id long, score long")
-
-    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # The first round: every block meets one shard, another for each block.
-    pilot = F.pmod(F.col("block"), F.col("shards"))
-    none = -(1 << 62)
-    first_q = asked.withColumn("shard", pilot).withColumn("floor", F.lit(none).cast("long"))
-    spread = points.withColumn("block", every_block)
-    seen = meet(first_q, spread.filter(F.col("shard") == pilot))
-    floors = cut(seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= search.k).select("query_id", "low"))
-    every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    second_q = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("low", F.lit(none).cast("long"))).withColumn("shard", every_shard)
-    found = meet(second_q, spread)
+    spark = vectors.sparkSession
+
+    def sound(df: DataFrame) -> DataFrame:
+        out = df.select(F.col(f"`{id}`").cast("long").alias("id"), scaled(F.col(f"`{vector}`"), search).alias("v"))
+        return out.filter("id IS NOT NULL AND v IS NOT NULL").select("id", F.xxhash64("id", "v").alias("h"), F.size("v").alias("dims"), "v")
+
+    def sizes(df: DataFrame) -> dict[int, tuple[int, float]]:
+        found = df.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).limit(search.most_lengths + 1).collect()
+        if len(found) > search.most_lengths:
+            raise ValueError(f"vectors of more than {search.most_lengths} different lengths")
+        return {r["dims"]: (r["n"], r["largest"]) for r in found}
+
+    points, asked = sound(vectors), sound(queries).dropDuplicates(["id", "v"])
+    held, wanted = sizes(points), sizes(asked)
+    for dims, (_, largest) in held.items():
+        if dims in wanted and dims * largest * wanted[dims][1] >= 2.0**62:
+            raise ValueError(f"inner products of vectors of length {dims} may not fit a long: components of up to {largest:g} and {wanted[dims][1]:g} after scaling")
+
+    # One vector for each of so many ranges of a hash: copies share one, so a hot vector is one pivot.
+    most = max(1, min(search.pivots, sum(n for n, _ in held.values()) // search.shard_rows))
+    drawn = points.select("dims", "v", F.xxhash64("v").alias("hv")).groupBy(F.pmod("hv", F.lit(most)).alias("part")).agg(F.min_by(F.struct("dims", "v"), "hv").alias("p")).orderBy("part").collect()
+    pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dims in {r["p"]["dims"] for r in drawn}:
+        own = [(n, r["p"]["v"]) for n, r in enumerate(drawn) if r["p"]["dims"] == dims]
+        pivots[dims] = np.array([n for n, _ in own]), np.array([v for _, v in own], float)
+    kept = spark.sparkContext.broadcast(pivots)
+    dealt = cut(points.mapInArrow(lambda it: _assign(it, kept.value), "id long, h long, dims int, v array<double>, cell long, away double"))
+    # A length without pivots has a cell of its own behind those of the pivots.
+    number = F.when(F.col("cell") < 0, F.col("dims") + search.pivots).otherwise(F.col("cell"))
+    balls = dealt.groupBy("dims", number.alias("cell")).agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / search.shard_rows).cast("long").alias("shards")).collect()
+    cells: dict[int, tuple] = {}
+    for dims in {b["dims"] for b in balls}:
+        own = [b for b in balls if b["dims"] == dims]
+        centre = dict(zip(pivots[dims][0].tolist(), pivots[dims][1])) if dims in pivots else {}
+        centres = np.array([centre.get(b["cell"], np.zeros(dims)) for b in own])
+        cells[dims] = np.array([b["cell"] for b in own]), centres, np.array([b["radius"] for b in own]), np.array([b["shards"] for b in own])
+    table = spark.sparkContext.broadcast(cells)
+
+    split = F.create_map(*[F.lit(x) for b in balls for x in (b["cell"], b["shards"])]) if balls else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    shard = number * (1 << 32) + F.pmod("h", split[number])
+    routed, query_type = "shard long, id long, h long, floor long, v array<double>", ["shard", F.lit(1).alias("is_query"), "id", "h", "floor", "v"]
+    waiting = asked.withColumn("floor", F.lit(int(_LOWEST)))
+    to_pilot = waiting.mapInArrow(lambda it: _route(it, table, True), routed)
+    stream = dealt.select(shard.alias("shard"), F.lit(0).alias("is_query"), "id", "h", F.lit(0).cast("long").alias("floor"), "v").unionByName(to_pilot.select(*query_type))
+    order = ["shard", "is_query", "id", "h"]
+    built = cut(stream.repartition("shard").sortWithinPartitions(*order).mapInArrow(lambda it: _build(it, search), f"{_TREE}, {_FOUND}"))
+    seen = built.filter("shard IS NULL").select("query_id", "h", "vec_id", "score")
+    floors = seen.groupBy("query_id", "h").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).filter(F.col("n") >= search.k).select(F.col("query_id").alias("id"), "h", "low")
+    raised = asked.join(floors, ["id", "h"], "left").select("id", "h", "dims", F.coalesce("low", F.lit(int(_LOWEST))).alias("floor"), "v")
+    to_others = raised.mapInArrow(lambda it: _route(it, table, False), routed)
+    trees = built.filter("shard IS NOT NULL").select(*[x.split()[0] for x in _TREE.split(", ")])
+    both = trees.withColumn("is_query", F.lit(0)).unionByName(to_others.select(*query_type), allowMissingColumns=True)
+    found = both.repartition("shard").sortWithinPartitions(*order).mapInArrow(lambda it: _search(it, search), _FOUND)
     # Spark keeps k rows of a query on the map side already, so a query's shards never meet in full.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
+    return seen.unionByName(found).withColumn("rank", rank).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(k: int = 5, every: int = 50, scale: int = 256) -> str:
@@ -177,7 +339,8 @@ def oracle_sql(k: int = 5, every: int = 50, scale: int = 256) -> str:
     return f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % {every} = 0)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {every} = 0),
+s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) <= {k}"""
