@@ -144,6 +144,45 @@ def test_base_scores_and_a_proper_distribution(spark, documents):
     assert sum(r["score"] for r in better) > sum(r["base_score"] for r in better)
 
 
+def test_suffix_tree_by_brute_force(spark, documents):
+    how = suffix_tree.Tree(divergence=3.0)
+    texts = {d: t for d, t in list(documents.items())[:150]}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(frame, F.col("doc_id") % 10 != 0, how=how).collect()}
+    tokens = {d: [*words(t), "\n"] for d, t in texts.items()}
+    learnt = [w for d, w in tokens.items() if d % 10]
+    counts = collections.Counter(x for w in learnt for x in w)
+    total, distinct = sum(counts.values()), len(counts)
+    base = lambda w: math.log10((counts[w] + how.alpha) / (total + how.alpha * (distinct + 1)))
+
+    def grams(ws, depth):
+        # Before a text stands one start; a context never goes further back.
+        padded = ["\t", *ws]
+        return [tuple(padded[i - depth : i + 1]) for i in range(depth, len(padded))]
+
+    # Of each listed sequence its count and the log10 probability of its last word after the others.
+    below = {(w,): (n, base(w)) for w, n in counts.items() if n >= how.next_floor} | {("\t",): (len(learnt), None)}
+    weights, gains = {}, {}
+    for depth in range(1, how.depth + 1):
+        found = collections.Counter(g for ws in learnt for g in grams(ws, depth))
+        listed = {g: n for g, n in found.items() if n >= how.next_floor and g[1:] in below and below.get(g[:-1], (0,))[0] >= how.context_floor}
+        level = {}
+        for context in {g[:-1] for g in listed}:
+            own, size = {g: n for g, n in listed.items() if g[:-1] == context}, below[context][0]
+            p, q = {g: (n - how.discount) / size for g, n in own.items()}, {g: 10 ** below[g[1:]][1] for g in own}
+            ratio = max(1 - sum(p.values()), 1e-12) / max(1 - sum(q.values()), 1e-12)
+            divergence = sum(n * math.log(p[g] / q[g]) for g, n in own.items()) + max(size - sum(own.values()), 0) * math.log(ratio)
+            if divergence >= how.divergence:
+                weights[context] = math.log10(ratio)
+                gains |= {g: math.log10(p[g]) - math.log10(q[g]) - math.log10(ratio) for g in own}
+            level |= {g: (n, math.log10(p[g] if divergence >= how.divergence else q[g])) for g, n in own.items()}
+        below = level
+    assert len(weights) > 50 and any(len(c) == 3 for c in weights)
+    for d, ws in tokens.items():
+        expected = sum(base(w) for w in ws) + sum(weights.get(g[:-1], 0) + gains.get(g, 0) for depth in range(1, how.depth + 1) for g in grams(ws, depth))
+        assert abs(got[d] - expected) < 1e-6 * max(1, abs(expected))
+
+
 def test_suffix_tree_sums_to_one():
     how = suffix_tree.Tree(divergence=0.1)
     rng = np.random.default_rng(1)

@@ -54,7 +54,8 @@ class Tree:
     divergence (in nats, times the context's count) at which a context is kept.
     ``discount`` is taken off each listed count in favour of the shorter context,
     ``alpha`` is added to each word's count at the root.  ``filter_bits``: log2 of
-    the bits in a filter.
+    the bits in a filter.  A range of keys that is summed at once holds ``range_tokens``
+    grams at most on average; ``most_tasks`` bounds the tasks that sum them.
     """
 
     depth: int = 3
@@ -68,6 +69,8 @@ class Tree:
     discount: float = 0.75
     alpha: float = 0.1
     filter_bits: int = 27
+    range_tokens: int = 2_000_000
+    most_tasks: int = 10_000
 
 
 def _tokens(column: pa.Array) -> _text.Words:
@@ -177,10 +180,28 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tupl
         shorter = key
 
 
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of each key in a filter of 2**bits bits: four parts of two mixed words."""
+    for word in (keys, _text.mix(keys * _MULTIPLIER)):
+        for at in (0, 32):
+            yield (word >> U(at)) & U((1 << bits) - 1)
+
+
+def _filter_batches(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Words of a filter (at, bits) with the places of a column h set."""
+    own = np.zeros(1 << (bits - 6), U)
+    for batch in batches:
+        for place in _places(batch.column("h").to_numpy().view(U), bits):
+            np.bitwise_or.at(own, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    at = np.flatnonzero(own)
+    for k in range(0, len(at), 1 << 18):
+        part = at[k : k + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part].view(np.int64))], names=["at", "bits"])
+
+
 def _filter(df: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the first ``bits`` bits of each key h: an array of fixed size, made by one grouping."""
-    place = F.expr(f"shiftrightunsigned(h, {64 - bits})")
-    words = df.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """A Bloom filter of the keys h, of fixed size: it holds back most keys that are not there and none that is."""
+    words = df.select("h").mapInArrow(lambda it: _filter_batches(it, bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), U)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U)
     return out
@@ -188,20 +209,86 @@ def _filter(df: DataFrame, bits: int) -> np.ndarray:
 
 def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether a filter may hold each key; False is certain."""
-    place = keys >> U(64 - (len(bits).bit_length() + 5))
-    return (bits[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+    out = np.ones(len(keys), bool)
+    at = np.arange(len(keys))
+    for place in _places(keys, len(bits).bit_length() + 5):
+        place = place[at]
+        hit = (bits[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
+        out[at[~hit]] = False
+        at = at[hit]
+    return out
+
 
+def _gram_batches(batches: Iterable[pa.RecordBatch], seen, hot: np.ndarray, depth: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of this depth with their next words, where context and shorter may be in the level below.
 
-def _gram_batches(batches: Iterable[pa.RecordBatch], seen, depth: int) -> Iterator[pa.RecordBatch]:
-    """(n, context, shorter) of contexts of this depth with their next words, where context and shorter may be in the level below."""
+    They are summed in the task and go out as packed runs, one for each range of keys: a row of its own
+    would take three times the room in a shuffle.
+    """
     counter = _Counter("context", "shorter")
     for batch in batches:
         for part in _slices(batch):
             *_, (_, key, context, shorter) = _grams(*_tokens(part.column("text")), depth)
             may = np.flatnonzero(_maybe(seen.value, context))
             may = may[_maybe(seen.value, shorter[may])]
-            yield from counter.add(key[may], context[may], shorter[may])
-    yield from counter.flush()
+            for found in counter.add(key[may], context[may], shorter[may]):
+                yield from _packed(found, hot, ranges)
+    for found in counter.flush():
+        yield from _packed(found, hot, ranges)
+
+
+def _packed(found: pa.RecordBatch, hot: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """(range, run): contexts in order with the number of their next words, then next words and counts."""
+    n, context, shorter = (found.column(c).to_numpy() for c in ("n", "context", "shorter"))
+    context, shorter = context.view(U), shorter.view(U)
+    # A context's next words go to one range, those of a hot one to all.
+    part = np.where(_lookup(hot, context) >= 0, _text.mix(context * _MULTIPLIER + shorter), _text.mix(context)) % U(ranges)
+    order = np.lexsort((shorter, context, part))
+    n, context, shorter, part = n[order].astype(np.uint32), context[order], shorter[order], part[order]
+    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
+    runs = []
+    for a, b in zip(edges, edges[1:]):
+        first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
+        many = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
+        runs.append(np.array([b - a, len(first)], np.int64).tobytes() + context[a:b][first].tobytes() + shorter[a:b].tobytes() + many.tobytes() + n[a:b].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["range", "run"])
+
+
+def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, contexts = np.frombuffer(run, np.int64, 2).tolist()
+    at = 16
+    own = np.frombuffer(run, U, contexts, at)
+    shorter = np.frombuffer(run, U, size, at + 8 * contexts)
+    at += 8 * (contexts + size)
+    many, n = np.frombuffer(run, np.uint32, contexts, at), np.frombuffer(run, np.uint32, size, at + 4 * contexts)
+    return np.repeat(own, many), shorter, n.astype(np.int64)
+
+
+def _listed_batches(batches: Iterable[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
+    """Runs in order of their range: (h, n, context, shorter) of the grams counted ``floor`` times or more."""
+    names, now, held = ["h", "n", "context", "shorter"], None, []
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        context, shorter, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        key = _text.mix(context * _MULTIPLIER + shorter)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        total, own = np.add.reduceat(n[order], first), order[first]
+        keep = total >= floor
+        own, total = own[keep], total[keep]
+        for at in range(0, len(own), 100_000):
+            part = own[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(total[at : at + 100_000]), pa.array(context[part].view(np.int64)), pa.array(shorter[part].view(np.int64))], names=names)
+
+    for batch in batches:
+        for part, run in zip(batch.column("range").to_pylist(), batch.column("run"), strict=True):
+            if part != now:
+                if held:
+                    yield from summed()
+                now, held = part, []
+            held.append(_unpacked(run.as_py()))
+    if held:
+        yield from summed()
 
 
 @dataclass(frozen=True)
@@ -216,11 +303,14 @@ class _Model:
 
 
 def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Iterator[pa.RecordBatch]:
-    """A row per document, and one per document and key (of a word, or of the tree) that is not broadcast."""
+    """A row per document with what the broadcast keys tell, and one per document and key (of a word, or of the tree) that is not broadcast.
+
+    ``times`` is negative for keys of the tree; a document's own row has none.
+    """
     context = TaskContext.get()
     row_id = (context.partitionId() if context else 0) << 40
     m: _Model = model.value
-    names = ["row", "h", "times", "in_tree", "doc", "n_tokens", "n_known", "base", "score"]
+    names, told_type = ["row", "h", "times", "told"], pa.struct([("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     for batch in batches:
         for part in _slices(batch):
             tokens, offsets = _tokens(part.column("text"))
@@ -231,35 +321,38 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Itera
             base = np.where(common, m.log_base[np.maximum(word, 0)] if len(m.words) else 0.0, 0.0)
             score = base.copy()
             rare = np.flatnonzero(~common)
-            asked = [(tokens[rare], owner[rare], False)]
+            asked = [(tokens[rare], owner[rare], 1)]
+
+            def ask(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+                """Add what the keys of tokens ``at`` tell, or ask for it; returns which keys may be in the tree."""
+                may = _maybe(m.seen, keys)
+                keys, at = keys[may], at[may]
+                found = _lookup(m.keys, keys)
+                hit = found >= 0
+                score[at[hit]] += m.values[found[hit]]
+                asked.append((keys[~hit], owner[at[~hit]], -1))
+                return may
+
             for at, key, before, _ in _grams(tokens, offsets, how.depth):
-                for keys in (before ^ _CONTEXT, key):
-                    may = np.flatnonzero(_maybe(m.seen, keys))
-                    found = _lookup(m.keys, keys[may])
-                    score[at[may[found >= 0]]] += m.values[found[found >= 0]]
-                    may = may[found < 0]
-                    asked.append((keys[may], owner[at[may]], True))
+                # A next word adds something only behind a kept context.
+                kept = ask(before ^ _CONTEXT, at)
+                ask(key[kept], at[kept])
             sums = [np.bincount(owner, weights=x, minlength=rows) for x in (base, score)]
             known = np.bincount(owner, weights=common, minlength=rows).astype(np.int64)
             ids = row_id + np.arange(rows)
             row_id += rows
+            told = pa.StructArray.from_arrays([part.column("doc"), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1])], fields=list(told_type))
             # A document's own row meets nothing in the join; its key only spreads it.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(_text.mix(ids.astype(U)).view(np.int64)), pa.array(np.zeros(rows, np.int64)), pa.array(np.zeros(rows, bool)), part.column("doc"), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1])], names=names
-            )
-            for in_tree in (False, True):
-                h, o = (np.concatenate([x[k] for x in asked if x[2] == in_tree]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_text.mix(ids.astype(U)).view(np.int64)), pa.nulls(rows, pa.int32()), told], names=names)
+            for sign in (1, -1):
+                h, o = (np.concatenate([x[k] for x in asked if x[2] == sign]) for k in (0, 1))
                 if not len(h):
                     continue
                 order = np.lexsort((h, o))
                 h, o = h[order], o[order]
                 first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
-                times = np.diff(np.concatenate([first, [len(h)]]))
-                n, none = len(first), np.zeros(len(first), np.int64)
-                zero = np.zeros(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[o[first]]), pa.array(h[first].view(np.int64)), pa.array(times), pa.array(np.full(n, in_tree)), pa.nulls(n, pa.int64()), pa.array(none), pa.array(none), pa.array(zero), pa.array(zero)], names=names
-                )
+                times = sign * np.diff(np.concatenate([first, [len(h)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[o[first]]), pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(first), told_type)], names=names)
 
 
 def _array(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -325,14 +418,6 @@ def _met(many: DataFrame, one: DataFrame, key: str, often: int) -> DataFrame:
     return many.join(hot, key).unionByName(rest.join(one.filter(F.col("times") < often).drop("times"), key))
 
 
-def _key_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add h, the key of a context with its next word."""
-    for batch in batches:
-        context, shorter = (batch.column(c).to_numpy().view(U) for c in ("context", "shorter"))
-        key = _text.mix(context * _MULTIPLIER + shorter)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("n", "context", "shorter"))], names=["h", "n", "context", "shorter"])
-
-
 def _level(raw: DataFrame, below: DataFrame, how: Tree, often: int) -> tuple[DataFrame, DataFrame]:
     """The next level (h, n, q), and what it adds to the scores of the level below: (h, times, in_pair, gain).
 
@@ -385,12 +470,15 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     end, start = (F.lit(int(x.astype(np.int64))) for x in (END, START))
     own = counts.filter(F.col("n") >= how.next_floor)
     level = own.select("h", "n", (F.log10(F.col("n") + how.alpha) - log_norm).alias("q")).unionByName(own.filter(F.col("h") == end).select(start.alias("h"), "n", F.lit(None).cast("double").alias("q")))
-    gains = []
+    gains, ranges = [], max(1, total // how.range_tokens)
     for depth in range(1, how.depth + 1):
         seen = context.broadcast(_filter(level, how.filter_bits))
-        raw = learnt.mapInArrow(lambda it, s=seen, d=depth: _gram_batches(it, s, d), "n long, context long, shorter long")
-        raw = raw.groupBy("context", "shorter").agg(F.sum("n").alias("n")).filter(F.col("n") >= how.next_floor)
-        raw = cut(raw.select("n", "context", "shorter").mapInArrow(_key_batches, "h long, n long, context long, shorter long"))
+        # At most one in ``range_tokens`` tokens' contexts can be so frequent.
+        (hot,) = _array(level.filter(F.col("n") >= how.range_tokens), "h")
+        runs = learnt.mapInArrow(lambda it, s=seen, d=depth, t=hot: _gram_batches(it, s, t, d, ranges), "range long, run binary")
+        # A range holds some 2M of the tokens' grams, and a task takes one after another.
+        runs = runs.repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range")
+        raw = cut(runs.mapInArrow(lambda it: _listed_batches(it, how.next_floor), "h long, n long, context long, shorter long"))
         if raw.isEmpty():
             break
         level, added = _level(raw, level, how, floor(how.context_share, how.context_floor))
@@ -403,18 +491,23 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     keys, values = _array(adds.filter(often), "h", "gain")
     model = context.broadcast(_Model(keys, values, _filter(adds, how.filter_bits), words, log_base))
 
-    schema = "row long, h long, times long, in_tree boolean, doc long, n_tokens long, n_known long, base double, score double"
+    schema = "row long, h long, times int, told struct<doc:bigint,n_tokens:bigint,n_known:bigint,base:double,score:double>"
     parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how), schema)
     tables = counts.select("h", "n", F.lit(None).cast("double").alias("gain")).unionByName(adds.filter(~often).select("h", F.lit(None).cast("long").alias("n"), "gain"))
     joined = parts.join(tables, "h", "left")
-    is_word = (F.col("times") > 0) & ~F.col("in_tree")
-    own = F.when(is_word, F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + how.alpha) - log_norm)).otherwise(0.0)
-    of_tree = F.when(F.col("in_tree"), F.col("times") * F.coalesce(F.col("gain"), F.lit(0.0))).otherwise(0.0)
-    summed = joined.groupBy("row").agg(
-        F.max("doc").alias("doc_id"),
-        (F.sum("n_tokens")).alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(is_word & (F.col("n") > 0), F.col("times")).otherwise(F.lit(0))).alias("n_known"),
-        F.sum(F.col("base") + own).alias("base_score"),
-        F.sum(F.col("score") + own + of_tree).alias("score"),
+    of_word = F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + how.alpha) - log_norm)
+    of_tree = -F.col("times") * F.col("gain")
+    # What the filters let through in vain goes no further.
+    slim = joined.filter("told IS NOT NULL OR times > 0 OR gain IS NOT NULL").select(
+        "row", "told", F.when((F.col("times") > 0) & (F.col("n") > 0), F.col("times")).alias("known"), F.when(F.col("times") > 0, of_word).alias("own"), F.when(F.col("times") < 0, of_tree).alias("gain")
+    )
+    told = ("doc", "n_tokens", "n_known", "base", "score")
+    summed = slim.groupBy("row").agg(*(F.max(f"told.{c}").alias(c) for c in told), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "own", "gain")))
+    return summed.select(
+        F.col("doc").alias("doc_id"),
+        "n_tokens",
+        (F.col("n_known") + F.col("known")).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("own")).alias("base_score"),
+        (F.col("score") + F.col("own") + F.col("gain")).alias("score"),
     )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
