@@ -18,7 +18,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named like those the operators add.
-CLASH = ("n_lines", "n_dropped", "kept", "pii", "findings", "distance", "n_words", "start", "length", "component_id", "h")
+CLASH = ("n_lines", "n_dropped", "kept", "pii", "findings", "distance", "n_words", "start", "length", "component_id", "h", "salt", "lang_key", "source_key", "width", "own", "m_0", "v_0_0", "half", "drops", "lines", "row", "doc", "rep")
 
 
 @pytest.fixture(scope="module")

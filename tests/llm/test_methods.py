@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -222,6 +223,43 @@ def test_statistics_by_brute_force(spark, documents):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_minimum_determinant_by_brute_force(spark):
+    rng, names = np.random.default_rng(2), list(quality_rules.FEATURES)
+    rows, groups = [], {}
+    for g in range(4):
+        own = rng.normal(size=(14, len(names))) * 300 * rng.uniform(0.5, 2, len(names)) + 1500
+        own[:3] += rng.choice([-1, 1], (3, len(names))) * 2500
+        groups[f"s{g}"] = own = np.round(own).astype(int)
+        rows += [(2, "=en", f"=s{g}", i % 4, *map(int, r)) for i, r in enumerate(own)]
+    pool = spark.createDataFrame(rows, "width int, lang_key string, source_key string, salt int, " + ", ".join(f"{n} long" for n in names))
+    floor = np.diag(np.array(list(quality_rules.FEATURES.values())) ** 2)
+
+    def scatter(x):
+        return np.cov(x.T / quality_rules.SCALE, bias=True) + floor
+
+    for r in quality_rules.minimum_determinant(pool, quality_rules.Rules(salts=4)).collect():
+        own = groups[r["source_key"][1:]]
+        least = min(np.linalg.slogdet(scatter(own[list(c)]))[1] for c in itertools.combinations(range(14), r["n"]))
+        size = len(names)
+        found = np.array([[r[f"c_{max(i, j)}_{min(i, j)}"] for j in range(size)] for i in range(size)])
+        assert 10 <= r["n"] <= 11 and np.linalg.slogdet(found)[1] <= least + 0.2
+        # The three planted outliers are not in the subset.
+        assert np.abs(np.array([r[f"m_{i}"] for i in range(size)]) * quality_rules.SCALE - own[3:].mean(0)).max() < 300
+
+
+@pytest.mark.parametrize("rows", [20, 59, 61, 200])
+def test_groups_of_any_size_are_judged_with_their_language(spark, rows):
+    random.seed(21)
+    vocabulary = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(500)]
+    text = lambda: " ".join(random.choices(vocabulary, k=random.randint(60, 300))) + "."
+    docs = [(i, text(), "en", "wide") for i in range(300)] + [(1000 + i, text(), "en", "own") for i in range(rows)]
+    junk = [(2000 + i, text().upper(), "en", "own") for i in range(3)] + [(2010, " ".join(w + "##$$" for w in text().split()), "en", "own"), (2011, text().upper(), "en", "alone")]
+    out = {r["doc_id"]: r["kept"] for r in quality_rules.reject_outliers(spark.createDataFrame(docs + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(out[d[0]] for d in docs) >= 0.97 * len(docs) and not any(out[j[0]] for j in junk[:4])
+    # A source of one document is judged by its language.
+    assert not out[2011]
+
+
 def test_outliers_are_rejected_and_clean_texts_kept(spark):
     random.seed(4)
     clean = [(i, " ".join(random.choices(["river", "stone", "walks", "under", "bright", "evening", "of", "the"], k=random.randint(60, 200))) + ".", "en", "s") for i in range(300)]

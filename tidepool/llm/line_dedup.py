@@ -47,31 +47,31 @@ def dedup_lines(df: DataFrame, text: str = "text", *, least_documents: int = 10,
     hashed = rows.select(
         "__r",
         "__q",
-        F.transform(F.transform(F.split(F.col(f"`{text}`"), "\n", -1), line_key), lambda k: F.when(F.char_length(k) >= least_length, _hashes(k))).alias("lines"),
+        F.transform(F.transform(F.split(F.col(f"`{text}`"), "\n", -1), line_key), lambda k: F.when(F.char_length(k) >= least_length, _hashes(k))).alias("__keys"),
     )
     # The outer forms of explode: Spark would evaluate the inner ones' arrays once more, in a filter it infers.
     counted = (
-        hashed.select(F.explode_outer(F.array_distinct("lines")).alias("x"))
+        hashed.select(F.explode_outer(F.array_distinct("__keys")).alias("x"))
         .filter("x IS NOT NULL")
         .groupBy(F.col("x.h").alias("h"), F.col("x.g").alias("g"))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= least_documents)
     )
     frequent = counted.select("h", "g", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    places = hashed.select("__r", "__q", F.posexplode_outer("lines").alias("at", "x")).filter("x IS NOT NULL")
+    places = hashed.select("__r", "__q", F.posexplode_outer("__keys").alias("at", "x")).filter("x IS NOT NULL")
     places = places.select("__r", "__q", "at", F.col("x.h").alias("h"), F.col("x.g").alias("g"), F.pmod("__q", F.lit(salts)).alias("s"))
-    drops = places.join(frequent, ["h", "g", "s"], "left_semi").groupBy("__r", "__q").agg(F.array_sort(F.collect_set("at")).alias("drops"))
+    drops = places.join(frequent, ["h", "g", "s"], "left_semi").groupBy("__r", "__q").agg(F.array_sort(F.collect_set("at")).alias("__drops"))
     joined = rows.join(drops, ["__r", "__q"], "left")
     lines = joined.withColumn("__lines", F.split(F.col(f"`{text}`"), "\n", -1))
     size = F.size("__lines")
     # Between two dropped positions a and b the lines a + 1 .. b - 1 stay.
-    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), "drops").alias("a"), F.concat("drops", F.array(size)).alias("b"))
+    edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), "__drops").alias("a"), F.concat("__drops", F.array(size)).alias("b"))
     kept = F.flatten(F.transform(edges, lambda e: F.slice("__lines", e["a"] + 2, e["b"] - e["a"] - 1)))
     return lines.select(
         *[f"`{c}`" for c in rest],
-        F.when(F.col("drops").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")).alias(text),
+        F.when(F.col("__drops").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")).alias(text),
         size.cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
