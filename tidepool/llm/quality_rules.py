@@ -3,11 +3,18 @@
 Statistics of each document are computed by SQL expressions over its own text,
 transformed to comparable scales and held against robust estimates of its
 language and source: location and scatter of the subset, a fixed share of the
-group, whose covariance has the smallest determinant.  The subset is found by
-concentration steps from a start at the medians.  A step is two groupings of
-the statistics with few rows per task (sums of products; exact percentiles of
-rounded distances), so a group of any size combines on the map side; estimates
-return to their documents by a join whose group key is salted.
+group, whose covariance has the smallest determinant.  It is sought from
+several starts (central by all statistics together, central in each, and any
+half); concentration steps lower each start's determinant, and the start with
+the smallest one wins.  A step is two groupings of the statistics with few rows
+per task (sums of products; exact percentiles of rounded distances), so a group
+of any size combines on the map side; estimates return to their documents by a
+join whose group key is salted.
+
+Estimates are made for each source of a language, for each language and for all
+documents, and each is drawn towards the next wider one by a fixed number of
+documents' worth: a small group leans on its language, a large one stands for
+itself, and no size switches from one to the other.
 
 Statistics are rounded to 1/256 and summed as integers, so a repeated task or
 another partitioning gives the same estimates to the last bit.
@@ -37,9 +44,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 class Rules:
     """Fixed rules and the strength of the robust test.
 
-    ``share`` of a group forms its subset; ``tail`` is the chance that a
-    normal vector would be rejected; a language's sources with fewer than
-    ``least_rows`` documents are pooled, and so are languages below it.
+    ``share`` of a group forms its subset, found in ``steps`` concentration steps
+    from each start; ``tail`` is the chance that a normal vector would be
+    rejected; ``prior_rows`` documents' worth of the wider group's estimates are
+    mixed into a group's own.
     """
 
     least_words: int = 10
@@ -48,7 +56,7 @@ class Rules:
     share: float = 0.75
     steps: int = 3
     tail: float = 1e-3
-    least_rows: int = 60
+    prior_rows: int = 60
     salts: int = 32
 
 
@@ -58,8 +66,10 @@ def text_statistics(df: DataFrame, text: str, window: int = 5) -> DataFrame:
     staged = df.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     staged = staged.withColumn(w, F.array_remove(F.split(F.translate(t, _SPACES, " " * len(_SPACES)), " "), ""))
     staged = staged.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x, F.lit(" " + _SPACES)) != ""))
-    hashed = F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(window)))))
-    staged = staged.withColumn("__windows", F.coalesce(hashed, F.array().cast("array<bigint>")))
+    # Each word is hashed once, and a window from its words' hashes.
+    staged = staged.withColumn("__hashes", F.transform(w, lambda x: F.xxhash64(x)))
+    every = F.transform("__hashes", lambda h, i: F.xxhash64(h, *(F.get("__hashes", i + k) for k in range(1, window))))
+    staged = staged.withColumn("__windows", F.when(F.size(w) >= window, F.slice(every, 1, F.size(w) - (window - 1))).otherwise(F.array().cast("array<bigint>")))
     repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
     # Equal windows are neighbours once sorted; their starts, in order again, tell the words covered.
     ordered = "array_sort(transform(__windows, (h, i) -> struct(h as h, i as i)))"
@@ -77,7 +87,7 @@ def text_statistics(df: DataFrame, text: str, window: int = 5) -> DataFrame:
         "n_repeat_words": F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(covered),
         "n_capitals": F.char_length(t) - F.char_length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
     }
-    return staged.withColumns({k: v.cast("long") for k, v in out.items()}).drop(t, w, "__lines", "__windows", "__starts")
+    return staged.withColumns({k: v.cast("long") for k, v in out.items()}).drop(t, w, "__lines", "__hashes", "__windows", "__starts")
 
 
 def _features() -> list[Column]:
@@ -96,8 +106,8 @@ def _features() -> list[Column]:
 
 
 def _solve(groups: DataFrame, size: int) -> DataFrame:
-    """From mean m_i and covariance c_i_j: the inverse v_i_j of the lower Cholesky factor."""
-    out = groups
+    """From mean m_i and covariance c_i_j: the inverse v_i_j of the lower Cholesky factor, and the logarithm of the determinant."""
+    out, kept = groups, groups.columns
     for i in range(size):
         for j in range(i + 1):
             rest = F.col(f"c_{i}_{j}")
@@ -114,7 +124,8 @@ def _solve(groups: DataFrame, size: int) -> DataFrame:
                     value = value - F.col(f"l_{i}_{k}") * F.col(f"v_{k}_{j}")
                 value = value / F.col(f"l_{i}_{i}")
             out = out.withColumn(f"v_{i}_{j}", value)
-    return out.select("lang_key", "source_key", *(f"m_{i}" for i in range(size)), *(f"v_{i}_{j}" for i in range(size) for j in range(i + 1)))
+    determinant = sum((2 * F.log(f"l_{i}_{i}") for i in range(size)), F.lit(0.0))
+    return out.select(*kept, *(f"v_{i}_{j}" for i in range(size) for j in range(i + 1)), F.round(determinant, 9).alias("determinant"))
 
 
 def _distance(size: int) -> Column:
@@ -134,23 +145,71 @@ def _chi2(size: int, p: float) -> float:
     return size * (1 - a + NormalDist().inv_cdf(p) * a**0.5) ** 3
 
 
-_KEYS = ["lang_key", "source_key"]
+#: A group: how narrow it is (0: all, 1: a language, 2: a source of it), and which.
+_GROUP = ["width", "lang_key", "source_key"]
 
 
-def _estimates(chosen: DataFrame) -> DataFrame:
+def _key(column: Column) -> Column:
+    """A text for any value, null too, that no other value has."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("-"))
+
+
+def _estimates(chosen: DataFrame, keys: list[str]) -> DataFrame:
     """Location and regularised scatter of each group's chosen rows."""
     names = list(FEATURES)
     size = len(names)
     sums = [F.sum(n).alias(f"s_{i}") for i, n in enumerate(names)] + [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p_{i}_{j}") for i in range(size) for j in range(i + 1)]
-    agg = chosen.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"), *sums)
+    agg = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
     means = {f"m_{i}": F.col(f"s_{i}") / F.col("n") / SCALE for i in range(size)}
     agg = agg.withColumns(means)
-    cov = {}
+    cov = []
     for i, n in enumerate(names):
         for j in range(i + 1):
             value = F.col(f"p_{i}_{j}") / F.col("n") / (SCALE * SCALE) - F.col(f"m_{i}") * F.col(f"m_{j}")
-            cov[f"c_{i}_{j}"] = value + F.lit(FEATURES[n] ** 2) if i == j else value
-    return _solve(agg.withColumns(cov), size)
+            cov.append((value + F.lit(FEATURES[n] ** 2) if i == j else value).alias(f"c_{i}_{j}"))
+    return agg.select(*keys, "n", *means, *cov)
+
+
+def _drawn(estimates: DataFrame, size: int, prior: int) -> DataFrame:
+    """Each group's location and scatter with the wider group's mixed in for ``prior`` documents."""
+    values = [f"m_{i}" for i in range(size)] + [f"c_{i}_{j}" for i in range(size) for j in range(i + 1)]
+    own = F.col("n") / (F.col("n") + prior)
+    out = [estimates.filter("width = 0").select(*_GROUP, *values)]
+    for width in (1, 2):
+        keys = ["lang_key"] if width == 2 else []
+        wider = out[-1].select(*keys, *(F.col(v).alias(f"w_{v}") for v in values))
+        level = estimates.filter(F.col("width") == width)
+        joined = level.join(wider, keys) if keys else level.crossJoin(F.broadcast(wider))
+        out.append(joined.select(*_GROUP, *((own * F.col(v) + (1 - own) * F.col(f"w_{v}")).alias(v) for v in values)))
+    # Only sources judge; the estimates of wider groups have gone into theirs.
+    return _solve(out[2], size)
+
+
+def minimum_determinant(pool: DataFrame, rules: Rules) -> DataFrame:
+    """Of each group of rows (``_GROUP``, ``salt`` and the features): n, m_i and c_i_j of the subset of smallest determinant."""
+    size, names, keys = len(FEATURES), list(FEATURES), [*_GROUP, "start"]
+
+    def salted(small: DataFrame) -> DataFrame:
+        return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
+
+    def chosen(away: DataFrame, share: Column) -> DataFrame:
+        """The rows that are nearest within their group and start, ties included."""
+        rounded = away.withColumn("bucket", F.round(F.log1p("distance") * 64).cast("int"))
+        most = rounded.groupBy(*keys).agg(F.percentile("bucket", F.lit(0.5)).alias("half"), F.percentile("bucket", F.lit(rules.share)).alias("most")).select(*keys, share.alias("most"))
+        return rounded.join(salted(most), [*keys, "salt"]).filter("bucket <= most")
+
+    middle = pool.groupBy(*_GROUP).agg(*(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, n in enumerate(names)))
+    spread = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FEATURES[n] * SCALE)) for i, n in enumerate(names)]
+    off = [F.abs(F.col(n) - F.col(f"q_{i}")[1]) / spread[i] for i, n in enumerate(names)]
+    # Three starts: central by all statistics together, central in each, and a half dealt by hash.
+    starts = [sum((o * o for o in off), F.lit(0.0)), F.greatest(*off) ** 2, F.pmod(F.xxhash64(*names, F.lit("start")), F.lit(1 << 20)).cast("double")]
+    begun = pool.join(salted(middle), [*_GROUP, "salt"]).select(*_GROUP, "salt", *names, F.posexplode(F.array(*starts)).alias("start", "distance"))
+    estimates = cut(_solve(_estimates(chosen(begun, F.when(F.col("start") == 0, F.col("most")).otherwise(F.col("half"))), keys), size))
+    for _ in range(rules.steps):
+        away = pool.join(salted(estimates), [*_GROUP, "salt"]).select(*keys, "salt", *names, _distance(size).alias("distance"))
+        estimates = cut(_solve(_estimates(chosen(away, F.col("most")), keys), size))
+    best = estimates.groupBy(*_GROUP).agg(F.min_by("start", F.struct("determinant", "start")).alias("start"))
+    return estimates.join(best, keys).drop("start", "determinant", *(f"v_{i}_{j}" for i in range(size) for j in range(i + 1)))
 
 
 def reject_outliers(df: DataFrame, text: str = "text", *, lang: str = "lang", source: str = "source", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -164,55 +223,37 @@ def reject_outliers(df: DataFrame, text: str = "text", *, lang: str = "lang", so
 
     A null language or source is a group of its own; null and empty texts fail
     the base rules; repeated rows count each; columns named like an added one
-    are replaced; an empty table gives an empty result.  Estimates are made
-    from rows that pass the base rules.
+    are replaced, all others stay whatever their names; an empty table gives an
+    empty result.  Estimates are made from rows that pass the base rules.
     """
     size, names = len(FEATURES), list(FEATURES)
-    made = {*COUNTS, *names, "n_capitals", "base_failed", "distance", "kept"}
-    base = df.drop(*(c for c in df.columns if c in made and c != text))
-    stats = text_statistics(base, text, rules.window).drop(text)
+    made = {*COUNTS, "base_failed", "distance", "kept"}
+    # The table's own columns travel in one struct, so that no name of theirs meets one of ours.
+    own = [c for c in df.columns if c not in made and c != text]
+    given = df.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own") if own else F.lit(None).alias("own"), F.col(f"`{text}`").alias("text"), _key(F.col(f"`{lang}`")).alias("lang_key"), _key(F.col(f"`{source}`")).alias("source_key"))
+    stats = text_statistics(given, "text", rules.window).drop("text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeats_percent * F.col("n_words")))
-    stats = stats.select("*", *_features(), F.pmod(F.xxhash64(*names, "word_chars", "n_capitals"), F.lit(rules.salts)).cast("int").alias("salt"))
-    stats = cut(stats.withColumn("__lang", F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("\0"))).withColumn("__source", F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\0"))))
+    rows = cut(stats.select("*", F.lit(2).alias("width"), *_features(), F.pmod(F.xxhash64(*names, "word_chars", "n_capitals"), F.lit(rules.salts)).cast("int").alias("salt")))
 
     def salted(small: DataFrame) -> DataFrame:
         return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
 
-    # Small sources of a language share one group, small languages another.
-    sizes = stats.filter(~F.col("base_failed")).groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("n"))
-    langs = sizes.groupBy("__lang").agg(F.sum("n").alias("n_lang"))
-    which = sizes.join(langs, "__lang").select(
-        "__lang",
-        "__source",
-        F.when(F.col("n_lang") >= rules.least_rows, F.col("__lang")).otherwise("\1").alias("lang_key"),
-        F.when(F.col("n") >= rules.least_rows, F.col("__source")).otherwise("\1").alias("source_key"),
-    )
-    rows = cut(stats.join(salted(which), ["__lang", "__source", "salt"], "left").fillna("\1", _KEYS)).drop("__lang", "__source")
-    pool = rows.filter(~F.col("base_failed"))
-    keyed = pool.select(*_KEYS, "salt", *names)
-
-    middle = keyed.groupBy(*_KEYS).agg(*(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, n in enumerate(names)))
-    start = middle.select(
-        *_KEYS,
-        *((F.col(f"q_{i}")[1] / SCALE).alias(f"m_{i}") for i in range(size)),
-        *(
-            (1 / F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / SCALE / 1.349, F.lit(FEATURES[names[i]])) if i == j else F.lit(0.0)).alias(f"v_{i}_{j}")
-            for i in range(size)
-            for j in range(i + 1)
-        ),
-    )
-    estimates = cut(start)
+    judged = rows.filter(~F.col("base_failed"))
+    groups = F.array(F.struct(F.lit(2).alias("width"), "lang_key", "source_key"), F.struct(F.lit(1).alias("width"), "lang_key", F.lit("*").alias("source_key")), F.struct(F.lit(0).alias("width"), F.lit("*").alias("lang_key"), F.lit("*").alias("source_key")))
+    pool = judged.select(F.explode(groups).alias("g"), "salt", *names).select("g.*", "salt", *names)
+    estimates = cut(_drawn(minimum_determinant(pool, rules), size, rules.prior_rows))
     bucket = F.round(F.log1p("distance") * 64).cast("int")
-    for _ in range(rules.steps):
-        away = keyed.join(salted(estimates), [*_KEYS, "salt"]).select(*_KEYS, "salt", *names, _distance(size).alias("distance")).withColumn("bucket", bucket)
-        inner = away.groupBy(*_KEYS).agg(F.percentile("bucket", F.lit(rules.share)).alias("most"))
-        estimates = cut(_estimates(away.join(salted(inner), [*_KEYS, "salt"]).filter("bucket <= most")))
-    away = rows.join(salted(estimates), [*_KEYS, "salt"], "left").withColumn("distance", _distance(size))
-    centre = keyed.join(salted(estimates), [*_KEYS, "salt"]).withColumn("distance", _distance(size)).groupBy(*_KEYS).agg(F.percentile(bucket, F.lit(0.5)).alias("half"))
-    final = away.join(salted(centre), [*_KEYS, "salt"], "left")
+    away = rows.join(salted(estimates), [*_GROUP, "salt"], "left").withColumn("distance", _distance(size))
+    # The median distance of each group, drawn towards that of the wider one as the estimates are.
+    seen = cut(judged.join(salted(estimates), [*_GROUP, "salt"]).withColumn("distance", _distance(size)).select("lang_key", "source_key", bucket.alias("bucket")))
+    own_n = F.col("n") / (F.col("n") + rules.prior_rows)
+    median = [F.count(F.lit(1)).alias("n"), F.expm1(F.percentile("bucket", F.lit(0.5)) / 64).alias("own_half")]
+    of_all = seen.agg(F.expm1(F.percentile("bucket", F.lit(0.5)) / 64).alias("wider"))
+    of_lang = seen.groupBy("lang_key").agg(*median).crossJoin(F.broadcast(of_all)).select("lang_key", (own_n * F.col("own_half") + (1 - own_n) * F.col("wider")).alias("wider"))
+    centre = seen.groupBy("lang_key", "source_key").agg(*median).join(of_lang, "lang_key").select(F.lit(2).alias("width"), "lang_key", "source_key", (own_n * F.col("own_half") + (1 - own_n) * F.col("wider")).alias("half"))
+    final = away.join(salted(centre), [*_GROUP, "salt"], "left")
     # The scale only ever widens: a group with hardly any variation is not judged more sharply for it.
-    scale = F.greatest(F.expm1(F.col("half") / 64) / _chi2(size, 0.5), F.lit(1.0))
+    scale = F.greatest(F.col("half") / _chi2(size, 0.5), F.lit(1.0))
     scaled = final.withColumn("distance", F.col("distance") / scale)
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= _chi2(size, 1 - rules.tail))
-    kept_columns = [c for c in base.columns if c != text]
-    return scaled.select(*[f"`{c}`" for c in kept_columns], *COUNTS, "base_failed", "distance", verdict.alias("kept"))
+    return scaled.select(*(F.col(f"own.`{c}`").alias(c) for c in own), *COUNTS, "base_failed", "distance", verdict.alias("kept"))
