@@ -451,7 +451,7 @@ def test_checksums_and_context(spark):
 
 def test_suffix_tree_learns_the_same_whatever_is_broadcast(spark, documents):
     frame = spark.createDataFrame([(d, t) for d, t in list(documents.items())[:120]] + [(-1, None), (-2, "")], "doc_id long, text string")
-    few = suffix_tree.Tree(word_share=0.01, context_share=0.01, next_share=0.01, filter_bits=12)
+    few = suffix_tree.Tree(word_share=0.01, context_share=0.01, next_share=0.01, filter_bits=12, range_tokens=1500)
     whole, joined = ({r["doc_id"]: r for r in suffix_tree.score_texts(frame, F.col("doc_id") % 10 != 0, how=how).collect()} for how in (suffix_tree.Tree(), few))
     assert sum(abs(r["score"] - r["base_score"]) > 1 for r in whole.values()) > 100
     for d, r in whole.items():

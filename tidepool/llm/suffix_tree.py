@@ -13,9 +13,11 @@ context is found by joins.  What a kept context and a listed next word add to
 the score of the shorter context is one number each, so that scoring sums what
 the keys of a document's tokens add.  Keys above a share of all tokens are few
 by definition (at most one in ``share`` of them can be); these are broadcast
-and take part in the map that scores documents.  The other keys of a document,
-with how often each occurs, are joined to the tables.  Bit filters of fixed
-size hold back keys that are in no table for certain; they change no result.
+and take part in the map that scores documents.  The other keys are asked for
+in packed runs, one for each range of keys and some documents, which meet that
+range of the tables in one task; back come sums, a row per run and document.
+Bit filters of fixed size hold back keys that are in no table for certain; they
+change no result.
 """
 
 from __future__ import annotations
@@ -180,28 +182,30 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tupl
         shorter = key
 
 
-def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """The places of each key in a filter of 2**bits bits: four parts of two mixed words."""
-    for word in (keys, _text.mix(keys * _MULTIPLIER)):
-        for at in (0, 32):
-            yield (word >> U(at)) & U((1 << bits) - 1)
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """Four bits of one word for each key."""
+    mixed = _text.mix(keys * _MULTIPLIER)
+    out = np.zeros(len(keys), U)
+    for at in (0, 6, 12, 18):
+        out |= U(1) << ((mixed >> U(at)) & U(63))
+    return out
 
 
 def _filter_batches(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Words of a filter (at, bits) with the places of a column h set."""
+    """Words of a filter (at, bits) with the marks of a column h."""
     own = np.zeros(1 << (bits - 6), U)
     for batch in batches:
-        for place in _places(batch.column("h").to_numpy().view(U), bits):
-            np.bitwise_or.at(own, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+        keys = batch.column("h").to_numpy().view(U)
+        np.bitwise_or.at(own, (keys >> U(70 - bits)).astype(np.int64), _marks(keys))
     at = np.flatnonzero(own)
     for k in range(0, len(at), 1 << 18):
         part = at[k : k + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part].view(np.int64))], names=["at", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own[part].view(np.int64))], names=["at", "bits"])
 
 
 def _filter(df: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of the keys h, of fixed size: it holds back most keys that are not there and none that is."""
-    words = df.select("h").mapInArrow(lambda it: _filter_batches(it, bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    """A blocked Bloom filter of the keys h, of fixed size: it holds back most keys that are not there and none that is."""
+    words = df.select("h").mapInArrow(lambda it: _filter_batches(it, bits), "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), U)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U)
     return out
@@ -209,14 +213,17 @@ def _filter(df: DataFrame, bits: int) -> np.ndarray:
 
 def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether a filter may hold each key; False is certain."""
-    out = np.ones(len(keys), bool)
-    at = np.arange(len(keys))
-    for place in _places(keys, len(bits).bit_length() + 5):
-        place = place[at]
-        hit = (bits[(place >> U(6)).astype(np.int64)] >> (place & U(63))) & U(1) == 1
-        out[at[~hit]] = False
-        at = at[hit]
-    return out
+    marks = _marks(keys)
+    return bits[(keys >> U(65 - len(bits).bit_length())).astype(np.int64)] & marks == marks
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of an array, all first bytes before all second ones, so that a codec finds the empty ones."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(data: memoryview, kind: np.dtype, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
 def _gram_batches(batches: Iterable[pa.RecordBatch], seen, hot: np.ndarray, depth: int, ranges: int) -> Iterator[pa.RecordBatch]:
@@ -229,8 +236,9 @@ def _gram_batches(batches: Iterable[pa.RecordBatch], seen, hot: np.ndarray, dept
     for batch in batches:
         for part in _slices(batch):
             *_, (_, key, context, shorter) = _grams(*_tokens(part.column("text")), depth)
-            may = np.flatnonzero(_maybe(seen.value, context))
-            may = may[_maybe(seen.value, shorter[may])]
+            contexts, listed = seen.value
+            may = np.flatnonzero(_maybe(contexts, context))
+            may = may[_maybe(listed, shorter[may])]
             for found in counter.add(key[may], context[may], shorter[may]):
                 yield from _packed(found, hot, ranges)
     for found in counter.flush():
@@ -302,15 +310,53 @@ class _Model:
     log_base: np.ndarray
 
 
-def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Iterator[pa.RecordBatch]:
-    """A row per document with what the broadcast keys tell, and one per document and key (of a word, or of the tree) that is not broadcast.
-
-    ``times`` is negative for keys of the tree; a document's own row has none.
-    """
+_SCORED = "range long, kind int, h long, n long, gain double, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
+_SUMS = "row long, doc long, n_tokens long, n_known long, base double, score double"
+_TABLE, _RUN, _ROW = 0, 1, 2
+
+
+def _partial(schema: str, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of this schema; columns that are not given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def _asked(parts: list[tuple[np.ndarray, np.ndarray]], first_row: int, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Runs of what a few documents ask for, by range: keys of words, then of the tree, in order, with document and number of times."""
+    made: dict[int, list[bytes]] = {}
+    for kind, (h, owner) in enumerate(parts):
+        part = np.mod(h.view(np.int64), ranges)
+        order = np.lexsort((owner, h, part))
+        h, owner, part = h[order], owner[order], part[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+        times = np.diff(np.concatenate([new, [len(h)]])).astype(np.uint32)
+        h, owner, part = h[new], owner[new].astype(np.uint32), part[new]
+        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), part[1:] != part[:-1]])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(h)]):
+            steps = np.concatenate([h[a : a + 1], np.diff(h[a:b])])
+            made.setdefault(int(part[a]), [b"", b""])[kind] = np.array([b - a], np.int64).tobytes() + _planes(steps) + _planes(owner[a:b]) + _planes(times[a:b])
+    for number, runs in made.items():
+        yield number, np.array([first_row], np.int64).tobytes() + b"".join(r or np.zeros(1, np.int64).tobytes() for r in runs)
+
+
+def _questions(run: bytes) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    data, out, at = memoryview(run), [], 8
+    for _ in range(2):
+        n = int(np.frombuffer(data, np.int64, 1, at)[0])
+        h = np.cumsum(_unplaned(data[at + 8 :], np.dtype(U), n), dtype=U)
+        owner, times = (_unplaned(data[at + 8 + k * n :], np.dtype(np.uint32), n) for k in (8, 12))
+        out.append((h, owner.astype(np.int64), times))
+        at += 8 + 16 * n
+    return int(np.frombuffer(data, np.int64, 1)[0]), out
+
+
+def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A row per document with what the broadcast keys tell, and runs of the keys (of words, or of the tree) that are not broadcast."""
     context = TaskContext.get()
     row_id = (context.partitionId() if context else 0) << 40
     m: _Model = model.value
-    names, told_type = ["row", "h", "times", "told"], pa.struct([("doc", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
     for batch in batches:
         for part in _slices(batch):
             tokens, offsets = _tokens(part.column("text"))
@@ -321,7 +367,7 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Itera
             base = np.where(common, m.log_base[np.maximum(word, 0)] if len(m.words) else 0.0, 0.0)
             score = base.copy()
             rare = np.flatnonzero(~common)
-            asked = [(tokens[rare], owner[rare], 1)]
+            asked = []
 
             def ask(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
                 """Add what the keys of tokens ``at`` tell, or ask for it; returns which keys may be in the tree."""
@@ -330,7 +376,7 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Itera
                 found = _lookup(m.keys, keys)
                 hit = found >= 0
                 score[at[hit]] += m.values[found[hit]]
-                asked.append((keys[~hit], owner[at[~hit]], -1))
+                asked.append((keys[~hit], owner[at[~hit]]))
                 return may
 
             for at, key, before, _ in _grams(tokens, offsets, how.depth):
@@ -340,19 +386,53 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree) -> Itera
             sums = [np.bincount(owner, weights=x, minlength=rows) for x in (base, score)]
             known = np.bincount(owner, weights=common, minlength=rows).astype(np.int64)
             ids = row_id + np.arange(rows)
+            yield _partial(_SCORED, range=np.mod(ids, ranges), kind=np.full(rows, _ROW), row=ids, doc=part.column("doc"), n_tokens=np.diff(offsets), n_known=known, base=sums[0], score=sums[1])
+            runs = list(_asked([(tokens[rare], owner[rare]), tuple(np.concatenate(x) for x in zip(*asked, strict=True))], row_id, ranges))
+            if runs:
+                yield _partial(_SCORED, range=[r[0] for r in runs], kind=[_RUN] * len(runs), run=[r[1] for r in runs])
             row_id += rows
-            told = pa.StructArray.from_arrays([part.column("doc"), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1])], fields=list(told_type))
-            # A document's own row meets nothing in the join; its key only spreads it.
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_text.mix(ids.astype(U)).view(np.int64)), pa.nulls(rows, pa.int32()), told], names=names)
-            for sign in (1, -1):
-                h, o = (np.concatenate([x[k] for x in asked if x[2] == sign]) for k in (0, 1))
-                if not len(h):
-                    continue
-                order = np.lexsort((h, o))
-                h, o = h[order], o[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])]))
-                times = sign * np.diff(np.concatenate([first, [len(h)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[o[first]]), pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.nulls(len(first), told_type)], names=names)
+
+
+def _answer_batches(batches: Iterable[pa.RecordBatch], alpha: float, log_norm: float) -> Iterator[pa.RecordBatch]:
+    """Rows by range, tables before runs: for every run the sums that it asked for, a row for each of its documents."""
+    now, held, table = None, [], None
+
+    def sorted_table() -> tuple:
+        h, n, gain = (np.concatenate(c) if held else np.zeros(0) for c in (zip(*held, strict=True) if held else ((), (), ())))
+        h, is_word = h.astype(np.int64).view(U), np.isnan(gain)
+        out = []
+        for chosen, values in ((is_word, n), (~is_word, gain)):
+            order = np.argsort(h[chosen])
+            out.append((h[chosen][order], values[chosen][order]))
+        return tuple(out)
+
+    for batch in batches:
+        ranges, kinds = batch.column("range").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(ranges)), bool), (ranges[1:] != ranges[:-1]) | (kinds[1:] != kinds[:-1])])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(ranges)]):
+            part = batch.slice(a, b - a)
+            if ranges[a] != now:
+                now, held, table = ranges[a], [], None
+            if kinds[a] == _TABLE:
+                held.append((part.column("h").to_numpy(), part.column("n").fill_null(0).to_numpy(), part.column("gain").to_numpy(zero_copy_only=False)))
+            elif kinds[a] == _ROW:
+                yield part.select([f.split()[0] for f in _SUMS.split(", ")])
+            else:
+                if table is None:
+                    table = sorted_table()
+                for run in part.column("run"):
+                    first, (of_words, of_tree) = _questions(run.as_py())
+                    h, owner, times = of_words
+                    at = _lookup(table[0][0], h)
+                    n = np.where(at >= 0, table[0][1][np.maximum(at, 0)] if len(table[0][1]) else 0, 0)
+                    own = times * (np.log10(n + alpha) - log_norm)
+                    h, to, many = of_tree
+                    at = _lookup(table[1][0], h)
+                    gain = np.where(at >= 0, many * (table[1][1][np.maximum(at, 0)] if len(table[1][1]) else 0.0), 0.0)
+                    size = int(max(owner.max(initial=-1), to.max(initial=-1))) + 1
+                    known, base, more = (np.bincount(o, weights=w, minlength=size) for o, w in ((owner, times * (n > 0)), (owner, own), (to, gain)))
+                    rows = np.flatnonzero((np.bincount(owner, minlength=size) > 0) | (more != 0))
+                    yield _partial(_SUMS, row=first + rows, n_known=known[rows].astype(np.int64), base=base[rows], score=(base + more)[rows])
 
 
 def _array(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -472,7 +552,7 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     level = own.select("h", "n", (F.log10(F.col("n") + how.alpha) - log_norm).alias("q")).unionByName(own.filter(F.col("h") == end).select(start.alias("h"), "n", F.lit(None).cast("double").alias("q")))
     gains, ranges = [], max(1, total // how.range_tokens)
     for depth in range(1, how.depth + 1):
-        seen = context.broadcast(_filter(level, how.filter_bits))
+        seen = context.broadcast((_filter(level.filter(F.col("n") >= how.context_floor), how.filter_bits), _filter(level, how.filter_bits)))
         # At most one in ``range_tokens`` tokens' contexts can be so frequent.
         (hot,) = _array(level.filter(F.col("n") >= how.range_tokens), "h")
         runs = learnt.mapInArrow(lambda it, s=seen, d=depth, t=hot: _gram_batches(it, s, t, d, ranges), "range long, run binary")
@@ -491,23 +571,9 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     keys, values = _array(adds.filter(often), "h", "gain")
     model = context.broadcast(_Model(keys, values, _filter(adds, how.filter_bits), words, log_base))
 
-    schema = "row long, h long, times int, told struct<doc:bigint,n_tokens:bigint,n_known:bigint,base:double,score:double>"
-    parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how), schema)
+    parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how, ranges), _SCORED)
     tables = counts.select("h", "n", F.lit(None).cast("double").alias("gain")).unionByName(adds.filter(~often).select("h", F.lit(None).cast("long").alias("n"), "gain"))
-    joined = parts.join(tables, "h", "left")
-    of_word = F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + how.alpha) - log_norm)
-    of_tree = -F.col("times") * F.col("gain")
-    # What the filters let through in vain goes no further.
-    slim = joined.filter("told IS NOT NULL OR times > 0 OR gain IS NOT NULL").select(
-        "row", "told", F.when((F.col("times") > 0) & (F.col("n") > 0), F.col("times")).alias("known"), F.when(F.col("times") > 0, of_word).alias("own"), F.when(F.col("times") < 0, of_tree).alias("gain")
-    )
-    told = ("doc", "n_tokens", "n_known", "base", "score")
-    summed = slim.groupBy("row").agg(*(F.max(f"told.{c}").alias(c) for c in told), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("known", "own", "gain")))
-    return summed.select(
-        F.col("doc").alias("doc_id"),
-        "n_tokens",
-        (F.col("n_known") + F.col("known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("own")).alias("base_score"),
-        (F.col("score") + F.col("own") + F.col("gain")).alias("score"),
-    )
+    tables = tables.select(F.pmod("h", F.lit(ranges)).cast("long").alias("range"), F.lit(_TABLE).alias("kind"), "h", "n", "gain")
+    met = parts.unionByName(tables, allowMissingColumns=True).repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range", "kind")
+    summed = met.mapInArrow(lambda it: _answer_batches(it, how.alpha, log_norm), _SUMS).groupBy("row").agg(F.max("doc").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
