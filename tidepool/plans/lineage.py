@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_FOLDERS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and Spark runs on one machine, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tidepool-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)
     return given
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own part of the shared folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/tidepool-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    # A stopped application has no connection left to delete with.
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        _delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read back: written as Parquet in the shared folder.
 
     A lost executor loses none of it, and columns that a reader does not need are not read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more."""
+    for table in tables:
+        if (path := _WRITTEN.pop(table, None)) is not None:
+            _delete(table.sparkSession, path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.sessions import GAP, by_gap
-from tidepool.plans.lineage import shared_dir
+from tidepool.plans.lineage import scratch
 from tidepool.registry import query
 from tidepool.sources.tables import CHAT_SQL, micros
 
@@ -44,7 +44,7 @@ def stored(spark: SparkSession, store: str, key: str = "item_id") -> DataFrame:
 
 
 def _new_store(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    return scratch(spark, "store")
 
 
 def _chat(events: DataFrame) -> DataFrame:
