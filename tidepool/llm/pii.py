@@ -3,10 +3,12 @@
 Everything is one projection of built-in SQL functions over each row: no
 shuffle, no Python.  A kind's candidates are the leftmost non-overlapping
 matches of its pattern; a candidate that fails the kind's test is dropped
-without another try.  An account number's match is a run that may hold other
-words too, so each start and end within it is tried.  The patterns below are equivalent to plain greedy ones,
-but written with possessive quantifiers and anchored starts, so that a long run
-of digits or letters neither recurses nor takes quadratic time.
+without another try.  An account number's pattern matches its head alone, and
+its country's length tells where it ends.  The patterns below are equivalent to
+plain greedy ones, but written with possessive quantifiers and anchored starts,
+so that a long run of digits or letters neither recurses nor takes quadratic
+time; spans and their contexts are read block by block, so neither does a text
+of very many matches.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm import _sql
+
 _LOCAL = "A-Za-z0-9._%+-"
 
 
@@ -23,11 +27,12 @@ _LOCAL = "A-Za-z0-9._%+-"
 class Kind:
     """A kind of personal data.
 
-    ``test`` and ``score`` are SQL over ``m.text`` and the texts around it,
-    ``before`` and ``after`` (lower case); a span counts from ``least`` on.
-    ``hint`` is a regular expression that a text must hold to have a match.
-    ``parts`` is SQL for the candidates within a match m, array<struct<start, text>>;
-    without it the match is the only one.
+    ``test`` is SQL over ``m.text``, and with ``context`` over ``m.before`` and
+    ``m.after`` (lower case) too.  ``hint`` is a regular expression that a text
+    must hold to have a match.  ``prior`` is the score of a confirmed span,
+    words of ``near`` beside it raise it and words of ``against`` before it
+    lower it; a span counts from ``least`` on.  ``whole`` is SQL for the whole
+    span of a match m, or null, where ``m.tail`` is the text from its start on.
     """
 
     name: str
@@ -36,9 +41,10 @@ class Kind:
     test: str
     prior: float
     near: str
-    against: str = r"\b\B"
+    against: str = ""
     least: float = 0.0
-    parts: str = ""
+    context: str = "true"
+    whole: str = ""
 
 
 def _digits(text: str) -> str:
@@ -64,21 +70,22 @@ _IBAN = (
 )
 
 
-def _ibans() -> str:
-    """SQL: the account numbers in a run m of capitals, digits and single blanks.
+#: No account number, single blanks included, is longer.
+_TAIL = 72
+
+
+def _iban() -> str:
+    """SQL: the account number that starts with m.tail, by its country's length and checksum; null if there is none.
 
-    Those that start and end with a word of the run and have their country's
-    length; where there is none, the whole run if it passes.
+    It has single blanks at most, and no letter or digit follows.
     """
-    text = "substr(m.text, i, n)"
-    size = f"length(replace({text}, ' ', ''))"
-    fits = f"'{_IBAN}' like concat('%', substr(m.text, i, 2), {size}, '%')"
-    ends = f"filter(sequence(15, 67), n -> i + n - 1 <= length(m.text) and substr(m.text, i + n - 1, 1) <> ' ' and substr(m.text, i + n, 1) in ('', ' ') and {fits} and {mod97(text)})"
-    starts = "filter(sequence(1, length(m.text)), i -> substr(m.text, i, 4) rlike '^[A-Z][A-Z][0-9][0-9]$' and (i = 1 or substr(m.text, i - 1, 1) = ' '))"
-    taken = "exists(a, s -> s.start + length(s.text) >= m.start + i)"
-    own = f"transform({ends}, n -> struct(m.start + i - 1 as start, {text} as text))"
-    whole = f"if(size(a) = 0 and length(replace(m.text, ' ', '')) between 15 and 34 and {mod97('m.text')}, array(struct(m.start as start, m.text as text)), a)"
-    return f"aggregate({starts}, cast(array() as array<struct<start:int,text:string>>), (a, i) -> if({taken}, a, concat(a, {own})), a -> {whole})"
+    run = "regexp_extract(m.tail, '^[A-Z0-9](?: ?[A-Z0-9])*+', 0)"
+    size = f"cast(regexp_extract('{_IBAN}', concat(substr(m.tail, 1, 2), '([0-9]+)'), 1) as int)"
+    ends = f"filter(sequence(k, 2 * k), n -> n <= length(r) and length(replace(substr(r, 1, n), ' ', '')) = k and substr(r, n, 1) <> ' ')"
+    # The run is capitals and digits; what follows the candidate may be small letters too.
+    fits = f"n is not null and not substr(m.tail, n + 1, 1) rlike '[A-Za-z0-9]' and {mod97('substr(r, 1, n)')}"
+    found = _sql.let("k", size, _sql.let("n", f"get({ends}, 0)", f"if({fits}, substr(r, 1, n), null)"))
+    return f"if('{_IBAN}' like concat('%', substr(m.tail, 1, 2), '%'), {_sql.let('r', run, found)}, null)"
 
 
 _PHONE_WORDS = "phone|tel|call|mobile|fax|contact"
@@ -91,41 +98,34 @@ BASE = (
 )
 #: What the method adds: an account number by its checksum, the others by their context.
 ADDED = (
-    Kind("iban", r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9])++", "[A-Z][A-Z][0-9][0-9]", "true", 0.8, "iban|account|bank|transfer", least=0.5, parts=_ibans()),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z][A-Z][0-9][0-9](?= ?[A-Z0-9])", "[A-Z][A-Z][0-9][0-9]", "true", 0.8, "iban|account|bank|transfer", "order|serial|part|article|licence|license", least=0.6, whole=_iban()),
     Kind("us_ssn", r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++", "[0-9]-[0-9]", "m.text rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$' and substr(m.text, 1, 3) not in ('000', '666') and m.text < '9'", 0.3, "ssn|social security|taxpayer", least=0.5),
-    Kind("local_phone", r"(?<![0-9])(?:[(][0-9]{3}[)] ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])", "[0-9][-. ()]+[0-9]", "not before like '%+%'", 0.3, _PHONE_WORDS, least=0.5),
+    Kind("local_phone", r"(?<![0-9])(?:[(][0-9]{3}[)] ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])", "[0-9][-. ()]+[0-9]", "true", 0.3, _PHONE_WORDS, least=0.5, context="not m.before like '%+%'"),
 )
 #: Characters of context before and after a candidate, and what context words add or take.
 BEFORE, AFTER, BONUS, MALUS = 40, 20, 0.3, 0.3
 
 
-def _quote(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\") + "'"
-
-
-def _spans(kind: Kind, text: str, rank: int) -> Column:
-    """The kind's spans of a text: array<struct<start, rank, end, kind, text, score>>, in order."""
-    pattern = _quote(kind.pattern)
-    found = f"""aggregate(
-        arrays_zip(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0)),
-        struct(0 as at, cast(array() as array<struct<start:int,text:string>>) as spans),
-        (a, x) -> struct(
-            a.at + length(x['0']) + coalesce(length(x['1']), 0) as at,
-            if(x['1'] is null, a.spans, array_append(a.spans, struct(a.at + length(x['0']) as start, x['1'] as text))) as spans)
-    ).spans"""
-    if kind.parts:
-        found = f"flatten(transform({found}, m -> {kind.parts}))"
-    with_context = f"""transform({found}, m -> struct(m.start as start, m.text as text,
-        lower(substr({text}, greatest(m.start - {BEFORE - 1}, 1), least(m.start, {BEFORE}))) as before,
-        lower(substr({text}, m.start + length(m.text) + 1, {AFTER})) as after))"""
-    test = f"({kind.test.replace('before', 'm.before')})"
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>"
+
+
+def _spans(kind: Kind, text: str, cut: str, rank: int) -> Column:
+    """The kind's spans of a text, in order; ``cut``: the text's blocks."""
+    found = _sql.matches(text, kind.pattern)
+    if kind.whole:
+        tails = f"transform({found}, m -> struct(m.start as start, {_sql.near(cut, 'm.start', str(_TAIL))} as tail))"
+        wholes = f"filter(transform({tails}, m -> struct(m.start as start, m.start + length({kind.whole}) as end, {kind.whole} as text)), m -> m.text is not null)"
+        found = _sql.first_of_overlapping(wholes)
+    tested = f"filter({found}, m -> {kind.test})"
+    with_context = f"""transform({tested}, m -> struct(m.start as start, m.text as text,
+        lower({_sql.near(cut, f"greatest(m.start - {BEFORE}, 0)", f"least(m.start, {BEFORE})")}) as before,
+        lower({_sql.near(cut, "m.start + length(m.text)", str(AFTER))}) as after))"""
     near = f"(concat(m.before, ' ', m.after) rlike '(?:^|[^a-z])(?:{kind.near})')"
-    against = "false" if kind.against == Kind.against else f"(m.before rlike '(?:^|[^a-z])(?:{kind.against})')"
+    against = f"(m.before rlike '(?:^|[^a-z])(?:{kind.against})')" if kind.against else "false"
     score = f"(cast({kind.prior} as double) + if({near}, {BONUS}D, 0D) - if({against}, {MALUS}D, 0D))"
-    confirmed = f"""transform(filter({with_context}, m -> {test} and {score} >= {kind.least}D), m -> struct(
+    confirmed = f"""transform(filter({with_context}, m -> {kind.context} and {score} >= {kind.least}D), m -> struct(
         m.start as start, {rank} as rank, m.start + length(m.text) as end, '{kind.name}' as kind, m.text as text, {score} as score))"""
-    kind_type = "array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>"
-    return F.expr(f"if({text} rlike {_quote(kind.hint)}, cast({confirmed} as {kind_type}), cast(array() as {kind_type}))")
+    return F.expr(f"if({text} rlike {_sql.quote(kind.hint)}, cast({confirmed} as {_SPANS}), cast(array() as {_SPANS}))")
 
 
 def find_pii(df: DataFrame, text: str = "text", *, base: tuple[Kind, ...] = BASE, added: tuple[Kind, ...] = ADDED, least: float = 0.0, output: str = "pii") -> DataFrame:
@@ -137,37 +137,36 @@ def find_pii(df: DataFrame, text: str = "text", *, base: tuple[Kind, ...] = BASE
     has none; other columns, repeated rows and nulls stay as they are; a column
     named like the output is replaced.
     """
-    hidden = "__pii_text"
+    hidden, blocks = "__pii_text", "__pii_blocks"
     staged = df.withColumn(hidden, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    # Texts without any hint are not cut.
+    any_hint = " or ".join(f"{hidden} rlike {_sql.quote(k.hint)}" for k in (*base, *added))
+    staged = staged.withColumn(blocks, F.expr(f"if({any_hint}, {_sql.blocks(hidden)}, cast(array() as array<string>))"))
     for at, kind in enumerate((*base, *added)):
-        staged = staged.withColumn(f"__pii_{at}", _spans(kind, hidden, at))
-    all_base = F.flatten(F.array(*(F.col(f"__pii_{i}") for i in range(len(base)))))
-    all_added = F.flatten(F.array(*(F.col(f"__pii_{len(base) + i}") for i in range(len(added))))) if added else None
-    staged = staged.withColumn("__pii_base", all_base)
-    spans = F.col("__pii_base")
-    if all_added is not None:
-        spans = F.concat(spans, F.filter(all_added, lambda s: ~F.exists("__pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    ordered = F.array_sort(F.filter(spans, lambda s: s["score"] >= least))
-    out = F.transform(ordered, lambda s: F.struct(s["start"], s["end"], s["kind"], s["text"], s["score"], (s["rank"] < len(base)).alias("is_base")))
-    return staged.withColumn(output, out).drop(hidden, "__pii_base", *(f"__pii_{i}" for i in range(len(base) + len(added))))
+        staged = staged.withColumn(f"__pii_{at}", _spans(kind, hidden, blocks, at))
+    staged = staged.withColumn("__pii_base", F.flatten(F.array(*(F.col(f"__pii_{i}") for i in range(len(base))))))
+    staged = staged.withColumn("__pii_added", F.flatten(F.array(*(F.col(f"__pii_{len(base) + i}") for i in range(len(added))))) if added else F.expr(f"cast(array() as {_SPANS})"))
+    staged = staged.withColumn("__pii_all", F.expr(_sql.apart("__pii_base", "__pii_added")))
+    out = F.transform(F.filter("__pii_all", lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"], s["text"], s["score"], (s["rank"] < len(base)).alias("is_base")))
+    return staged.withColumn(output, out).drop(hidden, blocks, "__pii_base", "__pii_added", "__pii_all", *(f"__pii_{i}" for i in range(len(base) + len(added))))
 
 
 def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Replace every span by its kind in brackets; overlapping spans become one."""
+    """Replace every span by its kind in brackets; of overlapping spans the later ones go with the first, to the end of the last."""
     found = find_pii(df, text, output="__pii", **options)
-    step = F.aggregate(
-        "__pii",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.col(text).substr(a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]")).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text))),
-    )
-    return found.withColumn(text, F.when(F.size("__pii") > 0, step).otherwise(F.col(text))).drop("__pii")
+    # A span that starts a stretch of overlapping ones ends where the stretch does.
+    reach = _sql.running("transform(__pii, s -> s.end)", "0", "greatest(c, v)")
+    later = f"reverse({_sql.running('transform(reverse(__pii), s -> s.start)', '2147483647', 'least(c, v)')})"
+    heads = f"filter(zip_with(__pii, zip_with({reach}, {later}, (e, n) -> struct(e as e, n as n)), (s, o) -> struct(s.start as start, greatest(s.end, o.e) as end, o.n as next, s.kind as kind, s.start >= o.e as head)), x -> x.head or x.end <= x.next)"
+    starts, ends = "filter(hs, x -> x.head)", "filter(hs, x -> x.end <= x.next)"
+    spans = _sql.let("hs", heads, f"zip_with({starts}, {ends}, (a, b) -> struct(a.start as start, b.end as end, a.kind as kind))")
+    shown = _sql.replaced("__pii_shown", spans, "concat('[', s.kind, ']')")
+    staged = found.withColumn("__pii_shown", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return staged.withColumn(text, F.when(F.size("__pii") > 0, F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__pii", "__pii_shown")
 
 
 def digest(found: DataFrame, *keep: str, spans: str = "pii") -> DataFrame:
-    """Counts and digests of :func:`find_pii`'s spans."""
+    """Counts and digests of :func:`find_pii`'s spans, and the spans' scores in their order."""
 
     def joined(column) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -176,4 +175,4 @@ def digest(found: DataFrame, *keep: str, spans: str = "pii") -> DataFrame:
     def count(name: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["is_base"] & (s["kind"] == name))).cast("long")
 
-    return found.select(*keep, *(count(k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return found.select(*keep, *(count(k.name).alias(f"n_{k.name}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
