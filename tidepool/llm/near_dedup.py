@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import _text
-from tidepool.llm._shared import cut
-from tidepool.llm.components import components, large_star, salted_join, small_star, tidy
+from tidepool.plans.lineage import cut
+from tidepool.operators.components import components, large_star, salted_join, small_star, tidy
 
 U = np.uint64
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import _text
-from tidepool.llm._shared import cut
+from tidepool.plans.lineage import cut, release
 
 U = np.uint64
 _MULTIPLIER = U(0xD6E8FEB86659FD93)
@@ -56,7 +56,7 @@ class Tree:
     divergence (in nats, times the context's count) at which a context is kept.
     ``discount`` is taken off each listed count in favour of the shorter context,
     ``alpha`` is added to each word's count at the root.  ``filter_bits``: log2 of
-    the bits in a filter.  A range of keys that is summed at once holds ``range_tokens``
+    the most bits in a filter, which has 16 for each key up to that.  A range of keys that is summed at once holds ``range_tokens``
     grams at most on average; ``most_tasks`` bounds the tasks that sum them.
     """
 
@@ -204,7 +204,8 @@ def _filter_batches(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa
 
 
 def _filter(df: DataFrame, bits: int) -> np.ndarray:
-    """A blocked Bloom filter of the keys h, of fixed size: it holds back most keys that are not there and none that is."""
+    """A blocked Bloom filter of the keys h, of at most 2**bits bits: it holds back most keys that are not there and none that is."""
+    bits = min(bits, max(12, (16 * df.count()).bit_length()))
     words = df.select("h").mapInArrow(lambda it: _filter_batches(it, bits), "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), U)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(U)
@@ -513,6 +514,7 @@ def _level(raw: DataFrame, below: DataFrame, how: Tree, often: int) -> tuple[Dat
     divergence = F.col("own") + F.greatest(F.col("times") - F.col("n"), F.lit(0)) * F.log(ratio)
     contexts = cut(sums.select("context", "times", F.when(divergence >= how.divergence, F.log10(ratio)).alias("weight")))
     judged = cut(_met(listed, contexts, "context", often).select("h", "n", F.when(F.col("weight").isNull(), F.col("q")).otherwise(F.log10("p")).alias("q"), (F.log10("p") - F.col("q") - F.col("weight")).alias("gain")))
+    release(listed)
     tag = F.lit(int(_CONTEXT.astype(np.int64)))
     of_contexts = contexts.filter("weight IS NOT NULL").select(F.col("context").bitwiseXOR(tag).alias("h"), "times", F.lit(False).alias("in_pair"), F.col("weight").alias("gain"))
     of_words = judged.filter("gain IS NOT NULL").select("h", F.col("n").alias("times"), F.lit(True).alias("in_pair"), "gain")
@@ -559,9 +561,11 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
         # A range holds some 2M of the tokens' grams, and a task takes one after another.
         runs = runs.repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range")
         raw = cut(runs.mapInArrow(lambda it: _listed_batches(it, how.next_floor), "h long, n long, context long, shorter long"))
+        seen.destroy()
         if raw.isEmpty():
             break
         level, added = _level(raw, level, how, floor(how.context_share, how.context_floor))
+        release(raw)
         gains.append(added)
     adds = gains[0] if gains else spark.createDataFrame([], "h long, times long, in_pair boolean, gain double")
     for more in gains[1:]:
