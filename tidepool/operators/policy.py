@@ -14,32 +14,50 @@ LEVELS = ("normal", "sensitive", "restricted")
 RULES = [("restricted_local", 10, None, 2, "local_only"), ("sensitive_redacted", 20, None, 1, "redacted"), ("fr_local", 30, "fr", None, "local_only"), ("default_allowed", 90, None, None, "allowed")]
 
 
-def has_card(text: Column) -> Column:
+def has_card(text: Column, low: Column) -> Column:
     """A digit run beside card words, one of whose candidates of 13 to 19 digits passes the Luhn check."""
     digits = F.transform(F.regexp_extract_all(text, F.lit(f"({T.CARD_RUN})"), 1), lambda c: F.regexp_replace(c, "[^0-9]", ""))
-    return text.rlike(T.java(T.CARD_HINT)) & text.rlike(T.java(T.CARD_WORDS)) & F.exists(digits, lambda d: F.char_length(d).between(13, 19) & T.luhn(d))
+    return T.hinted("card number", text, low) & text.rlike(T.java(T.CARD_WORDS)) & text.rlike(T.java(T.CARD_HINT)) & F.exists(digits, lambda d: F.char_length(d).between(13, 19) & T.luhn(d))
 
 
-def classify(text: Column) -> tuple[Column, Column]:
-    """(level, reasons) of a text: 2 restricted, 1 sensitive, 0 normal."""
-    hits = [(level, text.rlike(T.java(pattern)), why) for level, pattern, why in T.SIGNALS] + [(2, has_card(text), "card number")]
-    level = F.greatest(F.lit(0), *(F.when(hit, level).otherwise(0) for level, hit, _ in hits))
-    reasons = F.array_join(F.array_compact(F.array(*(F.when(hit, F.lit(why)) for _, hit, why in hits))), "; ")
-    return level, reasons
+def classify(text: Column) -> Column:
+    """A struct of level (2 restricted, 1 sensitive, 0 normal) and reasons of a text.
+
+    Each pattern is tried once, and only on texts that hold what it must hold.
+    """
+
+    def found(low: Column) -> Column:
+        hits = [(level, T.hinted(why, text, low) & text.rlike(T.java(pattern)), why) for level, pattern, why in T.SIGNALS] + [(2, has_card(text, low), "card number")]
+        return F.array_compact(F.array(*(F.when(hit, F.struct(F.lit(level).alias("level"), F.lit(why).alias("why"))) for level, hit, why in hits)))
+
+    def told(hits: Column) -> Column:
+        return F.struct(F.coalesce(F.array_max(F.transform(hits, lambda h: h["level"])), F.lit(0)).alias("level"), F.array_join(F.transform(hits, lambda h: h["why"]), "; ").alias("reasons"))
+
+    # Arrays of one element bind the lower-cased text and the hits, so that neither is made twice.
+    return F.element_at(F.transform(F.transform(F.array(F.lower(text)), found), told), 1)
 
 
 def redact(df: DataFrame, text: str) -> DataFrame:
     """Replace the text by its redacted form and add ``n_<kind>`` for each rule, applied in order."""
     for kind, pattern, by in T.REDACTIONS:
-        df = df.withColumn(f"n_{kind}", F.regexp_count(text, F.lit(T.java(pattern))).cast("long")).withColumn(text, F.regexp_replace(text, T.java(pattern), by))
-    return df
+        hint = T.hinted(kind, F.col(text), F.lower(text))
+        df = df.withColumn("__hit", F.coalesce(hint, F.lit(False)))
+        counted = F.when(F.col(text).isNull(), F.lit(None)).when(F.col("__hit"), F.regexp_count(text, F.lit(T.java(pattern)))).otherwise(0)
+        df = df.withColumn(f"n_{kind}", counted.cast("long")).withColumn(text, F.when(F.col("__hit"), F.regexp_replace(text, T.java(pattern), by)).otherwise(F.col(text)))
+    return df.drop("__hit")
+
+
+#: Rules are a list that users write; more of them than this are refused rather than sent to every task.
+MOST_RULES = 10_000
 
 
 def decide(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``rule`` and ``effect`` of the first rule that fits an item's (kind, level); without one the item is denied.
 
-    Rules are a short list that users write; items get them as one array.
+    Items get the rules as one array; more than MOST_RULES of them are an error.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     listed = rules.agg(F.sort_array(F.collect_list(F.struct("priority", "rule", "kind", "least", "effect"))).alias("rules"))
     fits = F.filter("rules", lambda r: (r["kind"].isNull() | (r["kind"] == F.col("kind"))) & (r["least"].isNull() | (F.col("level") >= r["least"])))
     first = items.crossJoin(F.broadcast(listed)).withColumn("first", F.get(fits, F.lit(0)))
@@ -62,8 +80,7 @@ decided AS (SELECT item_id, c.kind, body, level, coalesce(rule, 'none') AS rule,
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level, reasons = classify(F.col("body"))
-    return document_items(spark, sf_dir).select("item_id", "kind", "body", level.alias("level"), reasons.alias("reasons"))
+    return document_items(spark, sf_dir).select("item_id", "kind", "body", classify(F.col("body")).alias("c")).select("item_id", "kind", "body", "c.level", "c.reasons")
 
 
 @query(f"WITH {_CLASSIFIED} SELECT item_id, level, reasons FROM classified")
