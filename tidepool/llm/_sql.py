@@ -70,7 +70,8 @@ def apart(firm: str, loose: str) -> str:
 def first_of_overlapping(spans: str) -> str:
     """SQL: of an array of structs with start and end, in order, those that no earlier one reaches into."""
     ends = running("transform(zs, z -> z.end)", "0", "greatest(c, v)")
-    return f"if(size({spans}) < 2, {spans}, {let('zs', f'array_sort({spans})', f'transform(filter(zip_with(zs, {ends}, (z, e) -> struct(z as z, e as e)), x -> x.e <= x.z.start), x -> x.z)')})"
+    kept = f"transform(filter(zip_with(zs, {ends}, (z, e) -> struct(z as z, e as e)), x -> x.e <= x.z.start), x -> x.z)"
+    return let("ys", spans, f"if(size(ys) < 2, ys, {let('zs', 'array_sort(ys)', kept)})")
 
 
 def replaced(text: str, spans: str, mark: str) -> str:

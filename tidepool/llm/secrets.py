@@ -1,11 +1,13 @@
 """Secret scans: patterns propose findings, a random forest takes out the false ones.
 
-Proposals are values assigned to secret-sounding names and long runs of key
-characters.  Each is described by its length and alphabet, its character
-transitions, how much of it dictionary words cover, whether it lies in a path,
-and the words beside it.  The forest is trained on labelled findings, a bounded
-sample, and then written out as one SQL expression, so that scanning is a single
-projection over each row: no shuffle and no Python.
+Proposals are private-key blocks, signed tokens, credentials in addresses,
+values assigned to secret-sounding names, and long runs of key characters.
+Each is described by its length and alphabet, its character transitions, how
+much of it dictionary words cover, whether it lies in a path, and the words
+beside it.  The forest is trained on the labelled findings of
+:mod:`tidepool.llm.secret_samples`, whose labels come from what each value was
+made as, not from these features; it is then written out as one SQL expression,
+so that scanning is a single projection over each row: no shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -14,15 +16,21 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.plans.lineage import cut
+from tidepool.llm import _sql, secret_samples
 from tidepool.llm._sql import matches, quote
+from tidepool.plans.lineage import cut
 
-_NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential"
+_NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 _KEY = "A-Za-z0-9_+/=-"
+_BLOCK = r"-----BEGIN (?:[A-Z]{1,16} ){0,4}?PRIVATE KEY-----[^-]++-----END (?:[A-Z]{1,16} ){0,4}?PRIVATE KEY-----"
+_SIGNED = rf"(?<![{_KEY}.])eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]*+"
+_LOGIN = r"://[^\s/:@\"'<>]{1,64}+:[^\s/:@\"'<>]{4,}+@"
 ASSIGNED = rf"(?i)(?:{_NAMES})[a-z0-9_-]{{0,30}}+[\"']?[ \t]*+[:=][ \t]*+[\"']?[^\s\"'<>]{{8,}}+"
+#: What an assignment ends with, and what may follow its value.
+_LAST, _TRAILING = r"""[^\s"'=:<>]+=*$""", r"[,;.)#*$%&|}\]]+$"
 RUN = rf"(?<![{_KEY}])[{_KEY}]{{20,}}+"
 _INNOCENT = "sha1|sha256|md5|hash|commit|uuid|checksum|digest|example|sample|placeholder|your"
 #: Feature names, in the order of the forest's input; SQL over a finding c.
@@ -35,10 +43,14 @@ FEATURES = {
     "variety": "size(array_distinct(split(c.text, ''))) / length(c.text)",
     "consonants": "length(regexp_replace(c.text, '[^bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]', '')) / length(c.text)",
     "covered": "{covered}",
-    "in_path": "if(c.text like '%/%' or c.before rlike '(?:/|://[^ ]*)$', 1D, 0D)",
+    "in_path": "if(c.text like '%/%/%' or c.before rlike '(?:/|://[^ ]*)$', 1D, 0D)",
     "test_path": "if(c.path rlike '(?i)test|example|fixture|sample|doc', 1D, 0D)",
     "secret_words": f"if(c.before rlike '(?i){_NAMES}', 1D, 0D)",
     "innocent_words": f"if(c.before rlike '(?i){_INNOCENT}', 1D, 0D)",
+    "dots": "length(c.text) - length(replace(c.text, '.', ''))",
+    "block": "if(c.text like '-----BEGIN%', 1D, 0D)",
+    "login": "if(c.before rlike '://[^ /]*:$' and c.after like '@%', 1D, 0D)",
+    "repeats": "length(regexp_replace(c.text, '(.)\\\\1+', '')) / length(c.text)",
     "quoted": r"""if(c.before rlike '["\'`]$' and c.after rlike '^["\'`]', 1D, 0D)""",
     "assigned": r"""if(c.before rlike '[:=][ \\t]*["\'`]?$', 1D, 0D)""",
 }
@@ -46,13 +58,12 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Forest:
-    """``sample`` bounds the labelled findings of either kind used in training; ``words`` the dictionary that is counted over all texts."""
+    """``sample`` labelled findings are trained on; ``words`` are in the dictionary that is counted over all texts."""
 
-    trees: int = 16
-    depth: int = 5
-    sample: int = 4000
+    trees: int = 20
+    depth: int = 7
+    sample: int = 6000
     words: int = 300
-    least_positives: int = 8
     votes: float = 0.5
     seed: int = 11
 
@@ -65,14 +76,29 @@ class Detector:
     votes: float
 
 
+def _values(text: str, pattern: str, value: str) -> str:
+    """SQL: of each match m of a pattern its part ``value``, at the last place where it holds that; struct<start, end, text>."""
+    found = f"filter(transform({matches(text, pattern)}, m -> struct(m.start as start, m.text as whole, {value} as text)), m -> length(m.text) > 0)"
+    placed = f"transform({found}, m -> struct(m.start + length(m.whole) - length(m.text) - instr(reverse(m.whole), reverse(m.text)) + 1 as start, m.text as text))"
+    return f"transform({placed}, m -> struct(m.start as start, m.start + length(m.text) as end, m.text as text))"
+
+
 def findings(text: str, path: str = "''") -> str:
-    """SQL: a text's proposals, array<struct<start, text, before, after, path>> in order."""
-    value = r"regexp_extract(m.text, '[^\\s\"\'=:<>]+$', 0)"
-    assigned = f"if({text} rlike '[:=]', filter(transform({matches(text, ASSIGNED)}, m -> struct(m.start + length(m.text) - length({value}) as start, {value} as text)), m -> length(m.text) >= 8), cast(array() as array<struct<start:int,text:string>>))"
-    runs = f"if({text} rlike {quote(RUN)}, {matches(text, RUN)}, cast(array() as array<struct<start:int,text:string>>))"
-    both = f"aggregate(array({assigned}), cast(array() as array<struct<start:int,text:string>>), (_, a) -> concat(a, filter({runs}, r -> not exists(a, s -> s.start < r.start + length(r.text) and r.start < s.start + length(s.text)))))"
-    return f"""transform(array_sort({both}), m -> struct(m.start as start, m.text as text,
-        substr({text}, greatest(m.start - 39, 1), least(m.start, 40)) as before, substr({text}, m.start + length(m.text) + 1, 10) as after, {path} as path))"""
+    """SQL: a text's proposals, array<struct<start, text, before, after, path>> in order.
+
+    Where proposals overlap, the earlier one stands, and a bare run gives way to all others.
+    """
+    kind, none = "array<struct<start:int,end:int,text:string>>", "cast(array() as array<struct<start:int,end:int,text:string>>)"
+    assigned = f"regexp_replace(regexp_extract(m.text, {quote(_LAST)}, 0), {quote(_TRAILING)}, '')"
+    login = "regexp_extract(m.text, ':([^:@]+)@$', 1)"
+    told = f"""flatten(array(
+        if({text} like '%PRIVATE KEY-----%', {_values(text, _BLOCK, 'm.text')}, {none}), if({text} like '%eyJ%', {_values(text, _SIGNED, 'm.text')}, {none}),
+        if({text} like '%://%@%', {_values(text, _LOGIN, login)}, {none}), if({text} rlike '[:=]', filter({_values(text, ASSIGNED, assigned)}, m -> length(m.text) >= 8), {none})))"""
+    runs = f"if({text} rlike {quote(RUN)}, cast(transform({matches(text, RUN)}, m -> struct(m.start as start, m.start + length(m.text) as end, m.text as text)) as {kind}), {none})"
+    both = _sql.let("firm", _sql.first_of_overlapping(f"cast({told} as {kind})"), _sql.let("loose", runs, f"if(size(firm) + size(loose) = 0, {none}, {_sql.apart('firm', 'loose')})"))
+    shown = _sql.let("bs", _sql.blocks(text), f"""transform(ms, m -> struct(m.start as start, m.text as text,
+        {_sql.near('bs', 'greatest(m.start - 40, 0)', 'least(m.start, 40)')} as before, {_sql.near('bs', 'm.start + length(m.text)', '10')} as after, {path} as path))""")
+    return _sql.let("ms", both, f"if(size(ms) = 0, cast(array() as array<struct<start:int,text:string,before:string,after:string,path:string>>), {shown})")
 
 
 def with_findings(df: DataFrame, text: str, path: str | None, output: str) -> DataFrame:
@@ -81,12 +107,6 @@ def with_findings(df: DataFrame, text: str, path: str | None, output: str) -> Da
     return staged.withColumn(output, F.expr(findings("__text", "__path"))).drop("__text", "__path")
 
 
-def annotate(c: str = "c") -> str:
-    """SQL: the label of a finding by rule: a random-looking value in quotes, assigned to a secret-sounding name."""
-    f = {k: v.replace("c.", f"{c}.") for k, v in FEATURES.items()}
-    return f"({f['secret_words']} = 1 and {f['assigned']} = 1 and {f['quoted']} = 1 and {f['innocent_words']} = 0 and {f['digits']} >= 0.1 and length({c}.text) >= 16)"
-
-
 def dictionary(df: DataFrame, text: str, how: Forest) -> list[str]:
     """The words of 4 to 12 letters in most of the distinct texts."""
     rows = df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
@@ -104,20 +124,11 @@ def _expression(node, names: list[str]) -> str:
 
 
 def train(labelled: DataFrame, words: list[str], how: Forest = Forest()) -> Detector:  # noqa: B008
-    """Train on labelled findings: rows (c, label) with c as from :func:`findings`.
-
-    Of each label the first ``sample`` in hash order count.  With fewer than
-    ``least_positives`` true findings the rule of :func:`annotate` stands in for
-    the forest.
-    """
+    """Train on labelled findings: rows (c, label) with c as from :func:`findings`, a table of bounded size."""
     covered = f"1 - length(regexp_replace(lower(c.text), {quote('|'.join(sorted(words, key=len, reverse=True)))}, '')) / length(c.text)" if words else "0D"
     features = {k: f"cast({v.replace('{covered}', covered)} as double)" for k, v in FEATURES.items()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("c"))
-    bounded = labelled.select("c", F.col("label").cast("double").alias("label")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= how.sample)
-    # A bounded table; in one partition and order, so that the forest comes out the same each time.
-    table = cut(bounded.select("label", *(F.expr(v).alias(k) for k, v in features.items())).repartition(1).sortWithinPartitions("label", *features))
-    if table.filter("label = 1").count() < how.least_positives:
-        return Detector(f"if({annotate('c')}, 1D, 0D)", how.votes)
+    # In one partition and order, so that the forest comes out the same each time.
+    table = cut(labelled.select(F.col("label").cast("double").alias("label"), *(F.expr(v).alias(k) for k, v in features.items())).repartition(1).sortWithinPartitions("label", *features))
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
     forest = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, seed=how.seed, maxBins=32).fit(data)
     votes = " + ".join(_expression(tree._java_obj.rootNode(), list(features)) for tree in forest.trees)
@@ -125,23 +136,6 @@ def train(labelled: DataFrame, words: list[str], how: Forest = Forest()) -> Dete
     return Detector(f"aggregate(array(array({inputs})), 0D, (_, f) -> ({votes}) / {how.trees})", how.votes)
 
 
-def labelled_findings(df: DataFrame, text: str = "text", path: str | None = "source") -> DataFrame:
-    """(c, label) of a table's findings, labelled by :func:`annotate`, with variants of the true ones.
-
-    From each true finding come one without its telling words and one in another
-    alphabet (both still true), one with letters for its digits (false) and one that is named a commit (false),
-    so that the forest has to look at value and context together.
-    """
-    found = with_findings(df.select(*{text, *([path] if path else [])}), text, path, "__found").select(F.explode("__found").alias("c"))
-    labelled = cut(found.select("c", F.expr(annotate("c")).cast("int").alias("label")))
-    true = labelled.filter("label = 1")
-    bare = true.select(F.expr("""struct(c.start as start, c.text as text, regexp_replace(c.before, '[A-Za-z_]+ *[:=] *(["\\']?)$', '= $1') as before, c.after as after, c.path as path)""").alias("c"), "label")
-    prose = true.select(F.expr("struct(c.start as start, translate(c.text, '0123456789', 'aeiontrslh') as text, c.before as before, c.after as after, c.path as path)").alias("c"), F.lit(0).alias("label"))
-    named = true.select(F.expr("struct(c.start as start, c.text as text, concat(substr(c.before, 1, 20), ' commit ') as before, ' ' as after, c.path as path)").alias("c"), F.lit(0).alias("label"))
-    mixed = true.select(F.expr("struct(c.start as start, translate(c.text, '0123456789abcdef', '7KqZ3xWm9RtB2vYp') as text, c.before as before, c.after as after, c.path as path)").alias("c"), "label")
-    return labelled.unionByName(bare).unionByName(mixed).unionByName(prose).unionByName(named)
-
-
 def scan(df: DataFrame, detector: Detector, text: str = "text", path: str | None = "source", *, output: str = "findings") -> DataFrame:
     """Add ``output``: every finding of the text with ``start``, ``end``, ``text``, ``score`` and ``is_secret``.
 
@@ -157,20 +151,15 @@ def scan(df: DataFrame, detector: Detector, text: str = "text", path: str | None
 def redact(df: DataFrame, detector: Detector, text: str = "text", path: str | None = "source", *, mark: str = "[secret]") -> DataFrame:
     """Replace every secret in the text by ``mark``; all rows and columns stay."""
     found = scan(df, detector, text, path, output="__findings")
-    secrets = F.filter("__findings", lambda c: c["is_secret"])
-    column = F.col(f"`{text}`")
-    step = F.aggregate(
-        secrets,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], column.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")),
-        lambda a: F.concat(a["out"], column.substr(a["at"] + 1, F.length(column))),
-    )
-    return found.withColumn(text, F.when(F.exists("__findings", lambda c: c["is_secret"]), step).otherwise(column)).drop("__findings")
-
-
-def fit(df: DataFrame, text: str = "text", path: str | None = "source", how: Forest = Forest()) -> Detector:  # noqa: B008
-    """A detector trained on the table's own labelled findings."""
-    return train(labelled_findings(df, text, path), dictionary(df, text, how), how)
+    shown = _sql.replaced("__scan_shown", "filter(__findings, c -> c.is_secret)", quote(mark))
+    staged = found.withColumn("__scan_shown", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return staged.withColumn(text, F.when(F.exists("__findings", lambda c: c["is_secret"]), F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__findings", "__scan_shown")
+
+
+def fit(df: DataFrame, text: str = "text", how: Forest = Forest(), kinds: list[str] | None = None) -> Detector:  # noqa: B008
+    """A detector trained on the shipped labelled findings (of all kinds, or those named), with the dictionary of the table's own texts."""
+    words = dictionary(df, text, how)
+    return train(secret_samples.labelled(df.sparkSession, how.sample, words, kinds), words, how)
 
 
 def digest(scanned: DataFrame, *keep: str, findings: str = "findings") -> DataFrame:
