@@ -379,6 +379,79 @@ def test_kneser_ney_is_a_distribution(spark):
 
 
 @pytest.mark.parametrize("search", [knn.Search(), knn.Search(shard_rows=300, block_queries=40, leaf=16), knn.Search(shard_rows=100, pivots=3)])
+def _perplexity_by_definition(training, text, order):
+    """Log probability of a text's bytes under interpolated modified Kneser-Ney, from its definition."""
+    tops = collections.Counter()
+    for t in training:
+        padded = b"\n" * (order - 1) + t
+        tops.update(padded[i : i + order] for i in range(len(t)))
+    tables = {order: tops}
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    discounts, followers = {}, {}
+    for k, table in tables.items():
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in table.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[k] = [min(i, max(0.05, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        followers[k] = collections.defaultdict(list)
+        for g, c in table.items():
+            followers[k][g[:-1]].append(c)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 257
+        own = followers[k].get(gram[:-1])
+        if own is None:
+            return p(gram[1:])
+        d, total = discounts[k], sum(own)
+        c = tables[k].get(gram, 0)
+        return max(c - (d[min(c, 3) - 1] if c else 0), 0) / total + sum(d[min(x, 3) - 1] for x in own) / total * p(gram[1:])
+
+    padded = b"\n" * (order - 1) + text
+    return sum(math.log(p(padded[i : i + order])) for i in range(len(text)))
+
+
+def test_perplexity_by_brute_force(spark):
+    random.seed(31)
+    syllables = ["ta", "ri", "mo", "é", " "]
+    rows = [(i, "".join(random.choices(syllables, k=random.randint(5, 40))), "en") for i in range(60)] + [(100, "zzz xq", "en"), (101, "", "en"), (102, None, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    how = quality_classifier.Model(order=4, held_one_in=3)
+    trusted = frame.filter("doc_id < 50").select("doc_id")
+    got = {r["doc_id"]: r for r in quality_classifier.score_documents(frame, trusted, how=how).collect()}
+    documents = frame.select(F.col("doc_id").alias("doc"), "lang", F.octet_length("text").alias("size"))
+    chosen = {r["doc"] for r in quality_classifier.training_sample(documents, trusted.withColumnRenamed("doc_id", "doc"), how).collect()}
+    texts = {d: (t or "").encode() for d, t, _ in rows}
+    assert 20 < len(chosen) < 50
+    logs = {d: _perplexity_by_definition([texts[c] for c in chosen], t, how.order) for d, t in texts.items()}
+    held = [d for d in range(50) if d not in chosen]
+    mean = sum(round(logs[d] * 1000) for d in held) / sum(len(texts[d]) for d in held) / 1000
+    for d, t in texts.items():
+        expected = math.exp(-(logs[d] + how.prior_bytes * mean) / (len(t) + how.prior_bytes)) if t else None
+        assert got[d]["perplexity"] == (None if expected is None else pytest.approx(expected, rel=1e-4))
+
+
+@pytest.mark.parametrize("few", [3, 40, 300])
+def test_thresholds_of_small_languages_lean_on_all(spark, few):
+    random.seed(32)
+    text = lambda s: " ".join("".join(random.choices(s, k=random.randint(1, 4))) for _ in range(60))
+    rows = [(i, text(["ta", "ri", "mo", "len"]), "en") for i in range(600)] + [(1000 + i, text(["ko", "vu", "ta", "zi"]), "xx") for i in range(few)] + [(3000, " ".join("X%%" + str(random.random()) for _ in range(60)), "xx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality_classifier.score_documents(frame, frame.filter("doc_id < 3000").select("doc_id")).collect()}
+    assert not out[3000]["kept"] and sum(r["kept"] for d, r in out.items() if d < 3000) >= 0.97 * (600 + few)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    one, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    frame = spark.createDataFrame([(5, one), (5, other), (5, one), (1, one), (2, other), (7, "z")], "doc_id long, text string")
+    hashes = {t: frame.filter(F.col("text") == t).select(F.xxhash64("text")).first()[0] for t in (one, other)}
+    mate = 1 if hashes[one] < hashes[other] else 2
+    got = near_dedup.near_duplicates(frame).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, mate), (1, 1), (2, 2), (7, 7)} and len(got) == 6
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(frame).collect()) == [1, 2, 7]
+
+
 def test_top_k_by_brute_force(spark, search):
     rng = np.random.default_rng(3)
     points = rng.normal(size=(5000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 5000)]

@@ -137,7 +137,7 @@ def _sketch_batches(batches: Iterable[pa.RecordBatch], text: str, how: Sketching
                 prints.append(pa.array((sums[sets.offsets[1:]] - sums[sets.offsets[:-1]]).view(np.int64)))
             registers = sketch(sets, how)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(how.registers), part.num_rows, [None, pa.py_buffer(registers.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sizes), *prints, packed], names=["doc", "n", "f", "g", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(sizes), *prints, packed], names=["doc", "th", "n", "f", "g", "registers"])
 
 
 def _band_batches(batches: Iterable[pa.RecordBatch], how: Sketching) -> Iterator[pa.RecordBatch]:
@@ -312,14 +312,21 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     lower-cased in A-Z; fewer words: the whole sequence) have a similarity of
     ``how.percent`` percent or more; a component is the smallest id reachable.
     Documents without words are linked with nothing.  Rows that share an id are
-    one document to the grouping and get the same component; a row without an
-    id is linked with nothing and has a null component; both are kept if the
-    id is its component's or missing.  An empty table gives an empty result.
+    one document, whose text is that of smallest xxhash64, and get the same
+    component; a row without an id is linked with nothing and has a null
+    component; both are kept if the id is its component's or missing.  An empty
+    table gives an empty result.
     """
-    rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    schema = "doc long, n long, f long, g long, registers binary"
+    rows = df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
+    schema = "doc long, th long, n long, f long, g long, registers binary"
     sketches = cut(rows.mapInArrow(lambda it: _sketch_batches(it, "text", how), schema))
     solid = sketches.filter("n > 0 AND doc IS NOT NULL")
+    # Ids with several texts, if there are any, are rewritten to the text that stands for them.
+    several = cut(sketches.filter("doc IS NOT NULL").groupBy("doc").agg(F.min("th").alias("least"), F.max("th").alias("most")).filter("least < most").select("doc", "least"))
+    mixed_ids = not several.isEmpty()
+    if mixed_ids:
+        solid = solid.join(several, "doc", "left").filter("least IS NULL OR th = least").drop("least")
+        rows = rows.join(several, "doc", "left").filter("least IS NULL OR th = least").drop("least")
     classes = cut(solid.groupBy("f", "g", "n").agg(F.min("doc").alias("rep"), F.first("registers").alias("registers")))
     reps = classes.select("rep", "n", "registers")
 
@@ -360,14 +367,26 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     final = components(links.union(more))
 
     of_class = classes.select("f", "g", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
-    out = salted_join(sketches.drop("registers"), of_class, ["f", "g", "n"], "doc", "left")
+    given = sketches.drop("registers")
+    if mixed_ids:
+        stands = sketches.join(several, "doc").filter("th = least").select("doc", F.struct("f", "g", "n").alias("s")).dropDuplicates(["doc"])
+        given = given.join(stands, "doc", "left").select("doc", F.coalesce("s.f", "f").alias("f"), F.coalesce("s.g", "g").alias("g"), F.col("n").alias("own_n"), F.coalesce("s.n", "n").alias("n"))
+    else:
+        given = given.withColumn("own_n", F.col("n"))
+    out = salted_join(given, of_class, ["f", "g", "n"], "doc", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     component = F.when(F.col("doc").isNotNull(), component)
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("own_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, how: Sketching = Sketching()) -> DataFrame:  # noqa: B008
-    """One document of each component, the one with the smallest id; rows without an id stay."""
+    """One document of each component, the one with the smallest id; rows without an id stay.
+
+    Of rows that share an id one stays, with the text that stands for the id
+    (that of smallest xxhash64); if these differ in other columns, any of them.
+    """
     kept = near_duplicates(df, text, doc, how=how).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc")).distinct()
-    named = df.join(kept, F.col(f"`{doc}`").cast("long") == F.col("__doc"), "left_semi").dropDuplicates([doc])
+    key, hashed = F.col(f"`{doc}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    least = df.filter(key.isNotNull()).groupBy(key.alias("__doc")).agg(F.min(hashed).alias("__least"))
+    named = df.join(kept.join(least, "__doc"), (key == F.col("__doc")) & (hashed == F.col("__least")), "left_semi").dropDuplicates([doc])
     return named.union(df.filter(F.col(f"`{doc}`").isNull()))
