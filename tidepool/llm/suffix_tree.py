@@ -71,7 +71,7 @@ class Tree:
     discount: float = 0.75
     alpha: float = 0.1
     filter_bits: int = 27
-    range_tokens: int = 2_000_000
+    range_tokens: int = 4_000_000
     most_tasks: int = 10_000
 
 
@@ -86,7 +86,7 @@ def _slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBat
     ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0)))])
     row = 0
     while row < batch.num_rows:
-        end = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1), row + (1 << 20))
         yield batch.slice(row, end - row)
         row = end
 
@@ -220,7 +220,7 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of an array, all first bytes before all second ones, so that a codec finds the empty ones."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def _unplaned(data: memoryview, kind: np.dtype, n: int) -> np.ndarray:
@@ -259,17 +259,18 @@ def _packed(found: pa.RecordBatch, hot: np.ndarray, ranges: int) -> Iterator[pa.
     for a, b in zip(edges, edges[1:]):
         first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
         many = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
-        runs.append(np.array([b - a, len(first)], np.int64).tobytes() + context[a:b][first].tobytes() + shorter[a:b].tobytes() + many.tobytes() + n[a:b].tobytes())
+        steps = np.diff(context[a:b][first], prepend=U(0))
+        runs.append(np.array([b - a, len(first)], np.int64).tobytes() + _planes(steps) + shorter[a:b].tobytes() + _planes(many) + _planes(n[a:b]))
     yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["range", "run"])
 
 
 def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    size, contexts = np.frombuffer(run, np.int64, 2).tolist()
-    at = 16
-    own = np.frombuffer(run, U, contexts, at)
-    shorter = np.frombuffer(run, U, size, at + 8 * contexts)
-    at += 8 * (contexts + size)
-    many, n = np.frombuffer(run, np.uint32, contexts, at), np.frombuffer(run, np.uint32, size, at + 4 * contexts)
+    data, (size, contexts) = memoryview(run), np.frombuffer(run, np.int64, 2).tolist()
+    own = np.cumsum(_unplaned(data[16:], np.dtype(U), contexts), dtype=U)
+    at = 16 + 8 * contexts
+    shorter = np.frombuffer(data, U, size, at)
+    many = _unplaned(data[at + 8 * size :], np.dtype(np.uint32), contexts)
+    n = _unplaned(data[at + 8 * size + 4 * contexts :], np.dtype(np.uint32), size)
     return np.repeat(own, many), shorter, n.astype(np.int64)
 
 
@@ -311,7 +312,8 @@ class _Model:
     log_base: np.ndarray
 
 
-_SCORED = "range long, kind int, h long, n long, gain double, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
+_SCORED = "range long, kind int, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
+_TOLD = "first long, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
 _SUMS = "row long, doc long, n_tokens long, n_known long, base double, score double"
 _TABLE, _RUN, _ROW = 0, 1, 2
 
@@ -356,6 +358,7 @@ def _questions(run: bytes) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.n
 def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree, ranges: int) -> Iterator[pa.RecordBatch]:
     """A row per document with what the broadcast keys tell, and runs of the keys (of words, or of the tree) that are not broadcast."""
     context = TaskContext.get()
+    # Each slice of documents has a stretch of 2**20 numbers to itself.
     row_id = (context.partitionId() if context else 0) << 40
     m: _Model = model.value
     for batch in batches:
@@ -391,21 +394,56 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree, ranges:
             runs = list(_asked([(tokens[rare], owner[rare]), tuple(np.concatenate(x) for x in zip(*asked, strict=True))], row_id, ranges))
             if runs:
                 yield _partial(_SCORED, range=[r[0] for r in runs], kind=[_RUN] * len(runs), run=[r[1] for r in runs])
-            row_id += rows
+            row_id += 1 << 20
+
+
+def _table_batches(batches: Iterable[pa.RecordBatch], ranges: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Packed runs of (h, n, gain) by range: words with their counts, then keys of the tree with what they add."""
+    held: list[tuple] = []
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        h, n, gain = (np.concatenate(c) for c in zip(*held, strict=True))
+        part, in_tree = np.mod(h, ranges), np.isnan(n)
+        order = np.lexsort((h.view(U), in_tree, part))
+        h, part, in_tree, n, gain = h[order].view(U), part[order], in_tree[order], n[order], gain[order]
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]]).tolist()
+        runs = []
+        for a, b in zip(edges, edges[1:]):
+            cut_at = a + int(np.count_nonzero(~in_tree[a:b]))
+            words = np.array([cut_at - a, b - cut_at], np.int64).tobytes() + _planes(np.diff(h[a:cut_at], prepend=U(0))) + _planes(n[a:cut_at].astype(np.int64))
+            runs.append(words + _planes(np.diff(h[cut_at:b], prepend=U(0))) + gain[cut_at:b].tobytes())
+        yield _partial(_SCORED, range=part[edges[:-1]], kind=np.full(len(runs), _TABLE), run=runs)
+        held.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "n", "gain")))
+            held[-1] = (held[-1][0], held[-1][1].astype(float), held[-1][2].astype(float))
+            if sum(len(x[0]) for x in held) > most:
+                yield from packed()
+    if held:
+        yield from packed()
+
+
+def _table_parts(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, (words, keys) = memoryview(run), np.frombuffer(run, np.int64, 2).tolist()
+    h = np.cumsum(_unplaned(data[16:], np.dtype(U), words), dtype=U)
+    n = _unplaned(data[16 + 8 * words :], np.dtype(np.int64), words)
+    at = 16 + 16 * words
+    return h, n, np.cumsum(_unplaned(data[at:], np.dtype(U), keys), dtype=U), np.frombuffer(data, float, keys, at + 8 * keys)
 
 
 def _answer_batches(batches: Iterable[pa.RecordBatch], alpha: float, log_norm: float) -> Iterator[pa.RecordBatch]:
-    """Rows by range, tables before runs: for every run the sums that it asked for, a row for each of its documents."""
+    """Rows by range, tables before runs: for every run, in one row, the sums that its documents asked for; documents' own rows go through."""
     now, held, table = None, [], None
 
-    def sorted_table() -> tuple:
-        h, n, gain = (np.concatenate(c) if held else np.zeros(0) for c in (zip(*held, strict=True) if held else ((), (), ())))
-        h, is_word = h.astype(np.int64).view(U), np.isnan(gain)
-        out = []
-        for chosen, values in ((is_word, n), (~is_word, gain)):
-            order = np.argsort(h[chosen])
-            out.append((h[chosen][order], values[chosen][order]))
-        return tuple(out)
+    def sorted_table() -> list[tuple[np.ndarray, np.ndarray]]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, U), np.zeros(0), np.zeros(0, U), np.zeros(0)]
+        orders = [np.argsort(columns[k]) for k in (0, 2)]
+        return [(columns[k][o], columns[k + 1][o]) for k, o in zip((0, 2), orders, strict=True)]
+
+    def found(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0, 0)
 
     for batch in batches:
         ranges, kinds = batch.column("range").to_numpy(), batch.column("kind").to_numpy()
@@ -415,25 +453,57 @@ def _answer_batches(batches: Iterable[pa.RecordBatch], alpha: float, log_norm: f
             if ranges[a] != now:
                 now, held, table = ranges[a], [], None
             if kinds[a] == _TABLE:
-                held.append((part.column("h").to_numpy(), part.column("n").fill_null(0).to_numpy(), part.column("gain").to_numpy(zero_copy_only=False)))
+                held += [_table_parts(run.as_py()) for run in part.column("run")]
             elif kinds[a] == _ROW:
-                yield part.select([f.split()[0] for f in _SUMS.split(", ")])
+                yield _partial(_TOLD, **{c: part.column(c) for c in ("row", "doc", "n_tokens", "n_known", "base", "score")}, first=pa.array(part.column("row").to_numpy() >> 20))
             else:
-                if table is None:
-                    table = sorted_table()
+                table = table or sorted_table()
                 for run in part.column("run"):
                     first, (of_words, of_tree) = _questions(run.as_py())
                     h, owner, times = of_words
-                    at = _lookup(table[0][0], h)
-                    n = np.where(at >= 0, table[0][1][np.maximum(at, 0)] if len(table[0][1]) else 0, 0)
+                    n = found(_lookup(table[0][0], h), table[0][1])
                     own = times * (np.log10(n + alpha) - log_norm)
                     h, to, many = of_tree
-                    at = _lookup(table[1][0], h)
-                    gain = np.where(at >= 0, many * (table[1][1][np.maximum(at, 0)] if len(table[1][1]) else 0.0), 0.0)
+                    gain = many * found(_lookup(table[1][0], h), table[1][1])
                     size = int(max(owner.max(initial=-1), to.max(initial=-1))) + 1
                     known, base, more = (np.bincount(o, weights=w, minlength=size) for o, w in ((owner, times * (n > 0)), (owner, own), (to, gain)))
                     rows = np.flatnonzero((np.bincount(owner, minlength=size) > 0) | (more != 0))
-                    yield _partial(_SUMS, row=first + rows, n_known=known[rows].astype(np.int64), base=base[rows], score=(base + more)[rows])
+                    sums = np.array([first, len(rows)], np.int64).tobytes() + _planes(rows.astype(np.uint32)) + _planes(known[rows].astype(np.uint32)) + base[rows].tobytes() + more[rows].tobytes()
+                    yield _partial(_TOLD, first=[first >> 20], run=pa.array([sums], pa.binary()))
+
+
+def _sum_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by ``first``: each stretch of documents with all its sums added up."""
+    now, own, sums = None, [], []
+
+    def added() -> pa.RecordBatch:
+        told = pa.Table.from_batches(own).sort_by("row")
+        rows = told.column("row").to_numpy()
+        totals = [told.column(c).to_numpy().astype(float) for c in ("n_known", "base", "score")]
+        for run in sums:
+            first, n = np.frombuffer(run, np.int64, 2).tolist()
+            data = memoryview(run)
+            at = np.searchsorted(rows, first + _unplaned(data[16:], np.dtype(np.uint32), n).astype(np.int64))
+            known = _unplaned(data[16 + 4 * n :], np.dtype(np.uint32), n)
+            base, more = (np.frombuffer(data, float, n, 16 + 8 * n + k * 8 * n) for k in (0, 1))
+            for total, part in zip(totals, (known, base, base + more), strict=True):
+                total[at] += part
+        return pa.RecordBatch.from_arrays([told.column("row").combine_chunks(), told.column("doc").combine_chunks(), told.column("n_tokens").combine_chunks(), pa.array(totals[0].astype(np.int64)), *(pa.array(t) for t in totals[1:])], names=[f.split()[0] for f in _SUMS.split(", ")])
+
+    for batch in batches:
+        firsts, is_run = batch.column("first").to_numpy(), np.asarray(batch.column("run").is_valid())
+        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(firsts)), bool), firsts[1:] != firsts[:-1]])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(firsts)]):
+            if firsts[a] != now:
+                if own:
+                    yield added()
+                now, own, sums = firsts[a], [], []
+            part = batch.slice(a, b - a)
+            sums += [r.as_py() for r in part.column("run").filter(pa.array(is_run[a:b]))]
+            if not is_run[a:b].all():
+                own.append(part.filter(pa.array(~is_run[a:b])).select(["row", "doc", "n_tokens", "n_known", "base", "score"]))
+    if own:
+        yield added()
 
 
 def _array(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -577,7 +647,8 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
 
     parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how, ranges), _SCORED)
     tables = counts.select("h", "n", F.lit(None).cast("double").alias("gain")).unionByName(adds.filter(~often).select("h", F.lit(None).cast("long").alias("n"), "gain"))
-    tables = tables.select(F.pmod("h", F.lit(ranges)).cast("long").alias("range"), F.lit(_TABLE).alias("kind"), "h", "n", "gain")
-    met = parts.unionByName(tables, allowMissingColumns=True).repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range", "kind")
-    summed = met.mapInArrow(lambda it: _answer_batches(it, how.alpha, log_norm), _SUMS).groupBy("row").agg(F.max("doc").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    tables = tables.mapInArrow(lambda it: _table_batches(it, ranges), _SCORED)
+    met = parts.unionByName(tables).repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range", "kind")
+    told = met.mapInArrow(lambda it: _answer_batches(it, how.alpha, log_norm), _TOLD)
+    summed = told.repartition("first").sortWithinPartitions("first").mapInArrow(_sum_batches, _SUMS)
+    return summed.select(F.col("doc").alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
