@@ -62,31 +62,45 @@ def purchase_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_items(spark, sf_dir).groupBy("account_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("items"))
 
 
+def _one(a: str, b: str) -> bool:
+    """Whether two merchants' keys are one: equal, or the shorter of twelve characters or more and continued by three at most."""
+    short, long = sorted((a, b), key=len)
+    return a == b or (len(short) >= 12 and long.startswith(short) and len(long) - len(short) <= 3)
+
+
 def _keep_newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by owner, merchant and time, newest first: those no kept one of the same owner and merchant stands for."""
+    """Rows sorted by owner, head of the key and time, newest first: those no kept one of the same owner and merchant stands for."""
     last, kept = None, []
     for batch in batches:
         stays = []
-        for owner, key, t, cents in zip(batch["owner_id"], batch["key"], batch["t"], batch["cents"]):
-            if (owner, key) != last:
-                last, kept = (owner, key), []
+        for owner, head, key, t, cents in zip(batch["owner_id"], batch["head"], batch["key"], batch["t"], batch["cents"]):
+            if (owner, head) != last:
+                last, kept = (owner, head), []
             kept = [x for x in kept if x[0] - t <= 14 * DAY]
-            same = any((at - t <= 36 * HOUR and abs(c - cents) <= 0.25 * max(c, cents)) or abs(c - cents) <= 0.02 * max(c, cents) for at, c in kept)
+            same = any(_one(k, key) and ((at - t <= 36 * HOUR and abs(c - cents) <= 0.25 * max(c, cents)) or abs(c - cents) <= 0.02 * max(c, cents)) for at, c, k in kept)
             stays.append(not same)
             if not same:
-                kept.append((t, cents))
+                kept.append((t, cents, key))
         yield batch[stays][["purchase_id", "key", "t", "cents"]]
 
 
-@query()
+_ALIKE = f"k.t - p.t <= 14 * {DAY} AND (k.key = p.key OR (least(length(k.key), length(p.key)) >= 12 AND abs(length(k.key) - length(p.key)) <= 3 AND (starts_with(k.key, p.key) OR starts_with(p.key, k.key)))) AND ((k.t - p.t <= 36 * {HOUR} AND abs(k.cents - p.cents) <= 0.25 * greatest(k.cents, p.cents)) OR abs(k.cents - p.cents) <= 0.02 * greatest(k.cents, p.cents))"
+
+
+@query(f"""WITH RECURSIVE {PURCHASES_SQL}, k AS (SELECT purchase_id, owner_id, {_KEY} AS key, t, cents FROM purchases), p AS (SELECT *, substr(key, 1, 12) AS head, row_number() OVER (PARTITION BY owner_id, substr(key, 1, 12) ORDER BY t DESC, purchase_id) AS n FROM k),
+r AS (SELECT owner_id, head, n, purchase_id, key, t, cents, true AS stays, [{{'t': t, 'cents': cents, 'key': key}}] AS kept FROM p WHERE n = 1
+UNION ALL SELECT p.owner_id, p.head, p.n, p.purchase_id, p.key, p.t, p.cents, len(list_filter(r.kept, lambda k: {_ALIKE})) = 0, CASE WHEN len(list_filter(r.kept, lambda k: {_ALIKE})) = 0 THEN list_append(r.kept, {{'t': p.t, 'cents': p.cents, 'key': p.key}}) ELSE r.kept END
+FROM r JOIN p ON p.owner_id = r.owner_id AND p.head = r.head AND p.n = r.n + 1)
+SELECT purchase_id, key, t, cents FROM r WHERE stays""")
 def purchase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DED-3: purchases without their doubles; which one stays depends on those kept before it.
 
-    Purchases meet by owner and merchant and go by as a sorted stream, of which
-    the kept ones of two weeks are held.
+    Purchases meet by owner and the first twelve characters of the merchant's key,
+    which one merchant's keys share, and go by as a sorted stream, of which the
+    kept ones of two weeks are held.
     """
-    keyed = purchases(spark, sf_dir).withColumn("key", F.substring(T.merchant_key(F.col("merchant")), 1, 24))
-    dealt = keyed.select("owner_id", "purchase_id", "key", "t", "cents").repartition("owner_id", "key").sortWithinPartitions("owner_id", "key", F.desc("t"), "purchase_id")
+    keyed = purchases(spark, sf_dir).withColumn("key", T.merchant_key(F.col("merchant"))).withColumn("head", F.substring("key", 1, 12))
+    dealt = keyed.select("owner_id", "purchase_id", "head", "key", "t", "cents").repartition("owner_id", "head").sortWithinPartitions("owner_id", "head", F.desc("t"), "purchase_id")
     return dealt.mapInPandas(_keep_newest, "purchase_id string, key string, t long, cents long")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidepool import registry
-from tidepool.operators import coverage, graph, linkers, nodes, people, policy, purchases, retrieval, sessions, texts, threads, upserts  # noqa: F401
+from tidepool.operators import coverage, graph, identity, linkers, merchants, nodes, people, policy, purchases, retrieval, sessions, texts, threads, times, upserts  # noqa: F401
 from tidepool.streaming import ingest  # noqa: F401
 
 
