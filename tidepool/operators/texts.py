@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool import text as T
+from tidepool.plans.lineage import cut
 from tidepool.registry import query
 from tidepool.sources.tables import DOCUMENTS_SQL, TURNS_SQL, document_items, table, turns
 
@@ -59,14 +60,26 @@ def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive(item_terms(items), items)
 
 
-@query(f"""WITH {_RARE}, p AS (SELECT item_id, term, weight, lead(item_id) OVER (PARTITION BY term ORDER BY item_id) AS other FROM terms JOIN rare USING (term))
-SELECT item_id AS a, other AS b, count(*) AS words, round(least(0.8, 0.4 + sum(weight) / 30), 2) AS confidence FROM p WHERE other IS NOT NULL GROUP BY item_id, other HAVING count(*) >= 2""")
+#: Fixed value: how many holders of a word an item is paired with, the nearest ones.
+MOST_PER_TERM = 12
+
+
+@query(f"""WITH {_RARE}, h AS (SELECT item_id, term, weight FROM terms JOIN rare USING (term)),
+p AS (SELECT x.item_id AS a, y.item_id AS b, x.weight FROM h x JOIN h y ON x.term = y.term AND x.item_id < y.item_id QUALIFY row_number() OVER (PARTITION BY x.item_id, x.term ORDER BY y.item_id) <= {MOST_PER_TERM})
+SELECT a, b, count(*) AS words, round(least(0.8, 0.4 + sum(weight) / 30), 2) AS confidence FROM p GROUP BY a, b HAVING count(*) >= 2""")
 def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-11, GRF-6, LNK-5: documents linked by two or more distinctive words, each with its nearest neighbour per word."""
+    """JOI-11, LNK-5: documents linked by two or more distinctive words; per word each meets the twelve nearest after it.
+
+    A distinctive word has few holders by definition, so a word's group is small.
+    """
     items = document_items(spark, sf_dir)
-    terms = item_terms(items)
-    held = terms.join(distinctive(terms, items), "term").select("item_id", "term", "weight", F.lead("item_id").over(Window.partitionBy("term").orderBy("item_id")).alias("other"))
-    linked = held.filter("other IS NOT NULL").groupBy(F.col("item_id").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("weight").alias("w"))
+    # Terms are read off the texts once, for their frequencies and for the pairs.
+    terms = cut(item_terms(items))
+    held = terms.join(distinctive(terms, items), "term").select("item_id", "term", "weight")
+    near = Window.partitionBy("term").orderBy("item_id").rowsBetween(1, MOST_PER_TERM)
+    after = held.withColumn("others", F.collect_list("item_id").over(near))
+    pairs = after.select(F.col("item_id").alias("a"), "weight", F.explode("others").alias("b"))
+    linked = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("words"), F.sum("weight").alias("w"))
     return linked.filter("words >= 2").select("a", "b", "words", F.round(F.least(F.lit(0.8), 0.4 + F.col("w") / 30), 2).alias("confidence"))
 
 
