@@ -79,7 +79,7 @@ def test_senders_merchants_and_amounts(spark):
     frame = spark.createDataFrame(rows, "i long, author string")
     told = {r["i"]: (r["d"], r["s"]) for r in frame.select("i", merchants.trust_sender(F.col("author")).alias("d"), merchants.shared_sender(F.col("author")).alias("s")).collect()}
     assert told == {1: ("claims a brand", False), 2: (None, False), 3: ("consumer domain", False), 4: ("no sender", False), 5: ("no sending domain", False), 6: (None, True), 7: (None, False)}
-    names = spark.createDataFrame([("fairwaysupply@mail.pgatour", "fairwaysupply"), ("ParkMobile, LLC All Rights Res", "ParkMobile, LLC"), ("Microsoft Corporatio...", "Microsoft Corporatio"), ("$5 off", None), ("x", None)], "name string, clean string")
+    names = spark.createDataFrame([("fairwaysupply@mail.pgatour", "fairwaysupply"), ("ParkMobile, LLC All Rights Reserved", "ParkMobile, LLC"), ("Microsoft Corporatio...", "Microsoft Corporatio"), ("$5 off", None), ("x", None)], "name string, clean string")
     assert names.filter(~merchants.clean_merchant(F.col("name")).eqNullSafe(F.col("clean"))).count() == 0
     alike = spark.createDataFrame([("Microsoft Corporation", "microsoft corporatio", False), ("Universal Electric Supply", "universal electric suppl", True), ("Uber", "Uber Eats", False), ("The Corner Shop", "corner shop, inc.", True)], "a string, b string, same boolean")
     assert alike.filter(merchants.same_merchant(F.col("a"), F.col("b")) != F.col("same")).count() == 0
