@@ -22,8 +22,10 @@ def shared_value_edges(held: DataFrame, kind: str, confidence: float) -> DataFra
     Each holder is linked to the holders after it, so a value of n holders
     makes n (n - 1) / 2 edges, at most 28.
     """
-    distinct = held.distinct()
-    few = distinct.groupBy("value").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes").between(2, MOST_HOLDERS))
+    distinct = cut(held.distinct())
+    # Holders are counted before any are collected, so a value of very many is dropped as a number.
+    counted = distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MOST_HOLDERS)).select("value")
+    few = distinct.join(counted, "value", "left_semi").groupBy("value").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     pairs = few.select("value", F.posexplode("nodes").alias("at", "a"), "nodes").select("value", "a", F.explode(F.expr("slice(nodes, at + 2, 8)")).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("value").alias("first_value")).select("a", "b", F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.concat(F.lit("both hold "), F.col("first_value").cast("string")).alias("evidence"))
 
@@ -41,7 +43,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("day", F.expr("date_format(l_shipdate, 'yyyyMMdd')"))
     same_day = lines.select(F.concat_ws(":", F.col("l_partkey").cast("string"), "day").alias("value"), F.col("l_orderkey").alias("node"))
     same_source = lines.select(F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.substring("day", 1, 6)).alias("value"), F.col("l_orderkey").alias("node"))
-    return strongest(shared_value_edges(same_day, "shares_reference", 0.95).unionByName(shared_value_edges(same_source, "about_same", 0.4)))
+    return cut(strongest(shared_value_edges(same_day, "shares_reference", 0.95).unionByName(shared_value_edges(same_source, "about_same", 0.4))))
 
 
 _EDGES = f"""l AS (SELECT l_orderkey AS node, l_partkey::VARCHAR AS p, l_suppkey::VARCHAR AS s, strftime(l_shipdate, '%Y%m%d') AS day FROM lineitem),
@@ -86,13 +88,20 @@ def situations(edges: DataFrame) -> DataFrame:
     return components(edges.filter(F.col("confidence") >= JOINS)).select("node", F.col("component").alias("situation"))
 
 
-@query()
+_COMPONENTS = f"""{_EDGES}, lk AS (SELECT a AS u, b AS v FROM edges WHERE confidence >= {JOINS} UNION SELECT b, a FROM edges WHERE confidence >= {JOINS}),
+low(node, least) AS (SELECT u, u FROM lk UNION SELECT lk.v, low.least FROM low JOIN lk ON lk.u = low.node WHERE lk.v > low.least),
+members AS (SELECT node, min(least) AS situation FROM low GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, situation FROM members")
 def situation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-12, SET-1: which situation each connected order belongs to."""
     return situations(_edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COMPONENTS}, o AS (SELECT o_orderkey AS node, o_orderpriority AS stream, o_orderstatus AS kind, epoch_us(o_orderdate) AS t FROM orders), nw AS (SELECT max(t) AS now FROM o),
+gr AS (SELECT situation, count(*) AS members, count(DISTINCT stream) AS streams, count(DISTINCT kind) AS kinds, max(t) AS last, arg_min(node, (t, node)) AS first_node FROM members JOIN o USING (node) GROUP BY situation)
+SELECT situation, members, streams, kinds, first_node, round((streams - 1) * 0.4 + (kinds - 1) * 0.25 + least(0.2, log10(members + 1) * 0.1) + greatest(0.0, 0.4 - (now - last) / 86400000000.0 * 0.008), 4)::DOUBLE AS salience FROM gr, nw WHERE members BETWEEN 2 AND 40 AND streams >= 2""")
 def situation_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-13 to GRF-15, TOP-3: situations of 2 to 40 members in two streams or more, by salience."""
     members = cut(situations(_edges(spark, sf_dir)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import text as T
 from tidepool.operators.threads import band_nearest
+from tidepool.plans.lineage import cut
 from tidepool.registry import query
 from tidepool.sources.tables import CHAT_SQL, TASKS_SQL, chat_items, micros, table, tasks
 
@@ -82,14 +83,19 @@ def jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("similarity", F.round(T.jaccard(F.col("aw"), F.col("bw")), 6)).filter("similarity >= 0.6").select("a", "b", "similarity")
 
 
+MOST_INTERESTS = 10_000
+
+
 @query("""WITH i AS (SELECT label AS interest, min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT interest, embedding AS q FROM i JOIN embeddings USING (vec_id)),
 s AS (SELECT vec_id, interest, round(list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings, q)
 SELECT vec_id, interest, score FROM s WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, interest) = 1""")
 def interest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-19, DET-3, INT-2: vectors with the interest nearest to them, if near enough."""
     vectors = table(spark, sf_dir, "embeddings")
-    # Interests are what a user follows: one vector per label here, a short list by nature.
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    # Interests are what a user follows: one vector per label here; a longer list than MOST_INTERESTS is refused, not broadcast.
+    first = cut(vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")))
+    if first.count() > MOST_INTERESTS:
+        raise ValueError(f"more than {MOST_INTERESTS} interests")
     listed = first.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("interest"), "q"))).alias("interests"))
     scored = F.expr("transform(interests, i -> named_struct('score', round(aggregate(zip_with(embedding, i.q, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x), 6), 'less', -i.interest, 'interest', i.interest))")
     best = vectors.crossJoin(F.broadcast(listed)).select("vec_id", F.array_max(scored).alias("x"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +26,43 @@ def by_gap(items: DataFrame, gap: int = GAP) -> DataFrame:
     return items.withColumn("run", F.sum(F.coalesce(new, F.lit(0))).over(order).cast("long"))
 
 
+def _parts(batches: Iterator[pd.DataFrame], gap: int, most_items: int, most_span: int) -> Iterator[pd.DataFrame]:
+    """Items sorted by thread and time: the run and the part of it that each falls into."""
+    thread, run, part, last, anchor, held = None, 0, 0, 0, 0, 0
+    for batch in batches:
+        runs, parts = [], []
+        for own, t in zip(batch["thread_id"].tolist(), batch["t"].tolist()):
+            if own != thread:
+                thread, run, part, anchor, held = own, 0, 0, t, 0
+            elif t - last > gap:
+                run, part, anchor, held = run + 1, 0, t, 0
+            elif held >= most_items or t - anchor > most_span:
+                part, anchor, held = part + 1, t, 0
+            runs.append(run)
+            parts.append(part)
+            last, held = t, held + 1
+        yield batch.assign(run=runs, part=parts)
+
+
 def episodes(items: DataFrame, gap: int = GAP, most_items: int = MOST_ITEMS, most_span: int = MOST_SPAN) -> DataFrame:
     """Episodes (thread_id, run, part, members): runs, cut further at the limits of size and span.
 
-    Where a cut falls depends on the cuts before it, so a run's items are folded
-    in order; runs are short, and only those beyond a limit are folded at all.
+    Where a cut falls depends on the cuts before it, so a thread's items go by
+    as a sorted stream that keeps a counter and a time; only then are members
+    collected, at most ``most_items`` of them.
     """
-    runs = by_gap(items, gap).groupBy("thread_id", "run").agg(F.sort_array(F.collect_list(F.struct("t", "item_id", "direction"))).alias("members"))
-    first, last = F.element_at("members", 1)["t"], F.element_at("members", -1)["t"]
-    whole = (F.size("members") <= most_items) & (last - first <= most_span)
-    kind = "array<struct<anchor:bigint,members:array<struct<t:bigint,item_id:bigint,direction:string>>>>"
-    folded = F.expr(
-        f"""aggregate(members, cast(array() as {kind}), (acc, m) ->
-        if(size(acc) = 0 or size(element_at(acc, -1).members) >= {most_items} or m.t - element_at(acc, -1).anchor > {most_span},
-           array_append(acc, named_struct('anchor', m.t, 'members', array(m))),
-           array_append(slice(acc, 1, size(acc) - 1), named_struct('anchor', element_at(acc, -1).anchor, 'members', array_append(element_at(acc, -1).members, m)))))"""
-    )
-    parts = F.when(whole, F.array(F.struct(first.alias("anchor"), F.col("members")))).otherwise(folded)
-    return runs.select("thread_id", "run", F.posexplode(parts).alias("part", "x")).select("thread_id", "run", "part", F.col("x.members").alias("members"))
+    slim = items.select("thread_id", "t", "item_id", "direction").repartition("thread_id").sortWithinPartitions("thread_id", "t", "item_id")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    placed = slim.mapInPandas(lambda it: _parts(it, gap, most_items, most_span), ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", run long, part int")
+    return placed.groupBy("thread_id", "run", "part").agg(F.sort_array(F.collect_list(F.struct("t", "item_id", "direction"))).alias("members"))
+
+
+def _episodes_sql(gap: int, most_items: int, most_span: int) -> str:
+    return f"""{CHAT_SQL}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w > {gap} THEN 1 ELSE 0 END AS new FROM chat WINDOW w AS (PARTITION BY thread_id ORDER BY t, item_id)),
+q AS (SELECT *, sum(new) OVER (PARTITION BY thread_id ORDER BY t, item_id)::BIGINT AS run FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY thread_id, run ORDER BY t, item_id) AS n FROM q),
+e AS (SELECT thread_id, run, n, item_id, t, 0 AS part, t AS anchor, 1 AS held FROM n WHERE n = 1
+UNION ALL SELECT n.thread_id, n.run, n.n, n.item_id, n.t, CASE WHEN held >= {most_items} OR n.t - anchor > {most_span} THEN part + 1 ELSE part END, CASE WHEN held >= {most_items} OR n.t - anchor > {most_span} THEN n.t ELSE anchor END, CASE WHEN held >= {most_items} OR n.t - anchor > {most_span} THEN 1 ELSE held + 1 END
+FROM e JOIN n ON n.thread_id = e.thread_id AND n.run = e.run AND n.n = e.n + 1)"""
 
 
 def episode_id(members: Column) -> Column:
@@ -81,14 +103,14 @@ def sessionize_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_gap(chat_items(spark, sf_dir)).groupBy("thread_id", "run").agg(F.count(F.lit(1)).alias("items"), F.min("t").alias("starts"), F.max("t").alias("ends"), F.count_if(F.col("direction") == "outbound").alias("outbound"))
 
 
-@query(f"WITH {_RUNS} SELECT 'ep_' || substr(sha256(string_agg(item_id::VARCHAR, '|' ORDER BY item_id::VARCHAR)), 1, 16) AS episode_id, thread_id, count(*) AS items, min(t) AS starts, max(t) AS ends FROM runs GROUP BY thread_id, run")
+@query(f"WITH RECURSIVE {_episodes_sql(GAP, MOST_ITEMS, MOST_SPAN)} SELECT 'ep_' || substr(sha256(string_agg(item_id::VARCHAR, '|' ORDER BY item_id::VARCHAR)), 1, 16) AS episode_id, thread_id, count(*) AS items, min(t) AS starts, max(t) AS ends FROM e GROUP BY thread_id, run, part")
 def episode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SES-2, SES-6: episodes with their limits of size and span, under a key of their members."""
     made = episodes(chat_items(spark, sf_dir))
     return made.select(episode_id(F.col("members")).alias("episode_id"), "thread_id", F.size("members").cast("long").alias("items"), F.element_at("members", 1)["t"].alias("starts"), F.element_at("members", -1)["t"].alias("ends"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_episodes_sql(12 * 3_600_000_000, 3, 6 * 3_600_000_000)} SELECT thread_id, run, part, count(*) AS items, min(t) AS starts FROM e GROUP BY thread_id, run, part")
 def episode_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SES-2: episodes under limits that bind on these data (3 messages, 6 hours)."""
     made = episodes(chat_items(spark, sf_dir), gap=12 * 3_600_000_000, most_items=3, most_span=6 * 3_600_000_000)
