@@ -25,27 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+def _delete(jvm, conf, path: str) -> None:
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _handles(spark: SparkSession) -> tuple:
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the application's own part of the shared folder, which goes when the application ends."""
+    """A new path in the application's own part of the shared folder, which goes when the driver's process ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/tidepool-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_clear, spark, folder)
+        atexit.register(_delete, *_handles(spark), folder)
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def _clear(spark: SparkSession, folder: str) -> None:
-    # A stopped application has no connection left to delete with.
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        _delete(spark, folder)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read back: written as Parquet in the shared folder.
 
@@ -63,4 +60,4 @@ def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`cut` that nothing reads any more."""
     for table in tables:
         if (path := _WRITTEN.pop(table, None)) is not None:
-            _delete(table.sparkSession, path)
+            _delete(*_handles(table.sparkSession), path)
