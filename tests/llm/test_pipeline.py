@@ -75,3 +75,36 @@ def test_later_stages_by_brute_force(stages):
     for r in stages[4].collect():
         sums[r["doc_id"]] += r["length"]
     assert sums == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in clean.items()}
+
+
+ROWS = [
+    (0, "a plain text of some words that goes on for a while and then ends", "en", "s", 1),
+    (0, "a plain text of some words that goes on for a while and then ends", "en", "s", 1),
+    (1, None, "en", None, None),
+    (2, "", None, "s", 0),
+    (None, "no id here but words enough to be told apart from others", "fr", "t", 2),
+    (3, "word " * 20_000, "en", "s", 3),
+    (4, "\n\n", "en", "s", 4),
+    (5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and mail a@b.org in a line of words', "en", "s", 6),
+]
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_stand_nulls_repeats_and_other_columns(spark, at):
+    from pyspark.sql import functions as F
+
+    name, stage = corpus_pipeline.STAGES[at]
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("own") for c in ("kept", "start", "n_lines", "__doc", "findings", "salt")})
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert {r["doc_id"] for r in rows} == {0, 1, 2, None, 3, 4, 5}
+        return
+    assert out.columns == corpus_pipeline.COLUMNS
+    # Copies of one document are all that goes, and only where near copies are looked for.
+    expected = [0, 1, 2, 3, 4, 5] if name == "near_dedup" else [0, 0, 1, 2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == expected and sum(r["doc_id"] is None for r in rows) == 1
+    if name == "secret_scan":
+        assert {r["doc_id"]: r["text"] for r in rows}[5].startswith('token = "[secret]" and mail')
