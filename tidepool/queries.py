@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidepool import registry
-from tidepool.operators import coverage, graph, identity, linkers, merchants, nodes, people, policy, purchases, retrieval, search, sessions, state, texts, threads, times, upserts  # noqa: F401
+from tidepool.operators import coverage, graph, identity, linkers, merchants, nodes, noise, people, policy, purchases, retrieval, search, sessions, state, texts, threads, times, upserts  # noqa: F401
 from tidepool.sources import formats  # noqa: F401
 from tidepool.streaming import ingest, sessions as stream_sessions  # noqa: F401
 
