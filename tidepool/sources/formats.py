@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidepool.registry import query
 from tidepool.sources.tables import table
@@ -94,7 +95,7 @@ def contact_cards(files: DataFrame, text: str) -> DataFrame:
     return found.select(*rest, prop("lines", "UID").alias("uid"), F.coalesce(F.nullif(unescaped(prop("lines", "FN")), F.lit("")), pieced).alias("name"), F.transform(every("EMAIL"), F.lower).alias("emails"), F.transform(every("TEL"), lambda x: F.regexp_replace(x, "[^0-9+]", "")).alias("phones"), unescaped(prop("lines", "ORG")).alias("org"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded_words(values: pd.Series) -> pd.Series:
     """SRC-16: mail headers with their encoded words (=?charset?B or Q?...?=) decoded; what cannot be read stays."""
     import re
