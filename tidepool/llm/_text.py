@@ -15,6 +15,7 @@ the words themselves: :func:`shingle_ids` tells shingles apart without a hash.
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,16 +31,16 @@ U = np.uint64
 SLICE = 1 << 21
 
 
-def _table(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the bytes, the same with A-Z as a-z, and factors of the places in a word."""
-    draw = np.random.Generator(np.random.PCG64(seed))
+@functools.cache
+def _table(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, the same with A-Z as a-z, and factors of the places in a word; made where words are hashed, not in the driver."""
+    draw = np.random.Generator(np.random.PCG64((20240917, 771)[number]))
     codes = (draw.integers(0, 2**64, 256, dtype=U) & ~U(511)) | np.arange(1, 257, dtype=U)
     lower = codes.copy()
     lower[65:91] = codes[97:123]
     return codes, lower, draw.integers(0, 2**64, SLICE, dtype=U)
 
 
-_TABLES = (_table(20240917), _table(771))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -100,7 +101,7 @@ def _hash_slice(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
 def word_hashes(column: pa.Array | pa.ChunkedArray, *, lower: bool = True, table: int = 0) -> Words:
     """Hash every word of every row of a string column."""
     data, offsets = utf8(column)
-    plain, small, factors = _TABLES[table]
+    plain, small, factors = _table(table)
     codes, found, counts = (small if lower else plain), [], np.zeros(len(offsets) - 1, np.int64)
     row = 0
     while row < len(offsets) - 1:
