@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import knn, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, secrets, suffix_tree
+from tidepool.llm import chat, knn, line_dedup, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, secrets, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,9 +75,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in the chat template, and one that says the template's own marks, read back from the formatted texts."""
+    given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    forged = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.FORGED).alias("text"))
+    messages = given.unionByName(forged).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digest(chat.format_conversations(messages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_sentencepiece": op2_sentencepiece, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii}
+    return {"op1_pack": op1_pack, "op2_sentencepiece": op2_sentencepiece, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii, "op11_chat_format": op11_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql(), "op8_top_k": knn.oracle_sql()}
+    return {"op5_line_dedup": line_dedup.oracle_sql(), "op8_top_k": knn.oracle_sql(), "op11_chat_format": chat.oracle_sql()}
