@@ -166,7 +166,7 @@ def turns_of(formatted: str) -> str:
 
 def text_of(body: str) -> str:
     """SQL: a body's text without its placeholders, as it was given."""
-    return unescape(f"regexp_replace({body}, {quote(r'<\|[a-z]+\|>')}, '')")
+    return f"array_join(transform(split({body}, {quote(r'<\|[a-z]+\|>')}, -1), x -> {unescape('x')}), '')"
 
 
 def parts_of(body: str) -> str:
