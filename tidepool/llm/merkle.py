@@ -172,8 +172,12 @@ def _built(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
         yield row()
 
 
-def _path_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the paths of their roots: a row for each leaf, which is a block (or a tree) below."""
+_PATH = pa.schema([("key", pa.string()), ("block", pa.int64()), ("id", pa.string()), ("above", pa.list_(pa.string())), ("subroot", pa.string()), ("root", pa.string())])
+_PATH_SQL = "key string, block long, id string, above array<string>, subroot string, root string"
+
+
+def _path_rows(batches: Iterable[pa.RecordBatch], are_trees: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks with the paths of their roots: a row for each leaf, which is a block below, or a tree whose root it is."""
     for batch in batches:
         for r in range(batch.num_rows):
             key, block, leaves, nodes, ids, above, subroot, root = (batch.column(c)[r].as_py() for c in ("key", "block", "leaves", "nodes", "ids", "above", "subroot", "root"))
@@ -182,7 +186,8 @@ def _path_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = range(a, min(leaves, a + 512))
                 made = [[x.decode() for step in paths.of(i) for x in step] + above for i in own]
                 n = len(own)
-                yield pa.RecordBatch.from_pydict({"key": [key] * n, "block": [block * LEAVES + i for i in own], "id": [ids[i] for i in own], "above": made, "subroot": [subroot or paths.levels[0][64 * i : 64 * i + 64].decode() for i in own], "root": [root] * n})
+                columns = {"key": [key] * n, "block": [block * LEAVES + i for i in own], "id": [ids[i] for i in own], "above": made, "subroot": [paths.levels[0][64 * i : 64 * i + 64].decode() if are_trees else subroot for i in own], "root": [root] * n}
+                yield pa.RecordBatch.from_pydict(columns, schema=_PATH)
 
 
 def _proofs(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -267,7 +272,7 @@ def _below(tree: Tree, seeds: DataFrame) -> DataFrame:
         if tier == 0:
             return above
         met = tree.tiers[tier].join(above, ["key", "block"])
-        paths = met.mapInArrow(_path_rows, "key string, block long, id string, above array<string>, subroot string, root string").drop("id")
+        paths = met.mapInArrow(lambda it: _path_rows(it, False), _PATH_SQL).drop("id")
 
 
 @dataclass(frozen=True)
@@ -310,7 +315,7 @@ def prove(made: Manifest) -> DataFrame:
     root = made.top.roots.select("key", F.array().cast("array<string>").alias("above"), F.lit(None).cast("string").alias("subroot"), F.lower(F.hex("top")).alias("root"))
     kind = _id_type(made.groups.tiers[0].select(F.explode("ids").alias("id")))
     over = made.top.tiers[0].join(_below(made.top, root), ["key", "block"])
-    seeds = cut(over.mapInArrow(_path_rows, "key string, block long, id string, above array<string>, subroot string, root string").select(F.col("id").alias("key"), "above", "subroot", "root"))
+    seeds = cut(over.mapInArrow(lambda it: _path_rows(it, True), _PATH_SQL).select(F.col("id").alias("key"), "above", "subroot", "root"))
     lowest = made.groups.tiers[0].join(_below(made.groups, seeds), ["key", "block"])
     texts = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
     schema = pa.schema([("key", pa.string()), ("id", pa.string() if kind == "string" else pa.int64()), *((c, pa.string()) for c in texts)])
