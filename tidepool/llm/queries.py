@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat, knn, line_dedup, merkle, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, secrets, suffix_tree
+from tidepool.llm import chat, hard_negatives, knn, line_dedup, merkle, near_dedup, packing, pieces, pii, quality_classifier, quality_rules, secrets, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(messages))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 100, and each of its five positives, the five hardest negatives."""
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=hard_negatives.label_of())
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proof of every document in a manifest of all, held against documents some of which have been tampered with."""
     changed, where = merkle.tampering()
@@ -90,8 +95,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_sentencepiece": op2_sentencepiece, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii, "op11_chat_format": op11_chat_format, "op13_merkle": op13_merkle}
+    return {"op1_pack": op1_pack, "op2_sentencepiece": op2_sentencepiece, "op3_lm_score": op3_lm_score, "op4_quality_rules": op4_quality_rules, "op5_line_dedup": op5_line_dedup, "op6_near_dedup": op6_near_dedup, "op7_quality_classifier": op7_quality_classifier, "op8_top_k": op8_top_k, "op9_secret_scan": op9_secret_scan, "op10_pii": op10_pii, "op11_chat_format": op11_chat_format, "op12_hard_negatives": op12_hard_negatives, "op13_merkle": op13_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.oracle_sql(), "op8_top_k": knn.oracle_sql(), "op11_chat_format": chat.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
+    return {"op5_line_dedup": line_dedup.oracle_sql(), "op8_top_k": knn.oracle_sql(), "op11_chat_format": chat.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
