@@ -115,6 +115,10 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
 
 
+#: Bounds of fewer pairs than this share of all are taken pair by pair.
+_DENSE = 0.05
+
+
 def search(a: Summary, b: Summary, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of all pairs that may be among the k best of a row within one of its bands.
 
@@ -122,26 +126,23 @@ def search(a: Summary, b: Summary, allowed: np.ndarray, low: np.ndarray, high: n
     """
     bands, floors = low.shape[1], low - 1e-9 * np.abs(low)
     ceilings = high + 1e-9 * np.abs(high)
-    alive = allowed.copy()
-    for number in range(min(2, len(a.rounds))):
-        least, most = bounds(a, b, number)
+    alive = allowed & (low <= high).any(1)[:, None]
+    for number in range(len(a.rounds)):
+        if alive.mean() > _DENSE:
+            least, most = bounds(a, b, number)
+        else:
+            rows, columns = np.nonzero(alive)
+            least, most = np.full(alive.shape, -np.inf), np.full(alive.shape, -np.inf)
+            least[rows, columns], most[rows, columns] = pair_bounds(a, b, number, rows, columns)
         some = np.zeros_like(alive)
         for p in range(bands):
             # What lies within a band for certain, k times over, rules out what lies below it for certain.
             inside = alive & (least >= low[:, p, None]) & (most <= high[:, p, None])
-            floors[:, p] = np.maximum(floors[:, p], _kth(np.where(inside, least, -np.inf), k))
+            if inside.any():
+                floors[:, p] = np.maximum(floors[:, p], _kth(np.where(inside, least, -np.inf), k))
             some |= (most >= floors[:, p, None]) & (least <= ceilings[:, p, None]) & (low <= high)[:, p, None]
         alive &= some
-    rows, columns = np.nonzero(alive)
-    for number in range(2, len(a.rounds)):
-        keep = []
-        for i in range(0, len(rows), 65536):
-            r, c = rows[i : i + 65536], columns[i : i + 65536]
-            least, most = pair_bounds(a, b, number, r, c)
-            keep.append(((most[:, None] >= floors[r]) & (least[:, None] <= ceilings[r]) & (low <= high)[r]).any(1))
-        kept = np.concatenate([np.zeros(0, bool), *keep])
-        rows, columns = rows[kept], columns[kept]
-    return rows, columns
+    return np.nonzero(alive)
 
 
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
