@@ -1,9 +1,10 @@
 """Candidate pairs of nodes, and the rules that link them or say why not.
 
-Candidates come from equality joins (a person, a rare word, a stretch of time),
-each with its own bound on partners as a feature; the rules are expressions
-over a pair.  Rare words are those of few nodes, so a word's group is small by
-definition; people of very many nodes in a window are bulk and skipped.
+Candidates share a rare word, a person or a stretch of time, each with its own
+bound on partners as a feature; the rules are expressions over a pair.  Rare
+words are those of few nodes, so a word's group is small by definition; the
+others are the nearest in time (:mod:`bands`), and people of very many nodes in
+a window are bulk and skipped before any pair is made.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool import text as T
+from tidepool.operators.bands import nearest_in_band
 from tidepool.operators.nodes import DAY, HOUR, NODES_SQL, PEOPLE_SQL, node_terms, nodes, people
 from tidepool.plans.lineage import cut
 from tidepool.registry import query
@@ -63,19 +65,11 @@ content AS (SELECT l.node AS a, r.node AS b, 'word:' || l.term AS via, abs(l.t -
   QUALIFY row_number() OVER (PARTITION BY l.node, l.term, r.is_episode ORDER BY abs(l.t - r.t), r.node) <= {CONTENT_MOST})"""
 
 
-def _banded(left: DataFrame, right: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Pairs of equal key that are at most ``width`` apart: each left row asks its own stretch of time and the two beside it."""
-    asked = left.withColumn("bucket", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> (at div {width}) + d)")))
-    held = right.withColumn("bucket", F.expr(f"bt div {width}"))
-    return asked.join(held, [*key, "bucket"]).withColumn("away", F.abs(F.col("at") - F.col("bt"))).filter(F.col("away") <= width).drop("bucket")
-
-
 def person_candidates(found: DataFrame, who: DataFrame) -> DataFrame:
-    """(a, b, via, away): nodes of a's people around it; a person of more than PERSON_BULK nodes in a's window is bulk."""
-    timed = who.join(found.select("node", "t"), "node")
-    met = _banded(timed.select("person", F.col("node").alias("a"), F.col("t").alias("at")), timed.select("person", F.col("node").alias("b"), F.col("t").alias("bt")), ["person"], PERSON_SPAN)
-    counted = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a", "person"))).filter((F.col("n") <= PERSON_BULK) & (F.col("a") != F.col("b")))
-    return _near(counted, ["a", "person"], PERSON_MOST).select("a", "b", F.concat(F.lit("person:"), "person").alias("via"), "away")
+    """(a, b, via, away): nodes of a's people around it; a person of more than PERSON_BULK nodes in a's window is bulk, which is counted before any pair is made."""
+    timed = who.join(found.select("node", "t"), "node").select(F.col("node").alias("id"), F.col("person").alias("key"), "t")
+    near = nearest_in_band(timed, timed, width=PERSON_SPAN, most=PERSON_MOST, bulk=PERSON_BULK)
+    return near.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.concat(F.lit("person:"), "key").alias("via"), "away")
 
 
 _PERSON_SQL = f"""pt AS (SELECT node, person, t FROM people JOIN nodes USING (node)),
@@ -86,13 +80,13 @@ person AS (SELECT a, b, 'person:' || person AS via, away FROM pm WHERE n <= {PER
 def task_candidates(found: DataFrame) -> DataFrame:
     """(a, b, via, away): what is near a task in time, and the tasks near what was said."""
 
-    def side(rows: DataFrame, id: str, t: str) -> DataFrame:  # noqa: A002
-        return rows.select(F.lit(1).alias("all"), F.col("node").alias(id), F.col("t").alias(t))
+    def near(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+        sides = [side.select(F.col("node").alias("id"), F.lit(0).alias("key"), "t") for side in (left, right)]
+        return nearest_in_band(*sides, width=TASK_SPAN, most=most)
 
     task, said, other = found.filter("kind = 'task'"), found.filter(F.col("kind").isin(*SPEAKS)), found.filter("kind <> 'task'")
-    forth = _near(_banded(side(task, "a", "at"), side(other, "b", "bt"), ["all"], TASK_SPAN), ["a"], TASK_MOST)
-    back = _near(_banded(side(said, "a", "at"), side(task, "b", "bt"), ["all"], TASK_SPAN), ["a"], TASK_BACK_MOST)
-    return forth.unionByName(back).select("a", "b", F.lit("task").alias("via"), "away")
+    both = near(task, other, TASK_MOST).unionByName(near(said, task, TASK_BACK_MOST))
+    return both.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.lit("task").alias("via"), "away")
 
 
 _TASK_SQL = f"""task AS (SELECT * FROM (SELECT l.node AS a, r.node AS b, 'task' AS via, abs(l.t - r.t) AS away FROM nodes l JOIN nodes r ON abs(l.t - r.t) <= {TASK_SPAN} WHERE l.kind = 'task' AND r.kind <> 'task'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.bands import nearest_in_band
 from tidepool.registry import query
 from tidepool.sources.tables import CHAT_SQL, chat_items
 
@@ -41,18 +42,9 @@ def asof_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_nearest(left: DataFrame, right: DataFrame, key: str, width: int, most: int) -> DataFrame:
-    """For every left row the ``most`` right rows of its key that are nearest in time, within ``width``.
-
-    Times are cut into buckets as wide as the band and the left side asks its
-    own bucket and the two beside it, so the join is an equality of key and
-    bucket, and a row meets only what is near.  Both sides have (id, key, t).
-    """
-    asked = left.select(F.col("id").alias("left_id"), key, F.col("t").alias("left_t")).withColumn("bucket", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> (left_t div {width}) + d)")))
-    held = right.select(F.col("id").alias("right_id"), key, F.col("t").alias("right_t")).withColumn("bucket", F.expr(f"right_t div {width}"))
-    met = asked.join(held, [key, "bucket"]).filter(F.abs(F.col("left_t") - F.col("right_t")) <= width)
-    away = F.abs(F.col("left_t") - F.col("right_t"))
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(away, "right_id"))
-    return met.withColumn("away", away).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("left_id", "right_id", "away", "rank")
+    """(left_id, right_id, away, rank): for every left row the ``most`` right rows of its key nearest in time; both sides have (id, key, t)."""
+    found = nearest_in_band(left.withColumnRenamed(key, "key"), right.withColumnRenamed(key, "key"), width=width, most=most)
+    return found.select("left_id", "right_id", "away", "rank")
 
 
 @query(f"""WITH {CHAT_SQL}, m AS (SELECT l.item_id AS left_id, r.item_id AS right_id, abs(l.t - r.t) AS away FROM chat l JOIN chat r ON l.thread_id = r.thread_id AND abs(l.t - r.t) <= {2 * DAY} WHERE l.kind = 'purchase' AND r.kind = 'view')
