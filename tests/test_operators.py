@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidepool import text as T
-from tidepool.operators import components, graph, policy, purchases, retrieval, sessions, texts, upserts
+from tidepool.operators import components, graph, index, policy, purchases, sessions, texts, upserts
 
 HOUR = 3_600_000_000
 
@@ -94,7 +94,7 @@ def test_windows_overlap_and_prefer_sentences():
 def test_html_and_questions(spark):
     df = spark.createDataFrame([("<style>x</style><p>A &amp; B<br/>C</p><script>no</script>",)], "h string")
     assert df.select(T.strip_html(F.col("h"))).first()[0] == "A & B\nC"
-    assert retrieval.match_terms("Who is a.b@c.de? is it") == ["who", "is", "a.b@c.de", "it"]
+    assert index.match_terms("Who is a.b@c.de? is it") == ["who", "is", "a.b@c.de", "it"]
 
 
 def test_merge_rules_and_repeated_pages(spark):

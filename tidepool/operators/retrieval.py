@@ -1,8 +1,7 @@
 """Hybrid retrieval: keyword and vector ranking, fused by reciprocal rank.
 
-Keyword scores need no index: term frequencies, lengths and document
-frequencies of a few query terms come from one pass over the texts, without
-exploding them, so nothing is shuffled but two rows of totals and the top hits.
+Keyword scores come from the store's positional index (:mod:`index`), which an
+application writes once; vectors are scanned exactly.
 """
 
 from __future__ import annotations
@@ -10,43 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.index import index_sql, indexed_bm25, store_index
 from tidepool.registry import query
-from tidepool.sources.tables import CHAT_SQL, DOCUMENTS_SQL, chat_items, document_items, table
+from tidepool.sources.tables import CHAT_SQL, DOCUMENTS_SQL, chat_items, table
 
-K1, B, RRF, DEPTH = 1.2, 0.75, 60, 60
+RRF, DEPTH = 60, 60
 TERMS = ("licensed", "version", "thing", "worthless")
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
-def match_terms(question: str) -> list[str]:
-    """The distinct terms of a question: letters, digits and _ @ . together, longer than one character."""
-    kept = "".join(c if c.isalnum() or c in "_@." else " " for c in question.lower()).split()
-    return list(dict.fromkeys(t for t in kept if len(t) > 1))
-
-
-def _count(array: str, value: str) -> Column:
-    return F.size(F.filter(array, lambda x: x == value))
-
-
-def bm25(items: DataFrame, terms: list[str], *, text: Column, id: str = "item_id") -> DataFrame:  # noqa: A002
-    """(id, score) of the items that hold a term; scores as of a full-text index with one weight for all columns."""
-    tokens = items.select(id, words(text).alias("tokens"))
-    counted = tokens.select(id, F.size("tokens").alias("length"), *(_count("tokens", t).alias(f"f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    # One row of totals for the whole store.
-    joined = counted.filter(" OR ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
-        tf = F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        score = score + F.when(F.col(f"f{i}") > 0, F.greatest(idf, F.lit(1e-6)) * tf).otherwise(0.0)
-    return joined.select(id, F.round(score, 6).alias("score"))
-
-
 def ranked(hits: DataFrame, depth: int, id: str = "item_id") -> DataFrame:  # noqa: A002
     """The best hits with their rank; the window sees no more than ``depth`` rows."""
     best = hits.orderBy(F.desc("score"), id).limit(depth)
@@ -68,9 +38,8 @@ def fuse(lists: dict[str, DataFrame], id: str = "item_id") -> DataFrame:  # noqa
     return union.groupBy(id).agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 8).alias("score"), F.array_join(F.array_sort(F.collect_set("label")), "+").alias("why"))
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = document_items(spark, sf_dir)
-    return ranked(bm25(items, list(TERMS), text=F.col("body")), DEPTH)
+def _lexical(spark: SparkSession, sf_dir: str, question: str = " ".join(TERMS)) -> DataFrame:
+    return ranked(indexed_bm25(spark, store_index(spark, sf_dir), question), DEPTH)
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,13 +48,10 @@ def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(hits, DEPTH)
 
 
-_LIST = ", ".join(f"'{t}'" for t in TERMS)
-_LEXICAL = f"""{DOCUMENTS_SQL}, tok AS (SELECT item_id, list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM items),
-st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
-f AS (SELECT item_id, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS f FROM tok, (SELECT unnest([{_LIST}]) AS term)),
-d AS (SELECT term, count(*) AS d FROM f WHERE f > 0 GROUP BY term),
-lx AS (SELECT item_id, round(sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * {K1 + 1} / (f + {K1} * ({1 - B} + {B} * length / mean))), 6) AS score FROM f JOIN d USING (term), st WHERE f > 0 GROUP BY item_id),
-lexical AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM lx QUALIFY rank <= {DEPTH})"""
+#: The words whose stems the questions of the queries have.
+FORMS = {"licens": ["license", "licensed", "licenses", "licensing"], "version": ["version", "versions"], "thing": ["thing", "things", "thinged", "thinges", "thinging"], "worthless": ["worthless"]}
+_RANKED = f"lexical AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM lx QUALIFY rank <= {DEPTH})"
+_LEXICAL = f"{DOCUMENTS_SQL}, {index_sql({stem: [words] for stem, words in FORMS.items()})}, {_RANKED}"
 _SEMANTIC = f"""sx AS (SELECT e.vec_id AS item_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0),
 semantic AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM sx QUALIFY rank <= {DEPTH})"""
 
@@ -96,6 +62,15 @@ def search_lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)
 
 
+_PHRASES = {"licens version": [FORMS["licens"], FORMS["version"]], "mail1 exampl com": [["mail1"], ["example", "examples", "exampled"], ["com", "coms"]], "worthless": [["worthless"]]}
+
+
+@query(f"WITH {DOCUMENTS_SQL}, {index_sql(_PHRASES)}, {_RANKED} SELECT item_id, score, rank FROM lexical")
+def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-1, RET-4: terms of several words are phrases; words are asked for by their stems and without marks."""
+    return _lexical(spark, sf_dir, "Licenses_version mail1.example.com wörthless")
+
+
 @query(f"WITH {_SEMANTIC} SELECT item_id, score, rank FROM semantic")
 def search_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-5, RET-6: the best vectors by cosine, exactly."""

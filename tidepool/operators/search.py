@@ -1,9 +1,8 @@
 """The query tools: search within a scope, items, situations and conversations, and why nothing was found.
 
 Who may see an item is decided inside each query, before anything is ranked.
-Keyword search reads an inverted index, (term, doc, frequency) in files by a
-hash of the term, written once per store; a question reads the files of its
-own terms only.
+Keyword search reads the store's positional index (:mod:`index`), vector search
+the vectors of the items in scope.
 """
 
 from __future__ import annotations
@@ -14,15 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.retrieval import K1, B, match_terms, words
-from tidepool.plans.lineage import scratch
+from tidepool.operators.index import index_sql, indexed_bm25, match_terms, store_index
+from tidepool.operators.retrieval import DEPTH, FORMS, RRF, fuse, nearest, ranked
 from tidepool.registry import query
 from tidepool.sources.tables import DOCUMENTS_SQL, TURNS_SQL, document_items, table, turns
 
 #: How many hits a tool gives, and at most.
 ITEMS, MOST_ITEMS, EPISODES, MOST_EPISODES = 20, 100, 10, 50
 MOST_CHARACTERS = 12_000
-BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -34,9 +32,15 @@ class Scope:
     since: int | None = None
     until: int | None = None
     person: str | None = None
+    oldest: bool = False
     limit: int = ITEMS
     extra: tuple[Column, ...] = field(default=())
 
+    def reasons(self) -> list[str]:
+        """RET-10: what holds of every hit because it was asked for."""
+        out = ["within the requested time range"] if self.since is not None or self.until is not None else []
+        return [*out, "involves the requested person"] if self.person else out
+
     def predicates(self) -> list[Column]:
         out = [F.col("deleted").isNull()] if self.principal is None else [F.col("deleted").isNull(), (F.col("custodian") == self.principal) | (F.col("visibility") == "household")]
         out += [F.col("kind").isin(*self.kinds)] if self.kinds else []
@@ -64,54 +68,64 @@ _LAST = "coalesce(try_cast(right(account_id, 1) AS INTEGER), 0)"
 _OWNED = f"{DOCUMENTS_SQL}, owned AS (SELECT *, CASE WHEN item_id % 17 = 0 THEN item_id END AS deleted, CASE WHEN {_LAST} % 3 = 0 THEN 'ann' ELSE 'ben' END AS custodian, CASE WHEN {_LAST} % 2 = 0 THEN 'household' ELSE 'own' END AS visibility FROM items)"
 
 
-def write_index(items: DataFrame, path: str, *, text: str = "body") -> None:
-    """The inverted index of a store: (bucket, term, item_id, f, length) in one folder per bucket of terms."""
-    tokens = items.select("item_id", words(F.col(text)).alias("w"))
-    counted = tokens.select("item_id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("f"), F.first("length").alias("length"))
-    counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{path}/size")
+def search(spark: SparkSession, items: DataFrame, index: str, question: str, scope: Scope, *, vectors: DataFrame | None = None, asked: DataFrame | None = None, mode: str | None = None) -> DataFrame:
+    """TOOL-1, RET-9, RET-10: (item_id, kind, score, why) of the best items in scope.
+
+    ``mode`` is lexical, semantic or hybrid; hybrid where there are ``vectors``
+    (item_id, embedding) and one ``asked`` for, else lexical.  Without a
+    question the newest items, or the oldest.
+    """
+    allowed = scope.within(items).select("item_id", "kind")
+    limit, base = min(scope.limit, MOST_ITEMS), scope.reasons()
+    if not question.strip():
+        order = F.asc("item_id") if scope.oldest else F.desc("item_id")
+        first = allowed.orderBy(order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(order)))
+        number = F.concat(F.lit(" (#"), F.col("rank").cast("string"), F.lit(")"))
+        why = F.concat(F.lit("chronological"), number) if scope.oldest else F.when(F.col("rank") == 1, "most recent").otherwise(F.concat(F.lit("recent"), number))
+        return first.select("item_id", "kind", F.round(1.0 / F.col("rank"), 8).alias("score"), F.concat_ws("; ", *map(F.lit, base), why).alias("why"))
+    mode = mode or ("lexical" if vectors is None or asked is None else "hybrid")
+    lists = {}
+    if mode != "semantic" and match_terms(question):
+        lists["keyword"] = ranked(indexed_bm25(spark, index, question, allowed), DEPTH)
+    if mode != "lexical" and vectors is not None and asked is not None:
+        lists["meaning"] = ranked(nearest(vectors.join(allowed, "item_id", "left_semi"), asked, id="item_id"), DEPTH)
+    if not lists:
+        return allowed.limit(0).select("item_id", "kind", F.lit(0.0).alias("score"), F.lit("").alias("why"))
+    said = F.when(F.col("why") == "keyword+meaning", F.lit("matched on keyword and meaning")).when(F.col("why") == "meaning", F.lit(f'similar in meaning to "{question}"')).otherwise(F.lit(f'matches "{question}"'))
+    best = fuse(lists).orderBy(F.desc("score"), "item_id").limit(limit)
+    return best.join(allowed, "item_id").select("item_id", "kind", "score", F.concat_ws("; ", *map(F.lit, base), said).alias("why"))
 
 
-def indexed_bm25(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """(item_id, score) by an index of :func:`write_index`; only the buckets of the asked terms are read."""
-    asked = spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).collect()
-    held = spark.read.parquet(f"{path}/terms").filter(F.col("bucket").isin(*{r["bucket"] for r in asked}) & F.col("term").isin(*terms))
-    size = spark.read.parquet(f"{path}/size")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
-    # One row per asked term, one row of totals.
-    joined = held.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
-    idf = F.greatest(F.log((F.col("n") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return joined.groupBy("item_id").agg(F.round(F.sum(part), 6).alias("score"))
+_QUESTION, _KINDS = "licensed version thing worthless", ("en", "fr")
 
 
-def search(spark: SparkSession, items: DataFrame, index: str, question: str, scope: Scope) -> DataFrame:
-    """TOOL-1, RET-9, RET-10: the best items in scope by keyword, or the newest if nothing is asked."""
-    allowed = scope.within(items).select("item_id", "title", "kind")
-    limit = min(scope.limit, MOST_ITEMS)
-    terms = match_terms(question)
-    if not terms:
-        return allowed.orderBy(F.desc("item_id")).limit(limit).select("item_id", "kind", F.lit(0.0).alias("score"), F.lit("most recent").alias("why"))
-    hits = indexed_bm25(spark, index, terms).join(allowed, "item_id")
-    return hits.orderBy(F.desc("score"), "item_id").limit(limit).select("item_id", "kind", "score", F.lit("mentions " + ", ".join(terms)).alias("why"))
+def _scored(scope: str) -> str:
+    """SQL: ``kw``, the keyword ranks within a scope, and ``mn``, those of the vectors."""
+    return f"""{_OWNED}, {index_sql({stem: [words] for stem, words in FORMS.items()})}, scope AS (SELECT item_id, kind FROM owned WHERE deleted IS NULL AND {scope}),
+kw AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM lx JOIN scope USING (item_id) QUALIFY rank <= {DEPTH}),
+mn AS (SELECT e.vec_id AS item_id, row_number() OVER (ORDER BY round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) DESC, e.vec_id) AS rank
+  FROM embeddings e JOIN scope ON scope.item_id = e.vec_id, embeddings q WHERE q.vec_id = 0 QUALIFY rank <= {DEPTH})"""
 
 
-_QUESTION, _KINDS = "licensed version thing worthless", ("en", "fr")
-_ASKED = "['licensed', 'version', 'thing', 'worthless']"
-_SCORED = f"""{_OWNED}, tok AS (SELECT item_id, list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM items), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
-f AS (SELECT item_id, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS f FROM tok, (SELECT unnest({_ASKED}) AS term)), d AS (SELECT term, count(*) AS d FROM f WHERE f > 0 GROUP BY term),
-lx AS (SELECT item_id, round(sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * {K1 + 1} / (f + {K1} * ({1 - B} + {B} * length / mean))), 6) AS score FROM f JOIN d USING (term), st WHERE f > 0 GROUP BY item_id)"""
+@query(f"""WITH {_scored(f'kind IN {_KINDS} AND item_id >= 20')} SELECT item_id, kind, round(1.0::DOUBLE / ({RRF} + rank), 8) AS score, 'within the requested time range; matches "{_QUESTION}"' AS why FROM kw JOIN scope USING (item_id) ORDER BY score DESC, item_id LIMIT 50""")
+def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOOL-1, FIL-1, FIL-4, FIL-5, RET-1 to RET-3: live items of two kinds since a bound, by keyword."""
+    return search(spark, owned_items(spark, sf_dir), store_index(spark, sf_dir), _QUESTION, Scope(kinds=_KINDS, since=20, limit=50))
 
 
-@query(f"WITH {_SCORED} SELECT item_id, kind, score, 'mentions licensed, version, thing, worthless' AS why FROM lx JOIN owned USING (item_id) WHERE deleted IS NULL AND kind IN {_KINDS} AND item_id >= 20 ORDER BY score DESC, item_id LIMIT 50")
-def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOOL-1, FIL-1 to FIL-5, RET-1 to RET-4: live items of two kinds since a bound, by the inverted index."""
-    items, index = owned_items(spark, sf_dir), scratch(spark, "index")
-    write_index(items, index)
-    return search(spark, items, index, _QUESTION, Scope(kinds=_KINDS, since=20, limit=50))
+@query(f"""WITH {_scored("(custodian = 'ann' OR visibility = 'household') AND contains(lower(body), 'the')")}, u AS (SELECT item_id, rank, 'keyword' AS label FROM kw UNION ALL SELECT item_id, rank, 'meaning' FROM mn),
+z AS (SELECT item_id, round(sum(1.0::DOUBLE / ({RRF} + rank)), 8) AS score, string_agg(label, '+' ORDER BY label) AS found FROM u GROUP BY item_id)
+SELECT item_id, kind, score, 'involves the requested person; ' || CASE found WHEN 'keyword+meaning' THEN 'matched on keyword and meaning' WHEN 'meaning' THEN 'similar in meaning to "{_QUESTION}"' ELSE 'matches "{_QUESTION}"' END AS why
+FROM z JOIN scope USING (item_id) ORDER BY score DESC, item_id LIMIT 30""")
+def search_hybrid_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOOL-1, FIL-2, RET-8 to RET-10: keyword and meaning fused within what a principal may see, with a reason for each hit."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    scope = Scope(principal="ann", person="the", limit=30)
+    return search(spark, owned_items(spark, sf_dir), store_index(spark, sf_dir), _QUESTION, scope, vectors=vectors, asked=vectors.filter("item_id = 0"))
 
 
-@query(f"WITH {_OWNED} SELECT item_id, kind, 0.0::DOUBLE AS score, 'most recent' AS why FROM owned WHERE deleted IS NULL AND contains(lower(body), '@mail1') ORDER BY item_id DESC LIMIT 100")
+@query(f"""WITH {_OWNED} SELECT item_id, kind, round(1.0::DOUBLE / rank, 8) AS score, 'involves the requested person; ' || CASE rank WHEN 1 THEN 'most recent' ELSE 'recent (#' || rank || ')' END AS why
+FROM (SELECT item_id, kind, row_number() OVER (ORDER BY item_id DESC) AS rank FROM owned WHERE deleted IS NULL AND contains(lower(body), '@mail1')) WHERE rank <= 100""")
 def search_without_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOOL-1, TOP-2, RET-9: without a question the newest items with a person, the limit capped."""
     return search(spark, owned_items(spark, sf_dir), "", "", Scope(person="@mail1", limit=1000))
