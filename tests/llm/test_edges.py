@@ -19,18 +19,24 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named like those the operators add.
 CLASH = ("n_lines", "n_dropped", "kept", "pii", "findings", "distance", "n_words", "start", "length", "component_id", "h", "salt", "lang_key", "source_key", "width", "own", "m_0", "v_0_0", "half", "drops", "lines", "row", "doc", "rep")
+#: And like those that operators work with inside, or that need quoting.
+HIDDEN = ("__r", "__q", "__keys", "__lines", "__drops", "__doc", "__least", "__text", "__path", "__found", "__scored", "__findings", "__scan_shown", "__pii", "__pii_text", "__pii_0", "__pii_all", "__pii_shown", "n_ids", "ids", "exact", "a.b", "kept_0", "k0", "given")
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     frame = spark.createDataFrame(ROWS, SCHEMA)
-    return frame.withColumns({c: F.lit("own") for c in CLASH})
+    return frame.withColumns({c: F.lit("own") for c in (*CLASH, *HIDDEN)})
 
 
 OPERATORS = {
     "packing": lambda d: packing.pack_texts(d, "text", keep=["doc_id"]),
     "packing_clash": lambda d: packing.pack_texts(d, "text", keep=["doc_id", "start", "length"], with_ids=True),
+    "packing_names": lambda d: packing.pack_texts(d, "text", keep=["a.b", "given", "k0", "ids", "__text"]),
+    "packing_examples": lambda d: packing.pack_examples(d.withColumn("a.b", F.expr("transform(split(text, ' '), w -> length(w))")), "a.b", keep=["doc_id", "given", "text"], loss="a.b"),
     "pieces": lambda d: pieces.encode(d, keep=["doc_id"], check=True),
+    "pieces_names": lambda d: pieces.encode(d, keep=["n_ids", "ids", "a.b", "text", "text", "k0"], check=True),
+    "pieces_back": lambda d: pieces.decode(pieces.encode(d, keep=["doc_id", "a.b"]).withColumn("text", F.lit("own")), keep=["text", "a.b", "ids", "doc_id"]),
     "suffix_tree": lambda d: suffix_tree.score_texts(d, F.col("doc_id") > 2),
     "quality_rules": lambda d: quality_rules.reject_outliers(d),
     "line_dedup": lambda d: line_dedup.dedup_lines(d),
@@ -42,7 +48,7 @@ OPERATORS = {
     "pii_redact": lambda d: pii.redact(d),
 }
 #: Operators that give a row for each row.
-SAME = ("pieces", "suffix_tree", "quality_rules", "line_dedup", "near_dedup", "quality_classifier", "secrets", "pii", "pii_redact")
+SAME = ("pieces", "pieces_names", "pieces_back", "suffix_tree", "quality_rules", "line_dedup", "near_dedup", "quality_classifier", "secrets", "pii", "pii_redact")
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
@@ -55,6 +61,23 @@ def test_edges_and_empty_tables(spark, docs, name):
     assert OPERATORS[name](docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["line_dedup", "drop_near", "secrets", "pii", "pii_redact"])
+def test_columns_of_any_name_stay_as_they_are(docs, name):
+    out = OPERATORS[name](docs)
+    assert set(HIDDEN) <= set(out.columns) and set(docs.columns) <= set(out.columns)
+    assert all(r[c] == "own" for r in out.collect() for c in HIDDEN)
+    # The text may have such a name itself.
+    odd = docs.drop("__text").withColumnRenamed("text", "__text")
+    assert "__text" in {"line_dedup": lambda: line_dedup.dedup_lines(odd, "__text"), "drop_near": lambda: near_dedup.drop_near_duplicates(odd, "__text"), "secrets": lambda: secrets.redact(odd, secrets.Detector("0D", 1.0), "__text"), "pii": lambda: pii.find_pii(odd, "__text"), "pii_redact": lambda: pii.redact(odd, "__text")}[name]().columns
+
+
+def test_kept_columns_of_pieces(docs):
+    rows = OPERATORS["pieces_names"](docs).collect()
+    assert rows[0].asDict().keys() == {"n_ids", "ids_crc32", "n_byte_ids", "exact", "ids", "a.b", "text", "k0"} and all(r["a.b"] == r["k0"] == "own" for r in rows)
+    back = {r["doc_id"]: r for r in OPERATORS["pieces_back"](docs).collect()}
+    assert back[7]["text"].startswith("token =") and back[2]["text"] == "" and len(back[4]["ids"]) > 20_000 and back[1]["a.b"] == "own"
+
+
 def test_values_of_the_edges(docs):
     scored = {r["doc_id"]: r for r in suffix_tree.score_texts(docs, F.col("doc_id") > 2).collect()}
     assert scored[2]["n_tokens"] == scored[3]["n_tokens"] == 1 and scored[4]["n_tokens"] == 30_001

@@ -378,7 +378,6 @@ def test_kneser_ney_is_a_distribution(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
-@pytest.mark.parametrize("search", [knn.Search(), knn.Search(shard_rows=300, block_queries=40, leaf=16), knn.Search(shard_rows=100, pivots=3)])
 def _perplexity_by_definition(training, text, order):
     """Log probability of a text's bytes under interpolated modified Kneser-Ney, from its definition."""
     tops = collections.Counter()
@@ -452,6 +451,26 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(frame).collect()) == [1, 2, 7]
 
 
+@pytest.mark.parametrize("words", [1, 3, 5, 12])
+def test_short_texts_are_packed_without_padding(spark, words):
+    rows = spark.range(10_000).select(F.concat_ws(" ", *[F.lit("word")] * words).alias("text"), "id")
+    pieces = packing.pack_texts(rows, "text", keep=["id"]).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("segments"), F.count_distinct("offset").alias("offsets")).collect()
+    tokens = sum(p["n"] for p in pieces)
+    padded = sum(p["n"] if p["n"] & (p["n"] - 1) == 0 else 4096 for p in pieces)
+    assert tokens == 10_000 * (words + 1) and padded - tokens < tokens / 100 and all(p["segments"] <= 256 and p["segments"] == p["offsets"] for p in pieces)
+
+
+def test_a_stranger_in_a_bucket_of_copies(spark):
+    random.seed(31)
+    base = random.sample(range(10**6), 60)
+    rows = [(i, " ".join(f"w{x}" for x in [*base[:i % 50], i, *base[i % 50 + 1 :]])) for i in range(1500)] + [(5000, " ".join(f"w{x}" for x in [*base[:40], *range(40)]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    how = near_dedup.Sketching(block=64)
+    got = near_dedup.near_duplicates(frame, how=how).collect()
+    assert len({r["component_id"] for r in got if r["doc_id"] < 5000}) == 1 and {r["component_id"] for r in got if r["doc_id"] == 5000} == {5000}
+
+
+@pytest.mark.parametrize("search", [knn.Search(), knn.Search(shard_rows=300, block_queries=40, leaf=16), knn.Search(shard_rows=100, pivots=3)])
 def test_top_k_by_brute_force(spark, search):
     rng = np.random.default_rng(3)
     points = rng.normal(size=(5000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 5000)]

@@ -8,6 +8,11 @@ text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Elements of an array that are scanned in one go, and code points in a block of text.
 STEP, BLOCK = 256, 512
 SPAN = "array<struct<start:int,text:string>>"
@@ -79,3 +84,23 @@ def replaced(text: str, spans: str, mark: str) -> str:
     ends = "transform(ss, s -> s.end)"
     parts = f"zip_with(concat(array(0), {ends}), concat(transform(ss, s -> struct(s.start as start, {mark} as mark)), array(struct(length({text}) as start, '' as mark))), (a, s) -> concat({piece('bs', 'a', 's.start')}, s.mark))"
     return let("ss", spans, let("bs", blocks(text), f"array_join({parts}, '')"))
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """The frame with columns that begin with two underscores, as operators' own do, under other names; these; and what gives the names back."""
+    taken, other = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.startswith("__"):
+            other[c] = next(n for n in (f"kept_{i}" for i in range(len(taken) + 1)) if n not in taken)
+            taken.add(other[c])
+    names = {n: c for c, n in other.items()}
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.toDF(*(names.get(c, c) for c in out.columns)) if other else out
+
+    return (df.toDF(*(other.get(c, c) for c in df.columns)) if other else df), other, named
+
+
+def by_place(df: DataFrame, kept: list[str], **inputs: str) -> DataFrame:
+    """The kept columns as k0, k1, ... and the inputs under the names given: in Arrow any name will do then, dots and clashes included."""
+    return df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)), *(F.col(f"`{c}`").alias(name) for name, c in inputs.items()))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm._sql import shielded
+
 #: White space stripped off both ends of a line, after the ASCII definition [\x20\x09-\x0D].
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +42,8 @@ def dedup_lines(df: DataFrame, text: str = "text", *, least_documents: int = 10,
     whose lines all go is left empty.  Columns called n_lines or n_dropped are
     replaced.
     """
+    df, other, named = shielded(df)
+    text = other.get(text, text)
     rest = [c for c in df.columns if c not in (text, "n_lines", "n_dropped")]
     # Rows that agree in all columns get the same result, so a hash of the row may stand for it in the join.
     everything = [F.col(f"`{c}`").cast("string") if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in [*rest, text]]
@@ -67,12 +71,13 @@ def dedup_lines(df: DataFrame, text: str = "text", *, least_documents: int = 10,
     # Between two dropped positions a and b the lines a + 1 .. b - 1 stay.
     edges = F.arrays_zip(F.concat(F.array(F.lit(-1)), "__drops").alias("a"), F.concat("__drops", F.array(size)).alias("b"))
     kept = F.flatten(F.transform(edges, lambda e: F.slice("__lines", e["a"] + 2, e["b"] - e["a"] - 1)))
-    return lines.select(
+    out = lines.select(
         *[f"`{c}`" for c in rest],
         F.when(F.col("__drops").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")).alias(text),
         size.cast("long").alias("n_lines"),
         F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return named(out)
 
 
 def digest(deduped: DataFrame, *keep: str, text: str = "text") -> DataFrame:

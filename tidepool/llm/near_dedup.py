@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import _text
+from tidepool.llm._sql import shielded
 from tidepool.plans.lineage import cut
 from tidepool.operators.components import components, large_star, salted_join, small_star, tidy
 
@@ -126,8 +127,12 @@ def _sets(column: pa.Array, words: int) -> _text.Words:
 
 def _sketch_batches(batches: Iterable[pa.RecordBatch], text: str, how: Sketching) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)))
+        at = 0
+        while at < batch.num_rows:
+            # Some MB of text at a time, a text at least.
+            last = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 23), "right"))), at + 1000)
+            part, at = batch.slice(at, last - at), last
             # Equal sets are told by two independent hashes of every word.
             sets, others = _text.distinct(_shingles(part.column(text), how.words, 0), _shingles(part.column(text), how.words, 1).hashes)
             sizes = np.diff(sets.offsets)
@@ -352,11 +357,15 @@ def near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id", *, h
     labels = cut(small_star(large_star(tidy(links, "a", "b"))).groupBy("hi").agg(F.min("lo").alias("comp")))
 
     labelled = members.join(labels.withColumnRenamed("hi", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-    # Only buckets with several labels have pairs left.
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket")
+    # Only buckets with several labels have pairs left, and there only those of a row without the bucket's
+    # commonest label: blocks of such rows meet each other and all others, which do not meet among themselves.
+    counts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("common"), F.max("k").alias("commons"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
     open_rows = salted_join(labelled, mixed, ["bucket"], "rep")
-    blocks = F.ceil(F.col("size") / how.block).cast("int")
-    dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rare_blocks, common_blocks = F.ceil((F.col("size") - F.col("commons")) / how.block).cast("int"), F.ceil(F.col("commons") / how.block).cast("int")
+    is_common, drawn = F.col("comp") == F.col("common"), F.xxhash64("rep")
+    numbered = open_rows.withColumn("block", F.when(is_common, rare_blocks + F.pmod(drawn, common_blocks)).otherwise(F.pmod(drawn, rare_blocks)).cast("int"))
+    dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), rare_blocks - 1 + F.when(is_common, 0).otherwise(common_blocks))))
     dealt = dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", F.col("bucket").bitwiseAND(F.lit(255)).cast("int").alias("band"), "rep", "comp")
     # First on the sketches alone: which rows are in a likely pair of their block. Only these get their texts.
     group, fixed = ["bucket", "bi", "bj"], ["bucket", "bi", "bj", "block", "band", "rep", "comp", "n", "registers"]
@@ -385,8 +394,10 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", doc: str = "doc_id",
     Of rows that share an id one stays, with the text that stands for the id
     (that of smallest xxhash64); if these differ in other columns, any of them.
     """
+    df, other, named = shielded(df)
+    text, doc = other.get(text, text), other.get(doc, doc)
     kept = near_duplicates(df, text, doc, how=how).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc")).distinct()
     key, hashed = F.col(f"`{doc}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
     least = df.filter(key.isNotNull()).groupBy(key.alias("__doc")).agg(F.min(hashed).alias("__least"))
-    named = df.join(kept.join(least, "__doc"), (key == F.col("__doc")) & (hashed == F.col("__least")), "left_semi").dropDuplicates([doc])
-    return named.union(df.filter(F.col(f"`{doc}`").isNull()))
+    with_id = df.join(kept.join(least, "__doc"), (key == F.col("__doc")) & (hashed == F.col("__least")), "left_semi").dropDuplicates([doc])
+    return named(with_id.union(df.filter(F.col(f"`{doc}`").isNull())))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import _text
+from tidepool.llm._sql import by_place
 
 #: Sequence ids are partition * SPAN + position, so they never meet.
 SPAN = 1 << 36
@@ -139,25 +140,18 @@ class _Packer:
         self.left -= (end - at, 1, self._loss(ids, loss, at, end))
         self.items[k] = (key, ids, loss, end)
 
-    def _close(self) -> None:
-        if self.held:
-            at = 0
-            for key, ids, loss, start, end in self.held:
-                self.emit(key, ids, loss, start, end, self.next_id, at)
-                at += end - start
-            self.next_id += 1
-        self.left, self.held = self.cap.copy(), []
-
     def finish(self) -> None:
-        """Place all that waits; the last bin is cut into sequences of powers of two."""
+        """Place all that waits."""
         self.fill(0)
-        total = sum(end - start for *_, start, end in self.held)
-        pieces, at, room = list(self.held), 0, 0
-        self.held = []
+        self._close()
+
+    def _close(self) -> None:
+        """Emit the bin as a sequence; one that is not full, as another limit or the end of all was reached, as sequences of powers of two."""
+        pieces, at, room = [p for p in self.held[::-1] if p[4] > p[3]], 0, 0
+        total = sum(end - start for *_, start, end in pieces)
+        self.left, self.held = self.cap.copy(), []
         if total == self.cap[0]:
-            self.held = pieces
-            return self._close()
-        pieces.reverse()
+            room, total = total, 0
         while pieces:
             if not room:
                 room, at = 1 << (total.bit_length() - 1), 0
@@ -229,9 +223,13 @@ def _kept(keep: list[str], with_ids: bool) -> list[str]:
     return [c for c in dict.fromkeys(keep) if c not in added]
 
 
-def _result_schema(df: DataFrame, columns: list[str], with_ids: bool) -> str:
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
-    return ", ".join([*fields, PIECES, *(["ids array<int>"] if with_ids else [])])
+def _packed(df: DataFrame, read: Callable, keep: list[str], limits: Limits, pool: Pool, with_ids: bool, **inputs: str) -> DataFrame:
+    carried = _kept(keep, with_ids)
+    places = [f"k{i}" for i in range(len(carried))]
+    added = PIECES + ", ids array<int>" * with_ids
+    schema = ", ".join([*(f"{k} {df.schema[c].dataType.simpleString()}" for k, c in zip(places, carried)), added])
+    made = by_place(df, carried, **inputs).mapInArrow(lambda it: _pack(it, read, limits, pool, places, with_ids), schema)
+    return made.toDF(*carried, *made.columns[len(carried) :])
 
 
 def pack_examples(df: DataFrame, ids: str, *, keep: list[str], loss: str | None = None, limits: Limits = Limits(), pool: Pool = Pool(), with_ids: bool = True) -> DataFrame:  # noqa: B008
@@ -247,10 +245,8 @@ def pack_examples(df: DataFrame, ids: str, *, keep: list[str], loss: str | None
     ids give no piece; repeated rows are packed each for itself; null loss
     entries bear no loss; a kept column named like an added one is replaced by it.
     """
-    carried = _kept(keep, with_ids)
-
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        lists, marks = batch.column(ids), batch.column(loss) if loss else None
+        lists, marks = batch.column("given"), batch.column("marks") if loss else None
         for i in range(batch.num_rows):
             values = lists[i].values
             own = np.zeros(0, "<u4") if values is None else values.fill_null(0).to_numpy(zero_copy_only=False).astype("<u4")
@@ -263,8 +259,7 @@ def pack_examples(df: DataFrame, ids: str, *, keep: list[str], loss: str | None
                 sums = np.concatenate([[0], np.cumsum(bears)])
             yield own, sums
 
-    slim = df.select(*(f"`{c}`" for c in dict.fromkeys([*carried, ids, *([loss] if loss else [])])))
-    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, carried, with_ids), _result_schema(df, carried, with_ids))
+    return _packed(df, read, keep, limits, pool, with_ids, given=ids, **({"marks": loss} if loss else {}))
 
 
 # --- texts -------------------------------------------------------------------
@@ -379,7 +374,7 @@ def pack_texts(df: DataFrame, text: str, *, keep: list[str], vocabulary: str | N
         path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path)
-        column, end = batch.column(text), np.array([] if end_id is None else [end_id], "<u4")
+        column, end = batch.column("given"), np.array([] if end_id is None else [end_id], "<u4")
         sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)))])
         at = 0
         while at < batch.num_rows:
@@ -389,9 +384,7 @@ def pack_texts(df: DataFrame, text: str, *, keep: list[str], vocabulary: str | N
                 yield np.concatenate([ids, end]), None
             at = last
 
-    carried = _kept(keep, with_ids)
-    slim = df.select(*(f"`{c}`" for c in dict.fromkeys([*carried, text])))
-    return slim.mapInArrow(lambda it: _pack(it, read, limits, pool, carried, with_ids), _result_schema(df, carried, with_ids))
+    return _packed(df, read, keep, limits, pool, with_ids, given=text)
 
 
 def conversation_examples(conversations: DataFrame, encode: Callable[[Column], Column], *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bears: str = "assistant") -> DataFrame:

@@ -22,12 +22,13 @@ import sys
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidepool.llm._sql import by_place
 from tidepool.llm._text import paused_gc
 
 #: SentencePiece's mark for a space.
@@ -266,8 +267,12 @@ def _coder(path: str | None) -> TextCoder:
     return _CODERS[path]
 
 
-def _types(df: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+def _carried(df: DataFrame, keep: list[str], added: str, run: Callable, given: str) -> DataFrame:
+    """The kept columns, but for those named like added ones, and what ``run`` makes of ``given`` and them."""
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in {x.split()[0] for x in added.split(", ")}]
+    schema = ", ".join([*(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), added])
+    made = by_place(df, kept, given=given).mapInArrow(lambda it: run(it, [f"k{i}" for i in range(len(kept))]), schema)
+    return made.toDF(*kept, *made.columns[len(kept) :])
 
 
 def encode(df: DataFrame, text: str = "text", *, keep: list[str], model: str | None = None, with_ids: bool = True, check: bool = False) -> DataFrame:
@@ -276,10 +281,11 @@ def encode(df: DataFrame, text: str = "text", *, keep: list[str], model: str | N
     ``with_ids`` adds ``ids``; ``check`` adds ``exact``: whether decoding gives
     the text again (U+2581 in a text comes back as a space).  ``model`` is the path of a SentencePiece BPE model on
     the executors.  A null or empty text has no ids.  A map without a shuffle;
-    each row stands for itself.
+    each row, repeated or not, stands for itself.  A kept column named like an
+    added one is replaced by it.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
         byte_ids = np.array(sorted(coder.v.bytes.values()), "<u4")
         for batch in batches:
@@ -287,10 +293,10 @@ def encode(df: DataFrame, text: str = "text", *, keep: list[str], model: str | N
             while at < batch.num_rows:
                 texts, size, first = [], 0, at
                 while at < batch.num_rows and (not texts or size < 2_000_000 and len(texts) < 512):
-                    texts.append(batch.column(text)[at].as_py() or "")
+                    texts.append(batch.column("given")[at].as_py() or "")
                     size, at = size + len(texts[-1]), at + 1
                 ids = list(coder.encode(texts))
-                out = {c: batch.column(c).slice(first, at - first) for c in keep}
+                out = {c: batch.column(c).slice(first, at - first) for c in kept}
                 out["n_ids"] = pa.array([len(x) for x in ids], pa.int64())
                 out["ids_crc32"] = pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())
                 out["n_byte_ids"] = pa.array([int(((x >= byte_ids[0]) & (x <= byte_ids[-1])).sum()) if len(byte_ids) else 0 for x in ids], pa.int64())
@@ -300,19 +306,19 @@ def encode(df: DataFrame, text: str = "text", *, keep: list[str], model: str | N
                     out["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    more = ", n_ids long, ids_crc32 long, n_byte_ids long" + ", exact boolean" * check + ", ids array<int>" * with_ids
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, _types(df, keep) + more)
+    added = "n_ids long, ids_crc32 long, n_byte_ids long" + ", exact boolean" * check + ", ids array<int>" * with_ids
+    return _carried(df, keep, added, run, text)
 
 
 def decode(df: DataFrame, ids: str = "ids", *, keep: list[str], model: str | None = None) -> DataFrame:
-    """The kept columns of every row with ``text``, the decoded ids; null ids give an empty text, null entries nothing."""
+    """The kept columns of every row with ``text``, the decoded ids; null ids give an empty text, null entries nothing; a kept column called text is replaced."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                texts = [coder.decode(np.array([i for i in x.as_py() or [] if i is not None], np.int64)) for x in part.column(ids)]
-                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in keep}, "text": pa.array(texts, pa.string())})
+                texts = [coder.decode(np.array([i for i in x.as_py() or [] if i is not None], np.int64)) for x in part.column("given")]
+                yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in kept}, "text": pa.array(texts, pa.string())})
 
-    return df.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, _types(df, keep) + ", text string")
+    return _carried(df, keep, "text string", run, ids)

@@ -137,6 +137,8 @@ def find_pii(df: DataFrame, text: str = "text", *, base: tuple[Kind, ...] = BASE
     has none; other columns, repeated rows and nulls stay as they are; a column
     named like the output is replaced.
     """
+    df, other, named = _sql.shielded(df)
+    text = other.get(text, text)
     hidden, blocks = "__pii_text", "__pii_blocks"
     staged = df.withColumn(hidden, F.coalesce(F.col(f"`{text}`"), F.lit("")))
     # Texts without any hint are not cut.
@@ -148,11 +150,13 @@ def find_pii(df: DataFrame, text: str = "text", *, base: tuple[Kind, ...] = BASE
     staged = staged.withColumn("__pii_added", F.flatten(F.array(*(F.col(f"__pii_{len(base) + i}") for i in range(len(added))))) if added else F.expr(f"cast(array() as {_SPANS})"))
     staged = staged.withColumn("__pii_all", F.expr(_sql.apart("__pii_base", "__pii_added")))
     out = F.transform(F.filter("__pii_all", lambda s: s["score"] >= least), lambda s: F.struct(s["start"], s["end"], s["kind"], s["text"], s["score"], (s["rank"] < len(base)).alias("is_base")))
-    return staged.withColumn(output, out).drop(hidden, blocks, "__pii_base", "__pii_added", "__pii_all", *(f"__pii_{i}" for i in range(len(base) + len(added))))
+    return named(staged.withColumn(output, out).drop(hidden, blocks, "__pii_base", "__pii_added", "__pii_all", *(f"__pii_{i}" for i in range(len(base) + len(added)))))
 
 
 def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """Replace every span by its kind in brackets; of overlapping spans the later ones go with the first, to the end of the last."""
+    df, other, named = _sql.shielded(df)
+    text = other.get(text, text)
     found = find_pii(df, text, output="__pii", **options)
     # A span that starts a stretch of overlapping ones ends where the stretch does.
     reach = _sql.running("transform(__pii, s -> s.end)", "0", "greatest(c, v)")
@@ -162,7 +166,7 @@ def redact(df: DataFrame, text: str = "text", **options) -> DataFrame:
     spans = _sql.let("hs", heads, f"zip_with({starts}, {ends}, (a, b) -> struct(a.start as start, b.end as end, a.kind as kind))")
     shown = _sql.replaced("__pii_shown", spans, "concat('[', s.kind, ']')")
     staged = found.withColumn("__pii_shown", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return staged.withColumn(text, F.when(F.size("__pii") > 0, F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__pii", "__pii_shown")
+    return named(staged.withColumn(text, F.when(F.size("__pii") > 0, F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__pii", "__pii_shown"))
 
 
 def digest(found: DataFrame, *keep: str, spans: str = "pii") -> DataFrame:

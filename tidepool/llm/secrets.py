@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import _sql, secret_samples
-from tidepool.llm._sql import matches, quote
+from tidepool.llm._sql import matches, quote, shielded
 from tidepool.plans.lineage import cut
 
 _NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
@@ -102,9 +102,11 @@ def findings(text: str, path: str = "''") -> str:
 
 
 def with_findings(df: DataFrame, text: str, path: str | None, output: str) -> DataFrame:
+    df, other, named = shielded(df)
+    text, path = other.get(text, text), other.get(path, path)
     staged = df.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     staged = staged.withColumn("__path", F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")) if path else F.lit(""))
-    return staged.withColumn(output, F.expr(findings("__text", "__path"))).drop("__text", "__path")
+    return named(staged.withColumn(output, F.expr(findings("__text", "__path"))).drop("__text", "__path"))
 
 
 def dictionary(df: DataFrame, text: str, how: Forest) -> list[str]:
@@ -140,20 +142,25 @@ def scan(df: DataFrame, detector: Detector, text: str = "text", path: str | None
     """Add ``output``: every finding of the text with ``start``, ``end``, ``text``, ``score`` and ``is_secret``.
 
     A null or empty text has none; nulls, repeated rows and other columns stay
-    as they are; a column named like the output is replaced.
+    as they are; a column named like the output is replaced.  A tie at the
+    votes it takes counts as a secret.
     """
+    df, other, named = shielded(df)
+    text, path = other.get(text, text), other.get(path, path)
     found = with_findings(df, text, path, "__found")
     scored = f"transform(__found, c -> struct(c.start as start, c.start + length(c.text) as end, c.text as text, {detector.score} as score))"
     out = f"transform(__scored, c -> struct(c.start as start, c.end as end, c.text as text, c.score as score, c.score >= {detector.votes} as is_secret))"
-    return found.withColumn("__scored", F.expr(scored)).withColumn(output, F.expr(out)).drop("__found", "__scored")
+    return named(found.withColumn("__scored", F.expr(scored)).withColumn(output, F.expr(out)).drop("__found", "__scored"))
 
 
 def redact(df: DataFrame, detector: Detector, text: str = "text", path: str | None = "source", *, mark: str = "[secret]") -> DataFrame:
     """Replace every secret in the text by ``mark``; all rows and columns stay."""
+    df, other, named = shielded(df)
+    text, path = other.get(text, text), other.get(path, path)
     found = scan(df, detector, text, path, output="__findings")
     shown = _sql.replaced("__scan_shown", "filter(__findings, c -> c.is_secret)", quote(mark))
     staged = found.withColumn("__scan_shown", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    return staged.withColumn(text, F.when(F.exists("__findings", lambda c: c["is_secret"]), F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__findings", "__scan_shown")
+    return named(staged.withColumn(text, F.when(F.exists("__findings", lambda c: c["is_secret"]), F.expr(shown)).otherwise(F.col(f"`{text}`"))).drop("__findings", "__scan_shown"))
 
 
 def fit(df: DataFrame, text: str = "text", how: Forest = Forest(), kinds: list[str] | None = None) -> Detector:  # noqa: B008
