@@ -14,6 +14,7 @@ from tidepool import text as T
 from tidepool.operators.components import components
 from tidepool.registry import query
 from tidepool.sources.tables import table
+from tidepool.stems import folded_names
 
 BARE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PHONE = r"^\+?[0-9 ().-]{7,20}$"
@@ -32,13 +33,6 @@ def normal_name(name: Column) -> Column:
     return F.lower(F.when(swap, turned).otherwise(clean))
 
 
-def folded(name: Column) -> Column:
-    """IDN-7: small letters without marks; what is no letter, digit, blank, quote or hyphen goes."""
-    # Latin letters with marks and their plain forms.
-    marked, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.trim(F.regexp_replace(F.translate(F.lower(name), marked, plain), "[^a-z0-9 '-]", ""))
-
-
 def split_addresses(value: Column) -> Column:
     """IDN-4: a header's addresses: cut at commas that are in no quotes and no angle brackets."""
     outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)(?![^<>]*>)'
@@ -190,7 +184,8 @@ def group_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(sizes, "c_nationkey").select("c_nationkey", F.concat(F.array_join("names", ", "), others).alias("title"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(translate(lower(p_name), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9 ''-]', '', 'g')) AS folded FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(strip_accents(lower(CASE p_partkey % 3 WHEN 0 THEN 'Žofie Łódź ' WHEN 1 THEN 'Ñandú Çelik ' ELSE '' END || p_name)), '[^a-z0-9 ''-]', '', 'g')) AS folded FROM part")
 def names_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDN-7: names without marks."""
-    return table(spark, sf_dir, "part").select("p_partkey", folded(F.col("p_name")).alias("folded"))
+    marked = F.when(F.col("p_partkey") % 3 == 0, "Žofie Łódź ").when(F.col("p_partkey") % 3 == 1, "Ñandú Çelik ").otherwise("")
+    return folded_names(table(spark, sf_dir, "part").select("p_partkey", F.concat(marked, "p_name").alias("folded")), "folded")

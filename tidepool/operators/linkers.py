@@ -9,6 +9,8 @@ a window are bulk and skipped before any pair is made.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -262,6 +264,35 @@ def same_thread_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("item_id", "after").alias("a"), F.greatest("item_id", "after").alias("b"), F.lit("same_thread").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
+def explained(pairs: DataFrame) -> DataFrame:
+    """GRF-11, LNK-8: (a, b, linker, kind, confidence, rejected): what every rule says of every candidate, by the code that draws the edges."""
+    parts = [
+        arranges(pairs).select("a", "b", F.lit("arranges").alias("linker"), "kind", "confidence", "rejected"),
+        tracks(pairs).select("a", "b", F.lit("tracks").alias("linker"), F.when(F.col("rejected").isNull(), "tracks").alias("kind"), "confidence", "rejected"),
+        about_same(pairs).select("a", "b", F.lit("about_same").alias("linker"), F.when(F.col("rejected").isNull(), "about_same").alias("kind"), "confidence", "rejected"),
+        adjacent(pairs).select("a", "b", F.lit("adjacent").alias("linker"), F.when(F.col("rejected").isNull(), "adjacent").alias("kind"), "confidence", "rejected"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def why(pairs: DataFrame, node: str) -> DataFrame:
+    """GRF-11: the same for one node's candidates; nothing is written."""
+    return explained(pairs.filter(F.col("a") == node))
+
+
+@query(f"""{_PAIRED_SQL}, {_ARRANGES_SQL}, tr AS (SELECT a, b, abs(xt - yt) AS gap, yl, list_filter(string_split_regex(lower(coalesce(xtitle, '')), '[^A-Za-z0-9_]+'), lambda w: length(w) > 4) AS long FROM paired WHERE xk = 'task' AND yk <> 'task'),
+th AS (SELECT *, len(list_filter(long, lambda w: contains(yl, w))) AS hits FROM tr), ab AS (SELECT *, abs(coalesce(xe, xt) - yt) AS gap FROM paired WHERE xs <> ys AND len(list_filter(via, lambda v: v LIKE 'word:%')) > 0),
+j AS (SELECT 'arranges' AS linker, rejected FROM arranged UNION ALL SELECT 'tracks', CASE WHEN gap > {TRACKS_SPAN} THEN 'not the nearest occasion' WHEN len(long) = 0 THEN 'no long words' WHEN hits < 2 OR hits < len(long) * 0.6 THEN 'too few words' END FROM th
+UNION ALL SELECT 'about_same', CASE WHEN n_words = 0 THEN 'word too common' WHEN NOT strong THEN 'one common word' WHEN n_words = 1 AND gap > {SINGLE_WORD_SPAN} THEN 'one word, far apart' END FROM ab
+UNION ALL SELECT 'adjacent', CASE WHEN shared = 0 THEN 'no shared person' END FROM paired WHERE xs <> ys AND abs(xt - yt) <= {ADJACENT_SPAN})
+SELECT linker, coalesce(rejected, 'drawn') AS outcome, count(*) AS pairs FROM j GROUP BY ALL""")
+def links_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF-11, LNK-8: how often each rule drew an edge, and why it did not."""
+    given = _Given(spark, sf_dir)
+    judged = explained(cut(paired(given.candidates(), given.nodes, given.rare, given.people)))
+    return judged.groupBy("linker", F.coalesce("rejected", F.lit("drawn")).alias("outcome")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def relate(found: DataFrame, who: DataFrame, rare: DataFrame) -> DataFrame:
     """GRF-10: candidates of all kinds judged by all rules: (a, b, kind, confidence, detector), each pair and kind once."""
     pairs = cut(paired(merged([content_candidates(found, rare), person_candidates(found, who), task_candidates(found)]), found, rare, who))

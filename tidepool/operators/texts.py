@@ -83,13 +83,15 @@ def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.filter("words >= 2").select("a", "b", "words", F.round(F.least(F.lit(0.8), 0.4 + F.col("w") / 30), 2).alias("confidence"))
 
 
-@query(f"""WITH {TURNS_SQL}, w AS (SELECT conv_id, unnest(list_distinct(list_filter(string_split_regex(lower(string_agg(text, ' ' ORDER BY turn)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 4 AND length(x) < 20 AND NOT list_contains({_list(T.TOPIC_STOPWORDS)}, x)))) AS term FROM turns GROUP BY conv_id),
-c AS (SELECT count(DISTINCT conv_id) AS n FROM turns)
-SELECT term, count(*) AS conversations, min(conv_id) AS first_conv, max(conv_id) AS last_conv FROM w, c GROUP BY term, n HAVING count(*) >= 3 AND (n < 50 OR count(*) <= 0.08 * n) ORDER BY conversations DESC, term LIMIT 12""")
-def topics_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP-10, AGG-21, TRM-5: terms that come back in several conversations, but not in all."""
+#: The common tables of the recurring topics: ``topics`` has term, conversations, first_conv and last_conv.
+TOPICS_SQL = f"""{TURNS_SQL}, w AS (SELECT conv_id, unnest(list_distinct(list_filter(string_split_regex(lower(string_agg(text, ' ' ORDER BY turn)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 4 AND length(x) < 20 AND NOT list_contains({_list(T.TOPIC_STOPWORDS)}, x)))) AS term FROM turns GROUP BY conv_id),
+c AS (SELECT count(DISTINCT conv_id) AS n FROM turns),
+topics AS (SELECT term, count(*) AS conversations, min(conv_id) AS first_conv, max(conv_id) AS last_conv FROM w, c GROUP BY term, n HAVING count(*) >= 3 AND (n < 50 OR count(*) <= 0.08 * n) ORDER BY conversations DESC, term LIMIT 12)"""
+
+
+def topics(said: DataFrame) -> DataFrame:
+    """TOP-10: (term, conversations, first_conv, last_conv) of terms that come back in several conversations, but not in all."""
     stop = F.array(*(F.lit(w) for w in T.TOPIC_STOPWORDS))
-    said = turns(spark, sf_dir)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.char_length(w) > 4) & (F.char_length(w) < 20) & ~F.array_contains(stop, w))
     told = said.select("conv_id", F.explode(F.array_distinct(words)).alias("term")).distinct()
     corpus = said.agg(F.countDistinct("conv_id").alias("n"))
@@ -98,6 +100,12 @@ def topics_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.orderBy(F.desc("conversations"), "term").limit(12).drop("n")
 
 
+@query(f"WITH {TOPICS_SQL} SELECT term, conversations, first_conv, last_conv FROM topics")
+def topics_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-10, AGG-21, TRM-5: terms that come back in several conversations, but not in all."""
+    return topics(turns(spark, sf_dir))
+
+
 _SHAPE = "trim(regexp_replace(regexp_replace(lower(title), '[$£€]?[0-9][0-9,.:/-]*', '#', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
 
 
