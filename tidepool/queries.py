@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from tidepool import registry
 from tidepool.operators import aliases, briefs, coverage, detectors, facts, graph, identity, linkers, merchants, nodes, noise, owner, people, policy, purchases, recovery, retrieval, search, sessions, situations, state, texts, threads, times, upserts  # noqa: F401
-from tidepool.sources import formats  # noqa: F401
-from tidepool.streaming import ingest, sessions as stream_sessions  # noqa: F401
+from tidepool.sources import dav, formats  # noqa: F401
+from tidepool.streaming import derived, ingest, passes, sessions as stream_sessions  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
