@@ -7,7 +7,7 @@ its confidence may rise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.state import quote_found
@@ -56,6 +56,23 @@ def record(known: DataFrame, proposed: DataFrame) -> DataFrame:
     )
 
 
+# Kinds of facts in the order a prompt names them, and how many it names.
+KINDS, PROMPTED = ("constraint", "relationship", "preference", "routine"), 20
+
+
+def fact_counts(facts: DataFrame) -> DataFrame:
+    """AGG-11, FAC-5: (principal, confirmed, proposed, rejected)."""
+    return facts.groupBy("principal").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("confirmed", "proposed", "rejected")))
+
+
+def facts_for_prompt(facts: DataFrame, limit: int = PROMPTED) -> DataFrame:
+    """FAC-4: (principal, place, line) of each principal's confirmed facts (principal, id, kind, statement, state, confidence) by the rank of their kind, then confidence."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.coalesce("kind", F.lit(""))), F.lit(0).cast("long")), F.lit(len(KINDS) + 1).cast("long"))
+    order = Window.partitionBy("principal").orderBy(rank, F.desc("confidence"), "id")
+    placed = facts.filter("state = 'confirmed'").withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= limit)
+    return placed.select("principal", "place", F.concat(F.lit("("), "kind", F.lit(") "), "statement").alias("line"))
+
+
 # --- queries over conversations ----------------------------------------------------
 
 
@@ -72,9 +89,12 @@ n AS (SELECT *, array_to_string({_WORDS}, ' ') AS normalized FROM said), fq AS (
 sound AS (SELECT *, 'ft_' || substr(sha256(principal || '|' || normalized), 1, 16) AS id FROM fq WHERE q <> '' AND contains(t, q))"""
 
 
-@query(f"""WITH {_SAID}, known AS (SELECT id, min(principal) AS principal, arg_min(statement, (at_, statement)) AS statement, CASE WHEN min(conv_id) % 3 = 0 THEN 'rejected' ELSE 'confirmed' END AS state, 0.6::DOUBLE AS confidence FROM sound WHERE conv_id % 2 = 0 GROUP BY id),
-p AS (SELECT id, min(principal) AS principal, arg_min(statement, (at_, statement)) AS statement, least(max(confidence), {MOST_CONFIDENCE})::DOUBLE AS confidence FROM sound GROUP BY id)
-SELECT id, coalesce(k.principal, p.principal) AS principal, coalesce(k.statement, p.statement) AS statement, coalesce(state, 'proposed') AS state, round(greatest(k.confidence, p.confidence), 6)::DOUBLE AS confidence, k.id IS NULL AS created FROM p FULL JOIN known k USING (id)""")
+_RECORDED = f"""{_SAID}, known AS (SELECT id, min(principal) AS principal, arg_min(statement, (at_, statement)) AS statement, CASE WHEN min(conv_id) % 3 = 0 THEN 'rejected' ELSE 'confirmed' END AS state, 0.6::DOUBLE AS confidence FROM sound WHERE conv_id % 2 = 0 GROUP BY id),
+p AS (SELECT id, min(principal) AS principal, arg_min(statement, (at_, statement)) AS statement, least(max(confidence), {MOST_CONFIDENCE})::DOUBLE AS confidence FROM sound GROUP BY id),
+recorded AS (SELECT id, coalesce(k.principal, p.principal) AS principal, coalesce(k.statement, p.statement) AS statement, coalesce(state, 'proposed') AS state, round(greatest(k.confidence, p.confidence), 6)::DOUBLE AS confidence, k.id IS NULL AS created FROM p FULL JOIN known k USING (id))"""
+
+
+@query(f"WITH {_RECORDED} SELECT * FROM recorded")
 def facts_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FAC-2, FAC-3, FAC-5: facts of all conversations filed over those decided on in half of them."""
     said = _said(spark, sf_dir)
@@ -83,3 +103,19 @@ def facts_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = half.withColumn("id", fact_id(F.col("principal"), normal_fact(F.col("statement")))).filter(quote_found(F.col("quote"), F.col("text"))).groupBy("id").agg(F.min("conv_id").alias("conv_id"))
     known = decided.join(first, "id").select("id", "principal", "statement", F.when(F.col("conv_id") % 3 == 0, "rejected").otherwise("confirmed").alias("state"), F.lit(0.6).alias("confidence"))
     return record(known, proposals(said)).withColumn("confidence", F.round("confidence", 6))
+
+
+_KIND = "CASE WHEN lower(statement) < 'e' THEN 'constraint' WHEN lower(statement) < 'm' THEN 'routine' WHEN lower(statement) < 's' THEN 'preference' ELSE 'habit' END"
+
+
+@query(f"WITH {_RECORDED} SELECT principal, count(*) FILTER (state = 'confirmed') AS confirmed, count(*) FILTER (state = 'proposed') AS proposed, count(*) FILTER (state = 'rejected') AS rejected FROM recorded GROUP BY principal")
+def facts_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11, FAC-5: everybody's facts by state."""
+    return fact_counts(facts_recorded(spark, sf_dir))
+
+
+@query(f"""WITH {_RECORDED}, k AS (SELECT *, {_KIND} AS kind FROM recorded WHERE state = 'confirmed'), r AS (SELECT principal, kind, statement, row_number() OVER (PARTITION BY principal ORDER BY CASE kind WHEN 'constraint' THEN 0 WHEN 'relationship' THEN 1 WHEN 'preference' THEN 2 WHEN 'routine' THEN 3 ELSE 4 END, confidence DESC, id) AS place FROM k)
+SELECT principal, place, '(' || kind || ') ' || statement AS line FROM r WHERE place <= {PROMPTED}""")
+def facts_prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FAC-4: everybody's confirmed facts as a prompt names them."""
+    return facts_for_prompt(facts_recorded(spark, sf_dir).withColumn("kind", F.expr(_KIND)))

@@ -49,6 +49,10 @@ def shared_sender(author: Column) -> Column:
     return F.coalesce(F.exists(F.array(*(F.lit(p) for p in PLATFORMS)), lambda p: (domain == p) | F.endswith(domain, F.concat(F.lit("."), p))), F.lit(False))
 
 
+#: Fixed value: characters a key has at least to stand for a longer one.
+LEAST_ALIKE = 12
+
+
 def clean_merchant(name: Column) -> Column:
     """PUR-7: a merchant's name without footers and cut marks; null if what is left is no name."""
     head = F.trim(F.when(F.contains(name, F.lit("@")), F.substring_index(F.trim(name), "@", 1)).otherwise(name))
@@ -179,10 +183,30 @@ def purchase_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.groupBy("type", (F.col("dated") == F.col("ordered")).alias("as_stated")).agg(F.count(F.lit(1)).alias("purchases"), F.sum("cents").alias("cents"), F.min("dated").alias("first_t"), F.max("dated").alias("last_t"))
 
 
-@query(f"WITH {_SENDERS}, k AS (SELECT s_suppkey, {_KEY} AS key FROM senders) SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM k x JOIN k y ON x.s_suppkey < y.s_suppkey AND substr(x.key, 1, 12) = substr(y.key, 1, 12) AND (x.key = y.key OR (length(x.key) >= 12 AND length(y.key) >= 12 AND abs(length(x.key) - length(y.key)) <= 3 AND (starts_with(x.key, y.key) OR starts_with(y.key, x.key)))) WHERE y.s_suppkey - x.s_suppkey <= 14")
+def alike(keyed: DataFrame) -> DataFrame:
+    """PUR-4: (a, b) of (key): pairs of different keys that are one merchant's, the shorter first.
+
+    The shorter is the longer without its last characters, three at most, and
+    has twelve at least; so a key meets the keys that are equal to its own
+    beginnings, and never all that begin like it.
+    """
+    keys = keyed.select("key").distinct()
+    short = F.explode(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.left("key", F.char_length("key") - n)))
+    longer = keys.filter(F.char_length("key") > LEAST_ALIKE).select(F.col("key").alias("b"), short.alias("a")).filter(F.char_length("a") >= LEAST_ALIKE)
+    return longer.join(keys.withColumnRenamed("key", "a"), "a").select("a", "b")
+
+
+_VARIED = f"CASE WHEN k % 8 = 3 AND k % 7 > 1 THEN regexp_replace(merchant, '[0-9] Store$', (((k - 1) % 10)::VARCHAR) || ' Store No') ELSE merchant END"
+
+
+@query(f"""WITH {_SENDERS}, v AS (SELECT s_suppkey AS k, merchant FROM senders), m AS (SELECT k, {_VARIED} AS merchant FROM v), g AS (SELECT {_KEY} AS key, min(k) AS first, count(*) AS members FROM m GROUP BY 1)
+SELECT x.first AS a, y.first AS b, x.members AS a_members, y.members AS b_members FROM g x JOIN g y ON starts_with(y.key, x.key) AND x.key <> y.key AND length(x.key) >= 12 AND length(y.key) - length(x.key) <= 3""")
 def merchants_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PUR-4: suppliers near in number whose names are one merchant's; they meet by the first twelve characters of their keys."""
-    keyed = _senders(spark, sf_dir).select("s_suppkey", "merchant", F.substring(T.merchant_key(F.col("merchant")), 1, 12).alias("head"))
-    left = keyed.select(F.col("s_suppkey").alias("a"), F.col("merchant").alias("am"), "head", F.explode(F.array(F.expr("s_suppkey div 14"), F.expr("s_suppkey div 14 + 1"))).alias("bucket"))
-    right = keyed.select(F.col("s_suppkey").alias("b"), F.col("merchant").alias("bm"), "head", F.expr("s_suppkey div 14").alias("bucket"))
-    return left.join(right, ["head", "bucket"]).filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 14) & same_merchant(F.col("am"), F.col("bm"))).select("a", "b")
+    """PUR-4: suppliers whose names are one merchant's; those of equal keys are one class, shown by its first supplier and its size."""
+    k = F.col("s_suppkey")
+    other = F.regexp_replace("merchant", F.lit("[0-9] Store$"), F.concat(((k - 1) % 10).cast("string"), F.lit(" Store No")))
+    named = _senders(spark, sf_dir).select("s_suppkey", F.when((k % 8 == 3) & (k % 7 > 1), other).otherwise(F.col("merchant")).alias("merchant"))
+    classes = named.groupBy(T.merchant_key(F.col("merchant")).alias("key")).agg(F.min("s_suppkey").alias("first"), F.count(F.lit(1)).alias("members"))
+    pairs = alike(classes)
+    left, right = classes.toDF("a", "first_a", "a_members"), classes.toDF("b", "first_b", "b_members")
+    return pairs.join(left, "a").join(right, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "a_members", "b_members")

@@ -90,9 +90,9 @@ def first_chunk_header(kind: Column, title: Column, author: Column, body: Column
     return F.concat_ws("\n", F.nullif(named, F.lit("")), F.when(author.isNotNull(), F.concat(F.lit("From: "), author)), F.nullif(body, F.lit("")))
 
 
-@query("SELECT doc_id, md5(concat_ws(chr(10), nullif(CASE WHEN lang = 'en' THEN 'Event: ' || substr(text, 1, 30) ELSE substr(text, 1, 30) END, ''), 'From: ' || source, nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 31, 200) END, ''))) AS digest FROM documents")
+@query("SELECT doc_id, md5(concat_ws(chr(10), nullif(CASE WHEN lang = 'en' THEN 'Event: ' || substr(text, 1, 30) ELSE substr(text, 1, 30) END, ''), 'From: ' || source, nullif(substr(text, 31), ''))) AS digest FROM documents")
 def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-3: documents' first chunks with their headers."""
-    body = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 31, 200))
+    body = F.expr("substr(text, 31)")
     kind = F.when(F.col("lang") == "en", "event").otherwise("message")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(first_chunk_header(kind, F.substring("text", 1, 30), F.col("source"), body)).alias("digest"))

@@ -169,3 +169,21 @@ def digests_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP-9: everybody's seven newest digests."""
     digests = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("principal"), F.col("o_orderkey").alias("digest"), micros("o_orderdate").alias("made"))
     return newest(digests.withColumn("order", F.struct("made", "digest")), "order", 7, "principal").select("principal", "digest", "made", "rank")
+
+
+def entity_counts(people: DataFrame, identifiers: DataFrame, links: DataFrame) -> DataFrame:
+    """AGG-10: one row (entities, merged, pinned, identifiers, links) of (entity, merged_into, pinned) and of two tables' sizes."""
+    live = F.col("merged_into").isNull()
+    counted = people.agg(F.count_if(live).alias("entities"), F.count_if(~live).alias("merged"), F.count_if(live & F.coalesce("pinned", F.lit(False))).alias("pinned"))
+    return counted.crossJoin(identifiers.agg(F.count(F.lit(1)).alias("identifiers"))).crossJoin(links.agg(F.count(F.lit(1)).alias("links")))
+
+
+@query(f"""WITH RECURSIVE {_ANCHORS_SQL}, strong AS (SELECT * FROM ids WHERE kind IN ('email', 'phone')), reached(entity) AS (SELECT entity FROM strong JOIN anchors USING (kind, normalized)
+  UNION SELECT o.entity FROM reached r JOIN strong s ON s.entity = r.entity JOIN strong o ON o.kind = s.kind AND o.normalized = s.normalized), who AS (SELECT DISTINCT entity, substr(entity, 3, 1) IN ('a', 'b') AS pinned, entity IN (SELECT entity FROM reached) AS merged FROM ids)
+SELECT count(*) FILTER (NOT merged) AS entities, count(*) FILTER (merged) AS merged, count(*) FILTER (NOT merged AND pinned) AS pinned, (SELECT count(*) FROM ids) AS identifiers, (SELECT count(*) FROM orders) AS links FROM who""")
+def entities_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: how many people there are, how many are merged or pinned, and how many identifiers and links."""
+    ids = cut(identifiers_of(spark, sf_dir))
+    found = owners(ids, owner_anchors(*_given(spark, sf_dir)))
+    people = found.select("entity", F.when(F.col("is_self"), F.lit(SELF)).alias("merged_into"), F.substring("entity", 3, 1).isin("a", "b").alias("pinned"))
+    return entity_counts(people, ids, table(spark, sf_dir, "orders"))

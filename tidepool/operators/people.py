@@ -32,14 +32,14 @@ def find_people(people: DataFrame, name: str) -> DataFrame:
 
 @query("SELECT c_custkey AS entity_id, c_name AS name FROM customer WHERE lower(c_name) = '00012' OR contains(lower(c_name), '00012') OR starts_with(lower(string_split(c_name, '#')[2]), '00012')")
 def entity_lookup_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-11, ENT-8, TOOL-3: people by a part of their name."""
+    """People by a part of their name."""
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.array(F.coalesce(F.try_element_at(F.split(F.lower("c_name"), "#"), F.lit(2)), F.lit(""))).alias("aliases"))
     return find_people(people, "00012").select("entity_id", "name")
 
 
 @query(f"WITH {TASKS_SQL}, n AS (SELECT max(made) AS now FROM tasks) SELECT task_id, owner_id, title, due FROM tasks, n WHERE state = 'open' AND due >= now - 14 * {DAY} ORDER BY due, task_id LIMIT 100")
 def commitments_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """COM-6, COM-11, TOP-5, TOOL-8: open commitments by when they are due."""
+    """COM-6, COM-11, TOP-5: open commitments by when they are due."""
     made = tasks(spark, sf_dir)
     now = made.agg(F.max("made").alias("now"))
     return made.crossJoin(F.broadcast(now)).filter(f"state = 'open' AND due >= now - 14 * {DAY}").orderBy("due", "task_id").limit(100).select("task_id", "owner_id", "title", "due")
@@ -105,7 +105,7 @@ def interest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CHAT_SQL}, n AS (SELECT max(t) AS now FROM chat), s AS (SELECT thread_id, kind, count(*) AS evidence, max(t) AS last, round(least(1.0::DOUBLE, 0.3 + 0.05 * count(*)) - (max(now) - max(t)) / 86400000000.0::DOUBLE * 0.01, 6) AS salience FROM chat, n WHERE direction = 'inbound' GROUP BY thread_id, kind)
 SELECT thread_id, kind, evidence, salience FROM s ORDER BY salience DESC, last DESC, thread_id, kind LIMIT 28""")
 def brief_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP-8, BRF-1, DET-10: the observations that a brief is chosen from."""
+    """The most salient of what came in, by thread and kind."""
     items = chat_items(spark, sf_dir)
     now = items.agg(F.max("t").alias("now"))
     seen = items.filter("direction = 'inbound'").groupBy("thread_id", "kind").agg(F.count(F.lit(1)).alias("evidence"), F.max("t").alias("last")).crossJoin(F.broadcast(now))

@@ -133,7 +133,7 @@ def search_without_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_OWNED}, seen AS (SELECT principal, visibility FROM owned, (VALUES ('ann'), ('ben')) AS who(principal) WHERE deleted IS NULL AND (custodian = principal OR visibility = 'household')) SELECT principal, visibility, count(*) AS items FROM seen GROUP BY ALL""")
 def visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-2, FIL-3: how many items each principal sees."""
+    """FIL-2: how many items each principal sees."""
     items = owned_items(spark, sf_dir)
     parts = [Scope(principal=p).within(items).groupBy(F.lit(p).alias("principal"), "visibility").agg(F.count(F.lit(1)).alias("items")) for p in ("ann", "ben")]
     return parts[0].unionByName(parts[1])
@@ -147,7 +147,7 @@ def gated(text: Column, level: Column) -> Column:
 
 @query(f"WITH {_OWNED} SELECT item_id, account_id, kind, title, length(substr(body, 1, {MOST_CHARACTERS})) AS characters, md5(substr(body, 1, {MOST_CHARACTERS})) AS digest FROM owned WHERE deleted IS NULL AND item_id IN (1, 2, 3, 17, 34, 55, 144)")
 def items_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOOL-4, FIL-9, FIL-10, JOI-15: items asked for by id, live ones only, bounded in length."""
+    """FIL-9, FIL-10, JOI-15: items asked for by id, live ones only, bounded in length."""
     asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 17, 34, 55, 144)], "item_id long")
     found = owned_items(spark, sf_dir).filter("deleted IS NULL").join(F.broadcast(asked), "item_id", "left_semi")
     text = F.substring("body", 1, MOST_CHARACTERS)
@@ -197,20 +197,20 @@ def attachments_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS entities, count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS people, count(DISTINCT c_nationkey) AS groups, round(avg(CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS known FROM customer")
 def entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-10, AGG-25: how many entities of which kind."""
+    """AGG-25: how many customers of which kind."""
     return table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("c_mktsegment") == "HOUSEHOLD").alias("people"), F.countDistinct("c_nationkey").alias("groups"), F.round(F.avg(F.when(F.col("c_acctbal") > 0, 1.0).otherwise(0.0)), 6).alias("known"))
 
 
 @query("SELECT o_orderstatus AS state, count(*) AS facts, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(DISTINCT o_custkey) AS owners FROM orders GROUP BY o_orderstatus")
 def counts_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-11, FAC-5, COM-11: how many of each state."""
+    """How many orders of each state."""
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.countDistinct("o_custkey").alias("owners"))
 
 
 @query("""SELECT o_orderkey AS task, o_orderpriority AS kind, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'
 ORDER BY place LIMIT 50""")
 def open_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TOP-4, TOP-6, FAC-4: open ones by the rank of their kind, then by time."""
+    """TOP-4: open ones by the rank of their kind, then by time."""
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
     first = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("task"), F.col("o_orderpriority").alias("kind"), rank.alias("r"), "o_orderdate").orderBy("r", "o_orderdate", "task").limit(50)
     return first.select("task", "kind", F.row_number().over(Window.orderBy("r", "o_orderdate", "task")).cast("long").alias("place"))
@@ -219,7 +219,7 @@ def open_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), l AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM n)
 SELECT label, arg_min(vec_id, vec_id) AS first_chunk, count(*) AS chunks, round(max(abs(norm - 1)), 4) AS most_off FROM l GROUP BY label""")
 def first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-7, RET-13: each parent's first chunk, and how far vectors are from unit length."""
+    """How far the vectors of each label are from unit length, and the first of them."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first_chunk"), F.count(F.lit(1)).alias("chunks"), F.round(F.max(F.abs(norm - 1)), 4).alias("most_off"))
 
@@ -233,7 +233,7 @@ def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT l_partkey AS p, p_name AS own, max(l_returnflag) AS fallback FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL) SELECT p, coalesce(CASE WHEN p % 3 = 0 THEN NULL ELSE own END, fallback, 'unknown') AS name FROM l""")
 def names_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-16: a name of its own, or what others call it."""
+    """A name of its own, or what others call it."""
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("own"))
     called = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p")).agg(F.max("l_returnflag").alias("fallback"))
     return own.join(called, "p").select("p", F.coalesce("own", "fallback", F.lit("unknown")).alias("name"))
@@ -241,7 +241,7 @@ def names_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS a, conv_id + 1 AS b FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0 UNION SELECT conv_id + 1, conv_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0")
 def conflicts_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-5: a relation with its reverse."""
+    """Neighbouring conversations, both ways."""
     one = table(spark, sf_dir, "conversations").filter("conv_id % 2 = 0").select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).distinct()
     return one.union(one.select("b", "a")).distinct()
 
@@ -249,7 +249,7 @@ def conflicts_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT l_orderkey AS brief, list_sort(list_distinct(list(l_suppkey))) AS evidence FROM lineitem GROUP BY l_orderkey)
 SELECT x.brief AS a, x.brief + 1 AS b, len(list_filter(x.evidence, lambda v: NOT list_contains(y.evidence, v))) = 0 AS subsumed, len(list_intersect(x.evidence, y.evidence)) AS shared FROM e x JOIN e y ON y.brief = x.brief + 1""")
 def evidence_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-3, SET-4, DED-4: whether a brief's evidence is all in the next one's."""
+    """SET-3: whether a brief's evidence is all in the next one's."""
     seen = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a")).agg(F.collect_set("l_suppkey").alias("x"))
     other = seen.select((F.col("a") - 1).alias("a"), F.col("x").alias("y"))
     return seen.join(other, "a").select("a", (F.col("a") + 1).alias("b"), (F.size(F.array_except("x", "y")) == 0).alias("subsumed"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
