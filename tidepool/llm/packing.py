@@ -379,7 +379,7 @@ def pack_texts(df: DataFrame, text: str, *, keep: list[str], vocabulary: str | N
         at = 0
         while at < batch.num_rows:
             # Some MB of text at a time, a text at least.
-            last = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 8_000_000, "right")) - 1)
+            last = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 2_000_000, "right")) - 1)
             for ids in _ENCODERS[path].encode(column.slice(at, last - at)):
                 yield np.concatenate([ids, end]), None
             at = last
