@@ -26,7 +26,7 @@ from tidepool.plans.lineage import cut
 _NAMES = "secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 _KEY = "A-Za-z0-9_+/=-"
 _BLOCK = r"-----BEGIN (?:[A-Z]{1,16} ){0,4}?PRIVATE KEY-----[^-]++-----END (?:[A-Z]{1,16} ){0,4}?PRIVATE KEY-----"
-_SIGNED = rf"(?<![{_KEY}.])eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]*+"
+_SIGNED = rf"(?<![.{_KEY}])eyJ[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]{{8,}}+\.[A-Za-z0-9_-]*+"
 _LOGIN = r"://[^\s/:@\"'<>]{1,64}+:[^\s/:@\"'<>]{4,}+@"
 ASSIGNED = rf"(?i)(?:{_NAMES})[a-z0-9_-]{{0,30}}+[\"']?[ \t]*+[:=][ \t]*+[\"']?[^\s\"'<>]{{8,}}+"
 #: What an assignment ends with, and what may follow its value.
