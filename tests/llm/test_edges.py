@@ -1,5 +1,6 @@
 """Edge cases of every training-data operator: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,5 +104,11 @@ def test_vectors(spark):
     # A query that is there twice is one query, and its copies are no candidates of it.
     twice = frame.union(frame.filter("vec_id = 0"))
     assert [tuple(r) for r in knn.top_k(twice, twice.filter("vec_id % 50 = 0")).filter("query_id = 0").orderBy("rank").collect()] == got[:5]
-    with pytest.raises(ValueError, match="fit a long"):
-        knn.top_k(frame, frame.select("vec_id", F.array(F.lit(1e30), F.lit(0.0)).alias("embedding")))
+    # Outliers are multiplied out exactly and shown as the nearest long; what is not finite once scaled takes no part.
+    far = frame.select("vec_id", "embedding").union(spark.createDataFrame([(60, [1e30, -1e30]), (61, [-1e18, 3.0]), (62, [1e307, 0.0])], "vec_id long, embedding array<double>"))
+    rows = {r["vec_id"]: [int(np.floor(x * 256)) for x in r["embedding"]] for r in far.filter("vec_id IN (0, 50, 1, 2, 6, 9, 60, 61)").collect()}
+    made = knn.top_k(far, far.filter("vec_id IN (0, 50, 60, 61, 62)"), search=knn.Search(shard_rows=2)).orderBy("query_id", "rank").collect()
+    for q in (0, 50, 60, 61):
+        scores = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)[:5]
+        assert [(r["rank"], r["vec_id"], r["score"]) for r in made if r["query_id"] == q] == [(n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    assert {r["query_id"] for r in made} == {0, 50, 60, 61}

@@ -19,8 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -272,15 +274,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vector: str = "embedding",
     another length than a query's are no candidates of it.  Repeated candidates
     count each; queries that agree in id and vector are one, and those that
     share an id alone are ranked each for itself.  A query with fewer
-    candidates gets them all, one with none no row.  Where products of the
-    largest components might not fit a long, or vectors have more than
-    ``most_lengths`` lengths, a ValueError says so.
+    candidates gets them all, one with none no row.  Vectors whose products
+    might not fit a long are multiplied out exactly, in blocks, with what they
+    meet; scores beyond a long are compared exactly (up to 38 digits) and
+    returned as the nearest long.  Vectors that are not finite after scaling
+    take no part.  Vectors of more than ``most_lengths`` lengths are an error.
     """
-    spark = vectors.sparkSession
 
     def sound(df: DataFrame) -> DataFrame:
         out = df.select(F.col(f"`{id}`").cast("long").alias("id"), scaled(F.col(f"`{vector}`"), search).alias("v"))
-        return out.filter("id IS NOT NULL AND v IS NOT NULL").select("id", F.xxhash64("id", "v").alias("h"), F.size("v").alias("dims"), "v")
+        return out.filter("id IS NOT NULL AND v IS NOT NULL").filter(F.forall("v", lambda x: F.abs(x) < float("inf"))).select("id", F.xxhash64("id", "v").alias("h"), F.size("v").alias("dims"), "v")
 
     def sizes(df: DataFrame) -> dict[int, tuple[int, float]]:
         found = df.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("largest")).limit(search.most_lengths + 1).collect()
@@ -290,10 +293,50 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vector: str = "embedding",
 
     points, asked = sound(vectors), sound(queries).dropDuplicates(["id", "v"])
     held, wanted = sizes(points), sizes(asked)
-    for dims, (_, largest) in held.items():
-        if dims in wanted and dims * largest * wanted[dims][1] >= 2.0**62:
-            raise ValueError(f"inner products of vectors of length {dims} may not fit a long: components of up to {largest:g} and {wanted[dims][1]:g} after scaling")
-
+    over = [dims for dims, (_, largest) in held.items() if dims in wanted and dims * largest * wanted[dims][1] >= 2.0**62]
+    ranked = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    if not over:
+        return _shards_searched(points, asked, held, search).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
+    # Of lengths with outliers: what is small enough meets in trees as ever, outliers meet everything in blocks.
+    small = F.array_max(F.transform("v", F.abs)) < F.sqrt(F.lit(2.0**61) / F.col("dims"))
+    (plain, odd), (plain_asked, odd_asked) = ((df.filter(~F.col("dims").isin(over) | small), df.filter(F.col("dims").isin(over) & ~small)) for df in (points, asked))
+    parts = [_shards_searched(plain, plain_asked, sizes(plain), search), _multiplied(odd, asked, search), _multiplied(plain.filter(F.col("dims").isin(over)), odd_asked, search)]
+    whole = parts[0].withColumn("score", F.col("score").cast(_WIDE)).unionByName(parts[1]).unionByName(parts[2])
+    nearest = F.greatest(F.least("score", F.lit(2**63 - 1).cast(_WIDE)), F.lit(-(2**63)).cast(_WIDE)).cast("long")
+    return whole.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", nearest.alias("score"))
+
+
+#: Scores of outliers: 38 digits, at the ends of which larger ones tie.
+_WIDE, _END = "decimal(38,0)", 10**38 - 1
+
+
+def _exact(points: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a block of points for each query of a block, in Python's integers."""
+    rows = []
+    if len(points) and len(asked):
+        table = np.array([[int(x) for x in v] for v in points["v"]], object)
+        ids = points["id"].to_numpy()
+        for query, h, v in zip(asked["id"], asked["h"], asked["v"]):
+            scores = table.dot(np.array([int(x) for x in v], object))
+            best = sorted((-max(-_END, min(_END, s)), i) for s, i in zip(scores, ids) if i != query)[:k]
+            rows += [(query, h, i, Decimal(-s)) for s, i in best]
+    return pd.DataFrame(rows, columns=["query_id", "h", "vec_id", "score"])
+
+
+def _multiplied(points: DataFrame, asked: DataFrame, search: Search) -> DataFrame:
+    """Candidates of all queries among all points of their length, a block of each at a time."""
+    many, blocks = max(1, -(-points.count() // search.shard_rows)), max(1, -(-asked.count() // 512))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
+
+    left, right = dealt(points, "pb", many, "qb", blocks).groupBy("dims", "pb", "qb"), dealt(asked, "qb", blocks, "pb", many).groupBy("dims", "pb", "qb")
+    return left.cogroup(right).applyInPandas(lambda p, q: _exact(p, q, search.k), f"query_id long, h long, vec_id long, score {_WIDE}")
+
+
+def _shards_searched(points: DataFrame, asked: DataFrame, held: dict[int, tuple[int, float]], search: Search) -> DataFrame:
+    """(query_id, h, vec_id, score): the candidates that are left for each query once all shards have been searched."""
+    spark = points.sparkSession
     # One vector for each of so many ranges of a hash: copies share one, so a hot vector is one pivot.
     most = max(1, min(search.pivots, sum(n for n, _ in held.values()) // search.shard_rows))
     drawn = points.select("dims", "v", F.xxhash64("v").alias("hv")).groupBy(F.pmod("hv", F.lit(most)).alias("part")).agg(F.min_by(F.struct("dims", "v"), "hv").alias("p")).orderBy("part").collect()
@@ -329,9 +372,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vector: str = "embedding",
     trees = built.filter("shard IS NOT NULL").select(*[x.split()[0] for x in _TREE.split(", ")])
     both = trees.withColumn("is_query", F.lit(0)).unionByName(to_others.select(*query_type), allowMissingColumns=True)
     found = both.repartition("shard").sortWithinPartitions(*order).mapInArrow(lambda it: _search(it, search), _FOUND)
-    # Spark keeps k rows of a query on the map side already, so a query's shards never meet in full.
-    rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
-    return seen.unionByName(found).withColumn("rank", rank).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
+    # Spark keeps k rows of a query on the map side, so a query's shards never meet in full.
+    return seen.unionByName(found)
 
 
 def oracle_sql(k: int = 5, every: int = 50, scale: int = 256) -> str:
