@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidepool import registry
-from tidepool.operators import aliases, briefs, coverage, detectors, facts, graph, identity, items, linkers, merchants, nodes, noise, owner, people, policy, promises, purchases, recovery, retrieval, search, sessions, situations, state, texts, threads, times, tools, upserts  # noqa: F401
+from tidepool.operators import aliases, briefs, coverage, detectors, facts, graph, identity, items, linkers, merchants, nodes, noise, owner, people, policy, promises, purchases, recovery, retrieval, search, sessions, situations, spending, state, texts, threads, times, tools, upserts  # noqa: F401
 from tidepool.sources import dav, formats  # noqa: F401
 from tidepool.streaming import derived, ingest, passes, sessions as stream_sessions  # noqa: F401
 
