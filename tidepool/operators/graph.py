@@ -136,7 +136,16 @@ def carry_over(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     return matched if matched is not None else open_pairs.select("new_id", "old_id")
 
 
-@query()
+#: The greedy matching of DuckDB's side: candidates one by one in their order, each side taken once.
+_CARRIED = f"""WITH RECURSIVE {_COMPONENTS}, old_edges AS (SELECT e.* FROM edges e JOIN orders x ON x.o_orderkey = a JOIN orders y ON y.o_orderkey = b WHERE x.o_orderdate < '2000-01-01' AND y.o_orderdate < '2000-01-01' AND confidence >= {JOINS}),
+ok AS (SELECT a AS u, b AS v FROM old_edges UNION SELECT b, a FROM old_edges), olow(node, least) AS (SELECT u, u FROM ok UNION SELECT ok.v, olow.least FROM olow JOIN ok ON ok.u = olow.node WHERE ok.v > olow.least), old_members AS (SELECT node, min(least) AS old FROM olow GROUP BY node),
+sn AS (SELECT situation, count(*) AS n FROM members GROUP BY 1), so AS (SELECT old, count(*) AS n FROM old_members GROUP BY 1), sh AS (SELECT situation, old, count(*) AS shared FROM members JOIN old_members USING (node) GROUP BY ALL),
+c AS (SELECT situation, old, row_number() OVER (ORDER BY shared DESC, shared / least(sn.n, so.n) DESC, old, situation) AS n FROM sh JOIN sn USING (situation) JOIN so USING (old) WHERE shared >= 2 AND shared / least(sn.n, so.n) >= 0.5),
+turn(n, news, olds) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT z.n, CASE WHEN free THEN list_append(news, situation) ELSE news END, CASE WHEN free THEN list_append(olds, old) ELSE olds END FROM (SELECT x.n, t.news, t.olds, x.situation, x.old, NOT list_contains(t.news, x.situation) AND NOT list_contains(t.olds, x.old) AS free FROM turn t JOIN c x ON x.n = t.n + 1) AS z),
+last AS (SELECT arg_max(news, n) AS news, arg_max(olds, n) AS olds FROM turn) SELECT unnest(news) AS new_id, unnest(olds) AS old_id FROM last"""
+
+
+@query(_CARRIED)
 def situations_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRF-16, GRF-17, SIT-1: which situations of the orders up to 2000 go on in those of all orders."""
     edges = _edges(spark, sf_dir)
