@@ -585,3 +585,24 @@ def test_suffix_tree_learns_the_same_whatever_is_broadcast(spark, documents):
     assert sum(abs(r["score"] - r["base_score"]) > 1 for r in whole.values()) > 100
     for d, r in whole.items():
         assert abs(r["score"] - joined[d]["score"]) < 1e-6 and abs(r["base_score"] - joined[d]["base_score"]) < 1e-6
+
+
+def test_suffix_tree_runs_are_small_and_whole():
+    rng = np.random.default_rng(4)
+    same = rng.integers(0, 2**64, 10, dtype=np.uint64)[rng.integers(0, 10, 2000)] ^ rng.integers(0, 2, 2000).astype(np.uint64)
+    for keys in (same, np.arange(3000, 0, -1).astype(np.uint64), same[:1], same[:0]):
+        assert (suffix_tree._order(keys) == np.argsort(keys, kind="stable")).all()
+    # Words, and keys of the tree with half of them asked for as contexts too.
+    word, key = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    h, owner = np.concatenate([key, key[::2] ^ suffix_tree._CONTEXT]), rng.integers(0, 1000, 20_000)
+    asked = [(word, rng.integers(0, 1000, 5000)), (h, np.concatenate([owner, owner[::2]]))]
+    runs, found = list(suffix_tree._asked(asked, 7 << 20, 60)), [[], []]
+    # A key takes its share of 64 bits and a document's number, a context little more than the latter.
+    assert sum(len(run) for _, run in runs) < 9 * 25_000 + 4 * 10_000
+    for part, run in runs:
+        first, questions = suffix_tree._questions(run, part, 60)
+        assert first == 7 << 20
+        for kind, (keys, owners, times) in zip(found, questions, strict=True):
+            assert (times == 1).all()
+            kind += zip(keys.tolist(), owners.tolist(), strict=True)
+    assert [sorted(x) for x in found] == [sorted(zip(k.tolist(), o.tolist(), strict=True)) for k, o in asked]

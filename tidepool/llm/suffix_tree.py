@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import _text
@@ -40,8 +40,10 @@ _MULTIPLIER = U(0xD6E8FEB86659FD93)
 #: The end of a text is a token like another; so is what stands before its first word.
 END = _text.mix(np.array([0x656E64], U))[0]
 START = _text.mix(np.array([0x7374617274], U))[0]
-#: Tells the key of a context from that of the words it is made of.
-_CONTEXT = U(0x5851F42D4C957F2D)
+#: Tells the key of a context from that of the words it is made of; as neighbours they cost a run little more than one of them.
+_CONTEXT = U(1)
+#: Gains are kept in steps of 2**-36, so that their sums need fewer bytes and do not depend on an order.
+_STEP = 2.0**-36
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,32 @@ def _slices(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[pa.RecordBat
         row = end
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys (hashes) in ascending order, those of equal keys in theirs."""
+    bits = U(max(1, len(keys) - 1).bit_length())
+    # One sort of plain numbers: the upper bits of a key, and its place.
+    at = (np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=U)) & ((U(1) << bits) - U(1))).astype(np.int64)
+    found = keys[at]
+    down = np.flatnonzero(found[1:] < found[:-1])
+    if len(down) > 1000:
+        return np.argsort(keys, kind="stable")
+    # Few keys share all their upper bits.
+    upper = found >> bits
+    for a, b in {(int(np.searchsorted(upper, u)), int(np.searchsorted(upper, u, "right"))) for u in upper[down]}:
+        at[a:b] = at[a:b][np.argsort(found[a:b], kind="stable")]
+    return at
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Places where a run of equal keys starts."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
+def _dealt(part: np.ndarray) -> np.ndarray:
+    """Places in ascending order of small numbers, those of equal ones in theirs."""
+    return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+
+
 class _Counter:
     """Sums counts by 64-bit key in sorted arrays, and hands them on when there are many.
 
@@ -103,9 +131,11 @@ class _Counter:
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(keys):
-            unique, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            self.parts.append((unique, counts, *(m[first] for m in more)))
-            self.size += len(unique)
+            order = _order(keys)
+            keys = keys[order]
+            first = _firsts(keys)
+            self.parts.append((keys[first], np.diff(first, append=len(keys)), *(m[order[first]] for m in more)))
+            self.size += len(first)
         if self.size > self.most:
             self._merge()
             if self.size > self.most // 2:
@@ -114,9 +144,9 @@ class _Counter:
     def _merge(self) -> None:
         if len(self.parts) > 1:
             keys, counts, *more = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-            order = np.argsort(keys, kind="stable")
+            order = _order(keys)
             keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            first = _firsts(keys)
             self.parts = [(keys[first], np.add.reduceat(counts, first), *(m[order[first]] for m in more))]
         self.size = sum(len(p[0]) for p in self.parts)
 
@@ -220,13 +250,37 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of an array, all first bytes before all second ones, so that a codec finds the empty ones."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    values = values.view(f"u{values.itemsize}")
+    return b"".join([(values >> values.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(values.itemsize)])
 
 
 def _unplaned(data: memoryview, kind: np.dtype, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize).reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
+def _squeezed(*parts: bytes) -> bytes:
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(run: bytes) -> bytes:
+    return pa.decompress(run[8:], int.from_bytes(run[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _signed(values: np.ndarray) -> bytes:
+    """Planes of whole numbers of either sign, small ones with empty upper bytes."""
+    values = values.astype(np.int64)
+    return _planes((values << 1) ^ (values >> 63))
+
+
+def _unsigned(data: memoryview, n: int) -> np.ndarray:
+    values = _unplaned(data, np.dtype(U), n)
+    return (values >> U(1)).view(np.int64) ^ -(values & U(1)).view(np.int64)
+
+
+_GRAMS = "range long, kind int, run binary"
+
+
 def _gram_batches(batches: Iterable[pa.RecordBatch], seen, hot: np.ndarray, depth: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Contexts of this depth with their next words, where context and shorter may be in the level below.
 
@@ -247,25 +301,31 @@ def _gram_batches(batches: Iterable[pa.RecordBatch], seen, hot: np.ndarray, dept
 
 
 def _packed(found: pa.RecordBatch, hot: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
-    """(range, run): contexts in order with the number of their next words, then next words and counts."""
+    """(range, kind, run): contexts in order with the number of their next words, then next words and counts."""
     n, context, shorter = (found.column(c).to_numpy() for c in ("n", "context", "shorter"))
     context, shorter = context.view(U), shorter.view(U)
     # A context's next words go to one range, those of a hot one to all.
-    part = np.where(_lookup(hot, context) >= 0, _text.mix(context * _MULTIPLIER + shorter), _text.mix(context)) % U(ranges)
-    order = np.lexsort((shorter, context, part))
-    n, context, shorter, part = n[order].astype(np.uint32), context[order], shorter[order], part[order]
-    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
+    order = _order(context)
+    n, context, shorter = n[order].astype(np.uint32), context[order], shorter[order]
+    own = _firsts(context)
+    spread = np.repeat(_lookup(hot, context[own]) >= 0, np.diff(own, append=len(context)))
+    part = _text.mix(np.where(spread, context * _MULTIPLIER + shorter, context)) % U(ranges)
+    order = _dealt(part)
+    n, context, shorter, part = n[order], context[order], shorter[order], part[order]
+    edges = [*_firsts(part).tolist(), len(part)]
     runs = []
     for a, b in zip(edges, edges[1:]):
-        first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-        many = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
+        first = _firsts(context[a:b])
+        many = np.diff(first, append=b - a).astype(np.uint32)
         steps = np.diff(context[a:b][first], prepend=U(0))
-        runs.append(np.array([b - a, len(first)], np.int64).tobytes() + _planes(steps) + shorter[a:b].tobytes() + _planes(many) + _planes(n[a:b]))
-    yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int64)), pa.array(runs, pa.binary())], names=["range", "run"])
+        runs.append(_squeezed(np.array([b - a, len(first)], np.int64).tobytes(), _planes(steps), shorter[a:b].tobytes(), _planes(many), _planes(n[a:b])))
+    yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int64)), pa.array([_RUN] * len(runs), pa.int32()), pa.array(runs, pa.binary())], names=["range", "kind", "run"])
 
 
 def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, (size, contexts) = memoryview(run), np.frombuffer(run, np.int64, 2).tolist()
+    """Context, shorter and count of each gram."""
+    data = memoryview(_whole(run))
+    size, contexts = np.frombuffer(data, np.int64, 2).tolist()
     own = np.cumsum(_unplaned(data[16:], np.dtype(U), contexts), dtype=U)
     at = 16 + 8 * contexts
     shorter = np.frombuffer(data, U, size, at)
@@ -274,33 +334,67 @@ def _unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(own, many), shorter, n.astype(np.int64)
 
 
-def _listed_batches(batches: Iterable[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
-    """Runs in order of their range: (h, n, context, shorter) of the grams counted ``floor`` times or more."""
-    names, now, held = ["h", "n", "context", "shorter"], None, []
+def _total_batches(batches: Iterable[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Packed runs of contexts (h) with their counts (n), each in the range of its next words."""
+    for batch in batches:
+        if batch.num_rows:
+            h = batch.column("h").to_numpy().view(U)
+            order = _order(h)
+            h, n = h[order], batch.column("n").to_numpy()[order]
+            part = _text.mix(h) % U(ranges)
+            order = _dealt(part)
+            h, n, part = h[order], n[order], part[order]
+            edges = [*_firsts(part).tolist(), len(part)]
+            runs = [_squeezed(np.array([b - a], np.int64).tobytes(), _planes(np.diff(h[a:b], prepend=U(0))), _planes(n[a:b])) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int64)), pa.array([_TABLE] * len(runs), pa.int32()), pa.array(runs, pa.binary())], names=["range", "kind", "run"])
+
+
+def _totals(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = memoryview(_whole(run))
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return np.cumsum(_unplaned(data[8:], np.dtype(U), n), dtype=U), _unplaned(data[8 + 8 * n :], np.dtype(np.int64), n)
+
+
+def _listed_batches(batches: Iterable[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray], floor: int) -> Iterator[pa.RecordBatch]:
+    """Runs by range: (n, context, total, shorter) of the grams counted ``floor`` times or more, with their contexts' counts."""
+    now, held, tables = None, [], []
 
     def summed() -> Iterator[pa.RecordBatch]:
         context, shorter, n = (np.concatenate(c) for c in zip(*held, strict=True))
         key = _text.mix(context * _MULTIPLIER + shorter)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        order = _order(key)
+        first = _firsts(key[order])
         total, own = np.add.reduceat(n[order], first), order[first]
         keep = total >= floor
         own, total = own[keep], total[keep]
-        for at in range(0, len(own), 100_000):
-            part = own[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(total[at : at + 100_000]), pa.array(context[part].view(np.int64)), pa.array(shorter[part].view(np.int64))], names=names)
+        known, counts = (np.concatenate(c) for c in zip(hot, *tables, strict=True))
+        order = _order(known)
+        at = _lookup(known[order], context[own])
+        # The filter also lets through a few contexts that are not frequent enough.
+        own, total, counts = own[at >= 0], total[at >= 0], counts[order[at[at >= 0]]]
+        for k in range(0, len(own), 100_000):
+            part = own[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(total[k : k + 100_000]), pa.array(context[part].view(np.int64)), pa.array(counts[k : k + 100_000]), pa.array(shorter[part].view(np.int64))], names=["n", "context", "total", "shorter"])
 
     for batch in batches:
-        for part, run in zip(batch.column("range").to_pylist(), batch.column("run"), strict=True):
+        for part, kind, run in zip(batch.column("range").to_pylist(), batch.column("kind").to_pylist(), batch.column("run"), strict=True):
             if part != now:
                 if held:
                     yield from summed()
-                now, held = part, []
-            held.append(_unpacked(run.as_py()))
+                now, held, tables = part, [], []
+            (tables if kind == _TABLE else held).append((_totals if kind == _TABLE else _unpacked)(run.as_py()))
     if held:
         yield from summed()
 
 
+def _keyed_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key h of context and shorter, in the place of shorter."""
+    for batch in batches:
+        context, shorter = (batch.column(c).to_numpy().view(U) for c in ("context", "shorter"))
+        key = _text.mix(context * _MULTIPLIER + shorter)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c) for c in ("n", "context", "total", "q"))], names=["h", "n", "context", "total", "q"])
+
+
 @dataclass(frozen=True)
 class _Model:
     """What scoring needs, all of bounded size: what frequent keys add, a filter of all keys that add something, and the counts of frequent words."""
@@ -312,10 +406,10 @@ class _Model:
     log_base: np.ndarray
 
 
+_TABLE, _RUN, _ROW = 0, 1, 2
 _SCORED = "range long, kind int, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
 _TOLD = "first long, run binary, row long, doc long, n_tokens long, n_known long, base double, score double"
 _SUMS = "row long, doc long, n_tokens long, n_known long, base double, score double"
-_TABLE, _RUN, _ROW = 0, 1, 2
 
 
 def _partial(schema: str, **columns: pa.Array) -> pa.RecordBatch:
@@ -326,31 +420,46 @@ def _partial(schema: str, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
+def _places(h: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key; a context goes with the words it is made of."""
+    return (h >> U(1)) % U(ranges)
+
+
+def _within(h: np.ndarray, ranges: int) -> bytes:
+    """Ascending keys of one range, as steps between what the range does not tell."""
+    return _planes(np.diff((h >> U(1)) // U(ranges) << U(1) | h & U(1), prepend=U(0)))
+
+
+def _keys(data: memoryview, n: int, part: int, ranges: int) -> np.ndarray:
+    own = np.cumsum(_unplaned(data, np.dtype(U), n), dtype=U)
+    return ((own >> U(1)) * U(ranges) + U(part)) << U(1) | own & U(1)
+
+
 def _asked(parts: list[tuple[np.ndarray, np.ndarray]], first_row: int, ranges: int) -> Iterator[tuple[int, bytes]]:
     """Runs of what a few documents ask for, by range: keys of words, then of the tree, in order, with document and number of times."""
     made: dict[int, list[bytes]] = {}
     for kind, (h, owner) in enumerate(parts):
-        part = np.mod(h.view(np.int64), ranges)
-        order = np.lexsort((owner, h, part))
-        h, owner, part = h[order], owner[order], part[order]
+        order = _order(h)
+        h, owner = h[order], owner[order]
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
-        times = np.diff(np.concatenate([new, [len(h)]])).astype(np.uint32)
-        h, owner, part = h[new], owner[new].astype(np.uint32), part[new]
-        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), part[1:] != part[:-1]])).tolist()
+        times = np.diff(new, append=len(h)).astype(np.uint32)
+        h, owner = h[new], owner[new].astype(np.uint32)
+        part = _places(h, ranges)
+        order = _dealt(part)
+        h, owner, times, part = h[order], owner[order], times[order], part[order]
+        edges = _firsts(part).tolist()
         for a, b in zip(edges, [*edges[1:], len(h)]):
-            steps = np.concatenate([h[a : a + 1], np.diff(h[a:b])])
-            made.setdefault(int(part[a]), [b"", b""])[kind] = np.array([b - a], np.int64).tobytes() + _planes(steps) + _planes(owner[a:b]) + _planes(times[a:b])
+            made.setdefault(int(part[a]), [b"", b""])[kind] = np.array([b - a], np.int64).tobytes() + _within(h[a:b], ranges) + _planes(owner[a:b]) + _planes(times[a:b])
     for number, runs in made.items():
-        yield number, np.array([first_row], np.int64).tobytes() + b"".join(r or np.zeros(1, np.int64).tobytes() for r in runs)
+        yield number, _squeezed(np.array([first_row], np.int64).tobytes(), *(r or np.zeros(1, np.int64).tobytes() for r in runs))
 
 
-def _questions(run: bytes) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    data, out, at = memoryview(run), [], 8
+def _questions(run: bytes, part: int, ranges: int) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    data, out, at = memoryview(_whole(run)), [], 8
     for _ in range(2):
         n = int(np.frombuffer(data, np.int64, 1, at)[0])
-        h = np.cumsum(_unplaned(data[at + 8 :], np.dtype(U), n), dtype=U)
         owner, times = (_unplaned(data[at + 8 + k * n :], np.dtype(np.uint32), n) for k in (8, 12))
-        out.append((h, owner.astype(np.int64), times))
+        out.append((_keys(data[at + 8 :], n, part, ranges), owner.astype(np.int64), times))
         at += 8 + 16 * n
     return int(np.frombuffer(data, np.int64, 1)[0]), out
 
@@ -366,32 +475,43 @@ def _score_batches(batches: Iterable[pa.RecordBatch], model, how: Tree, ranges:
             tokens, offsets = _tokens(part.column("text"))
             rows = part.num_rows
             owner = np.repeat(np.arange(rows), np.diff(offsets))
-            word = _lookup(m.words, tokens)
-            common = word >= 0
-            base = np.where(common, m.log_base[np.maximum(word, 0)] if len(m.words) else 0.0, 0.0)
-            score = base.copy()
-            rare = np.flatnonzero(~common)
-            asked = []
+            # Each key is looked for once, and in order.
+            order = _order(tokens)
+            h, own = tokens[order], owner[order]
+            first = _firsts(h)
+            many = np.diff(first, append=len(h))
+            word = _lookup(m.words, h[first])
+            common = np.repeat(word >= 0, many)
+            base = np.bincount(own, weights=np.repeat(np.where(word >= 0, m.log_base[np.maximum(word, 0)] if len(m.words) else 0.0, 0.0), many), minlength=rows)
+            known = np.bincount(own, weights=common, minlength=rows).astype(np.int64)
+            rare, asked, steps = (h[~common], own[~common]), [], np.zeros(rows)
 
             def ask(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
                 """Add what the keys of tokens ``at`` tell, or ask for it; returns which keys may be in the tree."""
-                may = _maybe(m.seen, keys)
-                keys, at = keys[may], at[may]
-                found = _lookup(m.keys, keys)
+                order = _order(keys)
+                h, own = keys[order], owner[at[order]]
+                first = _firsts(h)
+                many = np.diff(first, append=len(h))
+                may = _maybe(m.seen, h[first])
+                found = np.full(len(first), -1)
+                found[may] = _lookup(m.keys, h[first][may])
                 hit = found >= 0
-                score[at[hit]] += m.values[found[hit]]
-                asked.append((keys[~hit], owner[at[~hit]]))
-                return may
+                told = np.repeat(hit, many)
+                steps[:] += np.bincount(own[told], weights=np.repeat(m.values[found[hit]], many[hit]), minlength=rows)
+                left = np.repeat(may & ~hit, many)
+                asked.append((h[left], own[left]))
+                out = np.zeros(len(keys), bool)
+                out[order] = np.repeat(may, many)
+                return out
 
             for at, key, before, _ in _grams(tokens, offsets, how.depth):
                 # A next word adds something only behind a kept context.
                 kept = ask(before ^ _CONTEXT, at)
                 ask(key[kept], at[kept])
-            sums = [np.bincount(owner, weights=x, minlength=rows) for x in (base, score)]
-            known = np.bincount(owner, weights=common, minlength=rows).astype(np.int64)
+            sums = [base, base + _STEP * steps]
             ids = row_id + np.arange(rows)
             yield _partial(_SCORED, range=np.mod(ids, ranges), kind=np.full(rows, _ROW), row=ids, doc=part.column("doc"), n_tokens=np.diff(offsets), n_known=known, base=sums[0], score=sums[1])
-            runs = list(_asked([(tokens[rare], owner[rare]), tuple(np.concatenate(x) for x in zip(*asked, strict=True))], row_id, ranges))
+            runs = list(_asked([rare, tuple(np.concatenate(x) for x in zip(*asked, strict=True))], row_id, ranges))
             if runs:
                 yield _partial(_SCORED, range=[r[0] for r in runs], kind=[_RUN] * len(runs), run=[r[1] for r in runs])
             row_id += 1 << 20
@@ -403,15 +523,17 @@ def _table_batches(batches: Iterable[pa.RecordBatch], ranges: int, most: int = 5
 
     def packed() -> Iterator[pa.RecordBatch]:
         h, n, gain = (np.concatenate(c) for c in zip(*held, strict=True))
-        part, in_tree = np.mod(h, ranges), np.isnan(n)
-        order = np.lexsort((h.view(U), in_tree, part))
-        h, part, in_tree, n, gain = h[order].view(U), part[order], in_tree[order], n[order], gain[order]
-        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]]).tolist()
+        order = _order(h.view(U))
+        h, n, gain = h[order].view(U), n[order], gain[order]
+        part, in_tree = _places(h, ranges), np.isnan(n)
+        order = _dealt(part * U(2) + in_tree)
+        h, part, in_tree, n, gain = h[order], part[order].astype(np.int64), in_tree[order], n[order], gain[order]
+        edges = [*_firsts(part).tolist(), len(part)]
         runs = []
         for a, b in zip(edges, edges[1:]):
             cut_at = a + int(np.count_nonzero(~in_tree[a:b]))
-            words = np.array([cut_at - a, b - cut_at], np.int64).tobytes() + _planes(np.diff(h[a:cut_at], prepend=U(0))) + _planes(n[a:cut_at].astype(np.int64))
-            runs.append(words + _planes(np.diff(h[cut_at:b], prepend=U(0))) + gain[cut_at:b].tobytes())
+            words = np.array([cut_at - a, b - cut_at], np.int64).tobytes() + _within(h[a:cut_at], ranges) + _planes(n[a:cut_at].astype(np.int64))
+            runs.append(_squeezed(words, _within(h[cut_at:b], ranges), _signed(np.rint(gain[cut_at:b] / _STEP))))
         yield _partial(_SCORED, range=part[edges[:-1]], kind=np.full(len(runs), _TABLE), run=runs)
         held.clear()
 
@@ -425,41 +547,41 @@ def _table_batches(batches: Iterable[pa.RecordBatch], ranges: int, most: int = 5
         yield from packed()
 
 
-def _table_parts(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, (words, keys) = memoryview(run), np.frombuffer(run, np.int64, 2).tolist()
-    h = np.cumsum(_unplaned(data[16:], np.dtype(U), words), dtype=U)
+def _table_parts(run: bytes, part: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = memoryview(_whole(run))
+    words, keys = np.frombuffer(data, np.int64, 2).tolist()
     n = _unplaned(data[16 + 8 * words :], np.dtype(np.int64), words)
     at = 16 + 16 * words
-    return h, n, np.cumsum(_unplaned(data[at:], np.dtype(U), keys), dtype=U), np.frombuffer(data, float, keys, at + 8 * keys)
+    return _keys(data[16:], words, part, ranges), n, _keys(data[at:], keys, part, ranges), _unsigned(data[at + 8 * keys :], keys)
 
 
-def _answer_batches(batches: Iterable[pa.RecordBatch], alpha: float, log_norm: float) -> Iterator[pa.RecordBatch]:
+def _answer_batches(batches: Iterable[pa.RecordBatch], ranges: int, alpha: float, log_norm: float) -> Iterator[pa.RecordBatch]:
     """Rows by range, tables before runs: for every run, in one row, the sums that its documents asked for; documents' own rows go through."""
     now, held, table = None, [], None
 
     def sorted_table() -> list[tuple[np.ndarray, np.ndarray]]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, U), np.zeros(0), np.zeros(0, U), np.zeros(0)]
-        orders = [np.argsort(columns[k]) for k in (0, 2)]
+        orders = [_order(columns[k]) for k in (0, 2)]
         return [(columns[k][o], columns[k + 1][o]) for k, o in zip((0, 2), orders, strict=True)]
 
     def found(at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0, 0)
 
     for batch in batches:
-        ranges, kinds = batch.column("range").to_numpy(), batch.column("kind").to_numpy()
-        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(ranges)), bool), (ranges[1:] != ranges[:-1]) | (kinds[1:] != kinds[:-1])])).tolist()
-        for a, b in zip(edges, [*edges[1:], len(ranges)]):
+        parts, kinds = batch.column("range").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero(np.concatenate([np.ones(min(1, len(parts)), bool), (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])).tolist()
+        for a, b in zip(edges, [*edges[1:], len(parts)]):
             part = batch.slice(a, b - a)
-            if ranges[a] != now:
-                now, held, table = ranges[a], [], None
+            if parts[a] != now:
+                now, held, table = parts[a], [], None
             if kinds[a] == _TABLE:
-                held += [_table_parts(run.as_py()) for run in part.column("run")]
+                held += [_table_parts(run.as_py(), int(now), ranges) for run in part.column("run")]
             elif kinds[a] == _ROW:
                 yield _partial(_TOLD, **{c: part.column(c) for c in ("row", "doc", "n_tokens", "n_known", "base", "score")}, first=pa.array(part.column("row").to_numpy() >> 20))
             else:
                 table = table or sorted_table()
                 for run in part.column("run"):
-                    first, (of_words, of_tree) = _questions(run.as_py())
+                    first, (of_words, of_tree) = _questions(run.as_py(), int(now), ranges)
                     h, owner, times = of_words
                     n = found(_lookup(table[0][0], h), table[0][1])
                     own = times * (np.log10(n + alpha) - log_norm)
@@ -468,7 +590,9 @@ def _answer_batches(batches: Iterable[pa.RecordBatch], alpha: float, log_norm: f
                     size = int(max(owner.max(initial=-1), to.max(initial=-1))) + 1
                     known, base, more = (np.bincount(o, weights=w, minlength=size) for o, w in ((owner, times * (n > 0)), (owner, own), (to, gain)))
                     rows = np.flatnonzero((np.bincount(owner, minlength=size) > 0) | (more != 0))
-                    sums = np.array([first, len(rows)], np.int64).tobytes() + _planes(rows.astype(np.uint32)) + _planes(known[rows].astype(np.uint32)) + base[rows].tobytes() + more[rows].tobytes()
+                    # Few words are asked for by a document in one range, so their sums are much the same.
+                    bases, at = np.unique(base[rows], return_inverse=True)
+                    sums = _squeezed(np.array([first, len(rows), len(bases)], np.int64).tobytes(), bases.tobytes(), _planes(np.diff(rows, prepend=0).astype(np.uint32)), _planes(known[rows].astype(np.uint32)), _planes(at.astype(np.uint32)), _signed(np.rint(more[rows])))
                     yield _partial(_TOLD, first=[first >> 20], run=pa.array([sums], pa.binary()))
 
 
@@ -481,12 +605,12 @@ def _sum_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = told.column("row").to_numpy()
         totals = [told.column(c).to_numpy().astype(float) for c in ("n_known", "base", "score")]
         for run in sums:
-            first, n = np.frombuffer(run, np.int64, 2).tolist()
-            data = memoryview(run)
-            at = np.searchsorted(rows, first + _unplaned(data[16:], np.dtype(np.uint32), n).astype(np.int64))
-            known = _unplaned(data[16 + 4 * n :], np.dtype(np.uint32), n)
-            base, more = (np.frombuffer(data, float, n, 16 + 8 * n + k * 8 * n) for k in (0, 1))
-            for total, part in zip(totals, (known, base, base + more), strict=True):
+            data = memoryview(_whole(run))
+            first, n, distinct = np.frombuffer(data, np.int64, 3).tolist()
+            bases, data = np.frombuffer(data, float, distinct, 24), data[24 + 8 * distinct :]
+            steps, known, index = (_unplaned(data[4 * k * n :], np.dtype(np.uint32), n) for k in range(3))
+            at, base = np.searchsorted(rows, first + np.cumsum(steps, dtype=np.int64)), bases[index]
+            for total, part in zip(totals, (known, base, base + _STEP * _unsigned(data[12 * n :], n)), strict=True):
                 total[at] += part
         return pa.RecordBatch.from_arrays([told.column("row").combine_chunks(), told.column("doc").combine_chunks(), told.column("n_tokens").combine_chunks(), pa.array(totals[0].astype(np.int64)), *(pa.array(t) for t in totals[1:])], names=[f.split()[0] for f in _SUMS.split(", ")])
 
@@ -572,21 +696,26 @@ def _met(many: DataFrame, one: DataFrame, key: str, often: int) -> DataFrame:
 def _level(raw: DataFrame, below: DataFrame, how: Tree, often: int) -> tuple[DataFrame, DataFrame]:
     """The next level (h, n, q), and what it adds to the scores of the level below: (h, times, in_pair, gain).
 
-    ``raw``: (h, n, context, shorter) of listed next words; ``below``: (h, n, q)
+    ``raw``: (n, context, total, shorter) of listed next words; ``below``: (h, n, q)
     of the level below, q the log10 probability of a key's last word after the others.
     """
-    totals = below.filter(F.col("n") >= how.context_floor).select(F.col("h").alias("context"), F.col("n").alias("total"), F.col("n").alias("times"))
     parents = below.select(F.col("h").alias("shorter"), "q", F.col("n").alias("times"))
-    listed = cut(_met(_met(raw, totals, "context", often), parents, "shorter", often).select("h", "n", "context", "total", ((F.col("n") - how.discount) / F.col("total")).alias("p"), "q"))
-    q = F.pow(F.lit(10.0), "q")
-    sums = listed.groupBy("context").agg(F.max("total").alias("times"), F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(q).alias("q"), F.sum(F.col("n") * F.log(F.col("p") / q)).alias("own"))
-    ratio = F.greatest(1 - F.col("p"), F.lit(1e-12)) / F.greatest(1 - F.col("q"), F.lit(1e-12))
-    divergence = F.col("own") + F.greatest(F.col("times") - F.col("n"), F.lit(0)) * F.log(ratio)
-    contexts = cut(sums.select("context", "times", F.when(divergence >= how.divergence, F.log10(ratio)).alias("weight")))
-    judged = cut(_met(listed, contexts, "context", often).select("h", "n", F.when(F.col("weight").isNull(), F.col("q")).otherwise(F.log10("p")).alias("q"), (F.log10("p") - F.col("q") - F.col("weight")).alias("gain")))
+    listed = cut(_met(raw, parents, "shorter", often).select("n", "context", "total", "shorter", "q").mapInArrow(_keyed_batches, "h long, n long, context long, total long, q double"))
+    p, q = (F.col("n") - how.discount) / F.col("total"), F.pow(F.lit(10.0), "q")
+    sums = {"lead": F.min("h"), "all_n": F.sum("n"), "all_p": F.sum(p), "all_q": F.sum(q), "own": F.sum(F.col("n") * F.log(p / q))}
+    # Each context's next words meet once; of the frequent contexts, which are few, the sums go to the words.
+    hot, one = listed.filter(F.col("total") >= often), Window.partitionBy("context")
+    met = hot.join(F.broadcast(cut(hot.groupBy("context").agg(*(x.alias(name) for name, x in sums.items())))), "context")
+    met = met.unionByName(listed.filter(F.col("total") < often).select("*", *(x.over(one).alias(name) for name, x in sums.items())))
+    ratio = F.greatest(1 - F.col("all_p"), F.lit(1e-12)) / F.greatest(1 - F.col("all_q"), F.lit(1e-12))
+    divergence = F.col("own") + F.greatest(F.col("total") - F.col("all_n"), F.lit(0)) * F.log(ratio)
+    met = met.withColumn("weight", F.when(divergence >= how.divergence, F.log10(ratio)))
+    leads = F.col("weight").isNotNull() & (F.col("h") == F.col("lead"))
+    told = (F.when(leads, F.col(c)).alias(c) for c in ("context", "total", "weight"))
+    judged = cut(met.select("h", "n", F.when(F.col("weight").isNull(), F.col("q")).otherwise(F.log10(p)).alias("q"), (F.log10(p) - F.col("q") - F.col("weight")).alias("gain"), *told))
     release(listed)
     tag = F.lit(int(_CONTEXT.astype(np.int64)))
-    of_contexts = contexts.filter("weight IS NOT NULL").select(F.col("context").bitwiseXOR(tag).alias("h"), "times", F.lit(False).alias("in_pair"), F.col("weight").alias("gain"))
+    of_contexts = judged.filter("context IS NOT NULL").select(F.col("context").bitwiseXOR(tag).alias("h"), F.col("total").alias("times"), F.lit(False).alias("in_pair"), F.col("weight").alias("gain"))
     of_words = judged.filter("gain IS NOT NULL").select("h", F.col("n").alias("times"), F.lit(True).alias("in_pair"), "gain")
     return judged.select("h", "n", "q"), of_contexts.unionByName(of_words)
 
@@ -626,11 +755,12 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     for depth in range(1, how.depth + 1):
         seen = context.broadcast((_filter(level.filter(F.col("n") >= how.context_floor), how.filter_bits), _filter(level, how.filter_bits)))
         # At most one in ``range_tokens`` tokens' contexts can be so frequent.
-        (hot,) = _array(level.filter(F.col("n") >= how.range_tokens), "h")
-        runs = learnt.mapInArrow(lambda it, s=seen, d=depth, t=hot: _gram_batches(it, s, t, d, ranges), "range long, run binary")
+        hot = tuple(_array(level.filter(F.col("n") >= max(how.range_tokens, how.context_floor)), "h", "n"))
+        runs = learnt.mapInArrow(lambda it, s=seen, d=depth, t=hot[0]: _gram_batches(it, s, t, d, ranges), _GRAMS)
+        runs = runs.unionByName(level.filter((F.col("n") >= how.context_floor) & (F.col("n") < how.range_tokens)).select("h", "n").mapInArrow(lambda it: _total_batches(it, ranges), _GRAMS))
         # A range holds some 2M of the tokens' grams, and a task takes one after another.
-        runs = runs.repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range")
-        raw = cut(runs.mapInArrow(lambda it: _listed_batches(it, how.next_floor), "h long, n long, context long, shorter long"))
+        runs = runs.repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range", "kind")
+        raw = cut(runs.mapInArrow(lambda it, t=hot: _listed_batches(it, t, how.next_floor), "n long, context long, total long, shorter long"))
         seen.destroy()
         if raw.isEmpty():
             break
@@ -643,12 +773,12 @@ def score_texts(df: DataFrame, training: Column, text: str = "text", doc: str =
     # Both are bounded by their shares of all tokens, as the words are.
     often = F.col("times") >= F.when(F.col("in_pair"), floor(how.next_share, how.next_floor)).otherwise(floor(how.context_share, how.context_floor))
     keys, values = _array(adds.filter(often), "h", "gain")
-    model = context.broadcast(_Model(keys, values, _filter(adds, how.filter_bits), words, log_base))
+    model = context.broadcast(_Model(keys, np.rint(values / _STEP), _filter(adds, how.filter_bits), words, log_base))
 
     parts = rows.select("doc", "text").mapInArrow(lambda it: _score_batches(it, model, how, ranges), _SCORED)
     tables = counts.select("h", "n", F.lit(None).cast("double").alias("gain")).unionByName(adds.filter(~often).select("h", F.lit(None).cast("long").alias("n"), "gain"))
     tables = tables.mapInArrow(lambda it: _table_batches(it, ranges), _SCORED)
     met = parts.unionByName(tables).repartition(min(ranges, how.most_tasks), "range").sortWithinPartitions("range", "kind")
-    told = met.mapInArrow(lambda it: _answer_batches(it, how.alpha, log_norm), _TOLD)
+    told = met.mapInArrow(lambda it: _answer_batches(it, ranges, how.alpha, log_norm), _TOLD)
     summed = told.repartition("first").sortWithinPartitions("first").mapInArrow(_sum_batches, _SUMS)
     return summed.select(F.col("doc").alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
