@@ -606,3 +606,14 @@ def test_suffix_tree_runs_are_small_and_whole():
             assert (times == 1).all()
             kind += zip(keys.tolist(), owners.tolist(), strict=True)
     assert [sorted(x) for x in found] == [sorted(zip(k.tolist(), o.tolist(), strict=True)) for k, o in asked]
+
+
+def test_encoder_remembers_words_without_their_signs():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(path)
+    texts = ["stone, (stone) stone. Stone!", None, "été; \"été\"", "don't stone's 3stone"]
+    for text, got in zip(texts, encoder.encode(pa.array(texts)), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert "stone" in encoder.known and "été" in encoder.known and not {"stone,", "(stone)", "stone.", "été;"} & set(encoder.known)

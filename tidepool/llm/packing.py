@@ -273,12 +273,48 @@ _HIDDEN = [*range(33), *range(127, 161), 173]
 _BYTES = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN and b != 32 else chr(b) for b in range(256))
 
 
+#: What a byte is to the pattern: white space, a letter, something else that stands for itself, or (digits, apostrophes and the rest) what the pattern has to see with its word.
+_SPACE, _LETTER, _SIGN, _WHOLE = range(4)
+_KINDS = np.full(256, _WHOLE, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[33:127] = _SIGN
+_KINDS[[39, *range(48, 58), *range(65, 91)]] = _WHOLE
+_KINDS[97:123] = _LETTER
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """Words of the rows of a UTF-8 buffer, cut where letters meet signs unless the row is to be ``whole`` or a byte of the word is; where each row's pieces start."""
+    kinds = _KINDS[data]
+    # Latin-1's small letters but for the division sign.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    follow = data[lead + 1]
+    lead = lead[(follow >= 0x9F) & (follow != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    solid = kinds != _SPACE
+    start = solid.copy()
+    start[1:] &= ~solid[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    start[edges] = solid[edges]
+    if whole.any():
+        kinds[np.repeat(whole, np.diff(offsets))] = _WHOLE
+    rows = np.concatenate([[0], np.cumsum(solid)])[offsets]
+    data, kinds, start = data[solid], kinds[solid], start[solid]
+    words = np.flatnonzero(start)
+    if len(words):
+        plain = np.maximum.reduceat(kinds, words) < _WHOLE
+        start[1:] |= (kinds[1:] != kinds[:-1]) & np.repeat(plain, np.diff(words, append=len(data)))[1:]
+    starts = np.flatnonzero(start)
+    ends = np.append(starts, len(data))
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(starts, rows)
+
+
 class WordEncoder:
     """Token ids of texts by a word-level tokenizer, remembering the ids of words.
 
     For a vocabulary whose pre-tokenizer drops white space and never joins
     characters across it, the ids of a text are those of its words, one after
-    another.  Words of plain characters are cut by the pre-tokenizer's pattern
+    another; a word of small letters and signs is cut where these meet, so that
+    what is remembered does not depend on the signs around it.  Other words of plain characters are cut by the pre-tokenizer's pattern
     and go to the tokenizer's model in bulk; all others go through the whole
     tokenizer one by one, and so do the words of a text that may hold a special
     token or a combining mark, whose letters are not touched before.  The memory
@@ -335,8 +371,8 @@ class WordEncoder:
         # U+0300 to U+037F: marks that may merge with a letter before it is made small.
         marks = np.concatenate([[0], np.cumsum((data == 0xCC) | (data == 0xCD))])
         raw = pc.or_(pc.match_substring(texts, "<|"), pa.array(marks[offsets[1:]] > marks[offsets[:-1]]))
-        words = pc.ascii_split_whitespace(pc.if_else(raw, texts, pc.ascii_lower(texts)))
-        found = words.flatten().dictionary_encode()
+        pieces, rows = _pieces(*_text.utf8(pc.if_else(raw, texts, pc.ascii_lower(texts))), raw.to_numpy(zero_copy_only=False))
+        found = pieces.dictionary_encode()
         index = found.indices.to_numpy()
         with _text.paused_gc():
             distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -351,7 +387,7 @@ class WordEncoder:
         sizes, starts = sizes[index], starts[index]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = table[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
-        edges = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        edges = ends[rows].tolist()
         for a, b in zip(edges, edges[1:]):
             yield flat[a:b]
 
