@@ -378,6 +378,13 @@ def test_kneser_ney_is_a_distribution(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_kneser_ney_counts_every_order_once(spark):
+    counts = spark.createDataFrame([(g, 1 + g % 3) for g in range(97 << 32, (97 << 32) + 500)], "gram long, n long")
+    # Only files are left to read: no order is counted again for those below it, nor its contexts for the finished table.
+    plan = quality_classifier.kneser_ney(counts, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
 def _perplexity_by_definition(training, text, order):
     """Log probability of a text's bytes under interpolated modified Kneser-Ney, from its definition."""
     tops = collections.Counter()
