@@ -385,6 +385,15 @@ def test_kneser_ney_counts_every_order_once(spark):
     assert "Scan parquet" in plan and "Exchange" not in plan and "Aggregate" not in plan
 
 
+def test_kneser_ney_takes_each_step_for_all_orders_at_once(spark, monkeypatch):
+    written, plain = [], quality_classifier.cut
+    monkeypatch.setattr(quality_classifier, "cut", lambda df: written.append(df.columns) or plain(df))
+    counts = spark.createDataFrame([(g, 1 + g % 3) for g in range(97 << 32, (97 << 32) + 500)], "gram long, n long")
+    # Grams, contexts and terms once for all, and the probabilities of each order, which follow from the shorter one's.
+    assert quality_classifier.kneser_ney(counts, 5).count() > 1000 and len(written) == 5 + 3
+    assert quality_classifier.kneser_ney(counts.limit(0), 5).count() == 0
+
+
 def _perplexity_by_definition(training, text, order):
     """Log probability of a text's bytes under interpolated modified Kneser-Ney, from its definition."""
     tops = collections.Counter()
