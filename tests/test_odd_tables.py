@@ -38,3 +38,14 @@ def test_quotes_of_letters_without_a_capital(both):
     assert ours == theirs
     found = dict(ours)
     assert found[0] and found[4] and found[8] and found[25] is None and sum(c == 20 for c, _ in ours) == 2
+
+
+def test_the_smaller_of_two_equal_situations_goes_on(both):
+    # Orders 9, 19 and 10, 20 were a situation each; order 30 of a later year joins them.
+    days = {9: 1, 19: 1, 10: 2, 20: 2, 30: 3}
+    orders = [{"o_orderkey": k, "o_custkey": 1, "o_orderstatus": "P", "o_orderpriority": str(k), "o_orderdate": MONTH.replace(year=2001 if k == 30 else 1999, day=d), "o_totalprice": 1.0} for k, d in days.items()]
+    held = {9: (1,), 19: (1, 3), 10: (2,), 20: (2, 4), 30: (3, 4)}
+    lines = [{"l_orderkey": k, "l_partkey": p, "l_suppkey": k, "l_shipdate": MONTH} for k, parts in held.items() for p in parts]
+    ours, theirs = both("situations_reconciled", orders=orders, lineitem=lines)
+    assert ours == theirs
+    assert {(r[0], r[-1]) for r in ours} == {("st_9", "changed"), ("st_10", "kept")}

@@ -66,7 +66,8 @@ def reconcile(proposed: DataFrame, members: DataFrame, existing: DataFrame, exis
 
     ``proposed`` is of :func:`proposals`, ``existing`` has (id, title,
     title_source, state, digest, first_seen, last_changed), both member tables
-    (situation or id, node).  A proposal that goes on from a situation keeps its
+    (situation or id, node).  Ids are text or numbers, and of equal claims the
+    smaller id has the first, numbers as numbers.  A proposal that goes on from a situation keeps its
     id, first sight and state, and a title the user wrote; its change is
     noted if its members differ.  Of situations that none goes on from, those
     the user decided on or named stay as ``kept``; others are ``merged`` if a
@@ -77,7 +78,7 @@ def reconcile(proposed: DataFrame, members: DataFrame, existing: DataFrame, exis
     joined = proposed.join(matched, "situation", "left").join(prior, "id", "left")
     new, same = F.col("was").isNull(), F.coalesce(F.col("was.digest") == F.col("digest"), F.lit(False))
     going_on = joined.select(
-        F.coalesce("id", F.concat(F.lit("st_"), F.substring(F.sha2(F.concat_ws("|", F.lit(now).cast("string"), "digest"), 256), 1, 20))).alias("id"),
+        F.coalesce(F.col("id").cast("string"), F.concat(F.lit("st_"), F.substring(F.sha2(F.concat_ws("|", F.lit(now).cast("string"), "digest"), 256), 1, 20))).alias("id"),
         "situation",
         F.when(F.col("was.title_source") == "user", F.col("was.title")).otherwise(F.col("title")).alias("title"),
         F.coalesce("was.title_source", F.lit("derived")).alias("title_source"),
@@ -92,7 +93,7 @@ def reconcile(proposed: DataFrame, members: DataFrame, existing: DataFrame, exis
     decided = (F.col("state") != "open") | (F.col("title_source") == "user")
     fate = F.when(decided, "kept").when(F.coalesce("alive", F.lit(False)), "merged").otherwise("retired")
     gone = left.join(alive, "id", "left").withColumn("fate", fate)
-    rest = gone.select("id", F.lit(None).cast(proposed.schema["situation"].dataType).alias("situation"), "title", "title_source", F.when(decided, F.col("state")).alias("state"), "digest", "first_seen", "last_changed", "fate")
+    rest = gone.select(F.col("id").cast("string").alias("id"), F.lit(None).cast(proposed.schema["situation"].dataType).alias("situation"), "title", "title_source", F.when(decided, F.col("state")).alias("state"), "digest", "first_seen", "last_changed", "fate")
     return going_on.unionByName(rest)
 
 
@@ -168,8 +169,8 @@ def situations_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
         return made, members.join(made.select("situation"), "situation", "left_semi")
 
     (proposed, members), (before, before_members) = run(edges), run(old_edges)
-    mine, id = F.col("situation") % 3 == 0, F.concat(F.lit("st_"), F.col("situation").cast("string"))  # noqa: A001
+    mine, id = F.col("situation") % 3 == 0, F.col("situation")  # noqa: A001
     existing = before.select(id.alias("id"), F.when(mine, F.concat(F.lit("mine "), F.col("situation").cast("string"))).otherwise(F.col("title")).alias("title"), F.when(mine, "user").otherwise("derived").alias("title_source"), F.when(F.col("situation") % 5 == 0, "dismissed").otherwise("open").alias("state"), "digest", F.lit(5).cast("long").alias("first_seen"), F.lit(7).cast("long").alias("last_changed"))
     made = reconcile(proposed, members, existing, before_members.select(id.alias("id"), "node"), _NOW)
     # An id that is new follows from time and members; it is shown as new.
-    return made.withColumn("id", F.when(F.col("fate") == "created", "new").otherwise(F.col("id")))
+    return made.withColumn("id", F.when(F.col("fate") == "created", "new").otherwise(F.concat(F.lit("st_"), "id")))
