@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import promises
 from tidepool.queries import oracle_sql, queries
+from tidepool.sources import dav
 
 MONTH = datetime.datetime(1999, 5, 1)
 
@@ -24,7 +25,7 @@ def both(spark, tmp_path):
         connection = duckdb.connect()
         for table, rows in tables.items():
             pq.write_table(rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(rows), tmp_path / f"{table}.parquet")
-            connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+            connection.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
         ours = queries()[name](spark, str(tmp_path))
         theirs = connection.execute(f"SELECT {', '.join(ours.columns)} FROM ({oracle_sql()[name]})").fetchall()
         return sorted(map(tuple, ours.collect()), key=repr), sorted(theirs, key=repr)
@@ -86,3 +87,17 @@ def test_commitments_of_one_title_make_no_pairs(spark):
     with within(spark, 60):
         found = promises.matched(days.withColumnRenamed("t", "anchor"), store).select("id", "commitment", "similarity").collect()
     assert {tuple(r) for r in found} == {(i, max(0, i - 60), 1.0) for i in range(30_000)}
+
+
+def test_answers_do_not_grow_with_the_orders(spark, both, tmp_path):
+    def orders(n):
+        keys = pa.array(range(n))
+        return pa.table({"o_orderkey": keys, "o_custkey": keys, "o_orderstatus": ["O"] * n, "o_orderpriority": ["5 <&>"] * n, "o_orderdate": pa.array([MONTH] * n, pa.timestamp("us"))})
+
+    longest = []
+    for n in (6000, 18_000):
+        for name in ("dav_events", "dav_resources"):
+            ours, theirs = both(name, orders=orders(n))
+            assert ours == theirs
+        longest.append(dav._answers(spark, str(tmp_path)).agg(F.max(F.length("xml"))).first()[0])
+    assert longest[1] < 1.1 * longest[0]

@@ -149,7 +149,7 @@ def _stamp(t: Column) -> Column:
 
 
 def _calendar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as calendar files: one per customer, an event and a task per order, long lines folded."""
+    """(file, part, text): orders as calendar files, an event and a task per order, long lines folded; a part holds the orders of a range of keys."""
     key = F.col("o_orderkey")
     title = F.concat(F.lit("Order\\, "), F.col("o_orderpriority"), F.lit("\\; of the customer with the number "), F.col("o_custkey").cast("string"))
     folded = F.regexp_replace(F.concat(F.lit("SUMMARY:"), title), "(.{40})", "$1\r\n ")
@@ -160,7 +160,7 @@ def _calendar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 64).alias("file"), F.concat_ws("\r\n", event, todo).alias("entry"), key)
     # A file is as long as its part of the orders; it is exploded again when it is read.
     joined = made.groupBy("file", F.expr("o_orderkey div 4096").alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "entry"))), lambda x: x["entry"]), "\r\n").alias("body"))
-    return joined.select("file", F.concat(F.lit("BEGIN:VCALENDAR\r\n"), "body", F.lit("\r\nEND:VCALENDAR\r\n")).alias("text"))
+    return joined.select("file", "part", F.concat(F.lit("BEGIN:VCALENDAR\r\n"), "body", F.lit("\r\nEND:VCALENDAR\r\n")).alias("text"))
 
 
 @query("""SELECT o_orderkey % 64 AS file, o_orderkey::VARCHAR AS uid, 'Order, ' || o_orderpriority || '; of the customer with the number ' || o_custkey AS title,
