@@ -5,6 +5,7 @@ import datetime
 import threading
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -101,3 +102,16 @@ def test_answers_do_not_grow_with_the_orders(spark, both, tmp_path):
             assert ours == theirs
         longest.append(dav._answers(spark, str(tmp_path)).agg(F.max(F.length("xml"))).first()[0])
     assert longest[1] < 1.1 * longest[0]
+
+
+def test_merchants_are_read_once_and_not_with_every_purchase(spark, both):
+    n = 1_500_000
+    at = np.arange(n)
+    stamps = lambda days: pa.array(np.datetime64("1999-05-01", "us") + days.astype("timedelta64[D]"))
+    lines = pa.table({"l_orderkey": at // 2, "l_suppkey": at % 40, "l_extendedprice": (at % 5000) / 10.0, "l_shipdate": stamps(at % 90)})
+    keys = np.append(np.arange(n // 2), 7)  # an order told twice counts as in the SQL
+    orders = pa.table({"o_orderkey": keys, "o_orderdate": stamps(keys % 60)})
+    supplier = pa.table({"s_suppkey": np.arange(40), "s_name": [f"Supplier {i}" for i in range(40)]})
+    with within(spark, 60):
+        ours, theirs = both("purchase_types", lineitem=lines, orders=orders, supplier=supplier)
+    assert ours == theirs and len(ours) > 2

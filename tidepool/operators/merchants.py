@@ -109,7 +109,12 @@ def rejected(cents: Column, priced: Column, merchant: Column, text: Column) -> C
 
 def purchase_type(merchant: Column, cents: Column, author: Column, corroborated: Column) -> Column:
     """PUR-10: transfer, unconfirmed (a large sum by a platform's word alone) or purchase."""
-    return F.when(is_transfer(merchant), "transfer").when((cents >= LARGE) & shared_sender(author) & ~corroborated, "unconfirmed").otherwise("purchase")
+    return typed_by(merchant, cents >= LARGE, author, corroborated)
+
+
+def typed_by(merchant: Column, large: Column, author: Column, corroborated: Column) -> Column:
+    """PUR-10 of any sum that is large or not."""
+    return F.when(is_transfer(merchant), "transfer").when(large & shared_sender(author) & ~corroborated, "unconfirmed").otherwise("purchase")
 
 
 # --- suppliers as senders, orders as receipts ------------------------------------------
@@ -176,11 +181,16 @@ def purchase_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PUR-9 to PUR-11: purchases by type and by whether their stated date holds."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), micros("l_shipdate").alias("shipped"))
     ordered = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), micros("o_orderdate").alias("ordered"))
-    bought = lines.groupBy("l_orderkey", "l_suppkey").agg(F.sum("cents").alias("cents"), F.min("shipped").alias("shipped")).join(ordered, "l_orderkey")
-    known = bought.groupBy("l_suppkey").agg(((F.count(F.lit(1)) > 1) & F.bool_or(F.col("cents") < LARGE)).alias("corroborated"))
-    joined = bought.join(_senders(spark, sf_dir).withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").join(known, "l_suppkey")
-    typed = joined.select("cents", "ordered", purchase_type(F.col("merchant"), F.col("cents"), F.col("author"), F.col("corroborated")).alias("type"), purchase_date(F.col("ordered"), F.col("shipped")).alias("dated"))
-    return typed.groupBy("type", (F.col("dated") == F.col("ordered")).alias("as_stated")).agg(F.count(F.lit(1)).alias("purchases"), F.sum("cents").alias("cents"), F.min("dated").alias("first_t"), F.max("dated").alias("last_t"))
+    # Lines lie with their order, so that its purchases are summed where they have met it.
+    met = lines.join(ordered, "l_orderkey")
+    bought = met.groupBy("l_orderkey", "l_suppkey").agg(F.sum("cents").alias("cents"), F.min("shipped").alias("shipped"), F.min("ordered").alias("ordered"))
+    # A supplier's purchases are alike but for their date and for being large, so names are read once a supplier.
+    dated, large = purchase_date(F.col("ordered"), F.col("shipped")), F.col("cents") >= LARGE
+    sums = bought.groupBy("l_suppkey", large.alias("large"), (dated == F.col("ordered")).alias("as_stated")).agg(F.count(F.lit(1)).alias("purchases"), F.sum("cents").alias("cents"), F.min(dated).alias("first_t"), F.max(dated).alias("last_t"))
+    known = sums.groupBy("l_suppkey").agg(((F.sum("purchases") > 1) & F.bool_or(~F.col("large"))).alias("corroborated"), F.collect_list(F.struct("large", "as_stated", "purchases", "cents", "first_t", "last_t")).alias("sums"))
+    joined = known.join(_senders(spark, sf_dir).withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select("merchant", "author", "corroborated", F.explode("sums").alias("s"))
+    typed = joined.select("s.*", typed_by(F.col("merchant"), F.col("s.large"), F.col("author"), F.col("corroborated")).alias("type"))
+    return typed.groupBy("type", "as_stated").agg(F.sum("purchases").alias("purchases"), F.sum("cents").alias("cents"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
 
 
 def alike(keyed: DataFrame) -> DataFrame:
