@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import promises
 from tidepool.queries import oracle_sql, queries
 from tidepool.sources import dav
+from tidepool.streaming import passes
 
 MONTH = datetime.datetime(1999, 5, 1)
 
@@ -115,3 +116,13 @@ def test_merchants_are_read_once_and_not_with_every_purchase(spark, both):
     with within(spark, 60):
         ours, theirs = both("purchase_types", lineitem=lines, orders=orders, supplier=supplier)
     assert ours == theirs and len(ours) > 2
+
+
+def test_attempts_at_very_many_items(spark, tmp_path):
+    n = 400_000
+    made = spark.range(2 * n).select(F.col("id").alias("attempt"), (F.col("id") % n).alias("item"), F.lit(1).alias("tier"), (F.col("id") >= 2 * n - 5).alias("ok"))
+    made.unionByName(made.filter("attempt % 7 = 0")).repartition(2).write.parquet(f"{tmp_path}/source")
+    with within(spark, 60):
+        passes.follow(spark.readStream.schema("attempt long, item long, tier int, ok boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/source"), str(tmp_path))
+        found = passes.states(spark, str(tmp_path)).groupBy("failures", "tier", "outcome").count().collect()
+    assert {tuple(r) for r in found} == {(2, 2, "retry", n - 5), (1, 1, "done", 5)}

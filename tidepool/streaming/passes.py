@@ -1,4 +1,4 @@
-"""Passes with a budget: what goes to a model next, and what became of it, kept as state per item.
+"""Passes with a budget: what goes to a model next, and what became of it, kept as sums per item.
 
 A pass looks at the newest items that are not done; what cannot be a candidate
 is marked for nothing, and the first so many of the rest go to a model.  What
@@ -7,12 +7,8 @@ failed is tried again one tier up, and given up after three failures.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepool.plans.lineage import scratch
 from tidepool.registry import query
@@ -20,7 +16,7 @@ from tidepool.sources.tables import DOCUMENTS_SQL, document_items, table
 
 #: How many items a pass looks at, failures until it gives up, and the highest tier.
 POOL, MOST_FAILURES, HIGHEST = 4000, 3, 3
-_OUT = "item long, failures int, tier int, outcome string"
+_ATTEMPT = "item long, attempt long, tier int, ok boolean"
 
 
 def candidates(items: DataFrame, fits: Column, limit: int, pool: int = POOL) -> DataFrame:
@@ -41,46 +37,49 @@ def judged(done: Column, failures: Column, tier: Column) -> tuple[Column, Column
     return outcome, F.when(done | (failures >= MOST_FAILURES), tier).otherwise(F.least(tier + 1, F.lit(HIGHEST)))
 
 
-def outcomes(log: DataFrame) -> DataFrame:
-    """PUR-13: (item, failures, tier, outcome) of a log of attempts (attempt, item, tier, ok), each attempt counted once."""
-    once = log.dropDuplicates(["attempt"])
-    counted = once.groupBy("item").agg(F.count_if(~F.col("ok")).cast("int").alias("failures"), F.max("tier").cast("int").alias("highest"), F.bool_or("ok").alias("done"))
+def _sums() -> list[Column]:
+    """What is kept of an item's attempts."""
+    return [F.count_if(~F.col("ok")).alias("failures"), F.max("tier").cast("int").alias("highest"), F.bool_or("ok").alias("done")]
+
+
+def _outcomes(counted: DataFrame) -> DataFrame:
     outcome, tier = judged(F.col("done"), F.col("failures"), F.col("highest"))
     return counted.select("item", "failures", tier.cast("int").alias("tier"), outcome.alias("outcome"))
 
 
-def _fold(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    failures, highest, done, seen = state.get if state.exists else (0, 0, False, [])
-    seen = set(seen)
-    for frame in frames:
-        for attempt, tier, ok in zip(frame["attempt"].tolist(), frame["tier"].tolist(), frame["ok"].tolist()):
-            if attempt not in seen:
-                seen.add(attempt)
-                failures, highest, done = failures + (not ok), max(highest, int(tier)), done or bool(ok)
-    over = done or failures >= MOST_FAILURES
-    state.update((failures, highest, done, sorted(seen)))
-    outcome = "done" if done else "given_up" if over else "retry"
-    yield pd.DataFrame([(key[0], failures, highest if over else min(highest + 1, HIGHEST), outcome)], columns=[f.split()[0] for f in _OUT.split(", ")])
+def outcomes(log: DataFrame) -> DataFrame:
+    """PUR-13: (item, failures, tier, outcome) of a log of attempts (attempt, item, tier, ok), each attempt counted once."""
+    return _outcomes(log.dropDuplicates(["attempt"]).groupBy("item").agg(*_sums()).withColumn("failures", F.col("failures").cast("int")))
 
 
 def follow(stream: DataFrame, store: str) -> None:
-    """Fold a stream of attempts into states under ``store``; goes on where it stopped.
+    """Fold a stream of attempts into what is kept of every item under ``store``; goes on where it stopped.
 
-    An item has few attempts, so its state holds their numbers and a repeated
-    one is told however late it comes.
+    A batch holds its attempts against those of all batches before, so a
+    repeated one is told however late it comes; of the rest it writes each
+    item's sums, which :func:`states` adds up.  A batch that is done again
+    writes the same again.
     """
-    folded = stream.groupBy("item").applyInPandasWithState(_fold, _OUT, "failures int, highest int, done boolean, seen array<long>", "update", GroupStateTimeout.NoTimeout)
+    key = F.struct("item", "attempt")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/states/batch={number}")
+        spark, folder = batch.sparkSession, f"{store}/attempts"
+        new = batch.withColumn("key", key).dropDuplicates(["key"])
+        if number:
+            earlier = spark.read.schema(f"{_ATTEMPT}, batch int").parquet(folder).filter(F.col("batch") < number)
+            new = new.join(earlier.select(key.alias("key")), "key", "left_anti")
+        new.select("item", "attempt", "tier", "ok").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        heard = spark.read.schema(_ATTEMPT).parquet(f"{folder}/batch={number}")
+        heard.groupBy("item").agg(*_sums()).write.mode("overwrite").parquet(f"{store}/states/batch={number}")
 
-    folded.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def states(spark: SparkSession, store: str) -> DataFrame:
-    """The last state of every item."""
-    log = spark.read.schema(f"{_OUT}, batch int").parquet(f"{store}/states")
-    return log.groupBy("item").agg(F.max_by(F.struct("failures", "tier", "outcome"), "batch").alias("x")).select("item", "x.*")
+    """(item, failures, tier, outcome): the last state of every item."""
+    log = spark.read.schema("item long, failures long, highest int, done boolean").parquet(f"{store}/states")
+    counted = log.groupBy("item").agg(F.sum("failures").cast("int").alias("failures"), F.max("highest").alias("highest"), F.bool_or("done").alias("done"))
+    return _outcomes(counted)
 
 
 @query(f"""WITH {DOCUMENTS_SQL}, n AS (SELECT item_id AS item, coalesce(contains(body, '@') OR length(body) > 2000, false) AS fits FROM items WHERE item_id % 3 <> 0 ORDER BY item_id DESC LIMIT {POOL}),
@@ -102,9 +101,9 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT item, count(*) FILTER (NOT ok) AS failures, max(tier) AS highest, bool_or(ok) AS done FROM a GROUP BY item)
 SELECT item, failures::INTEGER AS failures, (CASE WHEN done OR failures >= {MOST_FAILURES} THEN highest ELSE least(highest + 1, {HIGHEST}) END)::INTEGER AS tier, CASE WHEN done THEN 'done' WHEN failures >= {MOST_FAILURES} THEN 'given_up' ELSE 'retry' END AS outcome FROM c""")
 def attempts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PUR-13: attempts streamed file by file, some twice, and what became of every item."""
+    """PUR-13: attempts streamed in three batches of files, some twice, and what became of every item."""
     store = scratch(spark, "passes")
     made = _attempts(spark, sf_dir)
-    made.unionByName(made.filter("attempt % 11 = 0")).repartition(3, F.xxhash64("attempt", F.rand(5))).write.parquet(f"{store}/source")
-    follow(spark.readStream.schema("attempt long, item long, tier int, ok boolean").option("maxFilesPerTrigger", 1).parquet(f"{store}/source"), store)
+    made.unionByName(made.filter("attempt % 11 = 0")).repartition(48, F.xxhash64("attempt", F.rand(5))).write.parquet(f"{store}/source")
+    follow(spark.readStream.schema("attempt long, item long, tier int, ok boolean").option("maxFilesPerTrigger", 16).parquet(f"{store}/source"), store)
     return states(spark, store)
